@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from seepage.llm.bpe import op1_byte_bpe
+from seepage.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
