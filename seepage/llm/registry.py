@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from seepage.llm.bpe import op1_byte_bpe
+from seepage.llm.langid import op4_language_id
+from seepage.llm.quality import op10_quality
 from seepage.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op4_language_id": op4_language_id,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
