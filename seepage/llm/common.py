@@ -38,7 +38,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch that goes to a Python task, so that long texts don't add up.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,14 +56,17 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % parts
 
 
-def slices(texts: list, limit: int = SLICE_CHARS):
-    """(start, end) runs of texts of at most about limit characters; a longer text is a run of its own."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > limit:
+def runs(sizes: list[int], limit: int):
+    """(start, end) runs of items of at most about limit in all; a larger item is a run of its own."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > limit:
             yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def slices(texts: list, limit: int = SLICE_CHARS):
+    return runs([len(t) if t else 0 for t in texts], limit)

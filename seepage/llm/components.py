@@ -13,7 +13,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Undirected edges (a, b) of long ids -> (node, root), root the smallest id of the component.
+    """Undirected edges (a, b) of ids of any orderable type -> (node, root), root the smallest id of the component.
 
     Nodes without an edge to another node are absent. Null ends, loops and repeated edges are ignored.
     Steps shuffle edges by node with a map-side minimum; each is written to the shared folder."""
