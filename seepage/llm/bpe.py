@@ -16,16 +16,20 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import slices, table
+from seepage.llm.common import runs, table
 
-#: Words kept encoded in a task between runs of texts; the memo is emptied when it is full.
-MEMO_WORDS = 300_000
+#: Pieces of text kept encoded in a task between batches; the memo is emptied when it is full.
+MEMO_PIECES = 150_000
+#: Texts are encoded in runs of about this many bytes.
+RUN_BYTES = 4_000_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -58,28 +62,27 @@ class MergeReplay:
         """Rank of the pair, which is also the id of the merged token; -1 if it never merges."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             found = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return found
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(words)
-        rest = []
-        for i, w in enumerate(words):
-            whole = self.ranks.get(w)
-            if whole is not None:
-                out[i] = [whole]
-            elif not w:
-                out[i] = []
-            else:
-                rest.append(i)
-        if rest:
-            for i, ids in zip(rest, self._replay([words[i] for i in rest])):
-                out[i] = ids
-        return out
-
-    def _replay(self, words: list[bytes]) -> list[list[int]]:
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids in order)."""
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        rest = [i for i in np.flatnonzero(whole < 0).tolist() if words[i]]
+        counts = (whole >= 0).astype(np.int64)
+        if not rest:
+            return counts, whole[whole >= 0].astype(np.int32)
+        n, ids = self._replay([words[i] for i in rest])
+        counts[rest] = n
+        flat = np.empty(int(counts.sum()), np.int32)
+        first = np.cumsum(counts) - counts
+        flat[first[whole >= 0]] = whole[whole >= 0]
+        flat[np.repeat(first[rest] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return counts, flat
+
+    def _replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(lengths)
         total = int(ends[-1])
@@ -150,46 +153,95 @@ class MergeReplay:
             enter(symbol[at[has]], symbol[nxt[at[has]]], at[has], rank)
         live = symbol >= 0
         counts = np.bincount(owner[live], minlength=len(words))
-        ids = symbol[live].tolist()
-        out, i = [], 0
-        for n in counts.tolist():
-            out.append(ids[i : i + n])
-            i += n
-        for w in unordered:
-            out[w] = encode_one(words[w], self.ranks)
-        return out
+        ids = symbol[live]
+        if unordered:
+            first = np.cumsum(counts) - counts
+            lists = [encode_one(w, self.ranks) if i in unordered else ids[first[i] : first[i] + counts[i]] for i, w in enumerate(words)]
+            counts, ids = np.array([len(x) for x in lists]), np.concatenate(lists).astype(np.int64)
+        return counts, ids
+
+
+def expand(at: np.ndarray, count: np.ndarray, first: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The runs flat[first[i] : first[i] + count[i]] for each i of at, one after the other."""
+    n = count[at]
+    return flat[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+class _Pieces(dict):
+    """Text piece -> number of its slot; 0 is for pieces that can't be split off without their neighbours."""
+
+    def __init__(self, slots: list[str], lead: str):
+        self.slots, self.lead = slots, lead
+
+    def __missing__(self, piece: str) -> int:
+        if not piece or (self.lead and piece[0].isspace()) or piece[-1].isspace():
+            n = 0
+        else:
+            n = len(self.slots)
+            self.slots.append(self.lead + piece)
+        self[piece] = n
+        return n
 
 
 def _encode_batches(pattern: str, ranks: dict[bytes, int]):
+    """A text without runs of white space is cut at its spaces: there, a space always begins the
+    next match of the pattern, so each distinct piece needs to be matched once only. Other texts are matched whole."""
+
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
         replay = MergeReplay(ranks)
-        memo: dict[str, int] = {}
-        per_word, flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        slots: list[str] = []
+
+        def reset():
+            slots[:] = [""]
+            return _Pieces(slots, ""), _Pieces(slots, " "), {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+        start, spaced, matched, size, flat = reset()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            column = batch.column(1)
             values, sizes = [], []
-            for start, end in slices(texts):
-                words = [find(t) if t else [] for t in texts[start:end]]
-                if len(memo) > MEMO_WORDS:
-                    memo, per_word, flat = {}, np.zeros(0, np.int64), np.zeros(0, np.int32)
-                new = {w for ws in words for w in ws}.difference(memo)
-                if new:
-                    new = sorted(new)
-                    memo.update(zip(new, range(len(memo), len(memo) + len(new))))
-                    lists = replay.encode([w.encode() for w in new])
-                    per_word = np.concatenate((per_word, np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))))
-                    flat = np.concatenate((flat, np.fromiter((x for ids in lists for x in ids), dtype=np.int32)))
-                first = np.cumsum(per_word) - per_word
-                for ws in words:
-                    at = np.fromiter(map(memo.__getitem__, ws), dtype=np.int64, count=len(ws))
-                    n = per_word[at]
-                    total = int(n.sum())
-                    where = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(total)
-                    values.append(flat[where])
-                    sizes.append(total)
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            for begin, end in runs(lengths, RUN_BYTES):
+                if len(slots) > MEMO_PIECES:
+                    start, spaced, matched, size, flat = reset()
+                done = len(size)
+                at: list[np.ndarray] = []
+                texts = column.slice(begin, end - begin).to_pylist()
+                for t in texts:
+                    parts = (t or "").split(" ")
+                    n = np.fromiter(map(spaced.__getitem__, parts), dtype=np.int32, count=len(parts))
+                    n[0] = start[parts[0]]
+                    if not n.all():
+                        parts = find(t or "")
+                        n = np.empty(len(parts), np.int32)
+                        for i, w in enumerate(parts):
+                            k = matched.get(w)
+                            if k is None:
+                                k = matched[w] = len(slots)
+                                slots.append(w)
+                            n[i] = k
+                    at.append(n)
+                del texts
+                words: dict[str, int] = {}
+                parts = array("i")  # words of the new pieces
+                lengths_of = np.zeros(len(slots) - done, np.int64)
+                for i, piece in enumerate(slots[done:]):
+                    found = find(piece)
+                    lengths_of[i] = len(found)
+                    parts.extend([words.setdefault(w, len(words)) for w in found])
+                counts, word_ids = replay.encode([w.encode() for w in words])
+                del words
+                parts = np.frombuffer(parts, np.int32) if parts else np.zeros(0, np.int32)
+                of_piece = np.concatenate(([0], np.cumsum(counts[parts])))
+                ends = np.cumsum(lengths_of)
+                size = np.concatenate((size, of_piece[ends] - of_piece[ends - lengths_of]))
+                flat = np.concatenate((flat, expand(parts, counts, np.cumsum(counts) - counts, word_ids)))
+                first = np.cumsum(size) - size
+                for n in at:
+                    values.append(expand(n, size, first, flat))
+                    sizes.append(len(values[-1]))
             offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
@@ -212,8 +264,8 @@ def _decode_batches(tokens: dict[int, bytes]):
         get = tokens.__getitem__
         for batch in batches:
             column = batch.column(1)
-            flat, offsets = column.values.to_pylist(), column.offsets.to_pylist()
-            texts = [b"".join(map(get, flat[a:b])) for a, b in zip(offsets, offsets[1:])]
+            flat, offsets = column.values.to_numpy(), column.offsets.to_pylist()
+            texts = [b"".join(map(get, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.binary())], names=["id", "ids", "decoded"])
 
     return run
