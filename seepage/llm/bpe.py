@@ -281,13 +281,15 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digests(decoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """(id_col, ids, decoded) -> (id_col, n_tokens, ids_sha256, decoded_sha256), with ids if asked for."""
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from seepage.llm.bpe import op1_byte_bpe
+from seepage.llm.decontaminate import op5_decontamination
+from seepage.llm.embeddings import OP7_SQL, op7_embedding_near_dedup
 from seepage.llm.langid import op4_language_id
+from seepage.llm.minhash import op8_order_minhash
 from seepage.llm.quality import op10_quality
 from seepage.llm.toxicity import op2_toxicity
 
@@ -11,7 +14,12 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_order_minhash": op8_order_minhash,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_embedding_near_dedup": OP7_SQL,
+}
