@@ -7,6 +7,7 @@ from seepage.llm.decontaminate import op5_decontamination
 from seepage.llm.embeddings import OP7_SQL, op7_embedding_near_dedup
 from seepage.llm.langid import op4_language_id
 from seepage.llm.licenses import OP6_SQL, op6_license_scan
+from seepage.llm.maxent import op3_maxent
 from seepage.llm.minhash import op8_order_minhash
 from seepage.llm.quality import op10_quality
 from seepage.llm.toxicity import op2_toxicity
@@ -15,6 +16,7 @@ from seepage.llm.warc import OP9_SQL, op9_warc
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_maxent": op3_maxent,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_license_scan": op6_license_scan,
