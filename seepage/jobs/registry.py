@@ -1,5 +1,7 @@
-"""Registered queries of the spatial operators."""
+"""Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from seepage.jobs import spatial
+
+QUERIES: dict = {**spatial.QUERIES}
+ORACLE_SQL: dict = {**spatial.ORACLE_SQL}
 FLAGSHIP = "o48_corrected"

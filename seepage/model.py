@@ -63,7 +63,7 @@ class LeakageModel:
             few = chosen.where(F.col("rank") <= self.n_lambda_genes)
             pred = fit.kernel_sums(edges, rates.join(few.select("gene_id"), "gene_id", "left_semi"), list(self.lambda_grid), self.metric)
             self.search_ = stage(fit.scale_search(pred, bin_expr, bin_table, few, list(self.lambda_grid)), "search")
-            self.lambda_ = fit.best_scale(self.search_).first()["lambda"]
+            self.lambda_ = fit.best_scale(self.search_).first()["scale"]
         scale = self.lambda_ or 1.0
         pred = fit.kernel_sums(edges, rates.join(chosen.select("gene_id"), "gene_id", "left_semi"), [scale], self.metric)
         self.fit_ = stage(fit.gene_fit(pred, bin_expr, bin_table, ranks, self.n_high_genes), "fit")
@@ -82,7 +82,7 @@ def diagnostics(model: LeakageModel, cells: DataFrame, bin_table: DataFrame, edg
     genes = model.fit_.agg(F.count("*").alias("n_genes_selected"), F.count_if(good).alias("n_genes_corrected"), F.avg("alpha").alias("alpha_mean"), F.avg("r2").alias("r2_mean"), F.sort_array(F.collect_list(F.struct("rank", "gene_id", "alpha", "r2"))).alias("genes"))
     areas = lambda df, p: df.agg(F.count("*").alias(f"n_{p}s"), F.avg("area").alias(f"{p}_area_mean"), F.min("area").alias(f"{p}_area_min"), F.expr("percentile(area, 0.5)").alias(f"{p}_area_median"), F.max("area").alias(f"{p}_area_max"))
     out = genes.crossJoin(areas(cells, "cell")).crossJoin(areas(bin_table, "bin")).crossJoin(edges.agg(F.count("*").alias("n_edges_bin_cell"))).crossJoin(edges_cc.agg(F.count("*").alias("n_edges_cell_cell")))
-    extra = {"lambda": F.lit(model.lambda_).cast("double"), "metric": F.lit(model.metric), "bin_size": F.lit(float(model.bin_size)), "max_radius": F.lit(float(model.max_radius)), "r2_threshold": F.lit(float(model.r2_threshold)), "backend": F.lit("spark")}
+    extra = {"scale": F.lit(model.lambda_).cast("double"), "metric": F.lit(model.metric), "bin_size": F.lit(float(model.bin_size)), "max_radius": F.lit(float(model.max_radius)), "r2_threshold": F.lit(float(model.r2_threshold)), "backend": F.lit("spark")}
     if model.search_ is not None:
         out = out.crossJoin(model.search_.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "rss"))), lambda e: e["rss"]).alias("rss"), F.min("rss").alias("rss_best")))
     return out.withColumns(extra)

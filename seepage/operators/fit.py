@@ -38,18 +38,18 @@ def residual(yy: Column, alpha: Column, yn: Column, nn: Column) -> Column:
 
 
 def scale_search(pred: DataFrame, bin_expr: DataFrame, bin_table: DataFrame, genes: DataFrame, scales: list[float]) -> DataFrame:
-    """O-46: (pos, lambda, rss) for each scale over the given genes."""
+    """O-46: (pos, scale, rss) for each scale over the given genes."""
     seen = bin_expr.join(genes.select("gene_id"), "gene_id", "left_semi").join(bin_table.select("bin_id", "area"), "bin_id")
     yy = seen.groupBy("gene_id").agg(F.sum(F.col("area") * F.col("y") * F.col("y")).alias("yy"))
     sums = genes.select("gene_id").join(moments(pred, bin_expr, len(scales)), "gene_id", "left").join(yy, "gene_id", "left").fillna(0.0)
-    entry = lambda i, x: F.struct(F.lit(i).alias("pos"), F.lit(float(x)).alias("lambda"), residual(F.col("yy"), alpha_of(F.col(f"yn_{i}"), F.col(f"nn_{i}")), F.col(f"yn_{i}"), F.col(f"nn_{i}")).alias("rss"))
+    entry = lambda i, x: F.struct(F.lit(i).alias("pos"), F.lit(float(x)).alias("scale"), residual(F.col("yy"), alpha_of(F.col(f"yn_{i}"), F.col(f"nn_{i}")), F.col(f"yn_{i}"), F.col(f"nn_{i}")).alias("rss"))
     each = sums.select(F.explode(F.array(*(entry(i, x) for i, x in enumerate(scales)))).alias("e")).select("e.*")
-    return each.groupBy("pos", "lambda").agg(F.sum("rss").alias("rss"))
+    return each.groupBy("pos", "scale").agg(F.sum("rss").alias("rss"))
 
 
 def best_scale(search: DataFrame) -> DataFrame:
-    """O-46: one row (lambda, rss): the least residual; ties: the earlier scale."""
-    return search.agg(F.min(F.struct("rss", "pos", "lambda")).alias("b")).select("b.lambda", "b.rss")
+    """O-46: one row (scale, rss): the least residual; ties: the earlier scale."""
+    return search.agg(F.min(F.struct("rss", "pos", "scale")).alias("b")).select("b.scale", "b.rss")
 
 
 def gene_fit(pred: DataFrame, bin_expr: DataFrame, bin_table: DataFrame, ranks: DataFrame, n_high: int | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ def test_end_to_end(spark):
     assert np.allclose(rss, [6699.040179518698, 5338.391123951419, 4535.030213641596], rtol=1e-12)
     assert out.n_raw.sum() == 1417 and np.isclose(out.n_corrected.sum(), 1111.7710480571072, rtol=1e-10)
     d = model.diagnostics_.first()
-    assert d.n_cells == 4 and d.n_bins == 32 and d.n_genes_corrected == 7 and d["lambda"] == 20
+    assert d.n_cells == 4 and d.n_bins == 32 and d.n_genes_corrected == 7 and d["scale"] == 20
 
 
 def test_inverse_kernel_and_expression_weight(spark):
