@@ -1,7 +1,7 @@
 """Registered queries and their SQL."""
 
-from seepage.jobs import spatial
+from seepage.jobs import evaluation, spatial
 
-QUERIES: dict = {**spatial.QUERIES}
-ORACLE_SQL: dict = {**spatial.ORACLE_SQL}
+QUERIES: dict = {**spatial.QUERIES, **evaluation.QUERIES}
+ORACLE_SQL: dict = {**spatial.ORACLE_SQL, **evaluation.ORACLE_SQL}
 FLAGSHIP = "o48_corrected"
