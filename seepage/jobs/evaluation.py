@@ -110,13 +110,13 @@ def o80_rmse(spark, sf_dir):
     return metrics.rmse(t.fixed(), t.get("cell_expr"), t.get("cells").count() * GENES).select(r("rmse").alias("rmse"))
 
 
-@query("o81_cell_r2", f"SELECT cell_id, round(least(power({corr('n')}, 2), 1), 6) r2 FROM pear")
+@query("o81_cell_r2", f"SELECT cell_id, CASE WHEN {corr('n')} IS NOT NULL THEN round(least(power({corr('n')}, 2), 1), 6) END r2 FROM pear")
 def o81_cell_r2(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return metrics.cell_r2(t.fixed(), t.get("cell_expr"), GENES).select("cell_id", r("r2").alias("r2"))
 
 
-@query("o82_r2_summary", f", c AS (SELECT least(power({corr('n')}, 2), 1) r2 FROM pear) SELECT round(avg(r2), 6) mean, round(median(r2), 6) median, round(quantile_cont(r2, 0.25), 6) q25, round(quantile_cont(r2, 0.75), 6) q75, count(r2) n_valid FROM c")
+@query("o82_r2_summary", f", c AS (SELECT CASE WHEN {corr('n')} IS NOT NULL THEN least(power({corr('n')}, 2), 1) END r2 FROM pear) SELECT round(avg(r2), 6) mean, round(median(r2), 6) median, round(quantile_cont(r2, 0.25), 6) q25, round(quantile_cont(r2, 0.75), 6) q75, count(r2) n_valid FROM c")
 def o82_r2_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
     s = metrics.summary(metrics.cell_r2(t.fixed(), t.get("cell_expr"), GENES), "r2")

@@ -64,7 +64,7 @@ def cell_r2(pred: DataFrame, truth: DataFrame, n_genes: int, a_col: str = "n", b
     """O-81: (cell_id, r2): squared correlation of a cell's profiles over all genes; null for constant profiles."""
     sums = paired(pred, truth, ["cell_id", "gene_id"], a_col, b_col).groupBy("cell_id").agg(*moment_sums())
     c = pearson(F.lit(float(n_genes)), *(F.col(m) for m in MOMENTS))
-    return sums.select("cell_id", F.least(c * c, F.lit(1.0)).alias("r2"))
+    return sums.select("cell_id", F.when(c.isNotNull(), F.least(c * c, F.lit(1.0))).alias("r2"))
 
 
 def cell_determination(pred: DataFrame, truth: DataFrame, n_genes: int, a_col: str = "n", b_col: str = "n") -> DataFrame:
