@@ -1 +1,10 @@
-"""Training-data operators. Nothing outside this subpackage imports it."""
+"""Training-data operators. Nothing outside this subpackage imports it.
+
+Its functions travel to Python tasks by value, so executors need no copy of this repository.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
