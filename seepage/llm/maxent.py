@@ -1,8 +1,8 @@
 """Language model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class of a word is a hash of its last
-SUFFIX bytes, so every word has one, seen or not; the end of a text is a class of its own. The softmax over
-classes has hashed features of the history: the word before, the word before that (skip), and both. Inside a class,
+P(word | history) = P(class | history) * P(word | class). A word's ending (a hash of its last SUFFIX
+bytes) gives its class, so every word has one, seen or not; the end of a text is a class of its own. Endings are put into
+classes by what stands beside them in the training texts. The softmax over classes has hashed features of the history: the word before, the word before that (skip), and both. Inside a class,
 words have their training counts plus one, and all unseen words of the class together count as one.
 
 Texts are cut into chunks of about CHUNK_BYTES. A chunk holds its texts as numbers of its own
@@ -30,11 +30,17 @@ from seepage.llm.common import bound_batches, fold, materialize, runs, table
 
 CHUNK_BYTES = 4_000_000
 SUFFIX = 3
-CLASSES = 32  # of words; one more for the end
-BUCKETS = 1 << 14  # for each of the three kinds of feature
+ENDINGS = 512  # hash buckets of word endings
+CLASSES = 16  # of endings; one more for the end of a text
+BUCKETS_LOG2 = 12
+BUCKETS = 1 << BUCKETS_LOG2  # for each of the three kinds of feature
 ROUNDS = 2
 BATCH = 8192
-RATE = 0.5
+RATE = 0.1
+#: Added to the squared gradients, so that rare features move little.
+DAMP = 0.1
+#: The commonest words, at most so many, reach the chunks as a table of their own and not by the join.
+FREQUENT = 200_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _START = np.uint32(0x9747B28C)
 
@@ -45,12 +51,16 @@ class _Codes(dict):
         return n
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[-SUFFIX:]) % CLASSES
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-SUFFIX:]) % ENDINGS
 
 
-def class_column(word: str) -> Column:
-    return F.pmod(F.crc32(F.substring(word, -SUFFIX, SUFFIX)), F.lit(CLASSES)).cast("int")
+def ending_column(word: str) -> Column:
+    return F.pmod(F.crc32(F.substring(word, -SUFFIX, SUFFIX)), F.lit(ENDINGS)).cast("int")
+
+
+def word_hash(word: bytes) -> int:
+    return zlib.crc32(word) | zlib.crc32(word, 0x5BD1E995) << 32
 
 
 def _chunk_batches(batches):
@@ -66,22 +76,22 @@ def _chunk_batches(batches):
             del tokens
             trained = np.repeat(~held[start:end], sizes)
             counts = np.bincount(codes[trained], minlength=len(words)).astype(np.int32)
-            hashes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).view(np.int32)
-            classes = np.fromiter(map(class_of, words), np.int8, len(words))
+            hashes = np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
+            endings = np.fromiter(map(ending, words), np.int16, len(words))
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
             columns = [
                 pa.array([uuid.uuid4().int >> 65], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), ids.slice(start, end - start)),
                 one(held[start:end], pa.bool_()), one(sizes, pa.int32()), one(codes, pa.int32()), one(list(words), pa.binary()),
-                one(counts, pa.int32()), one(hashes, pa.int32()), one(classes, pa.int8()),
+                one(counts, pa.int32()), one(hashes, pa.int64()), one(endings, pa.int16()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "held", "sizes", "codes", "words", "counts", "hashes", "classes"])
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "held", "sizes", "codes", "words", "counts", "hashes", "endings"])
 
 
 def chunks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("binary").alias("text"))
-    schema = f"chunk long, ids array<{kind}>, held array<boolean>, sizes array<int>, codes array<int>, words array<binary>, counts array<int>, hashes array<int>, classes array<tinyint>"
+    schema = f"chunk long, ids array<{kind}>, held array<boolean>, sizes array<int>, codes array<int>, words array<binary>, counts array<int>, hashes array<long>, endings array<smallint>"
     return rows.mapInArrow(_chunk_batches, schema)
 
 
@@ -89,6 +99,55 @@ def _numpy(value) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False)
 
 
+def _pair_batches(batches):
+    """Counts of neighbouring endings in training texts, a row for each first ending."""
+    total = np.zeros(ENDINGS * ENDINGS, np.int64)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sizes, held, codes, endings = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "endings"))
+            e = endings[codes].astype(np.int64)
+            both = np.repeat(~held, sizes)[1:]
+            both[np.cumsum(sizes)[:-1][(np.cumsum(sizes)[:-1] > 0) & (np.cumsum(sizes)[:-1] < len(e))] - 1] = False
+            total += np.bincount((e[:-1] * ENDINGS + e[1:])[both], minlength=ENDINGS * ENDINGS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
+
+
+def ending_classes(table_: DataFrame) -> np.ndarray:
+    """The class of each ending: k-means on the leading directions of the endings' neighbour counts, a matrix of fixed size."""
+    rows = table_.select("sizes", "held", "codes", "endings").mapInArrow(_pair_batches, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(ENDINGS * ENDINGS)
+    counts[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return cluster(counts.reshape(ENDINGS, ENDINGS))
+
+
+def cluster(counts: np.ndarray) -> np.ndarray:
+    both = counts + counts.T
+    mass = both.sum(axis=1)
+    classes = np.arange(len(mass)) % CLASSES
+    seen = np.flatnonzero(mass > 0)
+    if len(seen) <= CLASSES:
+        return classes
+    own = both[np.ix_(seen, seen)]
+    share = np.sqrt(own / np.sqrt(mass[seen][:, None] * mass[seen][None, :]))
+    u, s, _ = np.linalg.svd(share)
+    points = u[:, : CLASSES] * s[: CLASSES]
+    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+    weight = mass[seen]
+    centres = [int(weight.argmax())]
+    for _ in range(CLASSES - 1):  # the heaviest points far from what is taken
+        d = ((points[:, None, :] - points[centres][None, :, :]) ** 2).sum(axis=2).min(axis=1)
+        centres.append(int((d * weight).argmax()))
+    middle = points[centres]
+    for _ in range(50):
+        near = ((points[:, None, :] - middle[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+        for k in range(CLASSES):
+            if (near == k).any():
+                middle[k] = np.average(points[near == k], axis=0, weights=weight[near == k])
+    classes[seen] = near
+    return classes
+
+
 def history(codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(feature rows of each token, 3 columns; class of each token), ends counted as tokens."""
     n = len(codes) + len(sizes)
@@ -96,7 +155,7 @@ def history(codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: n
     word = np.ones(n, bool)
     word[ends] = False
     h = np.full(n, _START, np.uint32)
-    h[word] = hashes[codes].view(np.uint32)
+    h[word] = (hashes.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[codes]
     y = np.full(n, CLASSES, np.int64)
     y[word] = classes[codes]
     one = np.concatenate(([_START], h[:-1]))
@@ -104,9 +163,9 @@ def history(codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: n
     two = np.concatenate(([_START], one[:-1]))
     two[ends[:-1] + 1] = _START
     with np.errstate(over="ignore"):
-        x1 = (one * np.uint32(2654435761)) >> np.uint32(18)
-        x2 = (two * np.uint32(2246822519)) >> np.uint32(18)
-        x3 = ((one * np.uint32(3266489917)) ^ (two * np.uint32(668265263))) * np.uint32(374761393) >> np.uint32(18)
+        x1 = (one * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS_LOG2)
+        x2 = (two * np.uint32(2246822519)) >> np.uint32(32 - BUCKETS_LOG2)
+        x3 = ((one * np.uint32(3266489917)) ^ (two * np.uint32(668265263))) * np.uint32(374761393) >> np.uint32(32 - BUCKETS_LOG2)
     return np.stack((x1, x2 + np.uint32(BUCKETS), x3 + np.uint32(2 * BUCKETS)), axis=1).astype(np.int64), y
 
 
@@ -128,26 +187,27 @@ def step(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, x: np.ndarr
     g = np.exp(log_softmax(logits(weights, x)))
     g[np.arange(len(y)), y] -= 1
     for k in range(x.shape[1]):
-        order = np.argsort(x[:, k], kind="stable")
+        order = np.argsort(x[:, k].astype(np.uint16), kind="stable")  # 16 bits sort by radix
         rows = x[order, k]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         rows = rows[first]
         total = np.add.reduceat(g[order], first, axis=0)
         squares[rows] += (total * total).mean(axis=1)
-        weights[rows] -= RATE * total / np.sqrt(squares[rows] + 1e-6)[:, None]
+        weights[rows] -= RATE * total / np.sqrt(squares[rows] + DAMP)[:, None]
         uses[rows] += np.diff(np.concatenate((first, [len(order)])))
     total = g.sum(axis=0)
     squares[-1] += (total * total).mean()
-    weights[-1] -= RATE * total / np.sqrt(squares[-1] + 1e-6)
+    weights[-1] -= RATE * total / np.sqrt(squares[-1] + DAMP)
     uses[-1] += len(y)
 
 
-def _train_batches(weights: np.ndarray):
+def _train_batches(weights: np.ndarray, class_of: np.ndarray):
     def run(batches):
         w, squares, uses = weights.copy(), np.zeros(len(weights), np.float32), np.zeros(len(weights), np.float32)
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes, held, codes, hashes, classes = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "hashes", "classes"))
+                sizes, held, codes, hashes, endings = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "hashes", "endings"))
+                classes = class_of[endings]
                 keep = np.repeat(~held, sizes)
                 x, y = history(codes[keep], sizes[~held], hashes, classes)
                 for a in range(0, len(y), BATCH):
@@ -172,13 +232,13 @@ def _average(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": rows, "moved": (total / uses[:, None]).astype(np.float32).tolist()})
 
 
-def train(table_: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+def train(table_: DataFrame, class_of: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after a pass over all training texts, cut in rounds; the last row is the bias."""
     weights = np.zeros((3 * BUCKETS + 1, CLASSES + 1), np.float32)
-    rows = table_.select("chunk", "sizes", "held", "codes", "hashes", "classes")
+    rows = table_.select("chunk", "sizes", "held", "codes", "hashes", "endings")
     for k in range(rounds):
         part = rows.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == k).drop("chunk")
-        moved = part.mapInArrow(_train_batches(weights), "block int, row int, uses float, moved array<float>")
+        moved = part.mapInArrow(_train_batches(weights, class_of), "block int, row int, uses float, moved array<float>")
         # As many rows as there are weights, of a fixed size.
         found = moved.groupBy("block").applyInPandas(_average, "row int, moved array<float>").toArrow()
         if found.num_rows:
@@ -187,13 +247,19 @@ def train(table_: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return weights
 
 
-def _score_batches(weights: np.ndarray, totals: np.ndarray, n: int, v: int, ends: int):
+def _score_batches(weights: np.ndarray, class_of: np.ndarray, totals: np.ndarray, n: int, v: int, ends: int, frequent: tuple[np.ndarray, np.ndarray]):
+    known_hashes, known_counts = frequent
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes, held, codes, hashes, classes = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "hashes", "classes"))
+                sizes, held, codes, hashes, endings = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "hashes", "endings"))
+                classes = class_of[endings]
                 found = batch.column("found")[i]
                 counts = np.zeros(len(hashes), np.int64)
+                if len(known_hashes):
+                    at = np.minimum(np.searchsorted(known_hashes, hashes), len(known_hashes) - 1)
+                    counts = np.where(known_hashes[at] == hashes, known_counts[at], 0)
                 if found.is_valid and len(found.values):
                     counts[found.values.field("pos").to_numpy()] = found.values.field("c").to_numpy()
                 x, y = history(codes, sizes, hashes, classes)
@@ -221,20 +287,43 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     """docs -> (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score); rows where held is true are not learned from."""
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    made = materialize(chunks(docs, held, id_col, text_col), "maxent-chunks")
+    made = materialize(chunks(docs, held, id_col, text_col), "maxent-chunks", "zstd")
     listed = made.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts").where("counts > 0")
-    counts = materialize(listed.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "maxent-counts")
-    by_class = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy(class_column("word").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    counts = materialize(listed.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "maxent-counts", "zstd")
+    class_of = ending_classes(made)
+    totals = np.ones(CLASSES + 1)
+    n = v = 0
+    for r in counts.groupBy(ending_column("word").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # a row an ending
+        totals[class_of[r["k"]]] += r["n"] + r["v"]
+        n, v = n + r["n"], v + r["v"]
     ends = made.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
-    n = sum(a for a, _ in by_class.values()) + ends
-    v = sum(b for _, b in by_class.values()) + (ends > 0)
-    totals = np.array([sum(by_class.get(k, (0, 0))) + 1 for k in range(CLASSES)] + [1.0], dtype=float)
-    weights = train(made)
-    places = made.select("chunk", F.posexplode("words").alias("pos", "word")).join(counts, "word")
+    n, v = n + ends, v + (ends > 0)
+    totals[CLASSES] = 1.0
+    weights = train(made, class_of)
+    common = frequent_words(counts)
+    table_ = common.toArrow()
+    hashes = np.fromiter((word_hash(w) for w in table_.column("word").to_pylist()), np.uint64, table_.num_rows).view(np.int64)
+    order = np.argsort(hashes)
+    frequent = (hashes[order], table_.column("c").to_numpy()[order])
+    # The common words have at most FREQUENT rows; the rest is joined.
+    places = made.select("chunk", F.posexplode("words").alias("pos", "word")).join(F.broadcast(common.select("word")), "word", "left_anti").join(counts, "word")
     found = places.groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))  # as long as a chunk's word list
     rows = made.drop("words", "counts").join(found, "chunk", "left")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(_score_batches(weights, totals, n, v, ends), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_score_batches(weights, class_of, totals, n, v, ends, frequent), schema).withColumnRenamed("id", id_col)
+
+
+def frequent_words(counts: DataFrame) -> DataFrame:
+    """The words whose count reaches the least power of two that at most FREQUENT words reach."""
+    power = F.floor(F.log2("c")).cast("int")
+    sizes = {r["p"]: r["n"] for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()}
+    least, total = 1 << 62, 0
+    for p in sorted(sizes, reverse=True):
+        total += sizes[p]
+        if total > FREQUENT:
+            break
+        least = 1 << p
+    return counts.where(F.col("c") >= least)
 
 
 def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     w = rng.standard_normal((3 * M.BUCKETS + 1, M.CLASSES + 1)).astype(np.float32)
     sizes = np.array([3, 0, 2])
-    x, y = M.history(np.array([0, 1, 2, 1, 0], np.int32), sizes, np.array([5, -6, 7], np.int32), np.array([1, 2, 3], np.int8))
+    x, y = M.history(np.array([0, 1, 2, 1, 0], np.int32), sizes, np.array([5, -6, 7], np.int64), np.array([1, 2, 3]))
     assert y.tolist() == [1, 2, 3, M.CLASSES, M.CLASSES, 2, 1, M.CLASSES]
     assert (x[0] == x[4]).all() and (x[4] == x[5]).all() and (x[1] != x[2]).any()
     assert np.allclose(np.exp(M.log_softmax(M.logits(w, x))).sum(axis=1), 1)
@@ -53,3 +53,17 @@ def test_no_training_rows_and_empty(spark):
     got = {r.doc_id: r for r in M.score(df, fold("doc_id", 1) == 0).collect()}
     assert got[1].base_score == 0 and got[1].n_known == 0 and got[2].n_tokens == 1 and got[1].train_tokens == 0
     assert M.score(df.limit(0), fold("doc_id", 7) == 2).count() == 0
+
+
+def test_classes_follow_neighbours():
+    rng = np.random.default_rng(1)
+    counts = np.zeros((M.ENDINGS, M.ENDINGS))
+    for lo, hi in ((0, 40), (40, 90), (90, 200)):
+        counts[lo:hi, lo:hi] = rng.poisson(5, (hi - lo, hi - lo))
+    classes = M.cluster(counts)
+    assert all(not set(classes[:40]) & set(classes[40:90]) and not set(x) & set(y) for x, y in ((classes[:90], classes[90:200]),))
+
+
+def test_rare_words_come_by_the_join(spark, monkeypatch):
+    monkeypatch.setattr(M, "FREQUENT", 1)
+    test_base_counts_match_brute_force_and_model_learns(spark)
