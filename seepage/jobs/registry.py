@@ -1,7 +1,7 @@
 """Registered queries and their SQL."""
 
-from seepage.jobs import evaluation, spatial
+from seepage.jobs import choices, evaluation, spatial
 
-QUERIES: dict = {**spatial.QUERIES, **evaluation.QUERIES}
-ORACLE_SQL: dict = {**spatial.ORACLE_SQL, **evaluation.ORACLE_SQL}
+QUERIES: dict = {**spatial.QUERIES, **evaluation.QUERIES, **choices.QUERIES}
+ORACLE_SQL: dict = {**spatial.ORACLE_SQL, **evaluation.ORACLE_SQL, **choices.ORACLE_SQL}
 FLAGSHIP = "o48_corrected"
