@@ -2,9 +2,8 @@
 
 Test items are cut into segments of at most STRIDE words and indexed. Every window of 2 * STRIDE words of
 every text, STRIDE apart, is a query, so each place where a segment may stand lies whole in a window. Segments
-lie in blocks of BLOCK; a window's sum of the blocks' largest impacts (for words that stand in most blocks:
-of the largest impact anywhere) bounds its scores there, and only blocks whose bound reaches the threshold
-are scored exactly. A segment is retrieved at THRESHOLD of the score that it gives itself. Retrieved items
+lie in blocks of BLOCK; the sum of its words' largest impacts in a block bounds a window's scores there, and only
+blocks whose bound reaches the threshold are scored exactly. A segment is retrieved at THRESHOLD of the score that it gives itself. Retrieved items
 are verified on the whole text: the shares of an item's words that lie in shared runs of
 SHINGLE words must reach OVERLAP over all and PART in question and answer each.
 
@@ -31,7 +30,7 @@ from seepage.llm.common import bound_batches, slices, table
 
 STRIDE = 32
 SHINGLE = 5
-BLOCK = 8
+BLOCK = 4
 THRESHOLD = 0.5
 OVERLAP = 0.8
 PART = 0.5
@@ -41,8 +40,12 @@ MEMO_WORDS = 200_000
 K1, B = 1.2, 0.75
 
 
+_OTHER = re.compile(r"[\W_]+")
+
+
 def normal(token: str) -> str:
-    return token if token.isalnum() else "".join(c for c in token if c.isalnum())
+    """Letters and digits of a token."""
+    return token if token.isalnum() else _OTHER.sub("", token)
 
 
 def words_of(text: str) -> list[str]:
@@ -97,11 +100,15 @@ class Index:
         self.top = np.maximum.reduceat(self.value, cuts) if len(cuts) else np.zeros(0)
         self.count = np.bincount(term[cuts], minlength=len(self.vocabulary) + 1)
         self.first = np.cumsum(self.count) - self.count
-        most = np.zeros(len(self.vocabulary) + 1)
-        np.maximum.at(most, term, self.value)
-        wide = self.count > max(4, self.blocks // 4)
-        self.common = np.where(wide, most, 0.0)
-        self.count = np.where(wide, 0, self.count)
+        # Words of many blocks have their largest impacts as rows of a matrix, the others as lists.
+        wide = np.flatnonzero(self.count > max(4, self.blocks // 4))
+        self.column = np.full(len(self.vocabulary) + 1, len(wide))
+        self.column[wide] = np.arange(len(wide))
+        self.common = np.zeros((len(wide) + 1, self.blocks), np.float32)
+        for k, t in enumerate(wide.tolist()):
+            a = self.first[t]
+            self.common[k, self.block[a : a + self.count[t]]] = self.top[a : a + self.count[t]]
+        self.count[wide] = 0
         self.shingles = [self._shingles(w) for w in self.words]
 
     @staticmethod
@@ -120,13 +127,15 @@ class Index:
         rows = max(1, 2_000_000 // max(self.blocks, 1))
         for start in range(0, len(windows), rows):
             w = windows[start : start + rows]
-            bound = np.repeat(self.common[w].sum(axis=1)[:, None], self.blocks, axis=1).ravel()
+            has = np.zeros((len(w), len(self.common)), np.float32)
+            has[np.arange(len(w))[:, None], self.column[w]] = 1
+            bound = (has @ self.common).astype(np.float64).ravel()
             at = np.flatnonzero(self.count[w].ravel())
             codes = w.ravel()[at]
             n = self.count[codes]
             cell = np.repeat(at // w.shape[1] * self.blocks, n) + expand(codes, self.count, self.first, self.block)
             bound += np.bincount(cell, weights=expand(codes, self.count, self.first, self.top), minlength=len(bound))
-            hit = np.flatnonzero(bound >= THRESHOLD - 1e-9)
+            hit = np.flatnonzero(bound >= THRESHOLD - 1e-5)
             p, s = hit // self.blocks, (hit % self.blocks)[:, None] * BLOCK + np.arange(BLOCK)
             for a in range(0, len(p), 4000):
                 key = w[p[a : a + 4000]][:, None, :] * self.segments + s[a : a + 4000, :, None]
@@ -169,9 +178,10 @@ def matcher(index: Index):
             tokens = [t.lower().split() if t else [] for t in texts[start:end]]
             if len(memo) > MEMO_WORDS:
                 memo.clear()
-            for w in {w for ts in tokens for w in ts}.difference(memo):
-                n = normal(w)
-                memo[w] = index.vocabulary.get(n, none) if n else -1
+            get = index.vocabulary.get
+            for w in set().union(*tokens).difference(memo):
+                n = w if w.isalnum() else _OTHER.sub("", w)
+                memo[w] = get(n, none) if n else -1
             codes = [codes_of(ts) for ts in tokens]
             sizes = np.array([-(-len(c) // STRIDE) * STRIDE + STRIDE if len(c) else 0 for c in codes])
             flat = np.full(int(sizes.sum()), none, np.int64)
