@@ -6,7 +6,7 @@ payloads of at least min_bytes, that of the smallest id is a response and the ot
 
 Reading: tasks cut the archives at every place that looks like the start of a record and emit, for each
 that has a readable header, the offset of the record that should follow. Pointer jumping from offset 0
-of each file (the set of reached records doubles with every step, and each step is written to the shared
+of each file (hops from split to split double with every step, and each step is written to the shared
 folder) keeps the records that the chain really visits; look-alikes inside payloads are never reached and
 are joined to the record that holds them. A chain that breaks ends the file there: what it cannot reach is not a record.
 
@@ -29,6 +29,8 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 #: Records of an archive file, at most.
 FILE_RECORDS = 4_000
+#: Splits whose entries go to every task; more are joined.
+BROADCAST_SPLITS = 200_000
 _FIELD = re.compile(r"^([!-9;-~]+):[ \t]*(.*)$")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -46,7 +48,7 @@ def plan_records(rows: DataFrame, id_col: str, payload_col: str, min_bytes: int
     full = rows.select(F.col(id_col).cast("long").alias("id"), payload.alias("payload"))
     full = full.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload").cast("binary"))})
     first = full.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
-    joined = full.join(first, ["digest", "bytes"], "left")
+    joined = full.join(first.hint("merge"), ["digest", "bytes"], "left")
     return joined.select("id", "payload", "bytes", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -87,11 +89,11 @@ def parse_header(text: bytes) -> tuple[dict[str, str], int] | None:
     return fields, end + len(END)
 
 
-PIECE = "file string, split long, at long, size long, head long, length long, fields map<string,string>, text binary"
+PLACE = "file string, split long, at long, size long, head long, length long"
 
 
 def _scan(batches):
-    """Cuts of a task's splits with their offsets from the first cut of their split."""
+    """Cuts of a task's splits with their offsets from the first cut of their split, without their text."""
     now, at = None, 0
     for batch in batches:
         rows = []
@@ -99,11 +101,55 @@ def _scan(batches):
             if (file, split) != now:
                 now, at = (file, split), 0
             found = parse_header(text)
-            fields, head = found or (None, None)
-            rows.append((file, split, at, len(text), head, int(fields["content-length"]) if found else None, list(fields.items()) if found else None, text))
+            rows.append((file, split, at, len(text), found[1] if found else None, int(found[0]["content-length"]) if found else None))
             at += len(text) + len(MAGIC)
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "split", "at", "size", "head", "length", "fields", "text"])
+        kinds = [pa.string(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "split", "at", "size", "head", "length"])
+
+
+RECORD = "file string, start long, next long, fields map<string,string>, head long, length long, text binary, whole boolean"
+
+
+def _records(batches):
+    """Records of a task's splits, from where the chain enters each. What begins or ends in another split goes out in parts."""
+    magic = MAGIC.encode()
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    names = ["file", "start", "next", "fields", "head", "length", "text", "whole"]
+    now, at, want, record = None, 0, None, None
+    out: list[tuple] = []
+
+    def close():
+        """The open record, whole or not."""
+        nonlocal record
+        if record:
+            start, nxt, fields, head, length, parts = record
+            text = magic.join(parts)
+            whole = len(text) >= head + length
+            out.append((now[0], start, nxt, list(fields.items()), head, length, text[head : head + length] if whole else text, whole))
+            record = None
+
+    for batch in batches:
+        for file, split, text, base, entry in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if (file, split) != now:
+                close()
+                now, at, want = (file, split), 0, entry
+            start = base + at - len(magic)
+            if record and start >= record[1]:
+                close()
+            if record:
+                record[5].append(text)
+            elif start == want:
+                fields, head = parse_header(text)
+                length = int(fields["content-length"])
+                want = start + len(magic) + head + length + len(END)
+                record = (start, want, fields, head, length, [text])
+            elif entry is None or start < entry:  # it ends a record of an earlier split, or is none
+                out.append((file, start, None, None, None, None, text, False))
+            at += len(text) + len(magic)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+        out.clear()
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
 
 def _exits(g: pd.DataFrame) -> pd.DataFrame:
@@ -115,19 +161,8 @@ def _exits(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": g["file"], "start": list(out), "next": list(out.values())})
 
 
-def _walk(g: pd.DataFrame) -> pd.DataFrame:
-    """The candidates of a split that the chain visits after it enters."""
-    at = dict(zip(g["start"].tolist(), g["next"].tolist()))
-    seen = []
-    for x in g.loc[g["entered"], "start"].tolist():
-        while x in at:
-            seen.append(x)
-            x = at[x]
-    return pd.DataFrame({"file": g["file"].iloc[0], "start": sorted(set(seen))})
-
-
-def reachable(candidates: DataFrame) -> DataFrame:
-    """candidates (file, split, start, next) -> (file, start) of those on the chain from each file's offset 0.
+def entries(candidates: DataFrame) -> DataFrame:
+    """candidates (file, split, start, next) -> (file, split, entry): where the chain from each file's offset 0 enters each split.
 
     Chains are first cut to one hop a split; then reached entries and hops double until nothing new is reached."""
     hops = materialize(candidates.groupBy("file", "split").applyInPandas(_exits, "file string, start long, next long"), "warc-hops")
@@ -141,41 +176,43 @@ def reachable(candidates: DataFrame) -> DataFrame:
             break
         far = jump.select("file", F.col("start").alias("from"), F.col("next").alias("start")).join(jump, ["file", "start"])
         jump = materialize(far.select("file", F.col("from").alias("start"), "next"), "warc-jumps")
-    entries = reached.withColumn("entered", F.lit(True))
-    marked = candidates.join(entries, ["file", "start"], "left").fillna(False, ["entered"])
-    return marked.groupBy("file", "split").applyInPandas(_walk, "file string, start long")
+    return candidates.select("file", "split", "start").join(reached, ["file", "start"]).groupBy("file", "split").agg(F.min("start").alias("entry"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Archives in a folder -> (file, start, fields, payload binary), a row for each record that the chains reach."""
+    """Archives in a folder -> (file, start, fields, payload binary), a row for each record that the chains reach.
+
+    The archives are scanned for offsets, for records inside splits and for parts of records that span splits; only those parts move. The table
+    of entries has a row for each split; up to BROADCAST_SPLITS it goes to every task, beyond that it is joined."""
     bound_batches(spark)
     cuts = spark.read.option("lineSep", MAGIC).text(path)
     cuts = cuts.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("text"))
-    pieces = materialize(cuts.mapInArrow(_scan, PIECE), "warc-pieces")
-    total = pieces.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("total"))
+    places = materialize(cuts.mapInArrow(_scan, PLACE), "warc-places")
+    total = places.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("total"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    bases = total.select("file", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    places = pieces.select("file", "split", "at", "head", "length").join(bases, ["file", "split"])
+    bases = materialize(total.select("file", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "warc-splits")
     start = F.col("base") + F.col("at") - len(MAGIC)
-    places = materialize(places.select("file", "split", "at", start.alias("start"), (start + len(MAGIC) + F.col("head") + F.col("length") + len(END)).alias("next")), "warc-places")
-    visited = reachable(places.where("next is not null and start >= 0").select("file", "split", "start", "next"))
-    visited = visited.withColumn("visited", F.lit(True))
+    found = places.where("head is not null").join(bases, ["file", "split"])
+    found = found.select("file", "split", start.alias("start"), (start + len(MAGIC) + F.col("head") + F.col("length") + len(END)).alias("next")).where("start >= 0")
+    splits = materialize(bases.join(entries(materialize(found, "warc-candidates")), ["file", "split"], "left"), "warc-entries")
+    if splits.count() <= BROADCAST_SPLITS:
+        entered = cuts.join(F.broadcast(splits), ["file", "split"])
+    else:
+        order = cuts.withColumn("row", F.monotonically_increasing_id()).join(splits, ["file", "split"])
+        entered = order.repartition("file", "split").sortWithinPartitions("file", "split", "row")
+    rows = entered.select("file", "split", "text", "base", "entry").mapInArrow(_records, RECORD)
+    whole = rows.where("whole").select("file", "start", "fields", F.col("text").alias("payload"))
     so_far = Window.partitionBy("file").orderBy("start")
-    owned = places.join(visited, ["file", "start"], "left").withColumn("mine", F.when(F.col("visited"), F.struct("start", "next")))
-    owned = owned.withColumn("owner", F.last("mine", ignorenulls=True).over(so_far)).where("owner is not null and start < owner.next")
-    owned = owned.select("file", "split", "at", "start", F.col("owner.start").alias("owner"))
-    owned = materialize(owned.withColumn("alone", F.count("*").over(Window.partitionBy("file", "owner")) == 1), "warc-owned")
-    joined = pieces.select("file", "split", "at", "head", "length", "fields", "text").join(owned, ["file", "split", "at"])
-    payload = F.expr("substring(text, int(head + 1), int(length))").alias("payload")
-    single = joined.where("alone").select("file", "start", "fields", payload)
-    # The pieces of one record: as long as that record.
-    parts = joined.where("not alone").groupBy("file", "owner").agg(
+    parts = rows.where("not whole").withColumn("mine", F.when(F.col("next").isNotNull(), F.struct("start", "next")))
+    parts = parts.withColumn("owner", F.last("mine", ignorenulls=True).over(so_far)).where("owner is not null and start < owner.next")
+    # The parts of one record: as long as that record.
+    joined = parts.groupBy("file", F.col("owner.start").alias("begin")).agg(
         F.sort_array(F.collect_list(F.struct("start", F.col("text").cast("string").alias("text")))).alias("parts"),
         F.min_by(F.struct("head", "length", "fields"), "start").alias("own"),
     )
-    whole = F.array_join(F.transform("parts", lambda p: p["text"]), MAGIC).cast("binary")
-    several = parts.select("file", F.col("owner").alias("start"), "own.fields", "own.head", "own.length", whole.alias("text"))
-    return single.union(several.select("file", "start", "fields", payload))
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), MAGIC).cast("binary")
+    spanning = joined.select("file", F.col("begin").alias("start"), "own.fields", "own.head", "own.length", text.alias("text"))
+    return whole.union(spanning.select("file", "start", "fields", F.expr("substring(text, int(head + 1), int(length))").alias("payload")))
 
 
 def page_of(field: str) -> Column:

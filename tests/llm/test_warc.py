@@ -32,8 +32,9 @@ def pages():
     return rows
 
 
-@pytest.mark.parametrize("split", ["20000b", "128m"])
-def test_round_trip_through_splits(spark, tmp_path, split):
+@pytest.mark.parametrize("split,most", [("20000b", 200_000), ("20000b", 0), ("128m", 200_000)])
+def test_round_trip_through_splits(spark, tmp_path, monkeypatch, split, most):
+    monkeypatch.setattr(W, "BROADCAST_SPLITS", most)
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
         rows = pages()
