@@ -3,8 +3,8 @@
 Equal vectors of a label form a class and count once with their number. Each class vector gets
 TABLES signatures of BITS hyperplane signs; vectors that share a bucket of any table are compared
 exactly, in double precision, in blocks: a bucket of more than BLOCK vectors is split into
-blocks and every pair of blocks is one task's group, so no group grows without bound and no pair is lost. A pair counts
-in the first table that holds it. A group sends one row a vector (its links and its local
+blocks and every pair of blocks is compared by itself, so no comparison grows without bound and no pair is lost. A pair counts
+in the first table that holds it. A comparison sends one row a vector (its links and its local
 component), never its pairs. With cosine 0.98 a pair is missed with probability below 4e-4.
 
 Vectors that are null, zero, or hold null or non-finite components, and vectors with a null label
@@ -15,7 +15,6 @@ are vectors of their own with that id. Extra columns are dropped.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,26 +61,61 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _compare(threshold: float):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rep", kind="stable")
-        t, bi, bj = int(g["t"].iloc[0]), int(g["bi"].iloc[0]), int(g["bj"].iloc[0])
-        x = np.array(g["v"].tolist(), dtype=float)
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
-        sigs, block, n = np.array(g["sigs"].tolist()), g["block"].to_numpy(), g["n"].to_numpy()
-        near = np.triu(x @ x.T >= threshold, 1)
-        if bi != bj:
-            near &= block[:, None] != block[None, :]
-        i, j = np.nonzero(near)
-        if t and len(i):
-            new = np.ones(len(i), bool)
-            for k in range(t):
-                new &= sigs[i, k] != sigs[j, k]
-            i, j = i[new], j[new]
-        links = np.bincount(i, weights=n[j], minlength=len(x)) + np.bincount(j, weights=n[i], minlength=len(x))
-        rep = g["rep"].to_numpy()
-        out = pd.DataFrame({"a": rep, "b": rep[local_roots(len(x), i, j)], "links": links.astype("int64")})
-        return out[out["links"] > 0]
+KEYS = ("label", "d", "t", "sig", "bi", "bj")
+
+
+def compare(rep: np.ndarray, n: np.ndarray, block: np.ndarray, x: np.ndarray, sigs: np.ndarray, t: int, apart: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, local roots, links) of a bucket's vectors, or of a pair of its blocks, that link with any."""
+    order = np.argsort(rep)
+    rep, n, block, x, sigs = rep[order], n[order], block[order], x[order], sigs[order]
+    x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    near = np.triu(x @ x.T >= threshold, 1)
+    if apart:
+        near &= block[:, None] != block[None, :]
+    i, j = np.nonzero(near)
+    if t and len(i):
+        new = (sigs[i, :t] != sigs[j, :t]).all(axis=1)
+        i, j = i[new], j[new]
+    if not len(i):
+        return rep[:0], rep[:0], n[:0]
+    links = np.bincount(i, weights=n[j], minlength=len(x)) + np.bincount(j, weights=n[i], minlength=len(x))
+    hit = links > 0
+    return rep[hit], rep[local_roots(len(x), i, j)][hit], links[hit].astype(np.int64)
+
+
+def _compare_sorted(threshold: float):
+    """Takes rows sorted by KEYS, so that a bucket or a pair of blocks is a run of rows; one run is held at a time."""
+
+    def run(batches):
+        held: pa.Table | None = None
+
+        def work(table_: pa.Table):
+            table_ = table_.combine_chunks()
+            keys = np.stack([table_.column(k).to_numpy() for k in KEYS])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), table_.num_rows]
+            rep, n, block = (table_.column(c).to_numpy() for c in ("rep", "n", "block"))
+            v, sigs = table_.column("v").combine_chunks(), table_.column("sigs").combine_chunks()
+            flat, at = v.flatten().to_numpy(), v.offsets.to_numpy() - v.offsets[0].as_py()
+            sigs = sigs.flatten().to_numpy().reshape(-1, TABLES)
+            found = []
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > 1:
+                    found.append(compare(rep[a:b], n[a:b], block[a:b], flat[at[a] : at[b]].reshape(b - a, -1), sigs[a:b], int(keys[2, a]), keys[4, a] != keys[5, a], threshold))
+            out = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), (), ()))]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "links"])
+
+        for batch in batches:
+            both = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not both.num_rows:
+                continue
+            keys = np.stack([both.column(k).to_numpy() for k in KEYS])
+            same = (keys == keys[:, -1:]).all(axis=0)
+            last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if last:
+                yield work(both.slice(0, last))
+            held = both.slice(last)
+        if held is not None and held.num_rows:
+            yield work(held)
 
     return run
 
@@ -102,7 +136,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     placed = buckets.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = placed.select("*", other).select("rep", "n", "v", "sigs", *bucket, "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    found = pairs.groupBy(*bucket, "bi", "bj").applyInPandas(_compare(threshold), "a long, b long, links long")
+    runs = pairs.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    found = runs.mapInArrow(_compare_sorted(threshold), "a long, b long, links long")
     found = materialize(found, "vector-links")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("a", "b")).withColumnRenamed("node", "rep")
