@@ -7,7 +7,7 @@ of small edit distance, not just of similar sets. Classes that share a sketch ar
 a pair is near if a banded alignment of its words matches at least SIMILARITY of the longer text.
 
 Candidates are verified in two rounds, so that a large group of copies costs a star and not all pairs:
-first each class against the smallest id of its bucket; then, in buckets whose members are not yet
+first each class against the smallest key of its bucket, of the key that it meets in most buckets; then, in buckets whose members are not yet
 in one component, all pairs of different components, in blocks of BLOCK, that a bound on common words
 does not rule out. A pair that both rounds leave out is either in one component already or can't be near.
 
@@ -221,7 +221,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     centres = buckets.groupBy("slot", "code").agg(F.min(F.struct("key", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").drop("size")
     shared = materialize(buckets.join(centres, ["slot", "code"]), "minhash-buckets")
     star = shared.where(f"key <> c.key and least(n, c.n) >= {SIMILARITY} * greatest(n, c.n)")
-    star = materialize(star.select(F.col("c.key").alias("a"), F.col("key").alias("b")).distinct(), "minhash-star")
+    star = star.groupBy(F.col("c.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("slots"))
+    star = star.groupBy("b").agg(F.max(F.struct("slots", "a")).alias("m")).select("m.a", "b")
+    star = materialize(star, "minhash-star")
     source = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
     texts = source.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = materialize(texts, "minhash-texts")
