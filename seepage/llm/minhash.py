@@ -3,13 +3,16 @@
 Texts that are equal form a class and count once. Of a class, every k-mer of SHINGLE lower-case words,
 labelled with its number of occurrence, gets a hash; each of SLOTS sketches keeps the SAMPLE
 smallest under its own hash and joins them in text order, so a sketch is likely to agree for texts
-of small edit distance, not just of similar sets. Classes that share a sketch are candidates;
+of small edit distance, not just of similar sets. Texts of at most SHORT words have SLOTS more sketches, of the one smallest
+k-mer each, since few of their k-mers outlast an edit. Classes that share a sketch are candidates;
 a pair is near if a banded alignment of its words matches at least SIMILARITY of the longer text.
 
 Candidates are verified in two rounds, so that a large group of copies costs a star and not all pairs:
 first each class against the smallest key of its bucket, of the key that it meets in most buckets; then, in buckets whose members are not yet
-in one component, all pairs of different components, in blocks of BLOCK, that a bound on common words
-does not rule out. A pair that both rounds leave out is either in one component already or can't be near.
+in one component, the pairs of different components, in blocks of BLOCK, that a bound on common words
+does not rule out; a pair found near joins its components there, so a block yields fewer edges than members. A candidate
+that both rounds leave out is either in one component already or can't be near. Of a pair at SIMILARITY, whose 2-word k-mers agree by
+about 0.47, a share of about 3e-4 meets in no sketch; the README has measured shares.
 
 Null texts are compared with nothing and stay. Empty texts equal each other. Texts of fewer than SHINGLE words have one
 k-mer. Classes are known by a digest of their text, so null and repeated ids do no harm: a group's id is the smallest known id
@@ -20,19 +23,21 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seepage.llm.common import bound_batches, materialize, slices, table
 from seepage.llm.components import connected_components
 
-SHINGLE = 5
-SLOTS = 24
+SHINGLE = 2
+SLOTS = 32
 SAMPLE = 2
+SHORT = 32
 SIMILARITY = 0.8
 BLOCK = 512
 #: Word counts hashed to so many bins bound the words that two texts have in common.
@@ -71,7 +76,7 @@ class Sketcher:
         return [self.hashes[np.fromiter(map(self.memo.__getitem__, ws), np.int64, len(ws))] for ws in words]
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word counts, sketches, bin counts) of texts."""
+        """(word counts, sketches, bin counts) of texts; the latter SLOTS sketches are those for short texts."""
         words = [words_of(t) for t in texts]
         n = np.array([len(w) for w in words], dtype=np.int64)
         pad = np.zeros(SHINGLE - 1, np.uint64)
@@ -97,7 +102,7 @@ class Sketcher:
             occurrence = np.empty(len(k), np.uint64)
             occurrence[order] = (np.arange(len(head)) - begin).astype(np.uint64)
             k = k + mix(occurrence + np.uint64(77)) * (occurrence > 0)
-        sketches = np.empty((len(n), SLOTS), np.int64)
+        sketches = np.empty((len(n), 2 * SLOTS), np.int64)
         for s in range(SLOTS):
             v = mix(k ^ SEEDS[s])
             low1, at1 = self._lowest(v, first, own)
@@ -107,6 +112,7 @@ class Sketcher:
             a, b = np.where(swap, low2, low1), np.where(swap, low1, low2)
             with np.errstate(over="ignore"):
                 sketches[:, s] = mix(a + ODD * (b ^ np.uint64(s))).view(np.int64)
+            sketches[:, SLOTS + s] = low1.view(np.int64)
         return n, sketches, bins
 
     @staticmethod
@@ -166,7 +172,10 @@ def _sketch_batches(batches):
             continue
         n, sketches, bins = (np.concatenate(x) for x in zip(*parts))
         lists = lambda m, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel(), kind))
-        columns = [batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), lists(sketches, pa.int64()), lists(bins, pa.int32())]
+        held = np.where(n <= SHORT, 2 * SLOTS, SLOTS)
+        flat = sketches[np.arange(2 * SLOTS) < held[:, None]]
+        own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held))), pa.int32()), pa.array(flat, pa.int64()))
+        columns = [batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), own, lists(bins, pa.int32())]
         yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", "sketch", "bins"])
 
 
@@ -188,26 +197,48 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verify_batches, "a binary, b binary")
 
 
-def _cross_pairs(g: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket's blocks whose components differ and that a bound on common words admits."""
+def _candidates(g: pd.DataFrame):
+    """(member, others) of a bucket's blocks: pairs of different components that a bound on common words admits."""
     slot, apart = int(g["slot"].iloc[0]), g["bi"].iloc[0] != g["bj"].iloc[0]
     comp = pd.factorize(g["comp"])[0]
-    n, key, block = (g[c].to_numpy() for c in ("n", "key", "block"))
+    if not comp.any():
+        return
+    n, block = g["n"].to_numpy(), g["block"].to_numpy()
+    bins, sketches = np.array(g["bins"].tolist()), np.array([x[:slot] for x in g["sketch"]])
+    for i in range(len(g) - 1):
+        other = slice(i + 1, None)
+        ok = (comp[other] != comp[i]) & (np.minimum(n[i], n[other]) >= SIMILARITY * np.maximum(n[i], n[other]))
+        if apart:
+            ok &= block[other] != block[i]
+        j = np.flatnonzero(ok) + i + 1
+        if len(j):
+            j = j[np.minimum(bins[j], bins[i]).sum(axis=1) >= SIMILARITY * np.maximum(n[i], n[j])]
+        if len(j) and slot:  # a pair counts in its first bucket
+            j = j[(sketches[j] != sketches[i]).all(axis=1)]
+        if len(j):
+            yield i, j
+
+
+def _cross_rows(g: pd.DataFrame) -> pd.DataFrame:
+    """The members that have a candidate: the texts of no others are sent to the buckets."""
+    used = np.zeros(len(g), bool)
+    for i, j in _candidates(g):
+        used[i] = True
+        used[j] = True
+    return g[used]
+
+
+def _cross_pairs(g: pd.DataFrame) -> pd.DataFrame:
+    """Near pairs that join components of a bucket's blocks."""
+    key, text, comp = g["key"].to_numpy(), g["text"].to_numpy(), pd.factorize(g["comp"])[0]
+    words = lru_cache(maxsize=BLOCK)(lambda x: words_of(text[x]))
     a_out, b_out = [], []
-    if comp.any():
-        bins, sketches = np.array(g["bins"].tolist()), np.array(g["sketch"].tolist())
-        for i in range(len(g) - 1):
-            other = slice(i + 1, None)
-            ok = (comp[other] != comp[i]) & (np.minimum(n[i], n[other]) >= SIMILARITY * np.maximum(n[i], n[other]))
-            if apart:
-                ok &= block[other] != block[i]
-            j = np.flatnonzero(ok) + i + 1
-            if len(j):
-                j = j[np.minimum(bins[j], bins[i]).sum(axis=1) >= SIMILARITY * np.maximum(n[i], n[j])]
-            if len(j) and slot:  # a pair counts in its first bucket
-                j = j[(sketches[j, :slot] != sketches[i, :slot]).all(axis=1)]
-            a_out += [min(key[i], key[x]) for x in j]
-            b_out += [max(key[i], key[x]) for x in j]
+    for i, js in _candidates(g):
+        for x in js:
+            if comp[x] != comp[i] and lcs_at_least(words(i), words(x)):
+                a_out.append(min(key[i], key[x]))
+                b_out.append(max(key[i], key[x]))
+                comp[comp == comp[x]] = comp[i]
     return pd.DataFrame({"a": pd.Series(a_out, dtype=object), "b": pd.Series(b_out, dtype=object)})
 
 
@@ -218,8 +249,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins"))
     classes = materialize(classes, "minhash-classes")
     buckets = classes.where("n > 0").select("key", "n", F.posexplode("sketch").alias("slot", "code"))
-    centres = buckets.groupBy("slot", "code").agg(F.min(F.struct("key", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").drop("size")
-    shared = materialize(buckets.join(centres, ["slot", "code"]), "minhash-buckets")
+    bucket = Window.partitionBy("slot", "code")
+    shared = buckets.withColumns({"c": F.min(F.struct("key", "n")).over(bucket), "size": F.count("*").over(bucket)}).where("size > 1").drop("size")
+    shared = materialize(shared, "minhash-buckets")
     star = shared.where(f"key <> c.key and least(n, c.n) >= {SIMILARITY} * greatest(n, c.n)")
     star = star.groupBy(F.col("c.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("slots"))
     star = star.groupBy("b").agg(F.max(F.struct("slots", "a")).alias("m")).select("m.a", "b")
@@ -232,15 +264,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     placed = classes.join(shared.select("key").distinct(), "key", "left_semi").join(roots, "key", "left")
     placed = materialize(placed.select("key", "n", "bins", "sketch", F.coalesce("root", "key").alias("comp")), "minhash-placed")
     spread = placed.select("key", "comp", F.posexplode("sketch").alias("slot", "code"))
-    mixed = spread.groupBy("slot", "code").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
-    mixed = mixed.select("slot", "code", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    wide = spread.join(mixed, ["slot", "code"]).select("key", "slot", "code", "blocks").join(placed, "key")
+    mixed = spread.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket), "size": F.count("*").over(bucket)}).where("low <> high")
+    wide = mixed.select("key", "slot", "code", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).join(placed, "key")
     wide = wide.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     wide = wide.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     wide = wide.select("key", "n", "bins", "sketch", "comp", "slot", "code", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    wide = materialize(wide.groupBy("slot", "code", "bi", "bj").applyInPandas(_cross_rows, wide.schema), "minhash-wide").join(texts, "key")
     rest = wide.groupBy("slot", "code", "bi", "bj").applyInPandas(_cross_pairs, "a binary, b binary")
-    rest = materialize(rest.distinct().join(star, ["a", "b"], "left_anti"), "minhash-rest")
-    near = near.union(materialize(verify(rest, texts), "minhash-near"))
+    near = near.union(materialize(rest, "minhash-near"))
     roots = connected_components(near).withColumnRenamed("node", "key")
     members = materialize(classes.select("key", "rep").join(roots, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root")), "minhash-members")
     named = members.groupBy("root").agg(F.min("rep").alias("class_id"))

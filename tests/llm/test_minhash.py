@@ -91,3 +91,29 @@ def test_repeated_null_ids_and_empty(spark):
     assert got == sorted([(1, 1), (1, 1), (1, 1), (None, 1), (None, None)], key=str)
     assert sorted(r.text for r in M.keep_one(df).collect()) == ["a b c d e f", "lone text with no id at all", "other words in this text here"]
     assert M.groups(df.limit(0)).count() == 0
+
+
+def test_pairs_at_the_threshold_meet(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(20_000)]
+    docs, pairs = [], 0
+    for n in (5, 10, 12, 20, 40, 80, 200):
+        for share in (0.8, 0.85, 0.9):
+            for _ in range(12):
+                a = rng.choices(words, k=n)
+                b = list(a)
+                for i in rng.sample(range(n), int(n - share * n + 1e-9)):
+                    b[i] = rng.choice(words)
+                docs += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
+                pairs += 1
+    got = {r.id: r.class_id for r in M.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [i for i in range(pairs) if got[2 * i + 1] != 2 * i] == []
+
+
+def test_a_bucket_yields_fewer_edges_than_members():
+    import pandas as pd
+
+    texts = [" ".join(f"w{x}" for x in range(40)) + f" end{i}" for i in range(30)]
+    n, sketches, bins = M.Sketcher()(texts)
+    g = pd.DataFrame({"key": [b"%02d" % i for i in range(30)], "comp": range(30), "text": texts, "n": n, "sketch": list(sketches), "bins": bins.tolist(), "slot": 0, "block": 0, "bi": 0, "bj": 0})
+    assert len(M._cross_pairs(g)) == 29
