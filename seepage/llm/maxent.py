@@ -17,6 +17,7 @@ ids pass through, a row for each row. Without training texts all counts are 0 an
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 
@@ -60,7 +61,7 @@ def ending_column(word: str) -> Column:
 
 
 def word_hash(word: bytes) -> int:
-    return zlib.crc32(word) | zlib.crc32(word, 0x5BD1E995) << 32
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def _chunk_batches(batches):

@@ -67,3 +67,7 @@ def test_classes_follow_neighbours():
 def test_rare_words_come_by_the_join(spark, monkeypatch):
     monkeypatch.setattr(M, "FREQUENT", 1)
     test_base_counts_match_brute_force_and_model_learns(spark)
+
+
+def test_word_hash_has_64_bits():
+    assert M.word_hash(b"hxcmqurip") != M.word_hash(b"oxexryexh")
