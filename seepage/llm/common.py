@@ -6,9 +6,12 @@ with Parquet tables written under the shared folder named by spark.checkpoint.di
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +21,12 @@ SLICE_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. In local mode, where all share the disk, one is made up if none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"file:///tmp/shared-{uuid.uuid4().hex}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -43,9 +47,26 @@ BATCH_BYTES = 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes; a lower bound stays."""
+    with contextlib.suppress(Exception):
+        if 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES:
+            return
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def frugal(run):
+    """run, for mapInArrow, and then its worker's memory back to the system: Spark keeps idle workers."""
+
+    def outer(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return outer
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

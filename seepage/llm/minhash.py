@@ -1,21 +1,23 @@
 """Near-duplicate texts by order MinHash and banded alignment.
 
 Texts that are equal form a class and count once. Of a class, every k-mer of SHINGLE lower-case words,
-labelled with its number of occurrence, gets a hash; each of SLOTS sketches keeps the SAMPLE
-smallest under its own hash and joins them in text order, so a sketch is likely to agree for texts
-of small edit distance, not just of similar sets. Texts of at most SHORT words have SLOTS more sketches, of the one smallest
-k-mer each, since few of their k-mers outlast an edit. Classes that share a sketch are candidates;
-a pair is near if a banded alignment of its words matches at least SIMILARITY of the longer text.
-
-Candidates are verified in two rounds, so that a large group of copies costs a star and not all pairs:
-first each class against the smallest key of its bucket, of the key that it meets in most buckets; then, in buckets whose members are not yet
-in one component, the pairs of different components, in blocks of BLOCK, that a bound on common words
-does not rule out; a pair found near joins its components there, so a block yields fewer edges than members. A candidate
-that both rounds leave out is either in one component already or can't be near. Of a pair at SIMILARITY, whose 2-word k-mers agree by
-about 0.47, a share of about 3e-4 meets in no sketch; the README has measured shares.
-
-Null texts are compared with nothing and stay. Empty texts equal each other. Texts of fewer than SHINGLE words have one
-k-mer. Classes are known by a digest of their text, so null and repeated ids do no harm: a group's id is the smallest known id
+labelled with its number of occurrence, gets a hash; the SKETCH_KMERS of smallest hash stand for the text, and each of SLOTS
+sketches keeps the SAMPLE smallest of them under its own hash and joins them in text order, so a sketch is likely to agree for texts
+of small edit distance, not just of similar sets. Of a text of SHORT words or fewer hardly a five-word k-mer outlasts an edit in
+each fifth word; such texts (and those up to 1 / SIMILARITY longer, which may be near to them) have SHORT_SLOTS sketches of k-mers of
+SHORT_SHINGLE words. Classes that share a sketch are candidates; a pair is near if a banded alignment of its words matches at least
+SIMILARITY of the longer text.
+
+Candidates are verified so that a large group of copies costs stars and not all pairs. In each of ROUNDS rounds, a class meets the
+centre of its buckets' centres that it meets most often; what is found near becomes one component. Then only buckets
+whose members are not yet in one component are left. There, the members outside the bucket's largest component are
+compared with all others of other components, in blocks of BLOCK, where a bound on common words does not rule a pair out; a pair
+found near joins its components at once, so that a block yields fewer edges than members. What is never compared is in one
+component already or shares no sketch. Pairs at SIMILARITY by random substitutions share a sketch with a probability of about 0.9, at 0.85 of
+0.99 (the README has measured shares).
+
+Null texts are compared with nothing and stay. Empty texts equal each other. Texts of fewer words than a k-mer have one
+k-mer. Classes are known by their smallest id and a digest of their text, so null and repeated ids do no harm: a group's id is the smallest known id
 (null if it has none). Repeated rows are copies. Extra columns are dropped by groups() and kept by keep_one().
 """
 
@@ -23,36 +25,45 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seepage.llm.common import bound_batches, materialize, slices, table
+from seepage.llm.common import bound_batches, frugal, materialize, slices, table
 from seepage.llm.components import connected_components
 
-SHINGLE = 2
-SLOTS = 32
+SHINGLE = 5
+SLOTS = 72
 SAMPLE = 2
-SHORT = 32
+#: K-mers of smallest hash that the slots draw from.
+SKETCH_KMERS = 96
+SHORT = 64
+SHORT_SHINGLE = 2
+SHORT_SLOTS = 32
 SIMILARITY = 0.8
+#: Rounds in which a class meets one centre.
+ROUNDS = 3
 BLOCK = 512
 #: Word counts hashed to so many bins bound the words that two texts have in common.
 BINS = 128
-MEMO_WORDS = 200_000
+MOST = 65_535
+MEMO_WORDS = 100_000
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 ODD = np.uint64(0x9E3779B97F4A7C15)
-SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SLOTS).astype(np.uint64)
+SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SLOTS + SHORT_SLOTS).astype(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = x * ODD
         x ^= x >> np.uint64(32)
-        x = x * np.uint64(0xD6E8FEB86659FD93)
+        x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(29)
     return x
 
@@ -75,58 +86,72 @@ class Sketcher:
         self.hashes = np.concatenate((self.hashes, own))
         return [self.hashes[np.fromiter(map(self.memo.__getitem__, ws), np.int64, len(ws))] for ws in words]
 
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word counts, sketches, bin counts) of texts; the latter SLOTS sketches are those for short texts."""
+    def __call__(self, texts: list) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(word counts, sketches of each text, bin counts) of texts."""
         words = [words_of(t) for t in texts]
         n = np.array([len(w) for w in words], dtype=np.int64)
-        pad = np.zeros(SHINGLE - 1, np.uint64)
-        codes = np.concatenate([x for c in self.codes(words) for x in (c, pad)])
-        starts = np.cumsum(n + SHINGLE - 1) - (n + SHINGLE - 1)
-        doc = np.repeat(np.arange(len(n)), n + SHINGLE - 1)
-        bins = np.bincount(doc[codes != 0] * BINS + (codes[codes != 0] >> np.uint64(57)).astype(np.int64), minlength=len(n) * BINS).reshape(-1, BINS)
-        with np.errstate(over="ignore"):
-            k = np.zeros(len(codes), np.uint64)
-            for j in range(SHINGLE):
-                k[: len(codes) - j] += mix(codes[j:] + SEEDS[j])
-        kmers = np.maximum(n - SHINGLE + 1, 1)
-        first = np.cumsum(kmers) - kmers
-        at = np.repeat(starts - first, kmers) + np.arange(int(kmers.sum()))
-        k = k[at]
+        codes = self.codes(words)
+        bins = np.stack([np.bincount((c >> np.uint64(57)).astype(np.int64), minlength=BINS) for c in codes])
+        sketches: list[list[np.ndarray]] = [[] for _ in texts]
+        for chosen, width, slots in ((n > SHORT, SHINGLE, range(SLOTS)), ((n > 0) & (n <= SHORT / SIMILARITY), SHORT_SHINGLE, range(SLOTS, SLOTS + SHORT_SLOTS))):
+            at = np.flatnonzero(chosen)
+            if len(at):
+                for i, s in zip(at.tolist(), self.family([codes[i] for i in at], width, slots)):
+                    sketches[i].append(s)
+        return n, [np.concatenate(s) if s else np.zeros(0, np.int64) for s in sketches], bins
+
+    @staticmethod
+    def family(codes: list[np.ndarray], width: int, slots: range) -> np.ndarray:
+        """(texts, slots) sketches of the k-mers of width words."""
+        n = np.array([len(c) for c in codes], np.int64)
+        pad = np.zeros(width - 1, np.uint64)
+        flat = np.concatenate([x for c in codes for x in (c, pad)])
+        starts = np.cumsum(n + width - 1) - (n + width - 1)
+        kmers = np.maximum(n - width + 1, 1)
         own = np.repeat(np.arange(len(n)), kmers)
-        labelled = mix(k ^ mix(own.astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(labelled, kind="stable")
-        ranked = labelled[order]
-        if (same := ranked[1:] == ranked[:-1]).any():  # number repeated k-mers of a text in text order
-            head = np.concatenate(([True], ~same))
-            begin = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-            occurrence = np.empty(len(k), np.uint64)
-            occurrence[order] = (np.arange(len(head)) - begin).astype(np.uint64)
-            k = k + mix(occurrence + np.uint64(77)) * (occurrence > 0)
-        sketches = np.empty((len(n), 2 * SLOTS), np.int64)
-        for s in range(SLOTS):
+        first = np.cumsum(kmers) - kmers
+        place = np.arange(len(own)) - first[own]
+        at = starts[own] + place
+        with np.errstate(over="ignore"):
+            k = np.zeros(len(at), np.uint64)
+            for j in range(width):
+                k += mix(flat[at + j] + SEEDS[j])
+        k = mix(k) >> np.uint64(24)
+        # Sorted by text, then hash, then place: repeats of a k-mer stand together and the smallest hashes first.
+        order = np.argsort((own.astype(np.uint64) << np.uint64(40)) | k, kind="stable")
+        k, place = k[order], place[order]
+        same = np.concatenate(([False], (k[1:] == k[:-1]) & (own[1:] == own[:-1])))
+        rank = np.arange(len(k))
+        occurrence = rank - np.maximum.accumulate(np.where(same, 0, rank))
+        kept = rank - first[own] < SKETCH_KMERS
+        k, place, own, occurrence = k[kept], place[kept], own[kept], occurrence[kept].astype(np.uint64)
+        k = mix(k ^ mix(occurrence + np.uint64(77)))
+        size = np.bincount(own, minlength=len(n))
+        first = np.cumsum(size) - size
+        out = np.empty((len(n), len(slots)), np.int64)
+        for i, s in enumerate(slots):
             v = mix(k ^ SEEDS[s])
-            low1, at1 = self._lowest(v, first, own)
+            low1, at1 = lowest(v, first, own)
             v[at1] = TOP
-            low2, at2 = self._lowest(v, first, own)
-            swap = at2 < at1
-            a, b = np.where(swap, low2, low1), np.where(swap, low1, low2)
+            low2, at2 = lowest(v, first, own)
+            swap = place[at2] < place[at1]
             with np.errstate(over="ignore"):
-                sketches[:, s] = mix(a + ODD * (b ^ np.uint64(s))).view(np.int64)
-            sketches[:, SLOTS + s] = low1.view(np.int64)
-        return n, sketches, bins
+                out[:, i] = mix(np.where(swap, low2, low1) + ODD * (np.where(swap, low1, low2) ^ np.uint64(s))).view(np.int64)
+        return out
 
-    @staticmethod
-    def _lowest(v: np.ndarray, first: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = np.minimum.reduceat(v, first)
-        hit = np.flatnonzero(v == low[own])
-        of, i = np.unique(own[hit], return_index=True)
-        return low, hit[i]
+
+def lowest(v: np.ndarray, first: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest value, its first place) of each run of v."""
+    low = np.minimum.reduceat(v, first)
+    hit = np.flatnonzero(v == low[own])
+    of = own[hit]
+    return low, hit[np.concatenate(([True], of[1:] != of[:-1]))]
 
 
 def lcs_at_least(a: list, b: list, share: float = SIMILARITY) -> bool:
     """Whether an alignment matches at least share of the longer sequence's words.
 
-    Bit-parallel rows over the band of diagonals that such an alignment can touch."""
+    Bit-parallel rows that hold only the band of diagonals that such an alignment can touch. Words in common, in any order, bound it."""
     if len(a) < len(b):
         a, b = b, a
     need = math.ceil(share * len(a) - 1e-9)
@@ -143,78 +168,105 @@ def lcs_at_least(a: list, b: list, share: float = SIMILARITY) -> bool:
     if need <= 0:
         return True
     a, b = a[i : len(a) - j], b[i : len(b) - j]
-    masks: dict = {}
+    if sum((Counter(a) & Counter(b)).values()) < need:
+        return False
+    places: dict = {}
     for x, w in enumerate(a):
-        masks[w] = masks.get(w, 0) | 1 << x
-    full = (1 << len(a)) - 1
-    rows, width = full, (1 << (over + under + 1)) - 1
+        places.setdefault(w, []).append(x)
+    masks = {w: sum(1 << x for x in p) for w, p in places.items() if 16 < len(p)}
+    width = (1 << (over + under + 1)) - 1  # row y holds the columns from y - under to y + over
+    rows, matched = width, 0
     for y, w in enumerate(b):
-        m = masks.get(w)
-        if m:
-            m &= width << (y - under) if y >= under else width >> (under - y)
-            u = rows & m
-            if u:
-                rows = ((rows + u) | (rows - u)) & full
-    return len(a) - rows.bit_count() >= need
+        if y:
+            matched += not rows & 1
+            rows = rows >> 1 | 1 << (over + under)
+        low = y - under
+        if w in masks:
+            m = (masks[w] >> low if low >= 0 else masks[w] << -low) & width
+        elif w in places:
+            p = places[w]
+            m = 0
+            for x in p[bisect_left(p, low) : bisect_left(p, y + over + 1)]:
+                m |= 1 << (x - low)
+        else:
+            continue
+        u = rows & m
+        if u:
+            rows = ((rows + u) | (rows - u)) & width
+    return matched + (over + under + 1 - rows.bit_count()) >= need
 
 
-def text_key(text_col: str = "text"):
+def text_key(text_col: str = "text") -> Column:
     """128 bits that stand for a text."""
     return F.unhex(F.md5(F.col(text_col).cast("binary")))
 
 
+_SIGN = -(1 << 63)
+
+
+def node_of(rep: str, key: str) -> Column:
+    """A class as bytes in the order of its smallest id (no id: last), then of its text's digest."""
+    head = F.when(F.col(rep).isNull(), F.lit("F" * 17)).otherwise(F.concat(F.lit("0"), F.lpad(F.hex(F.col(rep).bitwiseXOR(F.lit(_SIGN))), 16, "0")))
+    return F.concat(F.unhex(F.concat(F.lit("0"), head)), F.col(key))
+
+
+def rep_of(node: str) -> Column:
+    """The smallest id of the class; null if it has none."""
+    value = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", value)
+
+
 def _sketch_batches(batches):
     sketcher = Sketcher()
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        parts = [sketcher(texts[a:b]) for a, b in slices(texts, 1_500_000)]
-        if not parts:
-            continue
-        n, sketches, bins = (np.concatenate(x) for x in zip(*parts))
-        lists = lambda m, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel(), kind))
-        held = np.where(n <= SHORT, 2 * SLOTS, SLOTS)
-        flat = sketches[np.arange(2 * SLOTS) < held[:, None]]
-        own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held))), pa.int32()), pa.array(flat, pa.int64()))
-        columns = [batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), own, lists(bins, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", "sketch", "bins"])
+        for a, b in slices(texts, 1_000_000):
+            n, sketches, bins = sketcher(texts[a:b])
+            own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sketches]))), pa.int32()), pa.array(np.concatenate(sketches), pa.int64()))
+            held = np.minimum(bins, MOST).astype(np.uint16).tobytes()
+            packed = pa.array([held[i : i + 2 * BINS] for i in range(0, len(held), 2 * BINS)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(n, pa.int64()), own, packed], names=["node", "n", "sketch", "bins"])
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> (id long, key, n, sketch, bins), a row for each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_sketch_batches, "id long, key binary, n long, sketch array<long>, bins array<int>")
+def sketch(classes: DataFrame) -> DataFrame:
+    """(node, text) -> (node, n, sketch, bins)."""
+    return classes.select("node", "text").mapInArrow(frugal(_sketch_batches), "node binary, n long, sketch array<long>, bins binary")
 
 
 def _verify_batches(batches):
+    words = lru_cache(maxsize=64)(words_of)
     for batch in batches:
-        keep = [lcs_at_least(words_of(a), words_of(b)) for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
+        keep = [lcs_at_least(words(a), words(b)) for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        words.cache_clear()
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) of keys -> those that align; texts (key, text). AQE splits a key with many partners."""
-    joined = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
-    return joined.mapInArrow(_verify_batches, "a binary, b binary")
+    """pairs (a, b) of nodes -> those that align; texts (node, text). AQE splits a node with many partners."""
+    joined = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(frugal(_verify_batches), "a binary, b binary")
 
 
 def _candidates(g: pd.DataFrame):
-    """(member, others) of a bucket's blocks: pairs of different components that a bound on common words admits."""
-    slot, apart = int(g["slot"].iloc[0]), g["bi"].iloc[0] != g["bj"].iloc[0]
+    """(member, others) of a bucket's pair of blocks: pairs of different components that a bound on common words admits."""
+    code, apart = int(g["code"].iloc[0]), g["bi"].iloc[0] != g["bj"].iloc[0]
     comp = pd.factorize(g["comp"])[0]
     if not comp.any():
         return
     n, block = g["n"].to_numpy(), g["block"].to_numpy()
-    bins, sketches = np.array(g["bins"].tolist()), np.array([x[:slot] for x in g["sketch"]])
+    bins = np.frombuffer(b"".join(g["bins"]), np.uint16).reshape(-1, BINS)
+    sketches = g["sketch"].tolist()
     for i in range(len(g) - 1):
         other = slice(i + 1, None)
         ok = (comp[other] != comp[i]) & (np.minimum(n[i], n[other]) >= SIMILARITY * np.maximum(n[i], n[other]))
         if apart:
             ok &= block[other] != block[i]
         j = np.flatnonzero(ok) + i + 1
-        if len(j):
-            j = j[np.minimum(bins[j], bins[i]).sum(axis=1) >= SIMILARITY * np.maximum(n[i], n[j])]
-        if len(j) and slot:  # a pair counts in its first bucket
-            j = j[(sketches[j] != sketches[i]).all(axis=1)]
+        if len(j) and n[i] < MOST:
+            j = j[(np.minimum(bins[j], bins[i]).sum(axis=1, dtype=np.int64) >= SIMILARITY * np.maximum(n[i], n[j])) | (n[j] >= MOST)]
+        if len(j):  # a pair counts in the bucket of its first common sketch
+            own = set(sketches[i].tolist())
+            j = np.array([x for x in j.tolist() if next(c for c in sketches[x] if c in own) == code], np.int64)
         if len(j):
             yield i, j
 
@@ -229,60 +281,87 @@ def _cross_rows(g: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cross_pairs(g: pd.DataFrame) -> pd.DataFrame:
-    """Near pairs that join components of a bucket's blocks."""
-    key, text, comp = g["key"].to_numpy(), g["text"].to_numpy(), pd.factorize(g["comp"])[0]
+    """Near pairs that join components of a bucket's pair of blocks."""
+    node, text, comp = g["node"].to_numpy(), g["text"].to_numpy(), pd.factorize(g["comp"])[0]
     words = lru_cache(maxsize=BLOCK)(lambda x: words_of(text[x]))
     a_out, b_out = [], []
     for i, js in _candidates(g):
-        for x in js:
+        for x in js.tolist():
             if comp[x] != comp[i] and lcs_at_least(words(i), words(x)):
-                a_out.append(min(key[i], key[x]))
-                b_out.append(max(key[i], key[x]))
+                a_out.append(min(node[i], node[x]))
+                b_out.append(max(node[i], node[x]))
                 comp[comp == comp[x]] = comp[i]
     return pd.DataFrame({"a": pd.Series(a_out, dtype=object), "b": pd.Series(b_out, dtype=object)})
 
 
+def _joined(comps: DataFrame, near: DataFrame) -> DataFrame:
+    """comps (node, comp) after the near pairs (a, b) have joined components."""
+    ends = near.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+    roots = connected_components(ends.select("ca", "cb"), "ca", "cb").select(F.col("node").alias("comp"), "root")
+    return materialize(comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "minhash-comps")
+
+
+def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (code, node, n, comp) of the buckets whose members are in several components."""
+    bucket = Window.partitionBy("code")
+    placed = members.select("code", "node", "n").join(comps, "node").withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)})
+    return placed.where("low <> high").drop("low", "high")
+
+
+def _star(members: DataFrame, rank: int) -> DataFrame:
+    """(a, b): each class b with the centre a that it meets in most buckets; rank seeds the choice of centres."""
+    bucket = Window.partitionBy("code")
+    lead = F.xxhash64("node", F.lit(rank)) if rank else F.lit(0)
+    met = members.withColumn("c", F.min(F.struct(lead.alias("lead"), "node", "n", "comp")).over(bucket))
+    met = met.where(f"comp <> c.comp and least(n, c.n) >= {SIMILARITY} * greatest(n, c.n)")
+    met = met.groupBy(F.col("c.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("times"))
+    return met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select("m.a", "b")
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """mixed with (block, bi, bj): members outside a bucket's largest component meet all blocks, those inside only the blocks of the others."""
+    bucket = Window.partitionBy("code")
+    sized = mixed.withColumn("of_comp", F.count("*").over(Window.partitionBy("code", "comp")))
+    sized = sized.withColumn("main", F.max(F.struct("of_comp", "comp")).over(bucket)).withColumn("inside", F.col("comp") == F.col("main.comp"))
+    number = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c).over(bucket) / BLOCK).cast("int"))
+    sized = sized.withColumns({"outer": number(~F.col("inside")), "inner": number(F.col("inside"))})
+    at = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    sized = sized.withColumn("block", F.when(F.col("inside"), F.col("outer") + at("inner")).otherwise(at("outer")))
+    partners = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    wide = sized.withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1)))
+    return wide.select("code", "node", "n", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> (id long, key, root, class_id), a row for each row; class_id: the smallest id of the component that root names."""
+    """docs -> (id long, key, node, root, class_id), a row for each row; class_id: the smallest id of the component that root names."""
     bound_batches(docs.sparkSession)
-    rows = materialize(sketch(docs, id_col, text_col), "minhash-sketches")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins"))
-    classes = materialize(classes, "minhash-classes")
-    buckets = classes.where("n > 0").select("key", "n", F.posexplode("sketch").alias("slot", "code"))
-    bucket = Window.partitionBy("slot", "code")
-    shared = buckets.withColumns({"c": F.min(F.struct("key", "n")).over(bucket), "size": F.count("*").over(bucket)}).where("size > 1").drop("size")
-    shared = materialize(shared, "minhash-buckets")
-    star = shared.where(f"key <> c.key and least(n, c.n) >= {SIMILARITY} * greatest(n, c.n)")
-    star = star.groupBy(F.col("c.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("slots"))
-    star = star.groupBy("b").agg(F.max(F.struct("slots", "a")).alias("m")).select("m.a", "b")
-    star = materialize(star, "minhash-star")
-    source = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
-    texts = source.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "minhash-texts")
-    near = materialize(verify(star, texts), "minhash-near")
-    roots = connected_components(near).withColumnRenamed("node", "key")
-    placed = classes.join(shared.select("key").distinct(), "key", "left_semi").join(roots, "key", "left")
-    placed = materialize(placed.select("key", "n", "bins", "sketch", F.coalesce("root", "key").alias("comp")), "minhash-placed")
-    spread = placed.select("key", "comp", F.posexplode("sketch").alias("slot", "code"))
-    mixed = spread.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket), "size": F.count("*").over(bucket)}).where("low <> high")
-    wide = mixed.select("key", "slot", "code", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).join(placed, "key")
-    wide = wide.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    wide = wide.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    wide = wide.select("key", "n", "bins", "sketch", "comp", "slot", "code", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    wide = materialize(wide.groupBy("slot", "code", "bi", "bj").applyInPandas(_cross_rows, wide.schema), "minhash-wide").join(texts, "key")
-    rest = wide.groupBy("slot", "code", "bi", "bj").applyInPandas(_cross_pairs, "a binary, b binary")
-    near = near.union(materialize(rest, "minhash-near"))
-    roots = connected_components(near).withColumnRenamed("node", "key")
-    members = materialize(classes.select("key", "rep").join(roots, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root")), "minhash-members")
-    named = members.groupBy("root").agg(F.min("rep").alias("class_id"))
-    members = members.join(named, "root").select("key", "root", "class_id")
-    return rows.select("id", "key").join(members, "key", "left").select("id", "key", "root", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("text").alias("text"))
+    classes = materialize(classes.select(node_of("rep", "key").alias("node"), "key", "text"), "minhash-classes", "zstd")
+    sketches = materialize(sketch(classes), "minhash-sketches", "zstd")
+    buckets = sketches.where("n > 0").select("node", "n", F.explode("sketch").alias("code"))
+    shared = buckets.withColumn("size", F.count("*").over(Window.partitionBy("code"))).where("size > 1").drop("size")
+    members = materialize(shared, "minhash-buckets", "zstd")
+    comps = members.select("node").distinct().withColumn("comp", F.col("node"))
+    comps = materialize(comps, "minhash-comps")
+    texts = materialize(classes.join(comps.select("node"), "node", "left_semi").select("node", "text"), "minhash-texts", "zstd")
+    for rank in range(ROUNDS):
+        members = members.withColumn("comp", F.col("node")) if not rank else materialize(_mixed(members, comps), "minhash-mixed", "zstd")
+        near = materialize(verify(materialize(_star(members, rank), "minhash-star"), texts), "minhash-near")
+        comps = _joined(comps, near)
+    wide = _blocks(_mixed(members, comps)).join(sketches.select("node", "sketch", "bins"), "node")
+    wide = wide.select("code", "node", "n", "comp", "block", "bi", "bj", "sketch", "bins")
+    used = materialize(wide.groupBy("code", "bi", "bj").applyInPandas(_cross_rows, wide.schema), "minhash-wide", "zstd").join(texts, "node")
+    near = materialize(used.groupBy("code", "bi", "bj").applyInPandas(_cross_pairs, "a binary, b binary"), "minhash-near")
+    comps = _joined(comps, near)
+    named = classes.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("root"))
+    found = rows.select("id", "key").join(named, "key", "left")
+    return found.select("id", "key", "node", "root", F.when(F.col("key").isNull(), F.col("id")).otherwise(rep_of("root")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, of one text of each group: that of the smallest id (null ids last), once. Null texts stay."""
-    found = groups(docs, id_col, text_col).where("key is not null")
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("k")).select(F.col("k.key").alias("__key"), F.coalesce(F.col("k.id"), F.lit(0)).alias("__id"), F.col("k.none").alias("__none"))
+    kept = groups(docs, id_col, text_col).where("node = root and id <=> class_id").select(F.col("key").alias("__key"), F.coalesce("id", F.lit(0)).alias("__id"), F.col("id").isNull().alias("__none")).distinct()
     keyed = docs.withColumns({"__key": text_key(text_col), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__none": F.col(id_col).isNull()})
     one = keyed.where("__key is not null").join(kept, ["__key", "__id", "__none"]).dropDuplicates(["__key", "__id", "__none"])
     return one.select(docs.columns).union(docs.where(F.col(text_col).isNull()))

@@ -27,15 +27,33 @@ def test_banded_alignment_is_exact():
         assert M.lcs_at_least(a, b) == (lcs(a, b) >= 0.8 * max(len(a), len(b)))
 
 
+def test_alignment_of_long_texts():
+    rng = random.Random(5)
+    a = [f"w{rng.randint(0, 30_000)}" for _ in range(30_000)]
+    b = [w if rng.random() > 0.15 else "other" for w in a]
+    assert M.lcs_at_least(a, b) and not M.lcs_at_least(a, b, 0.9) and not M.lcs_at_least(a, b[::-1])
+
+
 def test_sketch_labels_repeats_and_keeps_order():
     s = M.Sketcher()
-    texts = ["a b c d e f g h i j k", "a b c d e f g h i j k", "", "x", None, "r " * 50, "r " * 51, "a a a a a a a"]
+    long = " ".join(f"w{i}" for i in range(90))
+    texts = [long, long, "", "x", None, "r " * 150, "r " * 151, "a b", " ".join(f"w{i}" for i in range(70))]
     n, sketches, bins = s(texts)
-    assert n.tolist() == [11, 11, 0, 1, 0, 50, 51, 7] and (sketches[0] == sketches[1]).all()
+    assert n.tolist() == [90, 90, 0, 1, 0, 150, 151, 2, 70] and (sketches[0] == sketches[1]).all()
+    assert [len(x) for x in sketches] == [72, 72, 0, 32, 0, 72, 72, 32, 104]
     assert (bins.sum(axis=1) == n).all()
-    assert (sketches[5] == sketches[6]).any() and not (sketches[5] == sketches[7]).all()
-    alone = M.Sketcher()(["r " * 51])[1]
+    assert (sketches[5] == sketches[6]).any()
+    alone = M.Sketcher()(["r " * 151])[1]
     assert (alone[0] == sketches[6]).all()
+    swapped = " ".join([*(f"w{i}" for i in range(45, 90)), *(f"w{i}" for i in range(45))])
+    assert (M.Sketcher()([swapped])[1][0] != sketches[0]).sum() > 20  # nearly the same k-mers, in another order
+
+
+def test_nodes_sort_by_id(spark):
+    rows = [(5, b"a" * 16), (-3, b"b" * 16), (None, b"c" * 16), (0, b"d" * 16), (2**63 - 1, b"e" * 16), (-(2**63), b"f" * 16)]
+    df = spark.createDataFrame(rows, "rep long, key binary").withColumn("node", M.node_of("rep", "key")).withColumn("back", M.rep_of("node"))
+    got = df.orderBy("node").collect()
+    assert [r.rep for r in got] == [r.back for r in got] == [-(2**63), -3, 0, 5, 2**63 - 1, None]
 
 
 def corpus():
@@ -93,27 +111,67 @@ def test_repeated_null_ids_and_empty(spark):
     assert M.groups(df.limit(0)).count() == 0
 
 
-def test_pairs_at_the_threshold_meet(spark):
+def share_that_meets(n, low, high, pairs, rng):
+    words = [f"w{i}" for i in range(20_000)]
+    sketcher, met = M.Sketcher(), 0
+    for _ in range(pairs):
+        a = rng.choices(words, k=n)
+        b = list(a)
+        for i in rng.sample(range(n), int(n - rng.uniform(low, high) * n + 1e-9)):
+            b[i] = rng.choice(words)
+        x, y = sketcher([" ".join(a), " ".join(b)])[1]
+        met += bool(set(x.tolist()) & set(y.tolist()))
+    return met / pairs
+
+
+def test_recall_near_the_limit():
     rng = random.Random(4)
+    for n in (5, 10, 20, 40, 64):
+        assert share_that_meets(n, 0.8, 0.85, 60, rng) >= 0.95, n
+    for n in (70, 90, 150, 400):
+        assert share_that_meets(n, 0.8, 0.85, 150, rng) >= 0.9, n
+        assert share_that_meets(n, 0.85, 0.9, 100, rng) >= 0.97, n
+
+
+def test_all_found_pairs_become_groups(spark):
+    rng = random.Random(6)
     words = [f"w{i}" for i in range(20_000)]
-    docs, pairs = [], 0
-    for n in (5, 10, 12, 20, 40, 80, 200):
-        for share in (0.8, 0.85, 0.9):
-            for _ in range(12):
-                a = rng.choices(words, k=n)
-                b = list(a)
-                for i in rng.sample(range(n), int(n - share * n + 1e-9)):
-                    b[i] = rng.choice(words)
-                docs += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
-                pairs += 1
+    docs = []
+    for k in range(60):
+        a = rng.choices(words, k=rng.choice([5, 10, 30, 60, 120, 300]))
+        b = list(a)
+        for i in rng.sample(range(len(a)), len(a) // 10):
+            b[i] = rng.choice(words)
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    docs.append((1000, " ".join(rng.choices(words, k=60_000))))
+    docs.append((1001, docs[-1][1] + " end"))
     got = {r.id: r.class_id for r in M.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert [i for i in range(pairs) if got[2 * i + 1] != 2 * i] == []
+    assert all(got[i] == i - i % 2 for i in got)
 
 
 def test_a_bucket_yields_fewer_edges_than_members():
     import pandas as pd
 
-    texts = [" ".join(f"w{x}" for x in range(40)) + f" end{i}" for i in range(30)]
+    texts = [" ".join(f"w{x}" for x in range(90)) + f" end{i}" for i in range(30)]
     n, sketches, bins = M.Sketcher()(texts)
-    g = pd.DataFrame({"key": [b"%02d" % i for i in range(30)], "comp": range(30), "text": texts, "n": n, "sketch": list(sketches), "bins": bins.tolist(), "slot": 0, "block": 0, "bi": 0, "bj": 0})
+    first = {}
+    for s in sketches:
+        for c in s.tolist():
+            first[c] = first.get(c, 0) + 1
+    code = next(c for c in sketches[0].tolist() if first[c] == 30)
+    sketches = [np.array([code]) for _ in texts]
+    held = [b.astype(np.uint16).tobytes() for b in bins]
+    g = pd.DataFrame({"node": [b"%02d" % i for i in range(30)], "comp": range(30), "text": texts, "n": n, "sketch": sketches, "bins": held, "code": code, "block": 0, "bi": 0, "bj": 0})
     assert len(M._cross_pairs(g)) == 29
+
+
+def test_leftovers_meet_every_block(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 4)
+    rows = [(1, b"%03d" % i, 10, b"main" if i < 30 else b"%03d" % i) for i in range(40)]
+    wide = M._blocks(spark.createDataFrame(rows, "code long, node binary, n long, comp binary"))
+    met = set()
+    for _, g in wide.toPandas().groupby(["bi", "bj"]):
+        at = list(zip(g["node"], g["comp"]))
+        met |= {(a, b) for a, x in at for b, y in at if x != y}
+    comp = {n: c for _, n, _, c in rows}
+    assert met == {(a, b) for a in comp for b in comp if comp[a] != comp[b]}
