@@ -7,7 +7,8 @@ each merge rewrites only the positions listed for its pair and the two
 neighbours of each, and new pairs enter the index as they appear. The encoded words
 then stand for every occurrence in the texts.
 
-Nulls encode as the empty text; empty texts give no ids. Texts of any length are
+round_trip() encodes, decodes and digests in one pass, so that a task runs one Python worker and the ids and bytes need not
+travel back. Nulls encode as the empty text; empty texts give no ids. Texts of any length are
 encoded whole. Rows that repeat are encoded alike. Ids are not unique keys here: no
 join is made, so null or repeated ids pass through. Extra columns are dropped.
 """
@@ -15,6 +16,7 @@ join is made, so null or repeated ids pass through. Extra columns are dropped.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from array import array
 
@@ -24,12 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import runs, table
+from seepage.llm.common import frugal, runs, table
 
-#: Pieces of text kept encoded in a task between batches; the memo is emptied when it is full.
-MEMO_PIECES = 150_000
+#: Pieces of text kept encoded in a task between batches, and bytes of their text; the memo is emptied when either is full.
+MEMO_PIECES = 100_000
+MEMO_BYTES = 4_000_000
 #: Texts are encoded in runs of about this many bytes.
-RUN_BYTES = 4_000_000
+RUN_BYTES = 2_000_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -183,68 +186,77 @@ class _Pieces(dict):
         return n
 
 
-def _encode_batches(pattern: str, ranks: dict[bytes, int]):
-    """A text without runs of white space is cut at its spaces: there, a space always begins the
-    next match of the pattern, so each distinct piece needs to be matched once only. Other texts are matched whole."""
+def _encoder(pattern: str, ranks: dict[bytes, int]):
+    """A function from a text column to runs of (first row, sizes, ids). A text without runs of white space is cut at its spaces:
+    there, a space always begins the next match of the pattern, so each distinct piece needs to be matched once only. Other texts are matched whole."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    replay = MergeReplay(ranks)
+    slots: list[str] = []
+
+    def reset():
+        slots[:] = [""]
+        return _Pieces(slots, ""), _Pieces(slots, " "), {}, np.zeros(1, np.int64), np.zeros(0, np.int32), 0
+
+    start, spaced, matched, size, flat, held = reset()
+
+    def run(column: pa.Array):
+        nonlocal start, spaced, matched, size, flat, held
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+        for begin, end in runs(lengths, RUN_BYTES):
+            if len(slots) > MEMO_PIECES or held > MEMO_BYTES:
+                start, spaced, matched, size, flat, held = reset()
+            done = len(size)
+            at: list[np.ndarray] = []
+            texts = column.slice(begin, end - begin).to_pylist()
+            for t in texts:
+                parts = (t or "").split(" ")
+                n = np.fromiter(map(spaced.__getitem__, parts), dtype=np.int32, count=len(parts))
+                n[0] = start[parts[0]]
+                if not n.all():
+                    parts = find(t or "")
+                    n = np.empty(len(parts), np.int32)
+                    for i, w in enumerate(parts):
+                        k = matched.get(w)
+                        if k is None:
+                            k = matched[w] = len(slots)
+                            slots.append(w)
+                        n[i] = k
+                at.append(n)
+            del texts
+            held += sum(map(len, slots[done:]))
+            words: dict[str, int] = {}
+            parts = array("i")  # words of the new pieces
+            lengths_of = np.zeros(len(slots) - done, np.int64)
+            for i, piece in enumerate(slots[done:]):
+                found = find(piece)
+                lengths_of[i] = len(found)
+                parts.extend([words.setdefault(w, len(words)) for w in found])
+            counts, word_ids = replay.encode([w.encode() for w in words])
+            del words
+            parts = np.frombuffer(parts, np.int32) if parts else np.zeros(0, np.int32)
+            of_piece = np.concatenate(([0], np.cumsum(counts[parts])))
+            ends = np.cumsum(lengths_of)
+            size = np.concatenate((size, of_piece[ends] - of_piece[ends - lengths_of]))
+            flat = np.concatenate((flat, expand(parts, counts, np.cumsum(counts) - counts, word_ids)))
+            first = np.cumsum(size) - size
+            values = [expand(n, size, first, flat) for n in at]
+            yield begin, [len(v) for v in values], np.concatenate(values) if values else np.zeros(0, np.int32)
+
+    return run
 
-    def run(batches):
-        import regex
 
-        find = regex.compile(pattern).findall
-        replay = MergeReplay(ranks)
-        slots: list[str] = []
+def _lists(sizes: list[int], ids: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32()), pa.array(ids, pa.int32()))
 
-        def reset():
-            slots[:] = [""]
-            return _Pieces(slots, ""), _Pieces(slots, " "), {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-        start, spaced, matched, size, flat = reset()
+def _encode_batches(pattern: str, ranks: dict[bytes, int]):
+    def run(batches):
+        encode = _encoder(pattern, ranks)
         for batch in batches:
-            column = batch.column(1)
-            values, sizes = [], []
-            lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-            for begin, end in runs(lengths, RUN_BYTES):
-                if len(slots) > MEMO_PIECES:
-                    start, spaced, matched, size, flat = reset()
-                done = len(size)
-                at: list[np.ndarray] = []
-                texts = column.slice(begin, end - begin).to_pylist()
-                for t in texts:
-                    parts = (t or "").split(" ")
-                    n = np.fromiter(map(spaced.__getitem__, parts), dtype=np.int32, count=len(parts))
-                    n[0] = start[parts[0]]
-                    if not n.all():
-                        parts = find(t or "")
-                        n = np.empty(len(parts), np.int32)
-                        for i, w in enumerate(parts):
-                            k = matched.get(w)
-                            if k is None:
-                                k = matched[w] = len(slots)
-                                slots.append(w)
-                            n[i] = k
-                    at.append(n)
-                del texts
-                words: dict[str, int] = {}
-                parts = array("i")  # words of the new pieces
-                lengths_of = np.zeros(len(slots) - done, np.int64)
-                for i, piece in enumerate(slots[done:]):
-                    found = find(piece)
-                    lengths_of[i] = len(found)
-                    parts.extend([words.setdefault(w, len(words)) for w in found])
-                counts, word_ids = replay.encode([w.encode() for w in words])
-                del words
-                parts = np.frombuffer(parts, np.int32) if parts else np.zeros(0, np.int32)
-                of_piece = np.concatenate(([0], np.cumsum(counts[parts])))
-                ends = np.cumsum(lengths_of)
-                size = np.concatenate((size, of_piece[ends] - of_piece[ends - lengths_of]))
-                flat = np.concatenate((flat, expand(parts, counts, np.cumsum(counts) - counts, word_ids)))
-                first = np.cumsum(size) - size
-                for n in at:
-                    values.append(expand(n, size, first, flat))
-                    sizes.append(len(values[-1]))
-            offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
+            for begin, sizes, ids in encode(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(sizes)), _lists(sizes, ids)], names=["id", "ids"])
 
     return run
 
@@ -255,7 +267,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     ranks = read_ranks(spark, vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_encode_batches(pattern, ranks), f"id {kind}, ids array<int>")
+    out = rows.mapInArrow(frugal(_encode_batches(pattern, ranks)), f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -277,25 +289,42 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     kind = encoded.schema[id_col].dataType.simpleString()
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
     rows = encoded.select(F.col(id_col).alias("id"), ids.alias("ids"))
-    out = rows.mapInArrow(_decode_batches(tokens), f"id {kind}, ids array<int>, decoded binary")
+    out = rows.mapInArrow(frugal(_decode_batches(tokens)), f"id {kind}, ids array<int>, decoded binary")
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """(id_col, ids, decoded) -> (id_col, n_tokens, ids_sha256, decoded_sha256), with ids if asked for."""
-    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        *(["ids"] if keep_ids else []),
-    )
+def _digest_batches(pattern: str, ranks: dict[bytes, int], keep_ids: bool):
+    def run(batches):
+        encode = _encoder(pattern, ranks)
+        most = max(ranks.values())
+        bytes_of: list[bytes] = [b""] * (most + 1)
+        for token, i in ranks.items():
+            bytes_of[i] = token
+        digits = [str(i) for i in range(most + 1)]
+        for batch in batches:
+            for begin, sizes, ids in encode(batch.column(1)):
+                said, decoded, at = [], [], 0
+                for n in sizes:
+                    own = ids[at : at + n].tolist()
+                    at += n
+                    said.append(hashlib.sha256(" ".join(map(digits.__getitem__, own)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(bytes_of.__getitem__, own))).hexdigest())
+                columns = [batch.column(0).slice(begin, len(sizes)), pa.array(sizes, pa.int64()), pa.array(said), pa.array(decoded), *([_lists(sizes, ids)] if keep_ids else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+    return run
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """docs -> (id_col, n_tokens, ids_sha256, decoded_sha256), with ids if asked for: each text encoded, and decoded from its ids again."""
+    ranks = read_ranks(docs.sparkSession, vocabulary)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return rows.mapInArrow(frugal(_digest_batches(pattern, ranks, keep_ids)), schema).withColumnRenamed("id", id_col)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    return digests(decode(ids, vocabulary))
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

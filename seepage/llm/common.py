@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,19 +55,37 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(run):
     """run, for mapInArrow, and then its worker's memory back to the system: Spark keeps idle workers."""
 
     def outer(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return outer
 
 
+def decided(docs: DataFrame, text_col: str, judge) -> DataFrame:
+    """The rows that judge keeps. judge() gives a function from texts to booleans, once a task; only the text column goes to Python."""
+
+    @F.arrow_udf("boolean")
+    def keeps(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = judge()
+        for part in texts:
+            yield pa.array(of(part.to_pylist()), pa.bool_())
+        of = None
+        give_back()
+
+    return docs.where(keeps(F.col(text_col)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seepage.llm.bpe import expand
-from seepage.llm.common import bound_batches, slices, table
+from seepage.llm.common import bound_batches, decided, frugal, slices, table
 
 STRIDE = 32
 SHINGLE = 5
@@ -36,7 +36,7 @@ OVERLAP = 0.8
 PART = 0.5
 #: Most items in one index, which goes to every task.
 SHARD = 20_000
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 K1, B = 1.2, 0.75
 
 
@@ -232,7 +232,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                 kinds = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=names)
 
-        return rows.mapInArrow(run, f"id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
+        return rows.mapInArrow(frugal(run), f"id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
 
     out = None
     for index in shards(items):
@@ -245,16 +245,15 @@ def reject(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFra
     """The rows, with all their columns, whose text holds no item."""
     bound_batches(docs.sparkSession)
 
-    def clean(index):
-        def run(batches):
+    def judge(index):
+        def start():
             of = matcher(index)
-            for batch in batches:
-                yield batch.filter(pa.array([not m for m in of(batch.column(text_col).to_pylist())], pa.bool_()))
+            return lambda texts: [not m for m in of(texts)]
 
-        return run
+        return start
 
     for index in shards(items):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+        docs = decided(docs, text_col, judge(index))
     return docs
 
 

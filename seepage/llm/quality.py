@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import slices, table
+from seepage.llm.common import decided, frugal, slices, table
 
 #: Most rated rows that fitting reads.
 MAX_TRAIN = 8_000
 BUCKETS = 1 << 14
 #: Distinct tokens kept hashed in a task between slices of text.
-MEMO_TOKENS = 200_000
+MEMO_TOKENS = 100_000
 SHAPE_SCALE = 8.0
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-z]+(?<=[A-ZÀ-ÖØ-Þ])|[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
@@ -216,18 +216,17 @@ def grade(docs: DataFrame, model: OrdinalModel | None, cut: int | None = None, i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=["id", "expected_grade", "p_tail"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, expected_grade double, p_tail double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), f"id {kind}, expected_grade double, p_tail double").withColumnRenamed("id", id_col)
 
 
 def select_good(docs: DataFrame, model: OrdinalModel | None, cut: int | None = None, at: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose tail probability is at least at."""
 
-    def run(batches):
+    def judge():
         of = _graded(model, cut)
-        for batch in batches:
-            yield batch.filter(pa.array([p >= at for p in of(batch.column(text_col).to_pylist())[1]], pa.bool_()))
+        return lambda texts: [p >= at for p in of(texts)[1]]
 
-    return docs.mapInArrow(run, docs.schema)
+    return decided(docs, text_col, judge)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
