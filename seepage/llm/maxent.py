@@ -1,15 +1,17 @@
 """Language model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). A word's ending (a hash of its last SUFFIX
+P(word | history) = P(class | history) * P(part | class, history) * P(word | part). A word's ending (a hash of its last SUFFIX
 bytes) gives its class, so every word has one, seen or not; the end of a text is a class of its own. Endings are put into
-classes by what stands beside them in the training texts. The softmax over classes has hashed features of the history: the word before, the word before that (skip), and both. Inside a class,
-words have their training counts plus one, and all unseen words of the class together count as one.
-
-Texts are cut into chunks of about CHUNK_BYTES. A chunk holds its texts as numbers of its own
-word list, so exact corpus counts come from one row for each chunk and word: they are summed by word,
-joined back to the chunks' lists, and never meet in one place. The weights (BUCKETS x CLASSES, a
+classes by what stands beside them in the training texts. The parts of a class are its NAMED commonest training words, each a part of its own, and
+PARTS - NAMED hash buckets of all others. Both softmaxes have hashed features of the history: the word before, the word before that (skip), and
+both; for the parts, together with the class. Inside a bucket part, words have their training counts plus one, and all unseen words of it
+together count as one.
+
+Texts are cut into chunks of about CHUNK_BYTES, known by a digest of what they hold. A chunk holds its texts as numbers of its own
+word list, so exact corpus counts come from one row for each chunk and word: they are summed by word and
+joined back to the chunks' lists. Chunks lie in a table bucketed by chunk, so that only the counts move. The weights (of a
 fixed size) are trained by rounds of distributed gradient updates: in each, tasks run sparse minibatch steps
-over their chunks of the round from the same weights, and the tasks' weights are averaged by row in proportion to use.
+over their chunks of the round from the same weights, and the tasks' weights are averaged by row in proportion to use, in a fixed order.
 
 Null texts are empty; an empty text is its end alone. Texts of any length are scored whole. Null and repeated
 ids pass through, a row for each row. Without training texts all counts are 0 and the weights stay 0. Extra columns are dropped.
@@ -20,21 +22,29 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import bound_batches, fold, materialize, runs, table
+from seepage.llm.common import bound_batches, fold, frugal, materialize, new_path, runs, table
 
 CHUNK_BYTES = 4_000_000
 SUFFIX = 3
 ENDINGS = 512  # hash buckets of word endings
 CLASSES = 16  # of endings; one more for the end of a text
+PARTS = 16  # of a class
+NAMED = 12
 BUCKETS_LOG2 = 12
 BUCKETS = 1 << BUCKETS_LOG2  # for each of the three kinds of feature
+PART_LOG2 = 13
+PART_BUCKETS = 1 << PART_LOG2  # the same, of features with a class
+#: Most buckets of the table of chunks.
+TABLE_BUCKETS = 50_000
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.1
@@ -60,6 +70,11 @@ def ending_column(word: str) -> Column:
     return F.pmod(F.crc32(F.substring(word, -SUFFIX, SUFFIX)), F.lit(ENDINGS)).cast("int")
 
 
+def bucket_part(word: bytes) -> int:
+    """The part of a word that has none of its own."""
+    return NAMED + zlib.crc32(word) % (PARTS - NAMED)
+
+
 def word_hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
@@ -71,7 +86,13 @@ def _chunk_batches(batches):
         ids = batch.column("id")
         for start, end in runs([len(t) if t is not None else 0 for t in texts.to_pylist()], CHUNK_BYTES):
             words = _Codes()
-            tokens = [(t or b"").translate(LOWER).split() for t in texts.slice(start, end - start).to_pylist()]
+            lowered = [(t or b"").translate(LOWER) for t in texts.slice(start, end - start).to_pylist()]
+            digest = hashlib.blake2b(repr(ids.slice(start, end - start).to_pylist()).encode(), digest_size=8)
+            for t in lowered:
+                digest.update(b"%d:" % len(t))
+                digest.update(t)
+            tokens = [t.split() for t in lowered]
+            del lowered
             sizes = np.array([len(t) for t in tokens], np.int64)
             codes = np.fromiter((c for t in tokens for c in map(words.__getitem__, t)), np.int32, int(sizes.sum()))
             del tokens
@@ -81,7 +102,7 @@ def _chunk_batches(batches):
             endings = np.fromiter(map(ending, words), np.int16, len(words))
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
             columns = [
-                pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                pa.array([int.from_bytes(digest.digest(), "little") >> 1], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), ids.slice(start, end - start)),
                 one(held[start:end], pa.bool_()), one(sizes, pa.int32()), one(codes, pa.int32()), one(list(words), pa.binary()),
                 one(counts, pa.int32()), one(hashes, pa.int64()), one(endings, pa.int16()),
@@ -90,10 +111,19 @@ def _chunk_batches(batches):
 
 
 def chunks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks with equal keys hold the same rows."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("binary").alias("text"))
     schema = f"chunk long, ids array<{kind}>, held array<boolean>, sizes array<int>, codes array<int>, words array<binary>, counts array<int>, hashes array<long>, endings array<smallint>"
-    return rows.mapInArrow(_chunk_batches, schema)
+    return rows.mapInArrow(frugal(_chunk_batches), schema)
+
+
+def bucketed(made: DataFrame, buckets: int) -> DataFrame:
+    """The chunks in a table whose files are dealt by chunk: a later join by chunk reads them where they lie. A task's file for a bucket holds whole chunks, so there are at most as many files as chunks."""
+    spark = made.sparkSession
+    name = f"maxent_chunks_{uuid.uuid4().hex}"
+    made.write.format("parquet").option("path", new_path(spark, "maxent-chunks")).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
+    return spark.table(name)
 
 
 def _numpy(value) -> np.ndarray:
@@ -149,8 +179,44 @@ def cluster(counts: np.ndarray) -> np.ndarray:
     return classes
 
 
-def history(codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature rows of each token, 3 columns; class of each token), ends counted as tokens."""
+@dataclass
+class Classes:
+    """The class of each ending, and the words that are parts of their own: sorted hashes, words and parts."""
+
+    of_ending: np.ndarray
+    hashes: np.ndarray
+    words: pa.Array
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, of_ending: np.ndarray, common: list[tuple[bytes, int]]) -> Classes:
+        """common: (word, count); those of equal hash don't come both."""
+        by_class: dict[int, list] = {}
+        for word, c in common:
+            by_class.setdefault(int(of_ending[ending(word)]), []).append((-c, word))
+        named = sorted((word_hash(w), w, part) for own in by_class.values() for part, (_, w) in enumerate(sorted(own)[:NAMED]))
+        order = np.argsort(np.array([h for h, _, _ in named], np.uint64).view(np.int64)) if named else []
+        named = [named[i] for i in order]
+        return cls(of_ending, np.array([h for h, _, _ in named], np.uint64).view(np.int64), pa.array([w for _, w, _ in named], pa.binary()), np.array([p for _, _, p in named], np.int64))
+
+    def __call__(self, words: pa.Array, hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, part) of each word of a chunk's list."""
+        parts = np.fromiter((bucket_part(w) for w in words.to_pylist()), np.int64, len(words))
+        at, same = look_up(self.hashes, self.words, hashes, words)
+        parts[same] = self.parts[at[same]]
+        return self.of_ending[endings], parts
+
+
+def look_up(known_hashes: np.ndarray, known: pa.Array, hashes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(places in known, whether the word is there): found by hash, compared in full."""
+    if not len(known_hashes) or not len(words):
+        return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    at = np.minimum(np.searchsorted(known_hashes, hashes), len(known_hashes) - 1)
+    return at, pc.equal(known.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+
+
+def history(codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature rows of each token, 3 columns; class of each token; feature rows of its part, 3 columns and its class's; part), ends counted as tokens."""
     n = len(codes) + len(sizes)
     ends = np.cumsum(sizes + 1) - 1
     word = np.ones(n, bool)
@@ -159,21 +225,31 @@ def history(codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: n
     h[word] = (hashes.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[codes]
     y = np.full(n, CLASSES, np.int64)
     y[word] = classes[codes]
+    z = np.zeros(n, np.int64)
+    z[word] = parts[codes]
     one = np.concatenate(([_START], h[:-1]))
     one[ends[:-1] + 1] = _START
     two = np.concatenate(([_START], one[:-1]))
     two[ends[:-1] + 1] = _START
     with np.errstate(over="ignore"):
-        x1 = (one * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS_LOG2)
-        x2 = (two * np.uint32(2246822519)) >> np.uint32(32 - BUCKETS_LOG2)
-        x3 = ((one * np.uint32(3266489917)) ^ (two * np.uint32(668265263))) * np.uint32(374761393) >> np.uint32(32 - BUCKETS_LOG2)
-    return np.stack((x1, x2 + np.uint32(BUCKETS), x3 + np.uint32(2 * BUCKETS)), axis=1).astype(np.int64), y
+        both = (one * np.uint32(3266489917)) ^ (two * np.uint32(668265263))
+        mixed = (one * np.uint32(2654435761), two * np.uint32(2246822519), both * np.uint32(374761393))
+        x = np.stack([(m >> np.uint32(32 - BUCKETS_LOG2)) + np.uint32(k * BUCKETS) for k, m in enumerate(mixed)], axis=1).astype(np.int64)
+        own = (y.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+        of_part = [(((m ^ own) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - PART_LOG2)) + np.uint32(k * PART_BUCKETS) for k, m in enumerate(mixed)]
+    u = np.stack([*of_part, 3 * PART_BUCKETS + y.astype(np.uint32)], axis=1).astype(np.int64)
+    return x, y, u, z
+
+
+def empty_weights() -> list[np.ndarray]:
+    """Of the classes, with a bias row at the end, and of the parts, with a bias row for each class."""
+    return [np.zeros((3 * BUCKETS + 1, CLASSES + 1), np.float32), np.zeros((3 * PART_BUCKETS + CLASSES + 1, PARTS), np.float32)]
 
 
 def logits(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    out = weights[-1] + weights[x[:, 0]]
-    out += weights[x[:, 1]]
-    out += weights[x[:, 2]]
+    out = weights[x[:, 0]]
+    for k in range(1, x.shape[1]):
+        out += weights[x[:, k]]
     return out
 
 
@@ -185,7 +261,10 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
 
 def step(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
     """One sparse AdaGrad step on a minibatch, in place."""
-    g = np.exp(log_softmax(logits(weights, x)))
+    z = logits(weights, x)
+    z -= z.max(axis=1, keepdims=True)
+    g = np.exp(z, out=z)
+    g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(y)), y] -= 1
     for k in range(x.shape[1]):
         order = np.argsort(x[:, k].astype(np.uint16), kind="stable")  # 16 bits sort by radix
@@ -196,84 +275,104 @@ def step(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, x: np.ndarr
         squares[rows] += (total * total).mean(axis=1)
         weights[rows] -= RATE * total / np.sqrt(squares[rows] + DAMP)[:, None]
         uses[rows] += np.diff(np.concatenate((first, [len(order)])))
-    total = g.sum(axis=0)
-    squares[-1] += (total * total).mean()
-    weights[-1] -= RATE * total / np.sqrt(squares[-1] + DAMP)
-    uses[-1] += len(y)
 
 
-def _train_batches(weights: np.ndarray, class_of: np.ndarray):
+def with_bias(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((x, np.full((len(x), 1), 3 * BUCKETS)), axis=1)
+
+
+def _train_batches(weights: list[np.ndarray], classes: Classes):
     def run(batches):
-        w, squares, uses = weights.copy(), np.zeros(len(weights), np.float32), np.zeros(len(weights), np.float32)
+        w = [m.copy() for m in weights]
+        squares = [np.zeros(len(m), np.float32) for m in w]
+        uses = [np.zeros(len(m), np.float32) for m in w]
+        source = None
         for batch in batches:
             for i in range(batch.num_rows):
+                source = source if source is not None else batch.column("chunk")[i].as_py()
                 sizes, held, codes, hashes, endings = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "hashes", "endings"))
-                classes = class_of[endings]
+                of_word, part = classes(batch.column("words")[i].values, hashes, endings)
                 keep = np.repeat(~held, sizes)
-                x, y = history(codes[keep], sizes[~held], hashes, classes)
+                x, y, u, z = history(codes[keep], sizes[~held], hashes, of_word, part)
+                x = with_bias(x)
                 for a in range(0, len(y), BATCH):
-                    step(w, squares, uses, x[a : a + BATCH], y[a : a + BATCH])
-        at = np.flatnonzero(uses)
-        for a in range(0, len(at), 4096):
-            part = at[a : a + 4096]
-            values = (w[part] - weights[part]) * uses[part][:, None]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * w.shape[1]), pa.array(values.ravel(), pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(part // 1024, pa.int32()), pa.array(part, pa.int32()), pa.array(uses[part], pa.float32()), lists], names=["block", "row", "uses", "moved"])
+                    step(w[0], squares[0], uses[0], x[a : a + BATCH], y[a : a + BATCH])
+                    word = np.flatnonzero(y[a : a + BATCH] < CLASSES) + a
+                    if len(word):
+                        step(w[1], squares[1], uses[1], u[word], z[word])
+        for k in range(2):
+            at = np.flatnonzero(uses[k])
+            for a in range(0, len(at), 4096):
+                rows = at[a : a + 4096]
+                values = (w[k][rows] - weights[k][rows]) * uses[k][rows][:, None]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel(), pa.float32()))
+                columns = [pa.array(np.full(len(rows), source), pa.int64()), pa.array(k * 1024 + rows // 1024, pa.int32()), pa.array(rows, pa.int32()), pa.array(uses[k][rows], pa.float32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["source", "block", "row", "uses", "moved"])
 
     return run
 
 
 def _average(g: pd.DataFrame) -> pd.DataFrame:
-    """The mean change of each row of a block, by use."""
-    row = g["row"].to_numpy()
-    rows, at = np.unique(row, return_inverse=True)
-    total = np.zeros((len(rows), CLASSES + 1))
-    np.add.at(total, at, np.array(g["moved"].tolist(), dtype=float))
-    uses = np.bincount(at, weights=g["uses"].to_numpy(dtype=float))
-    return pd.DataFrame({"row": rows, "moved": (total / uses[:, None]).astype(np.float32).tolist()})
-
-
-def train(table_: DataFrame, class_of: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after a pass over all training texts, cut in rounds; the last row is the bias."""
-    weights = np.zeros((3 * BUCKETS + 1, CLASSES + 1), np.float32)
-    rows = table_.select("chunk", "sizes", "held", "codes", "hashes", "endings")
+    """The mean change of each row of a block, by use; summed in order of the tasks' first chunks, so that the sum is always the same."""
+    g = g.sort_values(["row", "source"], kind="stable")
+    rows, first = np.unique(g["row"].to_numpy(), return_index=True)
+    total = np.add.reduceat(np.array(g["moved"].tolist(), dtype=float), first, axis=0)
+    uses = np.add.reduceat(g["uses"].to_numpy(dtype=float), first)
+    return pd.DataFrame({"block": int(g["block"].iloc[0]), "row": rows, "moved": (total / uses[:, None]).astype(np.float32).tolist()})
+
+
+def train(table_: DataFrame, classes: Classes, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights after a pass over all training texts, cut in rounds."""
+    weights = empty_weights()
+    rows = table_.select("chunk", "sizes", "held", "codes", "words", "hashes", "endings")
     for k in range(rounds):
-        part = rows.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == k).drop("chunk")
-        moved = part.mapInArrow(_train_batches(weights, class_of), "block int, row int, uses float, moved array<float>")
+        part = rows.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == k)
+        moved = part.mapInArrow(frugal(_train_batches(weights, classes)), "source long, block int, row int, uses float, moved array<float>")
         # As many rows as there are weights, of a fixed size.
-        found = moved.groupBy("block").applyInPandas(_average, "row int, moved array<float>").toArrow()
+        found = moved.groupBy("block").applyInPandas(_average, "block int, row int, moved array<float>").toArrow()
         if found.num_rows:
+            block, row = (found.column(c).to_numpy() for c in ("block", "row"))
             change = found.column("moved").combine_chunks()
-            weights[found.column("row").to_numpy()] += change.values.to_numpy().reshape(-1, CLASSES + 1)
+            flat, at = change.values.to_numpy(), change.offsets.to_numpy()
+            for m in range(2):
+                own = np.flatnonzero(block // 1024 == m)
+                width = weights[m].shape[1]
+                weights[m][row[own]] += flat[at[own][:, None] + np.arange(width)]
     return weights
 
 
-def _score_batches(weights: np.ndarray, class_of: np.ndarray, totals: np.ndarray, n: int, v: int, ends: int, frequent: tuple[np.ndarray, np.ndarray]):
-    known_hashes, known_counts = frequent
+def _score_batches(weights: list[np.ndarray], classes: Classes, totals: np.ndarray, n: int, v: int, ends: int, frequent: tuple[np.ndarray, pa.Array, np.ndarray]):
+    """totals: (CLASSES + 1) x PARTS, what the counts inside a part are divided by; 0 for a part that is one word."""
+    known_hashes, known_words, known_counts = frequent
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 sizes, held, codes, hashes, endings = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "hashes", "endings"))
-                classes = class_of[endings]
+                words = batch.column("words")[i].values
+                of_word, part = classes(words, hashes, endings)
                 found = batch.column("found")[i]
+                at, same = look_up(known_hashes, known_words, hashes, words)
                 counts = np.zeros(len(hashes), np.int64)
-                if len(known_hashes):
-                    at = np.minimum(np.searchsorted(known_hashes, hashes), len(known_hashes) - 1)
-                    counts = np.where(known_hashes[at] == hashes, known_counts[at], 0)
+                counts[same] = known_counts[at[same]]
                 if found.is_valid and len(found.values):
                     counts[found.values.field("pos").to_numpy()] = found.values.field("c").to_numpy()
-                x, y = history(codes, sizes, hashes, classes)
+                x, y, u, z = history(codes, sizes, hashes, of_word, part)
+                x = with_bias(x)
                 at = np.cumsum(sizes + 1) - 1
                 c = np.full(len(y), ends, np.int64)
                 word = np.ones(len(y), bool)
                 word[at] = False
                 c[word] = counts[codes]
-                inside = np.log10((c + 1) / totals[y])
-                inside[at] = 0.0
+                inside = np.zeros(len(y))
+                shared = totals[y, z] > 0
+                inside[shared] = np.log10((c[shared] + 1) / totals[y[shared], z[shared]])
                 for a in range(0, len(y), BATCH):
-                    z = log_softmax(logits(weights, x[a : a + BATCH]).astype(np.float64))
-                    inside[a : a + BATCH] += z[np.arange(len(z)), y[a : a + BATCH]] / np.log(10)
+                    b = min(a + BATCH, len(y))
+                    inside[a:b] += log_softmax(logits(weights[0], x[a:b]).astype(np.float64))[np.arange(b - a), y[a:b]] / np.log(10)
+                    own = np.flatnonzero(word[a:b]) + a
+                    if len(own):
+                        inside[own] += log_softmax(logits(weights[1], u[own]).astype(np.float64))[np.arange(len(own)), z[own]] / np.log(10)
                 first = at - sizes
                 size = (sizes + 1).astype(np.int64)
                 base = np.add.reduceat(np.log10(c + 1.0), first) - size * np.log10(n + 1.0 * (v + 1))
@@ -284,34 +383,52 @@ def _score_batches(weights: np.ndarray, class_of: np.ndarray, totals: np.ndarray
     return run
 
 
+def part_totals(classes: Classes, sums: list, common: dict[bytes, int]) -> np.ndarray:
+    """Counts plus one of all words of each part, plus one for what is unseen; sums: (ending, bucket part, count, words)."""
+    totals = np.zeros((CLASSES + 1, PARTS))
+    totals[:CLASSES, NAMED:] = 1.0
+    for e, part, c, words in sums:
+        totals[classes.of_ending[e], part] += c + words
+    for w in classes.words.to_pylist():  # these are parts of their own
+        totals[classes.of_ending[ending(w)], bucket_part(w)] -= common[w] + 1
+    return totals
+
+
 def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score); rows where held is true are not learned from."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    made = materialize(chunks(docs, held, id_col, text_col), "maxent-chunks", "zstd")
+    fresh = chunks(docs, held, id_col, text_col)
+    made = bucketed(fresh, max(1, min(TABLE_BUCKETS, fresh.rdd.getNumPartitions())))
     listed = made.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts").where("counts > 0")
     counts = materialize(listed.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "maxent-counts", "zstd")
-    class_of = ending_classes(made)
-    totals = np.ones(CLASSES + 1)
-    n = v = 0
-    for r in counts.groupBy(ending_column("word").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # a row an ending
-        totals[class_of[r["k"]]] += r["n"] + r["v"]
-        n, v = n + r["n"], v + r["v"]
+    spare = (F.lit(NAMED) + F.pmod(F.crc32("word"), F.lit(PARTS - NAMED))).cast("int")
+    sums = [tuple(r) for r in counts.groupBy(ending_column("word").alias("k"), spare.alias("part")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()]  # rows by ending and part
     ends = made.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
-    n, v = n + ends, v + (ends > 0)
-    totals[CLASSES] = 1.0
-    weights = train(made, class_of)
-    common = frequent_words(counts)
-    table_ = common.toArrow()
-    hashes = np.fromiter((word_hash(w) for w in table_.column("word").to_pylist()), np.uint64, table_.num_rows).view(np.int64)
-    order = np.argsort(hashes)
-    frequent = (hashes[order], table_.column("c").to_numpy()[order])
-    # The common words have at most FREQUENT rows; the rest is joined.
-    places = made.select("chunk", F.posexplode("words").alias("pos", "word")).join(F.broadcast(common.select("word")), "word", "left_anti").join(counts, "word")
+    n, v = sum(r[2] for r in sums) + ends, sum(r[3] for r in sums) + (ends > 0)
+    common = common_words(frequent_words(counts).toArrow())
+    classes = Classes.of(ending_classes(made), list(zip(common.column("word").to_pylist(), common.column("c").to_pylist())))
+    totals = part_totals(classes, sums, dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist())))
+    weights = train(made, classes)
+    hashes = np.fromiter((word_hash(w) for w in common.column("word").to_pylist()), np.uint64, common.num_rows).view(np.int64)
+    frequent = (hashes, common.column("word").combine_chunks(), common.column("c").to_numpy())
+    # The common words have at most FREQUENT rows; the rest is joined, and what is found moves to the buckets of its chunk.
+    rare = counts.join(F.broadcast(spark.createDataFrame(common.select(["word"]))), "word", "left_anti") if common.num_rows else counts
+    places = made.select("chunk", F.posexplode("words").alias("pos", "word")).join(rare, "word")
     found = places.groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))  # as long as a chunk's word list
-    rows = made.drop("words", "counts").join(found, "chunk", "left")
+    rows = made.drop("counts").join(found.hint("shuffle_hash"), "chunk", "left")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(_score_batches(weights, class_of, totals, n, v, ends, frequent), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(_score_batches(weights, classes, totals, n, v, ends, frequent)), schema).withColumnRenamed("id", id_col)
+
+
+def common_words(found: pa.Table) -> pa.Table:
+    """(word, c) in order of the word's hash, signed; of words with one hash only the first, so that a look-up by hash can't miss."""
+    words, c = found.column("word").to_pylist(), found.column("c").to_pylist()
+    signed = lambda w: word_hash(w) - (1 << 64) * (word_hash(w) >> 63)
+    rows = sorted((signed(w), w, k) for w, k in zip(words, c))
+    kept = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]
+    return pa.table({"word": pa.array([w for _, w, _ in kept], pa.binary()), "c": pa.array([k for _, _, k in kept], pa.int64())})
 
 
 def frequent_words(counts: DataFrame) -> DataFrame:

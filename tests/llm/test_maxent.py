@@ -38,14 +38,59 @@ def test_base_counts_match_brute_force_and_model_learns(spark):
     assert all(r.score <= 0 and np.isfinite(r.score) for r in got)
 
 
-def test_class_probabilities_sum_to_one():
+def test_probabilities_of_all_words_sum_to_one():
     rng = np.random.default_rng(0)
-    w = rng.standard_normal((3 * M.BUCKETS + 1, M.CLASSES + 1)).astype(np.float32)
-    sizes = np.array([3, 0, 2])
-    x, y = M.history(np.array([0, 1, 2, 1, 0], np.int32), sizes, np.array([5, -6, 7], np.int64), np.array([1, 2, 3]))
-    assert y.tolist() == [1, 2, 3, M.CLASSES, M.CLASSES, 2, 1, M.CLASSES]
-    assert (x[0] == x[4]).all() and (x[4] == x[5]).all() and (x[1] != x[2]).any()
-    assert np.allclose(np.exp(M.log_softmax(M.logits(w, x))).sum(axis=1), 1)
+    weights = [rng.standard_normal(m.shape).astype(np.float32) for m in M.empty_weights()]
+    vocabulary = [f"w{i}{'abc'[i % 3]}".encode() for i in range(900)]
+    counts = {w: int(c) for w, c in zip(vocabulary, rng.integers(1, 50, len(vocabulary)))}
+    classes = M.Classes.of(np.arange(M.ENDINGS) % M.CLASSES, sorted(counts.items(), key=lambda x: -x[1])[:700])
+    sums = Counter()
+    for w, c in counts.items():
+        sums[M.ending(w), M.bucket_part(w), "n"] += c
+        sums[M.ending(w), M.bucket_part(w), "v"] += 1
+    totals = M.part_totals(classes, [(e, p, sums[e, p, "n"], sums[e, p, "v"]) for e, p, k in list(sums) if k == "n"], counts)
+    hashes = np.array([M.word_hash(w) for w in vocabulary], np.uint64).view(np.int64)
+    endings = np.array([M.ending(w) for w in vocabulary])
+    of_word, part = classes(M.pa.array(vocabulary, M.pa.binary()), hashes, endings)
+    assert len(set(zip(of_word[part < M.NAMED].tolist(), part[part < M.NAMED].tolist()))) == (part < M.NAMED).sum()
+    codes = np.array([c for w in range(len(vocabulary)) for c in (7, 11, w)], np.int32)  # the same two words before each
+    x, y, u, z = M.history(codes, np.full(len(vocabulary), 3), hashes, of_word, part)
+    third = np.arange(len(vocabulary)) * 4 + 2
+    p_class = np.exp(M.log_softmax(M.logits(weights[0], M.with_bias(x)[third])))
+    p_part = np.exp(M.log_softmax(M.logits(weights[1], u[third])))
+    rows = np.arange(len(third))
+    own = p_class[rows, y[third]] * p_part[rows, z[third]]
+    inside = np.array([1.0 if p < M.NAMED else (counts[w] + 1) / totals[c, p] for w, c, p in zip(vocabulary, of_word, part)])
+    known = (own * inside).sum()
+    # What no word has: the end, unseen words of each bucket part, and named parts without a word.
+    rest = p_class[0, M.CLASSES]
+    taken = set(zip(of_word.tolist(), part.tolist()))
+    for c in range(M.CLASSES):
+        first = np.flatnonzero(of_word == c)[0]
+        for p in range(M.PARTS):
+            rest += p_class[0, c] * p_part[first, p] * (1 / totals[c, p] if p >= M.NAMED else float((c, p) not in taken))
+    assert abs(known + rest - 1) < 1e-5
+    assert y[third + 1].tolist() == [M.CLASSES] * len(third) and (x[0] == x[4]).all() and (x[1] != x[2]).any()
+
+
+def test_words_of_one_crc_stay_apart(spark):
+    df = spark.createDataFrame([(i, "plumless plumless") for i in range(7) if zlib.crc32(str(i).encode()) % 7 != 2][:1] + [(1000 + i, "buckeroo") for i in range(100) if zlib.crc32(str(1000 + i).encode()) % 7 == 2][:1], "doc_id long, text string")
+    got = {r.held_out: r for r in M.score(df, fold("doc_id", 7) == 2).collect()}
+    assert got[True].n_known == 1 and got[True].train_tokens == 3 and abs(got[True].base_score - (math.log10(1 / 6) + math.log10(2 / 6))) < 1e-9
+    assert got[False].n_known == 3
+
+
+def test_scores_repeat(spark):
+    df = spark.createDataFrame([*rows(), *rows()[:5]], "doc_id long, text string").repartition(4, "doc_id")
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.base_score, r.score)
+    a, b = (sorted(map(key, M.score(df, fold("doc_id", 7) == 2).collect())) for _ in range(2))
+    assert a == b
+
+
+def test_common_words_of_one_hash(monkeypatch):
+    monkeypatch.setattr(M, "word_hash", lambda w: 5 if w in (b"a", b"b") else 1 << 63)
+    found = M.common_words(M.pa.table({"word": M.pa.array([b"b", b"a", b"c"], M.pa.binary()), "c": [1, 2, 3]}))
+    assert found.to_pydict() == {"word": [b"c", b"a"], "c": [3, 2]}
 
 
 def test_no_training_rows_and_empty(spark):
