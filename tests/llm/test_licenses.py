@@ -20,10 +20,20 @@ def test_units_and_spellings(spark):
     assert L.scan(df.limit(0)).count() == 0
 
 
+def test_licences_between_paragraphs(spark):
+    rows = [(1, "Some prose.\n\n" + L.MIT + "\n\nMore prose."), (2, "Prose\n\n" + L.BSD3.upper() + "\n\n" + L.BSD3), (3, L.BSD2), (4, "a\n\n" + L.MIT.split("\n\n")[0] + "\n\nb"), (5, "our text\n\nits second part"), (6, "x\n\nOur Text!\n\nits second part\n\ny"), (7, L.UNLICENSE), (8, "p\n\n" * 3000 + L.ISC)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license_id, r.scope): r.n for r in L.scan(df, more=[("own", "our text\n\nits second part")]).collect()}
+    assert got[1, "MIT", "run"] == 1 and (1, "MIT", "text") not in got
+    assert got[2, "BSD-3-Clause", "run"] == 2 and not [k for k in got if k[0] == 4 and k[2] != "paragraph"]
+    assert got[3, "BSD-2-Clause", "text"] == got[3, "BSD-2-Clause", "run"] == 1
+    assert got[5, "own", "text"] == got[6, "own", "run"] == 1 and got[7, "Unlicense", "text"] == 1 and got[8, "ISC", "run"] == 1
+
+
 def test_sql_agrees(spark):
     import duckdb
 
-    rows = [(1, "Copyright 2020\n" + L.ZLIB), (2, "a\n \nLicensed under the ISC Licence.\n\nb"), (3, L.APACHE_NOTICE.replace("\n", "\n\n")), (4, "SPDX-License-Identifier:   MIT")]
+    rows = [(1, "Copyright 2020\n" + L.ZLIB), (2, "a\n \nLicensed under the ISC Licence.\n\nb"), (3, L.APACHE_NOTICE.replace("\n", "\n\n")), (4, "SPDX-License-Identifier:   MIT"), (5, "prose\n\n" + L.BSD2 + "\n\nend"), (5, "prose\n\n" + L.BSD2), (6, None), (7, L.WTFPL)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     documents = df.toPandas()  # noqa: F841  (read by DuckDB)
     want = duckdb.sql(L.OP6_SQL).fetchall()
