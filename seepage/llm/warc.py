@@ -1,7 +1,8 @@
 """WARC archives: written from rows, read back by boundary-chain verification.
 
 Writing: records are lines of Spark's text writer whose line separator is the empty line that ends a
-record, so archives are plain files of any store Spark writes to. Of records with equal
+record, so archives are plain files of any store Spark writes to. Records have the mandatory fields (type, id, date, length), and
+the target URI where a column has it. Of records with equal
 payloads of at least min_bytes, that of the smallest id is a response and the others revisit it.
 
 Reading: tasks cut the archives at every place that looks like the start of a record and emit, for each
@@ -9,6 +10,7 @@ that has a readable header, the offset of the record that should follow. Pointer
 of each file (hops from split to split double with every step, and each step is written to the shared
 folder) keeps the records that the chain really visits; look-alikes inside payloads are never reached and
 are joined to the record that holds them. A chain that breaks ends the file there: what it cannot reach is not a record.
+Headers may be of any length and their fields folded over lines; of a repeated field the last counts.
 
 Null payloads are empty. Rows with equal ids stay apart: those that repeat the smallest id of a group are
 all responses; a null id sorts last and writes no refers-to target. Extra columns are not archived.
@@ -17,13 +19,14 @@ all responses; a null id sorts last and writes no refers-to target. Extra column
 from __future__ import annotations
 
 import re
+from datetime import UTC, datetime
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seepage.llm.common import bound_batches, materialize, new_path, table
+from seepage.llm.common import bound_batches, frugal, materialize, new_path, table
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -42,23 +45,26 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _ALPHABET)
 
 
-def plan_records(rows: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """rows -> (id, payload, bytes, digest, refers_to): which records revisit which response."""
+def plan_records(rows: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0, uri_col: str | None = None) -> DataFrame:
+    """rows -> (id, uri, payload, bytes, digest, refers_to): which records revisit which response."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    full = rows.select(F.col(id_col).cast("long").alias("id"), payload.alias("payload"))
+    uri = F.col(uri_col) if uri_col else F.lit(None)
+    full = rows.select(F.col(id_col).cast("long").alias("id"), uri.cast("string").alias("uri"), payload.alias("payload"))
     full = full.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload").cast("binary"))})
     first = full.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
     joined = full.join(first.hint("merge"), ["digest", "bytes"], "left")
-    return joined.select("id", "payload", "bytes", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    return joined.select("id", "uri", "payload", "bytes", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def record_text(r: str = "response") -> Column:
+def record_text(date: str, r: str = "response") -> Column:
     """A record, without the empty line that ends it."""
     revisit = F.col("refers_to").isNotNull()
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit(r))),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(">")),
+        F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.when(F.trim("uri") != "", F.trim("uri")), r"\s+", "%20")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -67,23 +73,29 @@ def record_text(r: str = "response") -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
 
 
-def write(rows: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> None:
-    """Archive files of at most FILE_RECORDS records in the folder path."""
-    records = plan_records(rows, id_col, payload_col, min_bytes).select(record_text().alias("value"))
+def write(rows: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0, uri_col: str | None = None, date: str | None = None) -> None:
+    """Archive files of at most FILE_RECORDS records in the folder path; date: that of all records, as in 2024-01-31T00:00:00Z, now if not given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    records = plan_records(rows, id_col, payload_col, min_bytes, uri_col).select(record_text(date).alias("value"))
     records.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse_header(text: bytes) -> tuple[dict[str, str], int] | None:
     """(fields in lower case, bytes of the header with its empty line) of what follows MAGIC; None if unreadable."""
-    end = text.find(END.encode(), 0, 65_536)
+    end = text.find(END.encode())
     if end < 0:
         return None
-    fields = {}
+    fields: dict[str, str] = {}
+    name = None
     for line in text[:end].decode("utf-8", "replace").split("\r\n"):
+        if name and line[:1] in (" ", "\t"):  # the field before goes on
+            fields[name] = f"{fields[name]} {line.strip()}".strip()
+            continue
         m = _FIELD.match(line)
         if not m:
             return None
-        fields[m[1].lower()] = m[2].strip()
+        name = m[1].lower()
+        fields[name] = m[2].strip()
     if not re.fullmatch(r"[0-9]{1,18}", fields.get("content-length", "")) or "warc-type" not in fields:
         return None
     return fields, end + len(END)
@@ -187,7 +199,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     bound_batches(spark)
     cuts = spark.read.option("lineSep", MAGIC).text(path)
     cuts = cuts.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("text"))
-    places = materialize(cuts.mapInArrow(_scan, PLACE), "warc-places")
+    places = materialize(cuts.mapInArrow(frugal(_scan), PLACE), "warc-places")
     total = places.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("total"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(total.select("file", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "warc-splits")
@@ -200,7 +212,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     else:
         order = cuts.withColumn("row", F.monotonically_increasing_id()).join(splits, ["file", "split"])
         entered = order.repartition("file", "split").sortWithinPartitions("file", "split", "row")
-    rows = entered.select("file", "split", "text", "base", "entry").mapInArrow(_records, RECORD)
+    rows = entered.select("file", "split", "text", "base", "entry").mapInArrow(frugal(_records), RECORD)
     whole = rows.where("whole").select("file", "start", "fields", F.col("text").alias("payload"))
     so_far = Window.partitionBy("file").orderBy("start")
     parts = rows.where("not whole").withColumn("mine", F.when(F.col("next").isNotNull(), F.struct("start", "next")))
@@ -221,7 +233,7 @@ def page_of(field: str) -> Column:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    write(table(spark, sf_dir, "pages"), path)
+    write(table(spark, sf_dir, "pages"), path, uri_col="url")
     records = read(spark, path).select(
         page_of("warc-record-id").alias("page_id"),
         F.col("fields")["warc-type"].alias("record_type"),

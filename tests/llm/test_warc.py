@@ -51,7 +51,7 @@ def test_round_trip_through_splits(spark, tmp_path, monkeypatch, split, most):
 
 def test_query(spark, tmp_path):
     rows = [*pages(), (None, "no id"), (3, "again")]
-    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, f"http://a/{i} x\r\nWARC-Type: revisit" if i else None, h) for i, h in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = W.op9_warc(spark, str(tmp_path)).collect()
     assert len(got) == len(rows)
     first = {}
@@ -73,3 +73,25 @@ def test_least_bytes_broken_chain_and_empty(spark, tmp_path):
     assert [(r.start, bytes(r.payload)) for r in W.read(spark, f"{tmp_path}/b").collect()] == [(0, b"hi")]
     W.write(df.limit(0), f"{tmp_path}/c")
     assert W.read(spark, f"{tmp_path}/c").count() == 0
+
+
+def test_long_and_folded_headers(spark, tmp_path):
+    long = "X-Note: " + "n" * 200_000 + "\r\n"
+    one = lambda i, more: f"WARC/1.1\r\nWARC-Type: response\r\n{more}WARC-Record-ID: <urn:page:{i}>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "part-0").write_bytes((one(1, long) + one(2, "X-Folded: a\r\n b\r\n\tc\r\n") + one(3, "")).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000b")
+    try:
+        got = W.read(spark, f"{tmp_path}/d").orderBy("start").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.fields["warc-record-id"] for r in got] == [f"<urn:page:{i}>" for i in (1, 2, 3)]
+    assert got[1].fields["x-folded"] == "a b c" and len(got[0].fields["x-note"]) == 200_000
+
+
+def test_mandatory_fields(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a", "x"), (2, None, "x"), (3, " ", "z")], "page_id long, url string, html string")
+    W.write(df, f"{tmp_path}/e", uri_col="url", date="2024-01-31T00:00:00Z")
+    fields = {r.fields["warc-record-id"]: r.fields for r in W.read(spark, f"{tmp_path}/e").collect()}
+    assert all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(f) for f in fields.values())
+    assert fields["<urn:page:1>"]["warc-target-uri"] == "http://a" and "warc-target-uri" not in fields["<urn:page:3>"]
