@@ -9,22 +9,23 @@ component), never its pairs. With cosine 0.98 a pair is missed with probability
 
 Vectors that are null, zero, or hold null or non-finite components, and vectors with a null label
 or a null id, link with nothing. Vectors of other lengths are never compared. Rows that repeat an id
-are vectors of their own with that id. Extra columns are dropped.
+are vectors of their own with that id. Ids may be whole numbers or texts, labels of any type that has a text form. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import materialize, table
+from seepage.llm.common import frugal, materialize, table
 from seepage.llm.components import connected_components
 
 TABLES = 16
 BITS = 14
-BLOCK = 1024
+BLOCK = 512
 SEED = 71
 
 
@@ -61,7 +62,8 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-KEYS = ("label", "d", "t", "sig", "bi", "bj")
+#: A bucket, or a pair of its blocks: label, length, table and signature, and the blocks.
+KEYS = ("bucket", "bi", "bj")
 
 
 def compare(rep: np.ndarray, n: np.ndarray, block: np.ndarray, x: np.ndarray, sigs: np.ndarray, t: int, apart: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,6 +85,15 @@ def compare(rep: np.ndarray, n: np.ndarray, block: np.ndarray, x: np.ndarray, si
     return rep[hit], rep[local_roots(len(x), i, j)][hit], links[hit].astype(np.int64)
 
 
+def _changes(table_: pa.Table) -> np.ndarray:
+    """Whether a row's KEYS differ from those of the row before, from the second row on."""
+    out = np.zeros(table_.num_rows - 1, bool)
+    for k in KEYS:
+        c = table_.column(k).combine_chunks()
+        out |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
+
 def _compare_sorted(threshold: float):
     """Takes rows sorted by KEYS, so that a bucket or a pair of blocks is a run of rows; one run is held at a time."""
 
@@ -91,26 +102,26 @@ def _compare_sorted(threshold: float):
 
         def work(table_: pa.Table):
             table_ = table_.combine_chunks()
-            keys = np.stack([table_.column(k).to_numpy() for k in KEYS])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), table_.num_rows]
-            rep, n, block = (table_.column(c).to_numpy() for c in ("rep", "n", "block"))
+            kind = table_.schema.field("rep").type
+            cuts = [0, *(np.flatnonzero(_changes(table_)) + 1).tolist(), table_.num_rows]
+            rep = np.array(table_.column("rep").to_pylist(), dtype=np.int64 if pa.types.is_integer(kind) else object)
+            n, block, t, bi, bj = (table_.column(c).to_numpy() for c in ("n", "block", "t", "bi", "bj"))
             v, sigs = table_.column("v").combine_chunks(), table_.column("sigs").combine_chunks()
             flat, at = v.flatten().to_numpy(), v.offsets.to_numpy() - v.offsets[0].as_py()
             sigs = sigs.flatten().to_numpy().reshape(-1, TABLES)
             found = []
             for a, b in zip(cuts, cuts[1:]):
                 if b - a > 1:
-                    found.append(compare(rep[a:b], n[a:b], block[a:b], flat[at[a] : at[b]].reshape(b - a, -1), sigs[a:b], int(keys[2, a]), keys[4, a] != keys[5, a], threshold))
+                    found.append(compare(rep[a:b], n[a:b], block[a:b], flat[at[a] : at[b]].reshape(b - a, -1), sigs[a:b], int(t[a]), bi[a] != bj[a], threshold))
             out = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), (), ()))]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "links"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], kind), pa.array(out[2], pa.int64())], names=["a", "b", "links"])
 
         for batch in batches:
             both = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if not both.num_rows:
                 continue
-            keys = np.stack([both.column(k).to_numpy() for k in KEYS])
-            same = (keys == keys[:, -1:]).all(axis=0)
-            last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            changed = np.flatnonzero(_changes(both))
+            last = int(changed[-1]) + 1 if len(changed) else 0
             if last:
                 yield work(both.slice(0, last))
             held = both.slice(last)
@@ -129,15 +140,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     rows = rows.withColumn("key", F.when(usable, F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("v", lambda c: (c + F.lit(0.0)).cast("string")), ",")), 256)))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = materialize(classes, "vector-classes")
-    hashed = classes.select("rep", "n", "label", "v").mapInArrow(_hash, "rep long, n long, label int, v array<double>, sigs array<int>")
-    buckets = hashed.select("rep", "n", "v", "sigs", "label", F.size("v").alias("d"), F.posexplode("sigs").alias("t", "sig"))
-    bucket = ["label", "d", "t", "sig"]
+    kind = classes.schema["rep"].dataType.simpleString()
+    hashed = classes.select("rep", "n", F.col("label").cast("string").alias("label"), "v").mapInArrow(frugal(_hash), f"rep {kind}, n long, label string, v array<double>, sigs array<int>")
+    buckets = hashed.select("rep", "n", "v", "sigs", "label", F.posexplode("sigs").alias("t", "sig"))
+    buckets = buckets.withColumn("bucket", F.concat_ws("|", F.size("v").cast("string"), F.col("t").cast("string"), F.col("sig").cast("string"), "label")).drop("label", "sig")
+    bucket = ["bucket", "t"]
     sizes = buckets.groupBy(*bucket).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     placed = buckets.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = placed.select("*", other).select("rep", "n", "v", "sigs", *bucket, "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     runs = pairs.repartition(*KEYS).sortWithinPartitions(*KEYS)
-    found = runs.mapInArrow(_compare_sorted(threshold), "a long, b long, links long")
+    found = runs.mapInArrow(frugal(_compare_sorted(threshold)), f"a {kind}, b {kind}, links long")
     found = materialize(found, "vector-links")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("a", "b")).withColumnRenamed("node", "rep")

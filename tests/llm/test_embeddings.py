@@ -45,6 +45,31 @@ def test_matches_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_text_labels_and_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in range(12):
+        base = rng.standard_normal(16)
+        rows += [(f"v{len(rows) + k:03d}", (base + rng.standard_normal(16) * 0.02).tolist(), ["a|b", "a", "T cell"][c % 3]) for k in range(4)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<float>, label string")).collect()}
+    assert got == brute(rows)
+    wide = spark.createDataFrame([(i, v, 2**40 + len(x)) for i, (_, v, x) in enumerate(rows)], "vec_id long, embedding array<double>, label long")
+    assert E.near_vectors(wide).where("n_links > 0").count() == len(rows)
+
+
+def test_share_of_pairs_at_the_threshold(spark):
+    """Cosines between 0.98 and 0.982, of 64 dimensions: the hardest pairs that have to link."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((4000, 64))
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    c = rng.uniform(0.98, 0.982, 4000)[:, None]
+    met = (E.signatures(x) == E.signatures(c * x + np.sqrt(1 - c * c) * y)).any(axis=1).mean()
+    assert met >= 0.998
+
+
 def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (0, [2.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     got = sorted(map(tuple, E.near_vectors(df).collect()), key=str)
