@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 
 from seepage.llm import quality as Q
@@ -49,3 +52,52 @@ def test_degenerate(spark):
     assert {r.expected_grade for r in Q.grade(df, None).collect()} == {None}
     assert {r.expected_grade for r in Q.grade(df, Q.fit(df, one)).collect()} == {3.0}
     assert Q.select_good(df.limit(0), None).count() == 0 and Q.select_good(df, None).count() == 2
+
+
+def plain_grade(model, text):
+    """Expected grade and tail probability, word by word."""
+    code = lambda name: zlib.crc32(name.encode()) % Q.BUCKETS
+    tokens = (text or "").split()
+    s = 0.0
+    for t in tokens:
+        s += (model.weights[code(t.lower())] + Q.SHAPE_SCALE * model.weights[code("~shape:" + Q.shape(t))]) / len(tokens)
+    if tokens:
+        n, lines = len(tokens), [x for x in text.split("\n") if x]
+        adjacent = sum(a == b for a, b in zip(tokens, tokens[1:]))
+        names = [f"~unique:{n.bit_length()}:{int(8 * len(set(tokens)) / n)}", f"~adjacent:{min(int(16 * adjacent / n), 8)}", f"~lines:{min(len(lines), 4)}:{int(8 * len(set(lines)) / len(lines))}", f"~length:{min(int(len(text) / n), 16)}"]
+        s += sum(model.weights[code(x)] for x in names)
+    below = [1 / (1 + math.exp(-(theta - s))) for theta in model.thresholds] + [1.0]
+    p = [b - a for a, b in zip([0.0, *below], below)]
+    return sum(g * x for g, x in zip(model.grades, p)), p[-1]
+
+
+def test_scores_match_brute_force(spark):
+    rows, labels = corpus(200)
+    df = spark.createDataFrame([*rows, (500, "Ein Wort. Ein Wort.\nEin Wort. 12 !!??"), (501, "")], "doc_id long, text string")
+    model = Q.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = dict(df.collect())
+    for r in Q.grade(df, model).collect():
+        assert np.allclose((r.expected_grade, r.p_tail), plain_grade(model, texts[r.doc_id]), atol=1e-9)
+
+
+def test_fit_reaches_the_least_loss():
+    rng = np.random.default_rng(3)
+    rows, at, x = np.repeat(np.arange(300), 3), rng.integers(0, 20, 900), rng.uniform(0.2, 1, 900)
+    true = rng.standard_normal(20)
+    s = np.bincount(rows, weights=x * true[at], minlength=300)
+    level = np.digitize(s + rng.logistic(size=300) * 0.3, [-0.3, 0.5])
+    w, theta = Q.fit_sparse(rows, at, x, level, 3, steps=1500, rate=0.05)
+
+    def loss(w, theta):
+        s = np.bincount(rows, weights=x * w[at], minlength=300)
+        edge = np.concatenate(([-np.inf], theta, [np.inf]))
+        p = 1 / (1 + np.exp(-(edge[level + 1] - s))) - 1 / (1 + np.exp(-(edge[level] - s)))
+        return -np.log(p).mean() + 1e-4 * (w * w).sum()
+
+    best = loss(w, theta)
+    for k in range(20):
+        for d in (-0.05, 0.05):
+            moved = w.copy()
+            moved[k] += d
+            assert loss(moved, theta) >= best - 1e-5
+    assert loss(w, theta + [0.05, 0]) >= best - 1e-5 and loss(w, theta - [0, 0.05]) >= best - 1e-5
