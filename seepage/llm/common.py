@@ -43,6 +43,19 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Like materialize, with the files dealt by a column: joins by it alone read the table where it lies and move the other side only.
+
+    A task writes a file for each bucket that it has rows of; rows that a shuffle by the column into as many parts has dealt give one a bucket."""
+    table_name = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", new_path(df.sparkSession, name)).option("compression", "zstd").bucketBy(buckets, column).saveAsTable(table_name)
+    return df.sparkSession.table(table_name)
+
+
+def parts(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 #: Bytes of one Arrow batch that goes to a Python task, so that long texts don't add up.
 BATCH_BYTES = 16 << 20
 

@@ -20,7 +20,6 @@ ids pass through, a row for each row. Without training texts all counts are 0 an
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -31,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import bound_batches, fold, frugal, materialize, new_path, runs, table
+from seepage.llm.common import bound_batches, bucketed, fold, frugal, materialize, runs, table
 
 CHUNK_BYTES = 4_000_000
 SUFFIX = 3
@@ -118,14 +117,6 @@ def chunks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(frugal(_chunk_batches), schema)
 
 
-def bucketed(made: DataFrame, buckets: int) -> DataFrame:
-    """The chunks in a table whose files are dealt by chunk: a later join by chunk reads them where they lie. A task's file for a bucket holds whole chunks, so there are at most as many files as chunks."""
-    spark = made.sparkSession
-    name = f"maxent_chunks_{uuid.uuid4().hex}"
-    made.write.format("parquet").option("path", new_path(spark, "maxent-chunks")).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
-    return spark.table(name)
-
-
 def _numpy(value) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False)
 
@@ -400,7 +391,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     fresh = chunks(docs, held, id_col, text_col)
-    made = bucketed(fresh, max(1, min(TABLE_BUCKETS, fresh.rdd.getNumPartitions())))
+    made = bucketed(fresh, "maxent-chunks", "chunk", max(1, min(TABLE_BUCKETS, fresh.rdd.getNumPartitions())))
     listed = made.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts").where("counts > 0")
     counts = materialize(listed.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "maxent-counts", "zstd")
     spare = (F.lit(NAMED) + F.pmod(F.crc32("word"), F.lit(PARTS - NAMED))).cast("int")

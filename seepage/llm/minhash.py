@@ -30,12 +30,12 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seepage.llm.common import bound_batches, frugal, materialize, slices, table
+from seepage.llm.common import bound_batches, bucketed, frugal, materialize, parts, slices, table
 from seepage.llm.components import connected_components
 
 SHINGLE = 5
@@ -48,7 +48,7 @@ SHORT_SHINGLE = 2
 SHORT_SLOTS = 32
 SIMILARITY = 0.8
 #: Rounds in which a class meets one centre.
-ROUNDS = 3
+ROUNDS = 2
 BLOCK = 512
 #: Word counts hashed to so many bins bound the words that two texts have in common.
 BINS = 128
@@ -225,12 +225,12 @@ def _sketch_batches(batches):
             own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sketches]))), pa.int32()), pa.array(np.concatenate(sketches), pa.int64()))
             held = np.minimum(bins, MOST).astype(np.uint16).tobytes()
             packed = pa.array([held[i : i + 2 * BINS] for i in range(0, len(held), 2 * BINS)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(n, pa.int64()), own, packed], names=["node", "n", "sketch", "bins"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("key", "node")), pa.array(n, pa.int64()), own, packed], names=["key", "node", "n", "sketch", "bins"])
 
 
 def sketch(classes: DataFrame) -> DataFrame:
-    """(node, text) -> (node, n, sketch, bins)."""
-    return classes.select("node", "text").mapInArrow(frugal(_sketch_batches), "node binary, n long, sketch array<long>, bins binary")
+    """(key, node, text) -> (key, node, n, sketch, bins)."""
+    return classes.select("key", "node", "text").mapInArrow(frugal(_sketch_batches), "key binary, node binary, n long, sketch array<long>, bins binary")
 
 
 def _verify_batches(batches):
@@ -241,57 +241,107 @@ def _verify_batches(batches):
         words.cache_clear()
 
 
+def key_of(node: str) -> Column:
+    return F.substring(node, 10, 16)
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) of nodes -> those that align; texts (node, text). AQE splits a node with many partners."""
-    joined = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(frugal(_verify_batches), "a binary, b binary")
-
-
-def _candidates(g: pd.DataFrame):
-    """(member, others) of a bucket's pair of blocks: pairs of different components that a bound on common words admits."""
-    code, apart = int(g["code"].iloc[0]), g["bi"].iloc[0] != g["bj"].iloc[0]
-    comp = pd.factorize(g["comp"])[0]
-    if not comp.any():
-        return
-    n, block = g["n"].to_numpy(), g["block"].to_numpy()
-    bins = np.frombuffer(b"".join(g["bins"]), np.uint16).reshape(-1, BINS)
-    sketches = g["sketch"].tolist()
-    for i in range(len(g) - 1):
-        other = slice(i + 1, None)
-        ok = (comp[other] != comp[i]) & (np.minimum(n[i], n[other]) >= SIMILARITY * np.maximum(n[i], n[other]))
-        if apart:
-            ok &= block[other] != block[i]
-        j = np.flatnonzero(ok) + i + 1
-        if len(j) and n[i] < MOST:
-            j = j[(np.minimum(bins[j], bins[i]).sum(axis=1, dtype=np.int64) >= SIMILARITY * np.maximum(n[i], n[j])) | (n[j] >= MOST)]
-        if len(j):  # a pair counts in the bucket of its first common sketch
-            own = set(sketches[i].tolist())
-            j = np.array([x for x in j.tolist() if next(c for c in sketches[x] if c in own) == code], np.int64)
-        if len(j):
-            yield i, j
-
-
-def _cross_rows(g: pd.DataFrame) -> pd.DataFrame:
+    """pairs (a, b) of nodes -> those that align; texts (key, text), bucketed by key, stay where they are: pairs come to them, and then go on with one text to the other."""
+    first = pairs.withColumn("key", key_of("a")).hint("shuffle_hash").join(texts.withColumnRenamed("text", "ta"), "key").drop("key")
+    both = first.withColumn("key", key_of("b")).join(texts.withColumnRenamed("text", "tb"), "key")
+    return both.select("a", "b", "ta", "tb").mapInArrow(frugal(_verify_batches), "a binary, b binary")
+
+
+#: A bucket and a pair of its blocks.
+KEYS = ("code", "bi", "bj")
+#: Pairs that are looked at together.
+PAIRS = 20_000
+
+
+def whole_runs(batches):
+    """Tables of whole runs of rows with equal KEYS, of rows that are sorted by them; a run of a pair of blocks is at most 2 * BLOCK rows or so."""
+    held: pa.Table | None = None
+    for batch in batches:
+        both = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not both.num_rows:
+            continue
+        changed = np.flatnonzero(run_starts(both))
+        last = int(changed[-1]) if len(changed) else 0
+        if last:
+            yield both.slice(0, last).combine_chunks()
+        held = both.slice(last)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def run_starts(rows: pa.Table) -> np.ndarray:
+    keys = np.stack([rows.column(k).to_numpy() for k in KEYS])
+    return np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+
+
+def _candidates(rows: pa.Table):
+    """Arrays of pairs (i, j) of rows in one run: of different components, and admitted by a bound on common words."""
+    n, block, bi, bj = (rows.column(c).to_numpy() for c in ("n", "block", "bi", "bj"))
+    comp = pc.dictionary_encode(rows.column("comp").combine_chunks()).indices.to_numpy()
+    bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint16).reshape(-1, BINS)
+    def admitted(i: np.ndarray, j: np.ndarray):
+        ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j])) & ((bi[i] == bj[i]) | (block[i] != block[j]))
+        i, j = i[ok], j[ok]
+        for a in range(0, len(i), PAIRS):
+            x, y = i[a : a + PAIRS], j[a : a + PAIRS]
+            ok = np.minimum(bins[x], bins[y]).sum(axis=1, dtype=np.int64) >= SIMILARITY * np.maximum(n[x], n[y])
+            ok |= (n[x] >= MOST) & (n[y] >= MOST)
+            if ok.any():
+                yield x[ok], y[ok]
+
+    pairs_of = lru_cache(maxsize=64)(lambda m: np.triu_indices(m, 1))
+    cuts = [*np.flatnonzero(run_starts(rows)).tolist(), len(n)]
+    some, total = [], 0
+    for a, b in zip(cuts, cuts[1:]):
+        i, j = pairs_of(b - a)
+        some.append((i + a, j + a))
+        total += len(i)
+        if total >= PAIRS:
+            yield from admitted(*(np.concatenate(c) for c in zip(*some)))
+            some, total = [], 0
+    if some:
+        yield from admitted(*(np.concatenate(c) for c in zip(*some)))
+
+
+def _cross_rows(batches):
     """The members that have a candidate: the texts of no others are sent to the buckets."""
-    used = np.zeros(len(g), bool)
-    for i, j in _candidates(g):
-        used[i] = True
-        used[j] = True
-    return g[used]
-
-
-def _cross_pairs(g: pd.DataFrame) -> pd.DataFrame:
-    """Near pairs that join components of a bucket's pair of blocks."""
-    node, text, comp = g["node"].to_numpy(), g["text"].to_numpy(), pd.factorize(g["comp"])[0]
-    words = lru_cache(maxsize=BLOCK)(lambda x: words_of(text[x]))
-    a_out, b_out = [], []
-    for i, js in _candidates(g):
-        for x in js.tolist():
-            if comp[x] != comp[i] and lcs_at_least(words(i), words(x)):
-                a_out.append(min(node[i], node[x]))
-                b_out.append(max(node[i], node[x]))
-                comp[comp == comp[x]] = comp[i]
-    return pd.DataFrame({"a": pd.Series(a_out, dtype=object), "b": pd.Series(b_out, dtype=object)})
+    for rows in whole_runs(batches):
+        used = np.zeros(rows.num_rows, bool)
+        for i, j in _candidates(rows):
+            used[i] = True
+            used[j] = True
+        yield from rows.filter(pa.array(used)).to_batches()
+
+
+def _cross_pairs(batches):
+    """Near pairs that join components; what is in one component by pairs found before in the task needs no look."""
+    words = lru_cache(maxsize=2 * BLOCK)(words_of)
+    for rows in whole_runs(batches):
+        node, text, comp = (rows.column(c).to_pylist() for c in ("node", "text", "comp"))
+        root: dict[bytes, bytes] = {}
+
+        def find(c: bytes) -> bytes:
+            while c in root:
+                c = root[c]
+            return c
+
+        found, seen = [], set()
+        for i, j in _candidates(rows):
+            for x, y in zip(i.tolist(), j.tolist()):
+                a, b, pair = find(comp[x]), find(comp[y]), (min(node[x], node[y]), max(node[x], node[y]))
+                if a == b or pair in seen:
+                    continue
+                seen.add(pair)
+                if lcs_at_least(words(text[x]), words(text[y])):
+                    root[max(a, b)] = min(a, b)
+                    found.append(pair)
+        words.cache_clear()
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in range(2)], names=["a", "b"])
 
 
 def _joined(comps: DataFrame, near: DataFrame) -> DataFrame:
@@ -337,23 +387,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("text").alias("text"))
-    classes = materialize(classes.select(node_of("rep", "key").alias("node"), "key", "text"), "minhash-classes", "zstd")
-    sketches = materialize(sketch(classes), "minhash-sketches", "zstd")
+    n = parts(docs.sparkSession)
+    classes = bucketed(classes.select("key", node_of("rep", "key").alias("node"), "text"), "minhash-classes", "key", n)
+    sketches = bucketed(sketch(classes), "minhash-sketches", "key", n)
     buckets = sketches.where("n > 0").select("node", "n", F.explode("sketch").alias("code"))
     shared = buckets.withColumn("size", F.count("*").over(Window.partitionBy("code"))).where("size > 1").drop("size")
     members = materialize(shared, "minhash-buckets", "zstd")
-    comps = members.select("node").distinct().withColumn("comp", F.col("node"))
-    comps = materialize(comps, "minhash-comps")
-    texts = materialize(classes.join(comps.select("node"), "node", "left_semi").select("node", "text"), "minhash-texts", "zstd")
+    comps = materialize(members.select("node").distinct().withColumn("comp", F.col("node")), "minhash-comps")
+    texts = classes.select("key", "text").join(comps.select(key_of("node").alias("key")).hint("shuffle_hash"), "key", "left_semi")
+    texts = bucketed(texts, "minhash-texts", "key", n)
     for rank in range(ROUNDS):
         members = members.withColumn("comp", F.col("node")) if not rank else materialize(_mixed(members, comps), "minhash-mixed", "zstd")
         near = materialize(verify(materialize(_star(members, rank), "minhash-star"), texts), "minhash-near")
         comps = _joined(comps, near)
-    wide = _blocks(_mixed(members, comps)).join(sketches.select("node", "sketch", "bins"), "node")
-    wide = wide.select("code", "node", "n", "comp", "block", "bi", "bj", "sketch", "bins")
-    used = materialize(wide.groupBy("code", "bi", "bj").applyInPandas(_cross_rows, wide.schema), "minhash-wide", "zstd").join(texts, "node")
-    near = materialize(used.groupBy("code", "bi", "bj").applyInPandas(_cross_pairs, "a binary, b binary"), "minhash-near")
-    comps = _joined(comps, near)
+    wide = _blocks(_mixed(members, comps)).withColumn("key", key_of("node")).hint("shuffle_hash").join(sketches.select("key", "bins"), "key")
+    wide = wide.select("code", "node", "n", "comp", "block", "bi", "bj", "bins")
+    used = wide.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(frugal(_cross_rows), wide.schema)
+    used = materialize(used, "minhash-wide", "zstd").withColumn("key", key_of("node")).hint("shuffle_hash").join(texts, "key").drop("key")
+    near = used.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(frugal(_cross_pairs), "a binary, b binary")
+    comps = _joined(comps, materialize(near, "minhash-near"))
     named = classes.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("root"))
     found = rows.select("id", "key").join(named, "key", "left")
     return found.select("id", "key", "node", "root", F.when(F.col("key").isNull(), F.col("id")).otherwise(rep_of("root")).alias("class_id"))

@@ -150,19 +150,21 @@ def test_all_found_pairs_become_groups(spark):
 
 
 def test_a_bucket_yields_fewer_edges_than_members():
-    import pandas as pd
+    import pyarrow as pa
 
     texts = [" ".join(f"w{x}" for x in range(90)) + f" end{i}" for i in range(30)]
     n, sketches, bins = M.Sketcher()(texts)
-    first = {}
+    times = {}
     for s in sketches:
         for c in s.tolist():
-            first[c] = first.get(c, 0) + 1
-    code = next(c for c in sketches[0].tolist() if first[c] == 30)
-    sketches = [np.array([code]) for _ in texts]
+            times[c] = times.get(c, 0) + 1
+    code = next(c for c in sketches[0].tolist() if times[c] == 30)
     held = [b.astype(np.uint16).tobytes() for b in bins]
-    g = pd.DataFrame({"node": [b"%02d" % i for i in range(30)], "comp": range(30), "text": texts, "n": n, "sketch": sketches, "bins": held, "code": code, "block": 0, "bi": 0, "bj": 0})
-    assert len(M._cross_pairs(g)) == 29
+    rows = pa.table({"code": [code] * 30, "bi": [0] * 30, "bj": [0] * 30, "block": [0] * 30, "node": pa.array([b"%02d" % i for i in range(30)], pa.binary()), "comp": pa.array([b"%02d" % i for i in range(30)], pa.binary()), "text": texts, "n": n, "bins": pa.array(held, pa.binary())})
+    assert sum(b.num_rows for b in M._cross_pairs(rows.to_batches(max_chunksize=7))) == 29
+    assert sum(b.num_rows for b in M._cross_rows(rows.to_batches(max_chunksize=7))) == 30
+    one = rows.set_column(rows.schema.get_field_index("comp"), "comp", pa.array([b"x"] * 30, pa.binary()))
+    assert sum(b.num_rows for b in M._cross_rows(one.to_batches())) == 0
 
 
 def test_leftovers_meet_every_block(spark, monkeypatch):
