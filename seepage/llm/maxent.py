@@ -3,8 +3,8 @@
 P(word | history) = P(class | history) * P(part | class, history) * P(word | part). A word's ending (a hash of its last SUFFIX
 bytes) gives its class, so every word has one, seen or not; the end of a text is a class of its own. Endings are put into
 classes by what stands beside them in the training texts. The parts of a class are its NAMED commonest training words, each a part of its own, and
-PARTS - NAMED hash buckets of all others. Both softmaxes have hashed features of the history: the word before, the word before that (skip), and
-both; for the parts, together with the class. Inside a bucket part, words have their training counts plus one, and all unseen words of it
+PARTS - NAMED hash buckets of all others. Both softmaxes have hashed features of the history: the word before, the word before that (skip), and,
+for the class, both; for the part, each together with the class. Inside a bucket part, words have their training counts plus one, and all unseen words of it
 together count as one.
 
 Texts are cut into chunks of about CHUNK_BYTES, known by a digest of what they hold. A chunk holds its texts as numbers of its own
@@ -99,21 +99,22 @@ def _chunk_batches(batches):
             counts = np.bincount(codes[trained], minlength=len(words)).astype(np.int32)
             hashes = np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
             endings = np.fromiter(map(ending, words), np.int16, len(words))
+            spare = np.fromiter(map(bucket_part, words), np.int16, len(words))
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
             columns = [
                 pa.array([int.from_bytes(digest.digest(), "little") >> 1], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), ids.slice(start, end - start)),
                 one(held[start:end], pa.bool_()), one(sizes, pa.int32()), one(codes, pa.int32()), one(list(words), pa.binary()),
-                one(counts, pa.int32()), one(hashes, pa.int64()), one(endings, pa.int16()),
+                one(counts, pa.int32()), one(hashes, pa.int64()), one(endings, pa.int16()), one(spare, pa.int16()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "held", "sizes", "codes", "words", "counts", "hashes", "endings"])
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "held", "sizes", "codes", "words", "counts", "hashes", "endings", "spare"])
 
 
 def chunks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks with equal keys hold the same rows."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("binary").alias("text"))
-    schema = f"chunk long, ids array<{kind}>, held array<boolean>, sizes array<int>, codes array<int>, words array<binary>, counts array<int>, hashes array<long>, endings array<smallint>"
+    schema = f"chunk long, ids array<{kind}>, held array<boolean>, sizes array<int>, codes array<int>, words array<binary>, counts array<int>, hashes array<long>, endings array<smallint>, spare array<smallint>"
     return rows.mapInArrow(frugal(_chunk_batches), schema)
 
 
@@ -190,9 +191,9 @@ class Classes:
         named = [named[i] for i in order]
         return cls(of_ending, np.array([h for h, _, _ in named], np.uint64).view(np.int64), pa.array([w for _, w, _ in named], pa.binary()), np.array([p for _, _, p in named], np.int64))
 
-    def __call__(self, words: pa.Array, hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, part) of each word of a chunk's list."""
-        parts = np.fromiter((bucket_part(w) for w in words.to_pylist()), np.int64, len(words))
+    def __call__(self, words: pa.Array, hashes: np.ndarray, endings: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, part) of each word of a chunk's list; spare: their bucket parts."""
+        parts = spare.astype(np.int64)
         at, same = look_up(self.hashes, self.words, hashes, words)
         parts[same] = self.parts[at[same]]
         return self.of_ending[endings], parts
@@ -207,7 +208,7 @@ def look_up(known_hashes: np.ndarray, known: pa.Array, hashes: np.ndarray, words
 
 
 def history(codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(feature rows of each token, 3 columns; class of each token; feature rows of its part, 3 columns and its class's; part), ends counted as tokens."""
+    """(feature rows of each token, 3 columns; class of each token; feature rows of its part, 2 columns; part), ends counted as tokens."""
     n = len(codes) + len(sizes)
     ends = np.cumsum(sizes + 1) - 1
     word = np.ones(n, bool)
@@ -227,19 +228,20 @@ def history(codes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: n
         mixed = (one * np.uint32(2654435761), two * np.uint32(2246822519), both * np.uint32(374761393))
         x = np.stack([(m >> np.uint32(32 - BUCKETS_LOG2)) + np.uint32(k * BUCKETS) for k, m in enumerate(mixed)], axis=1).astype(np.int64)
         own = (y.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
-        of_part = [(((m ^ own) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - PART_LOG2)) + np.uint32(k * PART_BUCKETS) for k, m in enumerate(mixed)]
-    u = np.stack([*of_part, 3 * PART_BUCKETS + y.astype(np.uint32)], axis=1).astype(np.int64)
-    return x, y, u, z
+        of_part = [(((m ^ own) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - PART_LOG2)) + np.uint32(k * PART_BUCKETS) for k, m in enumerate(mixed[:2])]
+    return x, y, np.stack(of_part, axis=1).astype(np.int64), z
 
 
 def empty_weights() -> list[np.ndarray]:
-    """Of the classes, with a bias row at the end, and of the parts, with a bias row for each class."""
-    return [np.zeros((3 * BUCKETS + 1, CLASSES + 1), np.float32), np.zeros((3 * PART_BUCKETS + CLASSES + 1, PARTS), np.float32)]
+    """Of the classes and of the parts: rows of features, then the rows of biases, one for all tokens and one for each class."""
+    return [np.zeros((3 * BUCKETS + 1, CLASSES + 1), np.float32), np.zeros((2 * PART_BUCKETS + CLASSES, PARTS), np.float32)]
 
 
-def logits(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    out = weights[x[:, 0]]
-    for k in range(1, x.shape[1]):
+def logits(weights: np.ndarray, x: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """bias: the bias row of each token, counted from the first."""
+    first = len(weights) - (1 if weights.shape[1] == CLASSES + 1 else CLASSES)
+    out = weights[first + bias]
+    for k in range(x.shape[1]):
         out += weights[x[:, k]]
     return out
 
@@ -250,26 +252,28 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def step(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+def step(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, x: np.ndarray, y: np.ndarray, bias: np.ndarray) -> None:
     """One sparse AdaGrad step on a minibatch, in place."""
-    z = logits(weights, x)
-    z -= z.max(axis=1, keepdims=True)
-    g = np.exp(z, out=z)
+    g = logits(weights, x, bias)
+    g -= g.max(axis=1, keepdims=True)
+    np.exp(g, out=g)
     g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(y)), y] -= 1
+
+    def move(rows, total, n):
+        squares[rows] += (total * total).mean(axis=1)
+        weights[rows] -= RATE * total / np.sqrt(squares[rows] + DAMP)[:, None]
+        uses[rows] += n
+
     for k in range(x.shape[1]):
         order = np.argsort(x[:, k].astype(np.uint16), kind="stable")  # 16 bits sort by radix
         rows = x[order, k]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        rows = rows[first]
-        total = np.add.reduceat(g[order], first, axis=0)
-        squares[rows] += (total * total).mean(axis=1)
-        weights[rows] -= RATE * total / np.sqrt(squares[rows] + DAMP)[:, None]
-        uses[rows] += np.diff(np.concatenate((first, [len(order)])))
-
-
-def with_bias(x: np.ndarray) -> np.ndarray:
-    return np.concatenate((x, np.full((len(x), 1), 3 * BUCKETS)), axis=1)
+        move(rows[first], np.add.reduceat(g[order], first, axis=0), np.diff(np.concatenate((first, [len(order)]))))
+    n = np.bincount(bias)
+    rows = np.flatnonzero(n)
+    total = (bias[None, :] == rows[:, None]).astype(np.float32) @ g
+    move(len(weights) - (1 if weights.shape[1] == CLASSES + 1 else CLASSES) + rows, total, n[rows])
 
 
 def _train_batches(weights: list[np.ndarray], classes: Classes):
@@ -281,16 +285,16 @@ def _train_batches(weights: list[np.ndarray], classes: Classes):
         for batch in batches:
             for i in range(batch.num_rows):
                 source = source if source is not None else batch.column("chunk")[i].as_py()
-                sizes, held, codes, hashes, endings = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "hashes", "endings"))
-                of_word, part = classes(batch.column("words")[i].values, hashes, endings)
+                sizes, held, codes, hashes, endings, spare = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "hashes", "endings", "spare"))
+                of_word, part = classes(batch.column("words")[i].values, hashes, endings, spare)
                 keep = np.repeat(~held, sizes)
                 x, y, u, z = history(codes[keep], sizes[~held], hashes, of_word, part)
-                x = with_bias(x)
                 for a in range(0, len(y), BATCH):
-                    step(w[0], squares[0], uses[0], x[a : a + BATCH], y[a : a + BATCH])
-                    word = np.flatnonzero(y[a : a + BATCH] < CLASSES) + a
+                    own = y[a : a + BATCH]
+                    step(w[0], squares[0], uses[0], x[a : a + BATCH], own, np.zeros(len(own), np.int64))
+                    word = np.flatnonzero(own < CLASSES) + a
                     if len(word):
-                        step(w[1], squares[1], uses[1], u[word], z[word])
+                        step(w[1], squares[1], uses[1], u[word], z[word], y[word])
         for k in range(2):
             at = np.flatnonzero(uses[k])
             for a in range(0, len(at), 4096):
@@ -315,7 +319,7 @@ def _average(g: pd.DataFrame) -> pd.DataFrame:
 def train(table_: DataFrame, classes: Classes, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Weights after a pass over all training texts, cut in rounds."""
     weights = empty_weights()
-    rows = table_.select("chunk", "sizes", "held", "codes", "words", "hashes", "endings")
+    rows = table_.select("chunk", "sizes", "held", "codes", "words", "hashes", "endings", "spare")
     for k in range(rounds):
         part = rows.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == k)
         moved = part.mapInArrow(frugal(_train_batches(weights, classes)), "source long, block int, row int, uses float, moved array<float>")
@@ -339,9 +343,9 @@ def _score_batches(weights: list[np.ndarray], classes: Classes, totals: np.ndarr
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes, held, codes, hashes, endings = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "hashes", "endings"))
+                sizes, held, codes, hashes, endings, spare = (_numpy(batch.column(c)[i]) for c in ("sizes", "held", "codes", "hashes", "endings", "spare"))
                 words = batch.column("words")[i].values
-                of_word, part = classes(words, hashes, endings)
+                of_word, part = classes(words, hashes, endings, spare)
                 found = batch.column("found")[i]
                 at, same = look_up(known_hashes, known_words, hashes, words)
                 counts = np.zeros(len(hashes), np.int64)
@@ -349,7 +353,6 @@ def _score_batches(weights: list[np.ndarray], classes: Classes, totals: np.ndarr
                 if found.is_valid and len(found.values):
                     counts[found.values.field("pos").to_numpy()] = found.values.field("c").to_numpy()
                 x, y, u, z = history(codes, sizes, hashes, of_word, part)
-                x = with_bias(x)
                 at = np.cumsum(sizes + 1) - 1
                 c = np.full(len(y), ends, np.int64)
                 word = np.ones(len(y), bool)
@@ -360,10 +363,10 @@ def _score_batches(weights: list[np.ndarray], classes: Classes, totals: np.ndarr
                 inside[shared] = np.log10((c[shared] + 1) / totals[y[shared], z[shared]])
                 for a in range(0, len(y), BATCH):
                     b = min(a + BATCH, len(y))
-                    inside[a:b] += log_softmax(logits(weights[0], x[a:b]).astype(np.float64))[np.arange(b - a), y[a:b]] / np.log(10)
+                    inside[a:b] += log_softmax(logits(weights[0], x[a:b], np.zeros(b - a, np.int64)))[np.arange(b - a), y[a:b]] / np.log(10)
                     own = np.flatnonzero(word[a:b]) + a
                     if len(own):
-                        inside[own] += log_softmax(logits(weights[1], u[own]).astype(np.float64))[np.arange(len(own)), z[own]] / np.log(10)
+                        inside[own] += log_softmax(logits(weights[1], u[own], y[own]))[np.arange(len(own)), z[own]] / np.log(10)
                 first = at - sizes
                 size = (sizes + 1).astype(np.int64)
                 base = np.add.reduceat(np.log10(c + 1.0), first) - size * np.log10(n + 1.0 * (v + 1))
@@ -405,8 +408,10 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     hashes = np.fromiter((word_hash(w) for w in common.column("word").to_pylist()), np.uint64, common.num_rows).view(np.int64)
     frequent = (hashes, common.column("word").combine_chunks(), common.column("c").to_numpy())
     # The common words have at most FREQUENT rows; the rest is joined, and what is found moves to the buckets of its chunk.
-    rare = counts.join(F.broadcast(spark.createDataFrame(common.select(["word"]))), "word", "left_anti") if common.num_rows else counts
-    places = made.select("chunk", F.posexplode("words").alias("pos", "word")).join(rare, "word")
+    places = made.select("chunk", F.posexplode("words").alias("pos", "word"))
+    if common.num_rows:
+        places = places.join(F.broadcast(spark.createDataFrame(common.select(["word"]))), "word", "left_anti")
+    places = places.join(counts, "word")
     found = places.groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))  # as long as a chunk's word list
     rows = made.drop("counts").join(found.hint("shuffle_hash"), "chunk", "left")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

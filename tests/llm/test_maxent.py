@@ -51,13 +51,13 @@ def test_probabilities_of_all_words_sum_to_one():
     totals = M.part_totals(classes, [(e, p, sums[e, p, "n"], sums[e, p, "v"]) for e, p, k in list(sums) if k == "n"], counts)
     hashes = np.array([M.word_hash(w) for w in vocabulary], np.uint64).view(np.int64)
     endings = np.array([M.ending(w) for w in vocabulary])
-    of_word, part = classes(M.pa.array(vocabulary, M.pa.binary()), hashes, endings)
+    of_word, part = classes(M.pa.array(vocabulary, M.pa.binary()), hashes, endings, np.array([M.bucket_part(w) for w in vocabulary]))
     assert len(set(zip(of_word[part < M.NAMED].tolist(), part[part < M.NAMED].tolist()))) == (part < M.NAMED).sum()
     codes = np.array([c for w in range(len(vocabulary)) for c in (7, 11, w)], np.int32)  # the same two words before each
     x, y, u, z = M.history(codes, np.full(len(vocabulary), 3), hashes, of_word, part)
     third = np.arange(len(vocabulary)) * 4 + 2
-    p_class = np.exp(M.log_softmax(M.logits(weights[0], M.with_bias(x)[third])))
-    p_part = np.exp(M.log_softmax(M.logits(weights[1], u[third])))
+    p_class = np.exp(M.log_softmax(M.logits(weights[0], x[third], np.zeros(len(third), int))))
+    p_part = np.exp(M.log_softmax(M.logits(weights[1], u[third], y[third])))
     rows = np.arange(len(third))
     own = p_class[rows, y[third]] * p_part[rows, z[third]]
     inside = np.array([1.0 if p < M.NAMED else (counts[w] + 1) / totals[c, p] for w, c, p in zip(vocabulary, of_word, part)])
