@@ -1,16 +1,19 @@
 """Benchmark decontamination: block-max retrieval from a BM25 index of test items, then overlap checks.
 
-Test items are cut into segments of at most STRIDE words and indexed. Every window of 2 * STRIDE words of
-every text, STRIDE apart, is a query, so each place where a segment may stand lies whole in a window. Segments
-lie in blocks of BLOCK; the sum of its words' largest impacts in a block bounds a window's scores there, and only
-blocks whose bound reaches the threshold are scored exactly. A segment is retrieved at THRESHOLD of the score that it gives itself. Retrieved items
+Test items are cut into segments of at most STRIDE words and indexed: each word has a list of segments with its impact there, in
+order, and the largest impact of each block of BLOCK segments. Every window of 2 * STRIDE words of
+every text, STRIDE apart, is a query, so each place where a segment may stand lies whole in a window. A query is a block-max WAND walk:
+cursors on the lists of its words, sorted by segment; the pivot is the first segment where the words' largest impacts add up to
+the threshold; if the largest impacts in its block don't, the cursors skip the block (or go on to the next cursor's segment), else they move up to the pivot,
+which is scored exactly once all stand there. The walks of many windows take their steps together, in numpy. A segment is retrieved at
+THRESHOLD of the score that it gives itself. Retrieved items
 are verified on the whole text: the shares of an item's words that lie in shared runs of
 SHINGLE words must reach OVERLAP over all and PART in question and answer each.
 
 Words are lower-case letters and digits of white-space tokens. Question and answer part after the first
 question mark or line end inside an item, else at half its words. Items that are null or have no words match
 nothing; items of fewer than SHINGLE words need their whole run. Null and empty texts match nothing. Null and
-repeated ids pass through, a row for each row and item. The index is built for SHARD items at a time; more items
+repeated ids of any type pass through, a row for each row and item. The index is built for SHARD items at a time; more items
 mean more passes over the texts, not a larger index. Extra columns are dropped by matches() and kept by reject().
 """
 
@@ -24,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from seepage.llm.bpe import expand
 from seepage.llm.common import bound_batches, decided, frugal, slices, table
 
 STRIDE = 32
@@ -37,6 +40,8 @@ PART = 0.5
 #: Most items in one index, which goes to every task.
 SHARD = 20_000
 MEMO_WORDS = 100_000
+#: Windows whose walks take their steps together.
+WALKS = 2_000
 K1, B = 1.2, 0.75
 
 
@@ -92,23 +97,20 @@ class Index:
         rows.sort()
         term = np.array([r[0] for r in rows], np.int64)
         seg = np.array([r[1] for r in rows], np.int64)
-        self.value = np.array([r[2] for r in rows])
+        self.seg = np.concatenate((seg, [0]))
+        self.value = np.array([*(r[2] for r in rows), 0.0])
         self.key = term * max(self.segments, 1) + seg
         pair = term * max(self.blocks, 1) + seg // BLOCK
         cuts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
-        self.block = (pair[cuts] % max(self.blocks, 1)).astype(np.int64)
-        self.top = np.maximum.reduceat(self.value, cuts) if len(cuts) else np.zeros(0)
-        self.count = np.bincount(term[cuts], minlength=len(self.vocabulary) + 1)
-        self.first = np.cumsum(self.count) - self.count
-        # Words of many blocks have their largest impacts as rows of a matrix, the others as lists.
-        wide = np.flatnonzero(self.count > max(4, self.blocks // 4))
-        self.column = np.full(len(self.vocabulary) + 1, len(wide))
-        self.column[wide] = np.arange(len(wide))
-        self.common = np.zeros((len(wide) + 1, self.blocks), np.float32)
-        for k, t in enumerate(wide.tolist()):
-            a = self.first[t]
-            self.common[k, self.block[a : a + self.count[t]]] = self.top[a : a + self.count[t]]
-        self.count[wide] = 0
+        top = np.maximum.reduceat(self.value[:-1], cuts) if len(cuts) else np.zeros(0)
+        self.block_key, self.block_top = np.concatenate((pair[cuts], [-1])), np.concatenate((top, [0.0]))
+        #: By posting: the largest impact of its word in its block.
+        self.near_top = np.concatenate((np.repeat(top, np.diff(np.concatenate((cuts, [len(pair)])))), [0.0]))
+        count = np.bincount(term, minlength=len(self.vocabulary) + 1)
+        self.end = np.cumsum(count)
+        self.begin = self.end - count
+        self.most = np.zeros(len(self.vocabulary) + 1)
+        np.maximum.at(self.most, term, self.value[:-1])
         self.shingles = [self._shingles(w) for w in self.words]
 
     @staticmethod
@@ -122,36 +124,66 @@ class Index:
         return h
 
     def retrieve(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, segment, score) of all segments at the threshold; windows: sorted distinct codes, the last code for none."""
+        """(window, segment, score) of all segments at the threshold; windows: distinct codes, the last code for none."""
+        live = np.flatnonzero(self.most[windows].sum(axis=1) >= THRESHOLD - 1e-9)
+        words = (windows[live] < len(self.vocabulary)).sum(axis=1)
+        order = np.argsort(words, kind="stable")
+        live, words = live[order], words[order]
         out = []
-        rows = max(1, 2_000_000 // max(self.blocks, 1))
-        for start in range(0, len(windows), rows):
-            w = windows[start : start + rows]
-            has = np.zeros((len(w), len(self.common)), np.float32)
-            has[np.arange(len(w))[:, None], self.column[w]] = 1
-            bound = (has @ self.common).astype(np.float64).ravel()
-            at = np.flatnonzero(self.count[w].ravel())
-            codes = w.ravel()[at]
-            n = self.count[codes]
-            cell = np.repeat(at // w.shape[1] * self.blocks, n) + expand(codes, self.count, self.first, self.block)
-            bound += np.bincount(cell, weights=expand(codes, self.count, self.first, self.top), minlength=len(bound))
-            hit = np.flatnonzero(bound >= THRESHOLD - 1e-5)
-            p, s = hit // self.blocks, (hit % self.blocks)[:, None] * BLOCK + np.arange(BLOCK)
-            for a in range(0, len(p), 4000):
-                key = w[p[a : a + 4000]][:, None, :] * self.segments + s[a : a + 4000, :, None]
-                i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-                score = np.where(self.key[i] == key, self.value[i], 0.0).sum(axis=2)
-                x, y = np.nonzero((score >= THRESHOLD) & (s[a : a + 4000] < self.segments))
-                out.append((start + p[a + x], s[a + x, y], score[x, y]))
+        for a in range(0, len(live), WALKS):  # of about as many words each
+            part = live[a : a + WALKS]
+            out.append(self._walk(np.sort(windows[part], axis=1)[:, : words[a : a + WALKS].max()], part))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
-    def overlaps(self, codes: np.ndarray, item: int) -> tuple[float, float, float]:
-        """Shares of an item's words, of its question's and of its answer's, in runs shared with a text."""
+    def _walk(self, w: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Block-max WAND of all windows at once, a step of each at a time."""
+        least, past = THRESHOLD - 1e-9, max(self.segments, 1)
+        most, end, at = self.most[w], self.end[w], self.begin[w]
+        now = np.where(at < end, self.seg[at], past)  # the segment under each cursor; past: the list is at its end
+        found = []
+        while len(w):
+            order = np.argsort(now, axis=1)
+            sorted_now = np.take_along_axis(now, order, axis=1)
+            reach = np.cumsum(np.where(sorted_now < past, np.take_along_axis(most, order, axis=1), 0.0), axis=1) >= least
+            live = reach[:, -1]
+            if not live.all():
+                w, number, most, end, at, now, sorted_now, reach = (x[live] for x in (w, number, most, end, at, now, sorted_now, reach))
+                if not len(w):
+                    break
+            pivot = sorted_now[np.arange(len(w)), reach.argmax(axis=1)]
+            under = now <= pivot[:, None]
+            block = pivot // BLOCK
+            row, col = np.nonzero(under)
+            top = self.near_top[at[row, col]]
+            other = np.flatnonzero(now[row, col] // BLOCK < block[row])
+            if len(other):
+                key = w[row[other], col[other]] * self.blocks + block[row[other]]
+                i = np.searchsorted(self.block_key[:-1], key)
+                top[other] = np.where(self.block_key[i] == key, self.block_top[i], 0.0)
+            bound = np.bincount(row, weights=top, minlength=len(w)) >= least
+            scored = bound & (sorted_now[:, 0] == pivot)
+            if scored.any():
+                score = np.where(now == pivot[:, None], self.value[at], 0.0)[scored].sum(axis=1)
+                hit = score >= THRESHOLD
+                found.append((number[scored][hit], pivot[scored][hit], score[hit]))
+            after = np.where(under, past, now).min(axis=1)  # the first segment of a cursor beyond the pivot
+            target = np.where(scored, pivot + 1, np.where(bound, pivot, np.minimum((block + 1) * BLOCK, after)))
+            row, col = np.nonzero(now < target[:, None])
+            i = np.searchsorted(self.key, w[row, col] * self.segments + target[row])
+            at[row, col] = i
+            now[row, col] = np.where(i < end[row, col], self.seg[i], past)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+    def overlaps(self, codes: np.ndarray, item: int, made: dict | None = None) -> tuple[float, float, float]:
+        """Shares of an item's words, of its question's and of its answer's, in runs shared with a text; made keeps the text's shingles for its other items."""
         words, head = self.words[item], self.heads[item]
         width = min(SHINGLE, len(words))
         if len(codes) < width:
             return 0.0, 0.0, 0.0
-        hit = np.isin(self.shingles[item], self._shingles(codes, width))
+        made = {} if made is None else made
+        if width not in made:
+            made[width] = self._shingles(codes, width)
+        hit = np.isin(self.shingles[item], made[width])
         covered = np.zeros(len(words) + 1, int)
         at = np.flatnonzero(hit)
         np.add.at(covered, at, 1)
@@ -199,8 +231,9 @@ def matcher(index: Index):
             for d, s, v in zip(owner[window].tolist(), segment.tolist(), score.tolist()):
                 k = (d, index.item_of[s])
                 best[k] = max(best.get(k, 0.0), v)
+            made: dict[int, dict] = {}
             for (d, item), v in best.items():
-                whole, question, answer = index.overlaps(codes[d], item)
+                whole, question, answer = index.overlaps(codes[d], item, made.setdefault(d, {}))
                 if whole >= OVERLAP and question >= PART and answer >= PART:
                     out[start + d].append((index.ids[item], v, question, answer))
         return out
@@ -209,33 +242,34 @@ def matcher(index: Index):
 
 
 def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Indexes of at most about SHARD items each."""
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    """Indexes of at most about SHARD items each, as broadcast variables: each goes to an executor once."""
+    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     n = max(1, math.ceil(rows.count() / SHARD))
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield Index(sorted(((r["id"], r["text"]) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        own = sorted(((r["id"], r["text"]) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1]))
+        yield items.sparkSession.sparkContext.broadcast(Index(own))
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """docs -> (id_col, item_id, score, question_overlap, answer_overlap), a row for each verified text and item."""
     bound_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, item_kind = docs.schema[id_col].dataType, items.schema[item_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["id", "item_id", "score", "question_overlap", "answer_overlap"]
+    kinds = [to_arrow_type(kind), to_arrow_type(item_kind), pa.float64(), pa.float64(), pa.float64()]
 
     def search(index):
         def run(batches):
-            of = matcher(index)
+            of = matcher(index.value)
             for batch in batches:
                 found = [(i, *m) for i, ms in zip(batch.column(0).to_pylist(), of(batch.column(1).to_pylist())) for m in ms]
-                kinds = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=names)
 
-        return rows.mapInArrow(frugal(run), f"id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
+        return rows.mapInArrow(frugal(run), f"id {kind.simpleString()}, item_id {item_kind.simpleString()}, score double, question_overlap double, answer_overlap double")
 
     out = None
-    for index in shards(items):
+    for index in shards(items, item_col):
         part = search(index)
         out = part if out is None else out.union(part)
     return out.withColumnRenamed("id", id_col)
@@ -247,7 +281,7 @@ def reject(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFra
 
     def judge(index):
         def start():
-            of = matcher(index)
+            of = matcher(index.value)
             return lambda texts: [not m for m in of(texts)]
 
         return start
