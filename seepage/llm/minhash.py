@@ -254,8 +254,10 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 #: A bucket and a pair of its blocks.
 KEYS = ("code", "bi", "bj")
-#: Pairs that are looked at together.
+#: Pairs that are looked at together, runs from which on a matrix product looks at them, and the counts that it tells apart.
 PAIRS = 20_000
+CROWD = 40
+LEVELS = 12
 
 
 def whole_runs(batches):
@@ -294,11 +296,26 @@ def _candidates(rows: pa.Table):
             if ok.any():
                 yield x[ok], y[ok]
 
+    def crowd(a: int, b: int):
+        """Of a large run, pairs by one matrix product: the words in common are at most those of bins, counted up to LEVELS, and what is over."""
+        held = bins[a:b].astype(np.int16) if n[a:b].max() < 1 << 15 else bins[a:b].astype(np.int64)
+        steps = (held[:, :, None] > np.arange(LEVELS)).reshape(b - a, -1)
+        steps = steps[:, steps.any(axis=0)].astype(np.float32)
+        over = np.maximum(held - LEVELS, 0).sum(axis=1)
+        both = steps @ steps.T + np.minimum(over[:, None], over[None, :])
+        length = n[a:b]
+        i, j = np.nonzero(np.triu((both >= SIMILARITY * np.maximum(length[:, None], length[None, :])) | ((length[:, None] >= MOST) & (length[None, :] >= MOST)), 1))
+        return i + a, j + a
+
     pairs_of = lru_cache(maxsize=64)(lambda m: np.triu_indices(m, 1))
     cuts = [*np.flatnonzero(run_starts(rows)).tolist(), len(n)]
     some, total = [], 0
     for a, b in zip(cuts, cuts[1:]):
-        i, j = pairs_of(b - a)
+        if b - a > CROWD:
+            i, j = crowd(a, b)
+            a = 0
+        else:
+            i, j = pairs_of(b - a)
         some.append((i + a, j + a))
         total += len(i)
         if total >= PAIRS:

@@ -167,6 +167,20 @@ def test_a_bucket_yields_fewer_edges_than_members():
     assert sum(b.num_rows for b in M._cross_rows(one.to_batches())) == 0
 
 
+def test_crowds_admit_the_same_pairs(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    base = [f"w{rng.randint(0, 60)}" for _ in range(120)]
+    texts = [" ".join([w if rng.random() > share else f"x{rng.randint(0, 50)}" for w in base] + ["z"] * (i % 40)) for i, share in enumerate([0.02, 0.15, 0.3, 0.6] * 20)]
+    n, _, bins = M.Sketcher()(texts)
+    rows = pa.table({"code": [1] * 80, "bi": [0] * 80, "bj": [1] * 80, "block": [i % 2 for i in range(80)], "comp": pa.array([b"%d" % (i % 9) for i in range(80)], pa.binary()), "n": n, "bins": pa.array([b.astype(np.uint16).tobytes() for b in bins], pa.binary())})
+    found = lambda: sorted(p for i, j in M._candidates(rows) for p in zip(i.tolist(), j.tolist()))
+    crowd = found()
+    monkeypatch.setattr(M, "CROWD", 1000)
+    assert crowd == found() and 0 < len(crowd) < 2000
+
+
 def test_leftovers_meet_every_block(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 4)
     rows = [(1, b"%03d" % i, 10, b"main" if i < 30 else b"%03d" % i) for i in range(40)]
