@@ -13,7 +13,7 @@ centre of its buckets' centres that it meets most often; what is found near beco
 whose members are not yet in one component are left. There, the members outside the bucket's largest component are
 compared with all others of other components, in blocks of BLOCK, where a bound on common words does not rule a pair out; a pair
 found near joins its components at once, so that a block yields fewer edges than members. What is never compared is in one
-component already or shares no sketch. Pairs at SIMILARITY by random substitutions share a sketch with a probability of about 0.9, at 0.85 of
+component already or shares no sketch. Pairs at SIMILARITY by random substitutions share a sketch with a probability of about 0.93, at 0.85 of
 0.99 (the README has measured shares).
 
 Null texts are compared with nothing and stay. Empty texts equal each other. Texts of fewer words than a k-mer have one
@@ -39,7 +39,7 @@ from seepage.llm.common import bound_batches, bucketed, frugal, materialize, par
 from seepage.llm.components import connected_components
 
 SHINGLE = 5
-SLOTS = 72
+SLOTS = 96
 SAMPLE = 2
 #: K-mers of smallest hash that the slots draw from.
 SKETCH_KMERS = 96

@@ -40,7 +40,7 @@ def test_sketch_labels_repeats_and_keeps_order():
     texts = [long, long, "", "x", None, "r " * 150, "r " * 151, "a b", " ".join(f"w{i}" for i in range(70))]
     n, sketches, bins = s(texts)
     assert n.tolist() == [90, 90, 0, 1, 0, 150, 151, 2, 70] and (sketches[0] == sketches[1]).all()
-    assert [len(x) for x in sketches] == [72, 72, 0, 32, 0, 72, 72, 32, 104]
+    assert [len(x) for x in sketches] == [96, 96, 0, 32, 0, 96, 96, 32, 128]
     assert (bins.sum(axis=1) == n).all()
     assert (sketches[5] == sketches[6]).any()
     alone = M.Sketcher()(["r " * 151])[1]
