@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seepage.operators.aggregate import clip
 
+#: Fixed value: names of ribosomal and mitochondrial genes.
 HOUSEKEEPING = r"^(Rp[lsp]|Rps|Rpl|Mt-|MT-|mt-|RP[LS]|MT)"
 
 
@@ -32,6 +33,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def parse_tag(tag: Column) -> Column:
     """O-74: struct of dataset and window bounds of 'name_x1-2_y3-4'; null without such an end."""
+    #: Fixed value: the form of a tag.
     pattern = r"^(.*)_x(\d+)-(\d+)_y(\d+)-(\d+)$"
     part = lambda i: F.regexp_extract(tag, pattern, i)
     names = ("x0", "x1", "y0", "y1")
@@ -53,3 +55,28 @@ def syntactic_name(name: Column) -> Column:
     """O-76: other characters than letters, digits, dot and underscore as dots; X before a bad start. Repeats are numbered by unique_names."""
     clean = F.regexp_replace(name, r"[^A-Za-z0-9._]", ".")
     return F.when(clean.rlike(r"^([A-Za-z]|\.(?![0-9]))"), clean).otherwise(F.concat(F.lit("X"), clean))
+
+
+def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
+    """O-76: the syntactic form of a name column, repeats numbered .1, .2, ... in order; a number whose name is taken already is passed over.
+
+    Rows of one name meet in a window, so names should repeat seldom."""
+    clean = df.withColumn(name, syntactic_name(F.col(name)))
+    taken = clean.select(F.col(name).alias("taken_")).distinct()
+    w = Window.partitionBy(name).orderBy(order)
+    ranked = clean.withColumn("k_", F.row_number().over(w) - 1)
+    repeats = ranked.where("k_ > 0").groupBy(name).agg(F.max("k_").alias("most_"))
+    # Of the suffixes 1 .. most + number of taken ones, those that no name has.
+    tried = repeats.withColumn("suffix_", F.explode(F.sequence(F.lit(1), 2 * F.col("most_") + 8)))
+    free = tried.join(taken, F.concat(F.col(name), F.lit("."), F.col("suffix_").cast("string")) == F.col("taken_"), "left_anti")
+    free = free.withColumn("k_", F.row_number().over(Window.partitionBy(name).orderBy("suffix_"))).select(name, "k_", "suffix_")
+    named = ranked.join(free, [name, "k_"], "left")
+    return named.withColumn(name, F.when(F.col("k_") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("."), F.col("suffix_").cast("string")))).select(*df.columns)
+
+
+def grid_of(bin_id: Column) -> Column:
+    """O-17, O-75: struct (x, y) of ids like s_002um_<x>_<y>-1, twice their grid numbers; other ids raise."""
+    pattern = r"^s_002um_(\d+)_(\d+)(-.*)?$"
+    at = lambda i: F.regexp_extract(bin_id, pattern, i).cast("double") * 2
+    bad = F.raise_error(F.concat(F.lit("unexpected bin id: "), F.coalesce(bin_id, F.lit("null"))))
+    return F.when(bin_id.rlike(pattern), F.struct(at(1).alias("x"), at(2).alias("y"))).otherwise(bad)

@@ -62,14 +62,106 @@ def o101_reference_sample(spark, sf_dir):
     return selection.sample_per_group(Tables(spark, sf_dir).groups(), "grp", "cell_id", 5, 10, 7).select("grp", "cell_id")
 
 
-@query("o19_alignment", ", f AS (SELECT cell_id, count(*) n FROM cell_expr WHERE gene_id < 2 GROUP BY 1), w AS (SELECT cell_id FROM cells WHERE cell_id % 3 <> 0) SELECT count(*) FILTER (WHERE n > 1) n_duplicate, count(*) FILTER (WHERE n IS NULL) n_missing, count(*) FILTER (WHERE want IS NULL) n_extra FROM f FULL JOIN (SELECT cell_id, 1 want FROM w) USING (cell_id)")
+@query("o19_alignment", ", f AS (SELECT label cell_id, count(*) n FROM spots GROUP BY 1), w AS (SELECT DISTINCT cell_id FROM cell_expr) SELECT count(*) FILTER (WHERE n > 1) n_duplicate, count(*) FILTER (WHERE n IS NULL) n_missing, count(*) FILTER (WHERE want IS NULL) n_extra FROM f FULL JOIN (SELECT cell_id, 1 want FROM w) USING (cell_id)")
 def o19_alignment(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return selection.alignment(t.get("cell_expr").where("gene_id < 2"), t.get("cells").where("cell_id % 3 <> 0"), "cell_id")
+    return selection.alignment(t.data.spots.withColumnRenamed("label", "cell_id"), t.get("cell_expr"), "cell_id")
 
 
-@query("o92_compare", f", a AS (SELECT 20.0::DOUBLE * (SELECT count(*) FROM cells) n, sum(x) sx, sum(y) sy, sum(x * x) sxx, sum(y * y) syy, sum(x * y) sxy, sum((x - y) * (x - y)) sdd FROM xy) SELECT round({corr('n')}, 6) pearson, round(sqrt(sdd / n), 6) rmse, (SELECT round(avg({corr('n')}), 6) FROM pear) cell_pearson FROM a")
+RANKS = """, e AS (SELECT cell_id, gene_id, coalesce(x, 0) x, coalesce(y, 0) y FROM cg LEFT JOIN xy USING (cell_id, gene_id)), rk AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE y FROM e)"""
+
+
+@query("o92_compare", f"{RANKS}, a AS (SELECT 20.0::DOUBLE * (SELECT count(*) FROM cells) n, sum(x) sx, sum(y) sy, sum(x * x) sxx, sum(y * y) syy, sum(x * y) sxy, sum((x - y) * (x - y)) sdd FROM xy) SELECT round({corr('n')}, 6) pearson, (SELECT round(corr(x, y), 6) FROM rk) spearman, round(sqrt(sdd / n), 6) rmse, (SELECT round(avg({corr('n')}), 6) FROM pear) cell_pearson FROM a")
 def o92_compare(spark, sf_dir):
     t = Tables(spark, sf_dir)
     one = selection.compare(t.fixed(), t.get("cell_expr"), GENES, t.get("cells").count())
-    return one.select(*(r(c).alias(c) for c in ("pearson", "rmse", "cell_pearson")))
+    return one.select(*(r(c).alias(c) for c in ("pearson", "spearman", "rmse", "cell_pearson")))
+
+
+#: The names of groups as texts, as annotations are.
+NAMES = ", names AS (SELECT * FROM (VALUES (0, 'T cell'), (1, 'B cell'), (2, 'Fibroblast'), (3, 'Endothelial'), (4, 'Tumour/edge')) v(grp, kind))"
+
+
+def _named(df, spark):
+    names = spark.createDataFrame([(0, "T cell"), (1, "B cell"), (2, "Fibroblast"), (3, "Endothelial"), (4, "Tumour/edge")], "grp long, kind string")
+    return df.join(F.broadcast(names), "grp").drop("grp").withColumnRenamed("kind", "grp")
+
+
+@query("o87_text_groups", f"""{NAMES}, rn AS (SELECT kind grp, gene_id, mean FROM ref JOIN names USING (grp)), fn AS (SELECT kind grp, gene_id, mean FROM pb_fixed JOIN names USING (grp)),
+tt AS (SELECT gene_id, arg_min(grp, (-mean, grp)) target, max(mean) peak, sum(mean) total FROM rn GROUP BY 1), s AS (SELECT gene_id, target, sum(mean) total, sum(CASE WHEN grp = target THEN mean ELSE 0 END) own FROM fn JOIN tt USING (gene_id) GROUP BY 1, 2)
+SELECT gene_id, s.target, CASE WHEN own > 0 THEN round((s.total - own) / 4 / own, 6) END score, round(peak / tt.total, 6) specificity FROM s JOIN tt USING (gene_id)""")
+def o87_text_groups(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    reference = _named(t.get("reference"), spark)
+    scores = metrics.contamination(_named(t.get("pb_fixed"), spark), reference, GROUPS)
+    return scores.join(metrics.specificity(reference).select("gene_id", "specificity"), "gene_id").select("gene_id", "target", r("score").alias("score"), r("specificity").alias("specificity"))
+
+
+@query("o99_text_types", f"{NAMES}, w AS (SELECT cell_id, kind, n FROM cell_expr JOIN names ON gene_id % 5 = grp), m AS (SELECT cell_id, kind, sum(n) n FROM w GROUP BY 1, 2) SELECT cell_id, arg_min(kind, (-n, kind)) first_type, max(n) - min(n) score_delta FROM m GROUP BY 1")
+def o99_text_types(spark, sf_dir):
+    kinds = _named(Tables(spark, sf_dir).get("cell_expr").withColumn("grp", F.col("gene_id") % 5), spark).groupBy("cell_id", F.col("grp").alias("kind")).agg(F.sum("n").alias("n"))
+    return selection.first_types(kinds, "cell_id", "kind", "n")
+
+
+@query("o89_class_spearman", """, full_ AS (SELECT grp, gene_id, coalesce(mean, 0) mean FROM (SELECT DISTINCT grp FROM pb_raw) CROSS JOIN genes LEFT JOIN pb_raw USING (grp, gene_id)),
+q AS (SELECT grp, gene_id, rank() OVER (PARTITION BY grp ORDER BY mean) + (count(*) OVER (PARTITION BY grp, mean) - 1) / 2.0::DOUBLE x FROM full_), k AS (SELECT a.grp a, b.grp b, coalesce(corr(a.x, b.x), 0) c FROM q a JOIN q b USING (gene_id) WHERE a.grp < b.grp GROUP BY 1, 2) SELECT round(avg(c), 6) mean_r, count(*) pairs FROM k""")
+def o89_class_spearman(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return metrics.class_spearman(t.get("pb_raw"), t.data.counts.select("gene_id").distinct()).select(r("mean_r").alias("mean_r"), "pairs")
+
+
+#: Two-sided p of t with a whole number of degrees of freedom, by the finite series in the cosine of atan(t / sqrt(df)).
+SERIES = """, k AS (SELECT grp, gene_id, any_value(members) m, coalesce(sum(v), 0) s, coalesce(sum(v * v), 0) q FROM members CROSS JOIN genes LEFT JOIN (SELECT * FROM norm JOIN grp USING (cell_id)) z USING (grp, gene_id) GROUP BY 1, 2),
+w AS (SELECT a.gene_id, a.grp a, b.grp b, a.m + b.m - 2 df, a.s / a.m - b.s / b.m diff, sqrt(greatest((a.q - a.s * a.s / a.m + b.q - b.s * b.s / b.m) / (a.m + b.m - 2), 0) * (1 / a.m + 1 / b.m)) se FROM k a JOIN k b USING (gene_id) WHERE a.grp < b.grp),
+tv AS (SELECT gene_id, a, b, df, atan(abs(diff / se) / sqrt(df)) th FROM w WHERE se > 1e-12),
+terms AS (SELECT gene_id, a, b, df, th, i, CASE WHEN df % 2 = 0 THEN exp(sum(CASE WHEN i = 0 THEN 0 ELSE ln((2 * i - 1) / (2.0 * i)) END) OVER o) * cos(th) ** (2 * i) ELSE exp(sum(CASE WHEN i = 0 THEN 0 ELSE ln((2.0 * i) / (2 * i + 1)) END) OVER o) * cos(th) ** (2 * i + 1) END x
+  FROM (SELECT *, unnest(range(0, CASE WHEN df % 2 = 0 THEN df // 2 ELSE (df - 1) // 2 END)) i FROM tv) WINDOW o AS (PARTITION BY gene_id, a, b ORDER BY i)),
+pv AS (SELECT t.gene_id, t.a, t.b, 1 - CASE WHEN any_value(t.df) % 2 = 0 THEN sin(any_value(t.th)) * coalesce(sum(x), 0) ELSE 2 / pi() * (any_value(t.th) + sin(any_value(t.th)) * coalesce(sum(x), 0)) END p FROM tv t LEFT JOIN terms USING (gene_id, a, b) GROUP BY 1, 2, 3)
+"""
+
+
+@query("o90_p_value", f"{SERIES} SELECT gene_id, a, b, round(p, 6) p FROM pv")
+def o90_p_value(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    tests = metrics.t_statistics(t.get("norm"), t.groups(), t.data.counts.select("gene_id").distinct()).where("t is not null")
+    return tests.select("gene_id", "a", "b", r(metrics.student_p(F.col("t"), F.col("df").cast("double"))).alias("p"))
+
+
+@query("o90_de_count", f"{SERIES}, top AS (SELECT gene_id FROM norm, (SELECT count(*)::DOUBLE c FROM cells) GROUP BY gene_id, c ORDER BY sum(v * v) / c - (sum(v) / c) * (sum(v) / c) DESC, 1 LIMIT 12) SELECT count(*) n_tests, count(*) FILTER (WHERE p < 0.05) n_de FROM pv WHERE gene_id IN (SELECT gene_id FROM top)")
+def o90_de_count(spark, sf_dir):
+    """O-90, O-139: over the 12 most variable of the 20 genes; the top 200 of the measure is its feature."""
+    t = Tables(spark, sf_dir)
+    return metrics.differential_genes(t.get("norm"), t.groups(), t.data.counts.select("gene_id").distinct(), t.get("cells").count(), 12)
+
+
+@query("o55_reference_profiles", f"{NAMES}, c AS (SELECT replace(kind, '/', '-') grp, count(*) members FROM grp JOIN names USING (grp) GROUP BY 1 HAVING count(*) >= 20), sy AS (SELECT gene_id, 'G' || gene_id % 15 gene_name FROM genes), cp AS (SELECT gene_name, count(*) copies FROM sy GROUP BY 1), s AS (SELECT replace(kind, '/', '-') grp, gene_name, sum(v) total FROM norm JOIN grp USING (cell_id) JOIN names USING (grp) JOIN sy USING (gene_id) GROUP BY 1, 2) SELECT grp, gene_name, round(coalesce(total, 0) / members / copies, 6) mean FROM c CROSS JOIN cp LEFT JOIN s USING (grp, gene_name)")
+def o55_reference_profiles(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    symbols = t.data.counts.select("gene_id").distinct().withColumn("gene_name", F.concat(F.lit("G"), (F.col("gene_id") % 15).cast("string")))
+    return metrics.reference_profiles(t.get("norm"), symbols, _named(t.groups(), spark)).select("grp", "gene_name", r("mean").alias("mean"))
+
+
+@query("o68_method_wins", """, s AS (SELECT r.grp, 'raw' method, sqrt(avg((p.mean - r.mean) * (p.mean - r.mean))) rmse FROM ref r JOIN pb_raw p USING (grp, gene_id) GROUP BY 1 UNION ALL SELECT r.grp, 'fixed', sqrt(avg((p.mean - r.mean) * (p.mean - r.mean))) FROM ref r JOIN pb_fixed p USING (grp, gene_id) GROUP BY 1)
+SELECT method, count(*) wins FROM (SELECT grp, arg_min(method, (rmse, method)) method FROM s GROUP BY 1) GROUP BY 1""")
+def o68_method_wins(spark, sf_dir):
+    return selection.method_wins(o68_best_method(spark, sf_dir), "method")
+
+
+@query("o52_zero_cells", "SELECT cell_id FROM lib WHERE library = 0")
+def o52_zero_cells(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return metrics.zero_libraries(t.get("cells"), t.get("cell_expr"))
+
+
+@query("o144_corrected_genes", "SELECT gene_id FROM fit WHERE r2 >= 0.01")
+def o144_corrected_genes(spark, sf_dir):
+    return selection.corrected_genes(Tables(spark, sf_dir).get("fit"), 0.01)
+
+
+@query("o97_route_change", """, route AS (SELECT x.method, x.grp source, y.grp target, x.mean * y.mean / (50 + x.mean * y.mean) p FROM (SELECT *, 'raw' method FROM pb_raw UNION ALL SELECT *, 'fixed' FROM pb_fixed) x JOIN (SELECT grp, gene_id, mean, 'raw' m FROM pb_raw UNION ALL SELECT grp, gene_id, mean, 'fixed' FROM pb_fixed) y ON x.gene_id = 0 AND y.gene_id = 1 AND x.method = y.m),
+q AS (SELECT source, target, sum(p) FILTER (WHERE method = 'raw') raw_p, sum(p) FILTER (WHERE method = 'fixed') fixed_p FROM route GROUP BY 1, 2) SELECT source, target, round(raw_p, 6) raw_p, round(fixed_p, 6) fixed_p, round(100 * fixed_p / nullif(raw_p, 0), 6) retained, round(100 * (fixed_p / nullif(raw_p, 0) - 1), 6) change FROM q""")
+def o97_route_change(spark, sf_dir):
+    """O-96, O-97: each route's probability, and what remains of it against the raw table."""
+    t = Tables(spark, sf_dir)
+    both = t.get("pb_raw").withColumn("method", F.lit("raw")).unionByName(t.get("pb_fixed").withColumn("method", F.lit("fixed")))
+    return metrics.route_change(both, 0, 1, "raw", "fixed").select("source", "target", *(r(c).alias(c) for c in ("raw_p", "fixed_p", "retained", "change")))

@@ -1,7 +1,7 @@
 """Registered queries of the evaluation metrics, each with its SQL.
 
 Cells belong to groups by their tile column (group = cell_id / 1000 mod 5). The 'fixed' table is the raw one less
-an amount that depends on gene and cell, and the reference is the raw table's odd cells, so that every metric has two sides."""
+an amount that depends on gene and cell, and the reference is the raw table's cells with a library of the mean at least, so that every metric has two sides."""
 
 from __future__ import annotations
 
@@ -26,8 +26,8 @@ fixed AS (SELECT gene_id, cell_id, greatest(n - (gene_id + cell_id) % 7, 0) n FR
 norm AS (SELECT gene_id, cell_id, ln(1 + n / greatest(library, 1) * 1e4) v FROM cell_expr JOIN lib USING (cell_id)),
 pb_raw AS (SELECT grp, gene_id, sum(n) / any_value(members) mean FROM cell_expr JOIN grp USING (cell_id) JOIN members USING (grp) GROUP BY 1, 2),
 pb_fixed AS (SELECT grp, gene_id, sum(n) / any_value(members) mean FROM fixed JOIN grp USING (cell_id) JOIN members USING (grp) GROUP BY 1, 2),
-odd AS (SELECT grp, count(*) members FROM grp WHERE cell_id % 2 = 1 GROUP BY 1 HAVING count(*) >= 3),
-ref AS (SELECT grp, gene_id, sum(n) / any_value(members) mean FROM cell_expr JOIN grp USING (cell_id) JOIN odd USING (grp) WHERE cell_id % 2 = 1 GROUP BY 1, 2),
+odd AS (SELECT grp, count(*) members FROM grp JOIN lib USING (cell_id) WHERE library >= (SELECT avg(library) FROM lib) GROUP BY 1 HAVING count(*) >= 3),
+ref AS (SELECT grp, gene_id, sum(n) / any_value(members) mean FROM cell_expr JOIN grp USING (cell_id) JOIN odd USING (grp) JOIN lib USING (cell_id) WHERE library >= (SELECT avg(library) FROM lib) GROUP BY 1, 2),
 cg AS (SELECT c.cell_id, g.gene_id FROM cells c, genes g),
 xy AS (SELECT cell_id, gene_id, coalesce(f.n, 0) x, coalesce(e.n, 0) y FROM cell_expr e FULL JOIN fixed f USING (cell_id, gene_id)),
 pear AS (SELECT cell_id, 20.0::DOUBLE n, sum(x) sx, sum(y) sy, sum(x * x) sxx, sum(y * y) syy, sum(x * y) sxy, sum((x - y) * (x - y)) sdd FROM xy GROUP BY 1)
@@ -66,8 +66,9 @@ class Tables(Stages):
         return metrics.pseudobulk(self.fixed().withColumnRenamed("n", "v"), self.groups())
 
     def _reference(self) -> DataFrame:
-        odd = self.groups().where("cell_id % 2 = 1")
-        return metrics.pseudobulk(self.get("cell_expr").withColumnRenamed("n", "v"), odd)
+        sizes = metrics.library_sizes(self.get("cells"), self.get("cell_expr"))
+        rich = sizes.crossJoin(F.broadcast(sizes.agg(F.avg("library").alias("middle")))).where("library >= middle")  # one row
+        return metrics.pseudobulk(self.get("cell_expr").withColumnRenamed("n", "v"), self.groups().join(rich.select("cell_id"), "cell_id", "left_semi"))
 
 
 @query("o52_library_qc", "SELECT count(*) n_cells, count(*) FILTER (WHERE library = 0) n_zero, sum(library) total, min(library) least, median(library) median, max(library) most, (SELECT count(*) FROM cell_expr WHERE n < 0) n_negative FROM lib")
@@ -258,15 +259,15 @@ def o96_route_summary(spark, sf_dir):
     return sums.select("method", *(r(c).alias(c) for c in ("total", "autocrine", "paracrine")), r(F.try_divide("autocrine", "paracrine")).alias("ratio"))
 
 
-@query("o98_common_cells", "SELECT cell_id FROM cell_expr WHERE gene_id < 6 GROUP BY 1 HAVING count(DISTINCT gene_id) = (SELECT count(DISTINCT gene_id) FROM cell_expr WHERE gene_id < 6)")
+@query("o98_common_cells", "SELECT cell_id FROM cell_expr GROUP BY 1 HAVING count(DISTINCT gene_id) = (SELECT count(DISTINCT gene_id) FROM cell_expr)")
 def o98_common_cells(spark, sf_dir):
-    return metrics.common_members(Tables(spark, sf_dir).get("cell_expr").where("gene_id < 6"), "gene_id", "cell_id")
+    return metrics.common_members(Tables(spark, sf_dir).get("cell_expr"), "gene_id", "cell_id")
 
 
-@query("o116_incremental_merge", ", n AS (SELECT gene_id, cell_id, n FROM fixed WHERE gene_id % 4 = 0) SELECT gene_id, cell_id, n FROM cell_expr WHERE gene_id NOT IN (SELECT gene_id FROM n) UNION ALL SELECT gene_id, cell_id, n FROM n")
+@query("o116_incremental_merge", ", n AS (SELECT gene_id, cell_id, n FROM fixed WHERE n > 0) SELECT gene_id, cell_id, n FROM cell_expr WHERE cell_id NOT IN (SELECT cell_id FROM n) UNION ALL SELECT gene_id, cell_id, n FROM n")
 def o116_incremental_merge(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return metrics.merge_incremental(t.get("cell_expr"), t.fixed().select("gene_id", "cell_id", "n").where("gene_id % 4 = 0"), "gene_id").select("gene_id", "cell_id", "n")
+    return metrics.merge_incremental(t.get("cell_expr"), t.fixed().select("gene_id", "cell_id", "n").where("n > 0"), "cell_id").select("gene_id", "cell_id", "n")
 
 
 @query("o53_embedding_profiles", "WITH m AS (SELECT label, count(*) c FROM embeddings WHERE label IS NOT NULL GROUP BY 1), x AS (SELECT label, unnest(embedding) v, generate_subscripts(embedding, 1) - 1 dim FROM embeddings WHERE label IS NOT NULL) SELECT CAST(label AS BIGINT) grp, CAST(dim AS BIGINT) gene_id, round(sum(v::DOUBLE) / any_value(c), 6) mean FROM x JOIN m USING (label) WHERE c >= 3 GROUP BY 1, 2", "")

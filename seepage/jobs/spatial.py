@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from seepage.functions.kernels import KERNELS, PENALTIES
 from seepage.model import LeakageModel
 from seepage.operators import aggregate, fit, geometry, graph, validate
+from seepage.operators.ordering import placed
+from seepage.sources import cellbin, sinks
 from seepage.sources.adapter import dataset
 from seepage.storage import stage
 
@@ -228,11 +230,11 @@ def o25_window(spark, sf_dir):
     return aggregate.window_filter(dataset(spark, sf_dir).spots, X_RANGE, Y_RANGE)
 
 
-@query("o35_neighbour_flag", """, near AS (SELECT cell_id, max((cell_id = src)::INT) own FROM (SELECT a.cell_id, b.cell_id src FROM cells a, cells b WHERE b.cell_id % 7 = 0 AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 400) GROUP BY 1)
+@query("o35_neighbour_flag", """, near AS (SELECT cell_id, max((cell_id = src)::INT) own FROM (SELECT a.cell_id, b.cell_id src FROM cells a, cells b WHERE b.area >= (SELECT max(area) FROM cells) AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 400) GROUP BY 1)
 SELECT cell_id, CASE WHEN own = 1 THEN 'source' WHEN own = 0 THEN 'neighbour' ELSE 'other' END category FROM cells LEFT JOIN near USING (cell_id)""")
 def o35_neighbour_flag(spark, sf_dir):
     cells = Stages(spark, sf_dir).get("cells")
-    return graph.neighbour_flags(cells, cells.where("cell_id % 7 = 0"), 20.0)
+    return graph.neighbour_flags(cells, cells.join(F.broadcast(cells.agg(F.max("area").alias("area"))), "area"), 20.0)
 
 
 @query("o36_nearest_within", """, p AS (SELECT spot_id, cell_id, (x - cx) * (x - cx) + (y - cy) * (y - cy) d2 FROM spots, cells WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 100)
@@ -243,11 +245,27 @@ def o36_nearest_within(spark, sf_dir):
     return graph.nearest_within(targets, stages.data.spots.select(F.col("spot_id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py")), 10.0)
 
 
-@query("o37_core_halo", """, t AS (SELECT * FROM (VALUES (0, 0.0, 80.0), (1, 80.0, 160.0), (2, 160.0, 240.0)) t(i, lo, hi))
-SELECT cell_id id, a.i col, b.i "row", a.lo <= cx AND (cx < a.hi OR a.i = 2) AND b.lo <= cy AND (cy < b.hi OR b.i = 2) is_core FROM cells, t a, t b WHERE cx BETWEEN a.lo - 15 AND a.hi + 15 AND cy BETWEEN b.lo - 15 AND b.hi + 15""")
+@query("o37_core_halo", """, g AS (SELECT ceil((max(cx) + 1) / 3) w, ceil((max(cy) + 1) / 3) h FROM cells), t AS (SELECT * FROM (VALUES (0), (1), (2)) t(i))
+SELECT cell_id id, a.i col, b.i "row", least(floor(cx / w), 2) = a.i AND least(floor(cy / h), 2) = b.i is_core FROM cells, g, t a, t b WHERE cx BETWEEN a.i * w - 15 AND (a.i + 1) * w + 15 AND cy BETWEEN b.i * h - 15 AND (b.i + 1) * h + 15""")
 def o37_core_halo(spark, sf_dir):
     points = Stages(spark, sf_dir).get("cells").select(F.col("cell_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    return graph.core_halo(points, [0, 80, 160, 240], [0, 80, 160, 240], 15.0)
+    return graph.core_halo(points, *_tiles(points), 15.0)
+
+
+def _tiles(points: DataFrame) -> list[list[float]]:
+    """Edges of 3 x 3 equal tiles that cover the points."""
+    far = points.agg(F.ceil((F.max("x") + 1) / 3).alias("w"), F.ceil((F.max("y") + 1) / 3).alias("h")).first()
+    return [[float(i * step) for i in range(4)] for step in (far["w"], far["h"])]
+
+
+@query("o118_stitch", "SELECT cell_id id, area FROM cells")
+def o118_stitch(spark, sf_dir):
+    """O-118: results made tile by tile, halo included, and put together from the cores."""
+    cells = Stages(spark, sf_dir).get("cells")
+    points = cells.select(F.col("cell_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    specs = graph.core_halo(points, *_tiles(points), 15.0)
+    tiles = specs.join(cells.select(F.col("cell_id").alias("id"), "area"), "id").select("id", "col", "row", "area")
+    return graph.stitch(tiles, specs)
 
 
 @query("o28_pip", """, e AS (SELECT cell_id, i, cx + 7 * cos(i * pi() / 4) xi, cy + 7 * sin(i * pi() / 4) yi, cx + 7 * cos((i + 7) % 8 * pi() / 4) xj, cy + 7 * sin((i + 7) % 8 * pi() / 4) yj, cx, cy FROM cells, range(8) r(i)),
@@ -286,3 +304,84 @@ def o67_block_order(spark, sf_dir):
 @query("o111_offsets", "SELECT cell_id, count(*) gene_count, CAST(sum(n) AS BIGINT) exp_count, CAST(coalesce(sum(count(*)) OVER (ORDER BY cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) \"offset\" FROM cell_expr GROUP BY 1")
 def o111_offsets(spark, sf_dir):
     return geometry.cell_offsets(Stages(spark, sf_dir).get("cell_expr"))
+
+
+@query("o07_cellbin_decode", "SELECT gene_id, CAST(row_number - 1 AS BIGINT) spot_id, n FROM cell_expr JOIN (SELECT cell_id, row_number() OVER (ORDER BY floor(cy / 64), floor(cx / 64), cy, cx, cell_id) AS row_number FROM cells) o USING (cell_id)")
+def o07_cellbin_decode(spark, sf_dir):
+    """O-07, O-10, O-111: the expression laid out by cell, and read back by the cells' row counts."""
+    stages = Stages(spark, sf_dir)
+    made = sinks.cell_layout(stages.get("cell_expr"), stages.get("cells"), 64)
+    cell = made["cell"].select("idx", F.col("cell_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "gene_count")
+    gene = made["gene"].select(F.col("gene_id").alias("idx"), F.col("gene_id").cast("string").alias("gene_name"))
+    return cellbin.read_cellbin(cell, gene, made["cell_exp"], made["sidecar"]).counts
+
+
+@query("o08_legacy_layout", "SELECT gene_id, CAST(dense_rank() OVER (ORDER BY cell_id) - 1 AS BIGINT) spot_id, n FROM cells JOIN cell_expr USING (cell_id)")
+def o08_legacy_layout(spark, sf_dir):
+    stages = Stages(spark, sf_dir)
+    used = stages.get("cells").join(stages.get("cell_expr").select("cell_id").distinct(), "cell_id", "left_semi")
+    return cellbin.read_legacy(used.select(F.col("cell_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y")), stages.get("cell_expr").select("cell_id", "gene_id", F.col("n").alias("count"))).counts
+
+
+def _bin_file(stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """The counts as a bin matrix: expression rows by gene, and the genes' offsets."""
+    spots = stages.data.spots.select("spot_id", "x", "y")
+    rows = placed(stages.data.counts.join(spots, "spot_id").select("gene_id", "x", "y", F.col("n").alias("count")), ["gene_id", "x", "y"], "idx")
+    rows = stage(rows, "bin-file")
+    genes = rows.groupBy("gene_id").agg(F.count("*").alias("count"), F.min("idx").alias("offset"))
+    return genes.select(F.col("gene_id").alias("idx"), F.col("gene_id").cast("string").alias("gene_name"), "offset", "count"), rows
+
+
+@query("o11_bin_scan", f"""SELECT gene_id, x, y, n FROM counts JOIN spots USING (spot_id) WHERE x BETWEEN {X_RANGE[0]} AND {X_RANGE[1]} AND y BETWEEN {Y_RANGE[0]} AND {Y_RANGE[1]}""")
+def o11_bin_scan(spark, sf_dir):
+    """O-11: a bin matrix, cropped to a region by the scan."""
+    d = cellbin.read_bins(*_bin_file(Stages(spark, sf_dir)), region_um=(*X_RANGE, *Y_RANGE), pitch_um=1.0)
+    return d.counts.join(d.spots, "spot_id").select("gene_id", "x", "y", "n")
+
+
+@query("o12_bin_pair", """, e AS (SELECT cell_id, i, cx + 7 * cos(i * pi() / 4) xi, cy + 7 * sin(i * pi() / 4) yi, cx + 7 * cos((i + 7) % 8 * pi() / 4) xj, cy + 7 * sin((i + 7) % 8 * pi() / 4) yj, cx, cy FROM cells, range(8) r(i)),
+held AS (SELECT DISTINCT spot_id, x, y FROM counts JOIN spots USING (spot_id)),
+hit AS (SELECT spot_id, cell_id, any_value((x - cx) * (x - cx) + (y - cy) * (y - cy)) d2 FROM held, e WHERE x BETWEEN cx - 8 AND cx + 8 AND y BETWEEN cy - 8 AND cy + 8 GROUP BY 1, 2
+  HAVING sum(((yi > y) <> (yj > y) AND x < (xj - xi) * (y - yi) / (CASE WHEN yj = yi THEN 1 ELSE yj - yi END) + xi)::INT) % 2 = 1),
+own AS (SELECT spot_id, arg_min(cell_id, (d2, cell_id)) cell_id FROM hit GROUP BY 1)
+SELECT h.x, h.y, coalesce(dense_rank() OVER (PARTITION BY o.cell_id IS NULL ORDER BY o.cell_id) - 1, -1) * (o.cell_id IS NOT NULL)::BIGINT - (o.cell_id IS NULL)::BIGINT label FROM held h LEFT JOIN own o USING (spot_id)""")
+def o12_bin_pair(spark, sf_dir):
+    """O-12: spots of a bin matrix labelled by the borders of cells, the labels numbered over cells that hold a spot."""
+    stages = Stages(spark, sf_dir)
+    at = lambda f, c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col(c) + 7 * f(i * F.pi() / 4))
+    borders = stages.get("cells").select("cell_id", F.col("cell_id").alias("original_id"), "cx", "cy", F.arrays_zip(at(F.cos, "cx").alias("x"), at(F.sin, "cy").alias("y")).alias("border"))
+    return cellbin.pair(cellbin.read_bins(*_bin_file(stages), pitch_um=1.0), borders).spots.select("x", "y", "label")
+
+
+@query("o15_annotated", "SELECT spot_id, CASE WHEN area >= (SELECT avg(area) FROM cells) THEN 'large' END annotation FROM spots LEFT JOIN cells ON label = cell_id")
+def o15_annotated(spark, sf_dir):
+    """O-15: only the cells that the metadata lists stay cells; here those of at least the mean area."""
+    stages = Stages(spark, sf_dir)
+    cells = stages.get("cells")
+    listed = cells.crossJoin(F.broadcast(cells.agg(F.avg("area").alias("middle")))).where("area >= middle").select("cell_id", F.lit("T1").alias("section_id"), F.lit("large").alias("annotation"))
+    data, names = cellbin.annotated(stages.data, listed, "T1")
+    return data.spots.join(names, F.col("label") == F.col("cell_id"), "left").select("spot_id", "annotation")
+
+
+@query("o16_largest_genes", ", t AS (SELECT gene_id, row_number() OVER (ORDER BY sum(n) DESC, gene_id DESC) - 1 k FROM counts GROUP BY 1) SELECT CAST(k AS BIGINT) gene_id, spot_id, n FROM counts JOIN t USING (gene_id) WHERE k < 8")
+def o16_largest_genes(spark, sf_dir):
+    return cellbin.largest_genes(dataset(spark, sf_dir), 8).counts
+
+
+@query("o140_scale_sweep", f", tot AS (SELECT pos, scale, avg(CASE WHEN yy - wy * wy / w > 1e-15 THEN 1 - greatest(yy - 2 * alpha * yn + alpha * alpha * nn, 0) / (yy - wy * wy / w) END) r2, avg(alpha) alpha FROM fits, big GROUP BY 1, 2) SELECT scale, round(alpha, 6) alpha_mean, round(r2, 6) r2_mean FROM tot")
+def o140_scale_sweep(spark, sf_dir):
+    """O-140: every forced scale's fit, from one pass over the edges."""
+    stages = Stages(spark, sf_dir)
+    out = fit.scale_sweep(stages.get("pred"), stages.get("bin_expr"), stages.get("bins"), stages.get("ranks"), list(SCALES))
+    return out.select("scale", r("alpha_mean").alias("alpha_mean"), r("r2_mean").alias("r2_mean"))
+
+
+@query("o141_bin_sweep", """, s AS (SELECT * FROM (VALUES (6.0::DOUBLE), (10.0::DOUBLE), (20.0::DOUBLE)) v(size)), m AS (SELECT size, spot_id, least(CAST(floor((x - x0) / size) AS BIGINT), greatest(1, CAST(ceil((x1 - x0) / size) AS BIGINT)) - 1) * greatest(1, CAST(ceil((y1 - y0) / size) AS BIGINT)) + least(CAST(floor((y - y0) / size) AS BIGINT), greatest(1, CAST(ceil((y1 - y0) / size) AS BIGINT)) - 1) b FROM spots, ext, s WHERE label < 0),
+k AS (SELECT size, b, count(*) area FROM m GROUP BY 1, 2) SELECT size bin_size, count(*) n_bins, round(avg(area), 6) area_mean, (SELECT sum(n) FROM counts JOIN m USING (spot_id) WHERE m.size = k.size) total FROM k GROUP BY 1""")
+def o141_bin_sweep(spark, sf_dir):
+    """O-141: the background bins of several sizes in one job."""
+    stages = Stages(spark, sf_dir)
+    empty = aggregate.empty_bins_of_sizes(stages.data.spots, [6.0, 10.0, 20.0])
+    table = empty.groupBy("bin_size", "bin_id").agg(F.count("*").alias("area")).groupBy("bin_size").agg(F.count("*").alias("n_bins"), r(F.avg("area")).alias("area_mean"))
+    totals = empty.join(stages.data.counts, "spot_id").groupBy("bin_size").agg(F.sum("n").alias("total"))
+    return table.join(totals, "bin_size")

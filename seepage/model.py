@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,19 +10,21 @@ from pyspark.sql import functions as F
 
 from seepage.functions.kernels import KERNELS
 from seepage.operators import aggregate, fit, graph, validate
+from seepage.operators.ordering import quantiles
 from seepage.schema import SpatialDataset
 from seepage.storage import stage
 
 
 @dataclass
 class LeakageModel:
-    """Parameters are in the units of the coordinates. After fit_transform: lambda_, fit_, search_, diagnostics_."""
+    """Parameters are in the units of the coordinates; evaluation_model() has those of large comparisons. After fit_transform: lambda_, fit_, search_, diagnostics_."""
 
-    bin_size: float = 25.0
-    max_radius: float = 300.0
-    lambda_grid: tuple = (10.0, 20.0, 30.0, 50.0, 75.0, 100.0, 150.0, 200.0, 300.0)
+    bin_size: float = 50.0
+    max_radius: float = 200.0
+    #: The default grid.
+    lambda_grid: tuple = (10.0, 20.0, 30.0, 50.0, 70.0, 100.0, 150.0, 200.0)
     n_high_genes: int | None = None
-    n_lambda_genes: int = 100
+    n_lambda_genes: int = 50
     metric: str = "exponential"
     r2_threshold: float = 0.01
     use_expr_weight: bool = False
@@ -30,17 +33,19 @@ class LeakageModel:
 
     def __post_init__(self):
         """O-23."""
-        if self.bin_size <= 0:
-            raise ValueError("bin_size must be positive")
-        if self.max_radius <= 0:
-            raise ValueError("max_radius must be positive")
+        number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+        for name in ("bin_size", "max_radius"):
+            if not number(getattr(self, name)) or getattr(self, name) <= 0:
+                raise ValueError(f"{name} must be a positive finite number")
         if self.metric not in KERNELS:
             raise ValueError(f"metric must be one of {sorted(KERNELS)}")
-        if not self.lambda_grid or any(x <= 0 for x in self.lambda_grid):
-            raise ValueError("lambda_grid must hold positive values")
-        if self.n_lambda_genes < 1 or (self.n_high_genes is not None and self.n_high_genes < 1):
-            raise ValueError("gene numbers must be at least 1")
-        if not 0 <= self.r2_threshold <= 1:
+        if len(self.lambda_grid) == 0 or not all(number(x) and x > 0 for x in self.lambda_grid):
+            raise ValueError("lambda_grid must hold positive finite numbers")
+        for name in ("n_lambda_genes", "n_high_genes"):
+            n = getattr(self, name)
+            if not (name == "n_high_genes" and n is None) and (not isinstance(n, int) or isinstance(n, bool) or n < 1):
+                raise ValueError(f"{name} must be a whole number of at least 1")
+        if not number(self.r2_threshold) or not 0 <= self.r2_threshold <= 1:
             raise ValueError("r2_threshold must lie in [0, 1]")
 
     def fit_transform(self, data: SpatialDataset, check: bool = True) -> DataFrame:
@@ -80,9 +85,14 @@ def diagnostics(model: LeakageModel, cells: DataFrame, bin_table: DataFrame, edg
     """O-93: one row about the fit."""
     good = F.col("r2") >= model.r2_threshold
     genes = model.fit_.agg(F.count("*").alias("n_genes_selected"), F.count_if(good).alias("n_genes_corrected"), F.avg("alpha").alias("alpha_mean"), F.avg("r2").alias("r2_mean"), F.sort_array(F.collect_list(F.struct("rank", "gene_id", "alpha", "r2"))).alias("genes"))
-    areas = lambda df, p: df.agg(F.count("*").alias(f"n_{p}s"), F.avg("area").alias(f"{p}_area_mean"), F.min("area").alias(f"{p}_area_min"), F.expr("percentile(area, 0.5)").alias(f"{p}_area_median"), F.max("area").alias(f"{p}_area_max"))
+    areas = lambda df, p: df.agg(F.count("*").alias(f"n_{p}s"), F.avg("area").alias(f"{p}_area_mean"), F.min("area").alias(f"{p}_area_min"), F.max("area").alias(f"{p}_area_max")).join(quantiles(df, [], "area", {f"{p}_area_median": 0.5}), F.lit(True), "left")
     out = genes.crossJoin(areas(cells, "cell")).crossJoin(areas(bin_table, "bin")).crossJoin(edges.agg(F.count("*").alias("n_edges_bin_cell"))).crossJoin(edges_cc.agg(F.count("*").alias("n_edges_cell_cell")))
     extra = {"scale": F.lit(model.lambda_).cast("double"), "metric": F.lit(model.metric), "bin_size": F.lit(float(model.bin_size)), "max_radius": F.lit(float(model.max_radius)), "r2_threshold": F.lit(float(model.r2_threshold)), "backend": F.lit("spark")}
     if model.search_ is not None:
         out = out.crossJoin(model.search_.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "rss"))), lambda e: e["rss"]).alias("rss"), F.min("rss").alias("rss_best")))
     return out.withColumns(extra)
+
+
+def evaluation_model(**changes) -> LeakageModel:
+    """O-137: the parameters of method comparisons: 25 um bins, a radius of 300 um, scales up to 300 um from 100 genes."""
+    return LeakageModel(**{"bin_size": 25.0, "max_radius": 300.0, "lambda_grid": (10.0, 20.0, 30.0, 50.0, 70.0, 100.0, 150.0, 200.0, 300.0), "n_lambda_genes": 100, **changes})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seepage.operators.ordering import quantiles
+
 
 def cells(spots: DataFrame) -> DataFrame:
     """O-40: (cell_id, area, cx, cy): spot count and mean position of each non-negative label."""
@@ -32,6 +34,15 @@ def empty_bins(spots: DataFrame, bin_size: float) -> DataFrame:
     return joined.select("spot_id", "x", "y", (place("x") * number("y") + place("y")).cast("long").alias("bin_id"))
 
 
+def empty_bins_of_sizes(spots: DataFrame, sizes: list[float]) -> DataFrame:
+    """O-141: empty_bins for several sizes at once: (bin_size, spot_id, x, y, bin_id)."""
+    parts = [empty_bins(spots, size).select(F.lit(float(size)).alias("bin_size"), "*") for size in sizes]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def bins(empty: DataFrame) -> DataFrame:
     """O-41: (bin_id, area, bx, by); only bins with spots exist, and their place is the mean of their spots."""
     return empty.groupBy("bin_id").agg(F.count("*").alias("area"), F.avg("x").alias("bx"), F.avg("y").alias("by"))
@@ -62,15 +73,14 @@ def source_rates(cell_expr: DataFrame, cell_table: DataFrame) -> DataFrame:
 
 def expression_weights(rates: DataFrame) -> DataFrame:
     """O-49: rates with s replaced by s*s / (s + median of the gene's positive s)."""
-    middle = rates.where("s > 0").groupBy("gene_id").agg(F.expr("percentile(s, 0.5)").alias("median"))
+    middle = quantiles(rates.where("s > 0"), ["gene_id"], "s", {"median": 0.5})
     joined = rates.join(middle, "gene_id", "left")
     return joined.withColumn("s", F.when(F.col("s") > 0, F.col("s") * F.col("s") / (F.col("s") + F.col("median"))).otherwise(0.0)).drop("median")
 
 
 def rate_percentiles(rates: DataFrame) -> DataFrame:
     """O-50: (gene_id, p50, p90) of positive rates, interpolated linearly."""
-    p = lambda q: F.expr(f"percentile(s, {q})")
-    return rates.where("s > 0").groupBy("gene_id").agg(p(0.5).alias("p50"), p(0.9).alias("p90"))
+    return quantiles(rates.where("s > 0"), ["gene_id"], "s", {"p50": 0.5, "p90": 0.9})
 
 
 def window_filter(spots: DataFrame, x_range: tuple[float, float], y_range: tuple[float, float]) -> DataFrame:

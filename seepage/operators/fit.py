@@ -47,6 +47,23 @@ def scale_search(pred: DataFrame, bin_expr: DataFrame, bin_table: DataFrame, gen
     return each.groupBy("pos", "scale").agg(F.sum("rss").alias("rss"))
 
 
+def scale_sweep(pred: DataFrame, bin_expr: DataFrame, bin_table: DataFrame, genes: DataFrame, scales: list[float]) -> DataFrame:
+    """O-140: (scale, alpha_mean, r2_mean) of the fit at each scale, all from the sums of one pass; genes without variance are left out of the mean of r2."""
+    total = bin_table.agg(F.sum("area").cast("double").alias("big"))
+    seen = bin_expr.join(bin_table.select("bin_id", "area"), "bin_id")
+    first = seen.groupBy("gene_id").agg(F.sum(F.col("area") * F.col("y")).alias("wy"), F.sum(F.col("area") * F.col("y") * F.col("y")).alias("yy"))
+    sums = genes.select("gene_id").join(first, "gene_id", "left").join(moments(pred, bin_expr, len(scales)), "gene_id", "left").fillna(0.0).crossJoin(F.broadcast(total))
+    spread = F.col("yy") - F.col("wy") * F.col("wy") / F.col("big")
+
+    def entry(i, x):
+        alpha = alpha_of(F.col(f"yn_{i}"), F.col(f"nn_{i}"))
+        r2 = F.when(spread > EPS, 1 - residual(F.col("yy"), alpha, F.col(f"yn_{i}"), F.col(f"nn_{i}")) / F.when(spread > EPS, spread))
+        return F.struct(F.lit(float(x)).alias("scale"), alpha.alias("alpha"), r2.alias("r2"))
+
+    each = sums.select(F.explode(F.array(*(entry(i, x) for i, x in enumerate(scales)))).alias("e")).select("e.*")
+    return each.groupBy("scale").agg(F.avg("alpha").alias("alpha_mean"), F.avg("r2").alias("r2_mean"))
+
+
 def best_scale(search: DataFrame) -> DataFrame:
     """O-46: one row (scale, rss): the least residual; ties: the earlier scale."""
     return search.agg(F.min(F.struct("rss", "pos", "scale")).alias("b")).select("b.scale", "b.rss")

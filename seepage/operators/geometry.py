@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seepage.operators.ordering import placed, quantiles
+
 
 def contains(px: Column, py: Column, border: Column) -> Column:
     """O-28: even-odd test of a point against border array<struct<x, y>>, folded over its edges."""
@@ -28,7 +30,8 @@ def label_points(points: DataFrame, borders: DataFrame, tile: float | None = Non
     part = lambda axis: F.transform("border", lambda p: p[axis])
     box = box.select("cell_id", "cx", "cy", "border", *(f(part(a)).alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))))
     if tile is None:
-        width = box.agg(F.expr("percentile(hi_x - lo_x, 0.5)").alias("w")).first()["w"]
+        width = quantiles(box.select((F.col("hi_x") - F.col("lo_x")).alias("w")), [], "w", {"w": 0.5}).first()
+        width = width["w"] if width else None
         tile = max(2 * (width or 1.0), 1e-9)
     at = lambda c: F.floor(F.col(c) / tile)
     spread = box.withColumn("tx", F.explode(F.sequence(at("lo_x"), at("hi_x")))).withColumn("ty", F.explode(F.sequence(at("lo_y"), at("hi_y"))))
@@ -75,19 +78,17 @@ def union_spots(cells: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def contiguous_labels(spots: DataFrame) -> DataFrame:
-    """O-103: adds cell_index, labels numbered from 0 in order; -1 outside. Only distinct labels meet in the window."""
-    index = spots.where("label >= 0").select("label").distinct().withColumn("cell_index", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
+    """O-103: adds cell_index, labels numbered from 0 in order; -1 outside."""
+    index = placed(spots.where("label >= 0").select("label").distinct(), ["label"], "cell_index")
     return spots.join(index, "label", "left").withColumn("cell_index", F.coalesce("cell_index", F.lit(-1).cast("long")))
 
 
 def block_order(cells: DataFrame, block: float) -> DataFrame:
-    """O-67: adds pos, the place of a cell in order of its block (rows first), then y, x. Cells are few beside spots."""
-    order = Window.orderBy(F.floor(F.col("cy") / block), F.floor(F.col("cx") / block), "cy", "cx", "cell_id")
-    return cells.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+    """O-67: adds pos, the place of a cell in order of its block (rows first), then y, x."""
+    return placed(cells, [F.floor(F.col("cy") / block), F.floor(F.col("cx") / block), "cy", "cx", "cell_id"], "pos")
 
 
 def cell_offsets(cell_expr: DataFrame) -> DataFrame:
     """O-111: (cell_id, gene_count, exp_count, offset) of expression rows laid out by cell."""
     each = cell_expr.groupBy("cell_id").agg(F.count("*").alias("gene_count"), F.sum("n").cast("long").alias("exp_count"))
-    before = Window.orderBy("cell_id").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("offset", F.coalesce(F.sum("gene_count").over(before), F.lit(0)).cast("long"))
+    return placed(each, ["cell_id"], "place_", {"offset": "gene_count"}).drop("place_")

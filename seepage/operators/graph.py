@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,14 +54,30 @@ def nearest_within(targets: DataFrame, points: DataFrame, largest: float) -> Dat
 
 
 def core_halo(points: DataFrame, x_edges: list[float], y_edges: list[float], halo: float) -> DataFrame:
-    """O-37: (id, col, row, is_core): every tile whose bounds grown by halo hold the point; one of them is its core.
+    """O-37: (id, col, row, is_core): every tile whose bounds grown by halo hold the point; exactly one of them is its core.
 
-    A point on an inner edge belongs to the tile after it. Points outside the edges have no tile."""
+    Inner edges alone decide on the core, and a point on one belongs to the tile after it. Points outside the outer edges raise. With a column
+    tissue of 1 and 0, that holds for points of 1; the others are context only: no tile is their core, and they may lie outside.
+    A point's few tile numbers come from its place by a binary search over the edges' list, so no point meets all tiles."""
     nx, ny = len(x_edges) - 1, len(y_edges) - 1
-    spans = lambda c, edges: F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(edges[i])).alias("lo"), F.lit(float(edges[i + 1])).alias("hi"), F.lit(i == len(edges) - 2).alias("last")) for i in range(len(edges) - 1)))
-    core = lambda c, t: (F.col(c) >= F.col(f"{t}.lo")) & ((F.col(c) < F.col(f"{t}.hi")) | (F.col(f"{t}.last") & (F.col(c) <= F.col(f"{t}.hi"))))
-    grown = lambda c, t: F.col(c).between(F.col(f"{t}.lo") - halo, F.col(f"{t}.hi") + halo)
     if nx < 1 or ny < 1:
         raise ValueError("edges must bound at least one tile")
-    wide = points.withColumn("cx_", F.explode(spans("x", x_edges))).where(grown("x", "cx_")).withColumn("cy_", F.explode(spans("y", y_edges))).where(grown("y", "cy_"))
-    return wide.select("id", F.col("cx_.i").alias("col"), F.col("cy_.i").alias("row"), (core("x", "cx_") & core("y", "cy_")).alias("is_core"))
+    out_of = lambda c, e: (F.col(c) < e[0]) | (F.col(c) > e[-1]) | F.col(c).isNull()
+    tissue = F.col("tissue") == 1 if "tissue" in points.columns else F.lit(True)
+    checked = points.withColumn("tissue_", tissue).withColumn("x", F.when(F.col("tissue_") & (out_of("x", x_edges) | out_of("y", y_edges)), F.raise_error(F.lit("points fall outside the tile bounds"))).otherwise(F.col("x")))
+    below = lambda value, e, strict: F.size(F.filter(F.array(*(F.lit(float(x)) for x in e)), (lambda x: x < value) if strict else (lambda x: x <= value)))
+
+    def spans(c: str, e: list[float], n: int) -> tuple[Column, Column]:
+        own = F.least(below(F.col(c), e[1:-1], False), F.lit(n - 1)) if n > 1 else F.lit(0)
+        low = F.greatest(below(F.col(c) - halo, e[1:], True), F.lit(0))  # tiles whose upper bound is at least c - halo
+        high = F.least(below(F.col(c) + halo, e[:-1], False) - 1, F.lit(n - 1))  # tiles whose lower bound is at most c + halo
+        return own, F.when(low <= high, F.sequence(low, F.greatest(low, high)))
+
+    (ox, sx), (oy, sy) = spans("x", x_edges, nx), spans("y", y_edges, ny)
+    wide = checked.select("id", "tissue_", ox.alias("ox"), oy.alias("oy"), F.explode(sx).alias("col"), sy.alias("sy")).withColumn("row", F.explode("sy"))
+    return wide.select("id", "col", "row", (F.col("tissue_") & (F.col("col") == F.col("ox")) & (F.col("row") == F.col("oy"))).alias("is_core"))
+
+
+def stitch(tiles: DataFrame, specs: DataFrame) -> DataFrame:
+    """O-118: results of tiles (col, row, id, ...) -> the rows of each id from its core tile; specs come from core_halo."""
+    return tiles.join(specs.where("is_core").select("id", "col", "row"), ["id", "col", "row"]).drop("col", "row")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seepage.functions.scalar import log2_fold_change, log_cp10k, ratio
 from seepage.operators.aggregate import clip
+from seepage.operators.ordering import placed, quantiles
 
 
 def library_sizes(cells: DataFrame, expr: DataFrame) -> DataFrame:
@@ -18,11 +24,17 @@ def library_sizes(cells: DataFrame, expr: DataFrame) -> DataFrame:
 
 
 def library_summary(cells: DataFrame, expr: DataFrame) -> DataFrame:
-    """O-52: one row of library statistics."""
+    """O-52: one row of library statistics; zero_libraries() has the ids of cells without counts."""
     sizes = library_sizes(cells, expr)
     negative = expr.agg(F.count_if(F.col("n") < 0).alias("n_negative"))
-    stats = sizes.agg(F.count("*").alias("n_cells"), F.count_if(F.col("library") == 0).alias("n_zero"), F.sum("library").alias("total"), F.min("library").alias("least"), F.expr("percentile(library, 0.5)").alias("median"), F.max("library").alias("most"))
-    return stats.crossJoin(negative)
+    stats = sizes.agg(F.count("*").alias("n_cells"), F.count_if(F.col("library") == 0).alias("n_zero"), F.sum("library").alias("total"), F.min("library").alias("least"), F.max("library").alias("most"))
+    middle = quantiles(sizes, [], "library", {"median": 0.5})
+    return stats.join(middle, F.lit(True), "left").select("n_cells", "n_zero", "total", "least", "median", "most").crossJoin(negative)
+
+
+def zero_libraries(cells: DataFrame, expr: DataFrame) -> DataFrame:
+    """O-52: (cell_id) of the cells whose library is 0."""
+    return library_sizes(cells, expr).where("library = 0").select("cell_id")
 
 
 def normalised(cells: DataFrame, expr: DataFrame) -> DataFrame:
@@ -75,8 +87,8 @@ def cell_determination(pred: DataFrame, truth: DataFrame, n_genes: int, a_col: s
 
 def summary(values: DataFrame, column: str) -> DataFrame:
     """O-82: one row: mean, median, quartiles, number of defined values."""
-    p = lambda q: F.expr(f"percentile({column}, {q})")
-    return values.agg(F.avg(column).alias("mean"), p(0.5).alias("median"), p(0.25).alias("q25"), p(0.75).alias("q75"), F.count(column).alias("n_valid"))
+    middle = quantiles(values, [], column, {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return values.agg(F.avg(column).alias("mean"), F.count(column).alias("n_valid")).join(middle, F.lit(True), "left").select("mean", "median", "q25", "q75", "n_valid")
 
 
 def rmse(pred: DataFrame, truth: DataFrame, elements: int, a_col: str = "n", b_col: str = "n") -> DataFrame:
@@ -125,17 +137,22 @@ def gene_improvement(raw: DataFrame, fixed: DataFrame, reference: DataFrame, n_g
     return joined.withColumn("improvement", F.col("r_fixed") - F.col("r_raw"))
 
 
+def first_of_highest(group: str, value: str) -> Column:
+    """The group of the largest value; of ties the first in the groups' own order, be they numbers or texts."""
+    return F.min_by(group, F.struct(-F.col(value), F.col(group)))
+
+
 def contamination(profiles: DataFrame, reference: DataFrame, n_groups: int) -> DataFrame:
-    """O-87: (gene_id, target, score): mean outside the reference's highest group over the mean inside it; null if that is not positive."""
-    target = reference.groupBy("gene_id").agg(F.max_by("grp", F.struct(F.col("mean"), -F.col("grp"))).alias("target"))
+    """O-87: (gene_id, target, score): mean outside the reference's highest group over the mean inside it; null if that is not positive, or if there is one group."""
+    target = reference.groupBy("gene_id").agg(first_of_highest("grp", "mean").alias("target"))
     sums = profiles.join(target, "gene_id").groupBy("gene_id", "target").agg(F.sum("mean").alias("total"), F.sum(F.when(F.col("grp") == F.col("target"), F.col("mean")).otherwise(0.0)).alias("own"))
-    score = F.when(F.col("own") > 0, (F.col("total") - F.col("own")) / (n_groups - 1) / F.when(F.col("own") > 0, F.col("own")))
+    score = F.when(F.col("own") > 0, ratio((F.col("total") - F.col("own")) / F.when(F.col("own") > 0, F.col("own")), F.lit(float(n_groups - 1))))
     return sums.select("gene_id", "target", score.alias("score"))
 
 
 def specificity(reference: DataFrame, threshold: float = 0.15, least: float = 1.0) -> DataFrame:
     """O-88: (gene_id, target, specificity, peak, marker): largest share of a gene's total, and whether it is a marker."""
-    g = reference.groupBy("gene_id").agg(F.max("mean").alias("peak"), F.sum("mean").alias("total"), F.max_by("grp", F.struct(F.col("mean"), -F.col("grp"))).alias("target"))
+    g = reference.groupBy("gene_id").agg(F.max("mean").alias("peak"), F.sum("mean").alias("total"), first_of_highest("grp", "mean").alias("target"))
     share = ratio(F.col("peak"), F.col("total"))
     return g.select("gene_id", "target", share.alias("specificity"), "peak", (F.coalesce(share >= threshold, F.lit(False)) & (F.col("peak") >= least)).alias("marker"))
 
@@ -154,6 +171,71 @@ def t_statistics(values: DataFrame, groups: DataFrame, genes: DataFrame, min_cel
     return j.select("gene_id", "a", "b", F.when(scale > 1e-12, (F.col("sa") / F.col("ma") - F.col("sb") / F.col("mb")) / F.when(scale > 1e-12, scale)).alias("t"), df.alias("df"))
 
 
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p of a t statistic: the regularised incomplete beta function I(df / (df + t^2); df / 2, 1 / 2) by its continued fraction.
+
+    Spark has no such function, so it is taken in Arrow batches of a row for each test."""
+
+    def two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+        t, df = t.to_numpy(dtype=float), df.to_numpy(dtype=float)
+        x = df / (df + t * t)
+        a, b = df / 2, np.full(len(df), 0.5)
+        log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+        def part(x, a, b):
+            """x^a (1 - x)^b / (a B(a, b)) times the fraction, which converges for x below (a + 1) / (a + b + 2)."""
+            front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+            c, d = np.ones(len(x)), 1 / (1 - (a + b) * x / (a + 1))
+            f = d.copy()
+            for m in range(1, 400):
+                for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                    d = 1 / np.where(np.abs(1 + step * d) < 1e-300, 1e-300, 1 + step * d)
+                    c = np.where(np.abs(1 + step / c) < 1e-300, 1e-300, 1 + step / c)
+                    f = f * c * d
+            return front * f
+
+        low = x < (a + 1) / (a + b + 2)
+        odd = np.isnan(t) | np.isinf(t) | (t == 0)
+        inner = np.where(odd, 0.5, x)
+        p = np.where(low, part(np.where(low, inner, 0.5), a, b), 1 - part(np.where(low, 0.5, np.where(odd, 0.5, 1 - x)), b, a))
+        p = np.where(t == 0, 1.0, np.where(np.isinf(t), 0.0, np.clip(p, 0, 1)))
+        return pd.Series(np.where(np.isnan(t), np.nan, p))
+
+    return F.pandas_udf(two_sided, T.DoubleType())(t, df)
+
+
+def differential_genes(values: DataFrame, groups: DataFrame, genes: DataFrame, n_cells: int, top: int = 200, level: float = 0.05, min_cells: int = 3) -> DataFrame:
+    """O-90, O-139: one row (n_tests, n_de): tests of the top most variable genes between all pairs of groups, and those with p below level."""
+    few = variable_genes(values, n_cells, top)
+    tests = t_statistics(values, groups, genes.join(few.select("gene_id"), "gene_id", "left_semi"), min_cells).where("t is not null")
+    return tests.withColumn("p", student_p(F.col("t"), F.col("df").cast("double"))).agg(F.count("*").alias("n_tests"), F.count_if(F.col("p") < level).alias("n_de"))
+
+
+def class_spearman(profiles: DataFrame, genes: DataFrame) -> DataFrame:
+    """O-89, O-139: one row (mean_r, pairs): mean Spearman correlation of all pairs of group profiles over all genes, missing means 0, undefined ones 0.
+
+    Groups x genes rows: few by few."""
+    full = profiles.select("grp").distinct().crossJoin(genes.select("gene_id").distinct()).join(profiles.select("grp", "gene_id", "mean"), ["grp", "gene_id"], "left").fillna(0.0, ["mean"])
+    ranked = average_ranks(full, ["grp"], "mean")
+    x = ranked.select(F.col("grp").alias("a"), "gene_id", F.col("rank_").alias("x"))
+    y = ranked.select(F.col("grp").alias("b"), "gene_id", F.col("rank_").alias("y"))
+    sums = x.join(y, "gene_id").where("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("n"), *moment_sums())
+    r = pearson(F.col("n"), *(F.col(m) for m in MOMENTS))
+    return sums.select(F.coalesce(r, F.lit(0.0)).alias("r")).agg(F.avg("r").alias("mean_r"), F.count("*").alias("pairs"))
+
+
+def reference_profiles(values: DataFrame, symbols: DataFrame, groups: DataFrame, min_cells: int = 20) -> DataFrame:
+    """O-55: (grp, gene_name, mean) of normalised values: '/' in group names becomes '-', groups need min_cells cells, genes of one name are averaged.
+
+    values (gene_id, cell_id, v), symbols (gene_id, gene_name), groups (cell_id, grp)."""
+    named = groups.where("grp is not null").withColumn("grp", F.replace(F.col("grp").cast("string"), F.lit("/"), F.lit("-")))
+    sizes = named.groupBy("grp").agg(F.count("*").alias("members")).where(F.col("members") >= min_cells)
+    sums = values.join(named, "cell_id").join(symbols, "gene_id").groupBy("grp", "gene_name").agg(F.sum("v").alias("total"))
+    copies = symbols.groupBy("gene_name").agg(F.count("*").alias("copies"))  # genes without a row count as 0
+    full = sizes.crossJoin(copies).join(sums, ["grp", "gene_name"], "left")  # groups x genes: few by few
+    return full.select("grp", "gene_name", (F.coalesce("total", F.lit(0.0)) / F.col("members") / F.col("copies")).alias("mean"))
+
+
 def top_genes(expr: DataFrame, n: int) -> DataFrame:
     """O-63: (gene_id, total) of the n genes of largest total; ties: smaller id. A top-k, not a cap."""
     return expr.groupBy("gene_id").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gene_id").limit(n)
@@ -191,6 +273,18 @@ def fold_change_delta(raw: DataFrame, fixed: DataFrame, a: int, b: int) -> DataF
     return j.withColumn("improved", F.when(F.col("raw_fc") >= 0, F.col("delta") > 0).otherwise(F.col("delta") < 0))
 
 
+def route_change(profiles: DataFrame, ligand: int, receptor: int, before: str, after: str, half: float = 50.0) -> DataFrame:
+    """O-96, O-97: (source, target, raw_p, fixed_p, retained, change): for each pair of groups the probability of a ligand of one meeting the receptor of the
+    other, by two methods, and the share in percent that remains. profiles (method, grp, gene_id, mean); groups are few."""
+    x = profiles.where(F.col("gene_id") == ligand).select("method", F.col("grp").alias("source"), F.col("mean").alias("x"))
+    y = profiles.where(F.col("gene_id") == receptor).select("method", F.col("grp").alias("target"), F.col("mean").alias("y"))
+    route = x.join(y, "method").withColumn("p", F.col("x") * F.col("y") / (half + F.col("x") * F.col("y")))
+    of = lambda m: F.sum(F.when(F.col("method") == m, F.col("p")))
+    sums = route.groupBy("source", "target").agg(of(before).alias("raw_p"), of(after).alias("fixed_p"))
+    share = ratio(F.col("fixed_p"), F.col("raw_p"))
+    return sums.select("source", "target", "raw_p", "fixed_p", (100 * share).alias("retained"), (100 * (share - 1)).alias("change"))
+
+
 def top_two(weights: DataFrame, key: str, value: str) -> DataFrame:
     """O-60: (key, top1, top2, gap, entropy) of weights normalised by row; null where they sum to 0. Rows are short."""
     total = weights.groupBy(key).agg(F.sort_array(F.collect_list(value), asc=False).alias("w"), F.sum(value).alias("total"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seepage.functions.scalar import ratio
-from seepage.operators.metrics import MOMENTS, moment_sums, paired, pearson
+from seepage.operators.metrics import MOMENTS, first_of_highest, moment_sums, paired, pearson
+from seepage.operators.ordering import placed
 
 
 def top_improved(improvement: DataFrame, n: int = 10) -> DataFrame:
@@ -52,8 +53,8 @@ def highly_variable(values: DataFrame, n_cells: int, n: int, bins: int = 20) ->
 
 def first_types(weights: DataFrame, key: str, kind: str, value: str) -> DataFrame:
     """O-99: (key, first_type, score_delta): the kind of largest value (ties: smaller) and its lead over the least."""
-    best = weights.groupBy(key).agg(F.max(F.struct(F.col(value).alias("v"), (-F.col(kind)).alias("k"))).alias("b"), F.min(value).alias("least"))
-    return best.select(key, (-F.col("b.k")).alias("first_type"), (F.col("b.v") - F.col("least")).alias("score_delta"))
+    best = weights.groupBy(key).agg(first_of_highest(kind, value).alias("first_type"), F.max(value).alias("most"), F.min(value).alias("least"))
+    return best.select(key, "first_type", (F.col("most") - F.col("least")).alias("score_delta"))
 
 
 def sample_per_group(members: DataFrame, group: str, key: str, least: int, most: int, seed: int) -> DataFrame:
@@ -72,9 +73,55 @@ def alignment(table: DataFrame, expected: DataFrame, key: str) -> DataFrame:
 
 
 def compare(a: DataFrame, b: DataFrame, n_genes: int, n_cells: int, column: str = "n") -> DataFrame:
-    """O-92: one row (pearson, rmse, cell_pearson) of two matrices of n_genes x n_cells."""
+    """O-92: one row (pearson, spearman, rmse, cell_pearson) of two matrices of n_genes x n_cells."""
     both = paired(a, b, ["cell_id", "gene_id"], column, column)
     size = float(n_genes * n_cells)
     whole = both.agg(*moment_sums()).select(pearson(F.lit(size), *(F.col(m) for m in MOMENTS)).alias("pearson"), F.sqrt(F.col("sdd") / size).alias("rmse"))
     cells = both.groupBy("cell_id").agg(*moment_sums()).select(pearson(F.lit(float(n_genes)), *(F.col(m) for m in MOMENTS)).alias("r"))
-    return whole.crossJoin(cells.agg(F.avg("r").alias("cell_pearson")))
+    ranked = ranks_with_zeros(both.select("cell_id", "gene_id", F.col("x").alias("v")), size).withColumnRenamed("rank_", "x")
+    ranked = ranked.join(ranks_with_zeros(both.select("cell_id", "gene_id", F.col("y").alias("v")), size).withColumnRenamed("rank_", "y"), ["cell_id", "gene_id"])
+    sums = ranked.agg(F.count("*").alias("stored"), *moment_sums())
+    zeros = zero_rank(both.select(F.col("x").alias("v")), size).select(F.col("rank_").alias("zx")).crossJoin(zero_rank(both.select(F.col("y").alias("v")), size).select(F.col("rank_").alias("zy")))
+    s, rest = sums.crossJoin(zeros), F.lit(size) - F.col("stored")
+    x, y = F.col("zx"), F.col("zy")
+    spearman = s.select(pearson(F.lit(size), F.col("sx") + rest * x, F.col("sy") + rest * y, F.col("sxx") + rest * x * x, F.col("syy") + rest * y * y, F.col("sxy") + rest * x * y).alias("spearman"))
+    return whole.crossJoin(spearman).crossJoin(cells.agg(F.avg("r").alias("cell_pearson"))).select("pearson", "spearman", "rmse", "cell_pearson")
+
+
+def value_ranks(values: DataFrame, size: float) -> DataFrame:
+    """(v, rank_): the mean rank of each distinct value among size elements, those without a row being 0."""
+    missing = values.agg((F.lit(size) - F.count("*")).cast("long").alias("c")).select(F.lit(0.0).alias("v"), "c")
+    counts = values.groupBy("v").agg(F.count("*").alias("c")).unionByName(missing).groupBy("v").agg(F.sum("c").alias("c"))
+    return placed(counts, ["v"], "place_", {"before_": "c"}).select("v", (F.col("before_") + (F.col("c") + 1) / 2).alias("rank_"))
+
+
+def ranks_with_zeros(rows: DataFrame, size: float) -> DataFrame:
+    """rows (cell_id, gene_id, v) -> (cell_id, gene_id, rank_)."""
+    return rows.join(value_ranks(rows.select("v"), size), "v").drop("v")
+
+
+def zero_rank(values: DataFrame, size: float) -> DataFrame:
+    return value_ranks(values, size).where("v = 0").select("rank_")
+
+
+def corrected_genes(fit: DataFrame, threshold: float) -> DataFrame:
+    """O-144: (gene_id) of the genes whose goodness of fit reaches the threshold."""
+    return fit.where(F.col("r2") >= threshold).select("gene_id")
+
+
+def method_wins(best: DataFrame, method: str) -> DataFrame:
+    """O-68: (method, wins): how many scenarios each method is the best of."""
+    return best.groupBy(method).agg(F.count("*").alias("wins"))
+
+
+def checked_shares(rows: DataFrame, methods: list[str], least: int = 1000) -> DataFrame:
+    """O-100: (method, n_cells, n_singlet, pct_singlet) in the order of methods. Raises unless there is one row for each of the methods, all with the
+    same number of cells, at least least, and shares that follow from the counts. Methods are few."""
+    found = rows.select("method", "n_cells", "n_singlet", "pct_singlet").limit(10 * len(methods) + 10).collect()
+    if sorted(r.method for r in found) != sorted(methods):
+        raise ValueError(f"expected one row for each of {sorted(methods)}")
+    if len({r.n_cells for r in found}) != 1 or found[0].n_cells < least:
+        raise ValueError("every method needs the same, large enough number of cells")
+    if any(abs(r.pct_singlet - 100 * r.n_singlet / r.n_cells) > 1e-10 for r in found):
+        raise ValueError("pct_singlet does not match n_singlet / n_cells")
+    return rows.orderBy(F.array_position(F.array(*map(F.lit, methods)), F.col("method"))).select("method", "n_cells", "n_singlet", "pct_singlet")

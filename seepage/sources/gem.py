@@ -1,13 +1,14 @@
 """Expression text loaders: tab- or comma-separated lines with a header, '#' comments and blank lines anywhere, gzip by suffix.
 
 Rows with too few fields are dropped and counted in the data set's report; fields that are no numbers raise.
-Order ("first" and "last" row of a spot) is the order of the scan: file, then place in the file. A gzip file is one split."""
+Order ("first" and "last" row of a spot) is that of the files' names, then of the place in the file. A gzip file is one split."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seepage.operators.ordering import numbered, placed
 from seepage.schema import SpatialDataset
 from seepage.storage import stage
 
@@ -24,12 +25,13 @@ def detect_delimiter(header: str) -> str:
 
 def empty_labels(labels) -> list[str]:
     """O-21: None means 0 and -1; the empty text is always empty."""
-    return sorted({"", *(EMPTY if labels is None else map(str, labels))})
+    return sorted({"", *(EMPTY if labels is None else map(str, labels if isinstance(labels, (list, tuple, set, frozenset)) else [labels]))})
 
 
 def scan_lines(spark: SparkSession, path: str, columns: dict[str, str], sep: str | None = None) -> tuple[DataFrame, DataFrame]:
     """O-01..O-03: (row_id and the named columns as text, one row with n_short). columns: output name -> header name."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", row.alias("row_id")).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
     head = lines.first()
     if head is None:
         raise ValueError(f"{path} has no header")
@@ -39,7 +41,7 @@ def scan_lines(spark: SparkSession, path: str, columns: dict[str, str], sep: str
     if missing:
         raise ValueError(f"columns {missing} are not in the header {names}")
     at = {out: names.index(c) for out, c in columns.items()}
-    rows = lines.where(F.col("value") != head["value"]).select(F.monotonically_increasing_id().alias("row_id"), F.split("value", "\t" if sep == "\t" else f"[{sep}]").alias("f"))
+    rows = lines.where(F.col("value") != head["value"]).select("row_id", F.split("value", "\t" if sep == "\t" else f"[{sep}]").alias("f"))
     long_enough = F.size("f") > max(at.values())
     kept = rows.where(long_enough).select("row_id", *(F.trim(F.get("f", F.lit(i))).alias(out) for out, i in at.items()))
     return kept, rows.where(~long_enough).agg(F.count("*").alias("n_short"))
@@ -52,16 +54,6 @@ def scale(coordinate: str, pitch_um: float | None) -> Column:
     return F.col(coordinate).cast("double") * F.lit(float(pitch_um or 1.0))
 
 
-def _numbered(df: DataFrame, key: list[str], name: str) -> DataFrame:
-    """Distinct keys numbered from 0 by their first row. Ranks are taken over a range-sorted table: only partition sizes meet in one place."""
-    first = stage(df.groupBy(*key).agg(F.min("row_id").alias("row_id")).orderBy("row_id"), name)
-    part = first.withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("row_id")
-    sizes = part.groupBy("part").agg(F.count("*").alias("n"), F.min("row_id").alias("low"))
-    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return part.withColumn("i", F.row_number().over(inside) - 1).join(F.broadcast(base), "part").select(*key, (F.col("base") + F.col("i")).cast("long").alias(name))
-
-
 def load_gem(spark: SparkSession, path: str, gene_col: str = "geneID", x_col: str = "x", y_col: str = "y", count_col: str = "MIDCounts", cell_label_col: str = "cell", labels_empty=None, sep: str | None = None, pitch_um: float | None = None, x_range=None, y_range=None) -> SpatialDataset:
     """O-01, O-13: labelled expression lines. Equal (gene, x, y) add up; a spot's label is its first that is not empty;
     genes and spots are numbered as first met, cells from 0 in order of their labels; other negative labels mean no cell."""
@@ -72,12 +64,12 @@ def load_gem(spark: SparkSession, path: str, gene_col: str = "geneID", x_col: st
     if y_range is not None:
         rows = rows.where(F.col("y").between(*y_range))
     rows = stage(rows, "gem-rows")
-    genes, spots = _numbered(rows, ["gene"], "gene_id"), _numbered(rows, ["x", "y"], "spot_id")
+    genes, spots = numbered(rows, ["gene"], "gene_id", "row_id"), numbered(rows, ["x", "y"], "spot_id", "row_id")
     labels = rows.groupBy("x", "y").agg(F.min_by("label", F.when(F.col("label").isNotNull(), F.col("row_id"))).alias("label"))
     known = labels.where("label >= 0").select("label").distinct()
-    cells = known.withColumn("cell_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
-    placed = spots.join(labels, ["x", "y"]).join(cells, "label", "left")
-    spot_table = placed.select("spot_id", scale("x", pitch_um).alias("x"), scale("y", pitch_um).alias("y"), F.coalesce("cell_id", F.lit(-1).cast("long")).alias("label"))
+    cells = placed(known, ["label"], "cell_id")
+    labelled = spots.join(labels, ["x", "y"]).join(cells, "label", "left")
+    spot_table = labelled.select("spot_id", scale("x", pitch_um).alias("x"), scale("y", pitch_um).alias("y"), F.coalesce("cell_id", F.lit(-1).cast("long")).alias("label"))
     counts = rows.join(genes, "gene").join(spots, ["x", "y"]).groupBy("gene_id", "spot_id").agg(F.sum("n").alias("n"))
     return SpatialDataset(spot_table, counts, genes.select("gene_id", F.col("gene").alias("gene_name")), cells.select("cell_id", F.col("label").cast("string").alias("original_id")), report)
 
@@ -95,10 +87,10 @@ def load_gem_pair(spark: SparkSession, gem_path: str, label_path: str, gene_col:
     text, report = scan_lines(spark, gem_path, {"gene": gene_col, "x": x_col, "y": y_col, "n": count_col}, sep)
     rows = stage(text.select("row_id", "gene", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("n").cast("double").alias("n")), "gem-rows")
     labels = stage(load_label_map(spark, label_path, x_col, y_col, cell_label_col, labels_empty, sep), "gem-labels")
-    genes, spots = _numbered(rows, ["gene"], "gene_id"), _numbered(rows, ["x", "y"], "spot_id")
-    cells = labels.select("label").distinct().withColumn("cell_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
-    placed = spots.join(labels, ["x", "y"], "left").join(cells, "label", "left")
-    spot_table = placed.select("spot_id", scale("x", pitch_um).alias("x"), scale("y", pitch_um).alias("y"), F.coalesce("cell_id", F.lit(-1).cast("long")).alias("label"))
+    genes, spots = numbered(rows, ["gene"], "gene_id", "row_id"), numbered(rows, ["x", "y"], "spot_id", "row_id")
+    cells = placed(labels.select("label").distinct(), ["label"], "cell_id")
+    labelled = spots.join(labels, ["x", "y"], "left").join(cells, "label", "left")
+    spot_table = labelled.select("spot_id", scale("x", pitch_um).alias("x"), scale("y", pitch_um).alias("y"), F.coalesce("cell_id", F.lit(-1).cast("long")).alias("label"))
     counts = rows.join(genes, "gene").join(spots, ["x", "y"]).groupBy("gene_id", "spot_id").agg(F.sum("n").alias("n"))
     return SpatialDataset(spot_table, counts, genes.select("gene_id", F.col("gene").alias("gene_name")), cells.select("cell_id", F.col("label").alias("original_id")), report)
 
@@ -106,8 +98,8 @@ def load_gem_pair(spark: SparkSession, gem_path: str, label_path: str, gene_col:
 def load_feature_slices(pixels: DataFrame, slices: DataFrame, features: DataFrame, segments: DataFrame, pixel_um: float = 2.0) -> SpatialDataset:
     """O-06, on tables: pixels (row, col) of the tissue mask, slices (gene_key, row, col, data), features (gene_key, name),
     segments (row, col, cell). x comes from the column, y from the row, at pixel centres; entries off the mask drop out."""
-    mask = pixels.select("row", "col").distinct().withColumn("spot_id", F.row_number().over(Window.orderBy("row", "col")).cast("long") - 1)
-    cells = segments.where("cell > 0").select("cell").distinct().withColumn("cell_id", (F.row_number().over(Window.orderBy("cell")) - 1).cast("long"))
+    mask = placed(pixels.select("row", "col").distinct(), ["row", "col"], "spot_id")
+    cells = placed(segments.where("cell > 0").select("cell").distinct(), ["cell"], "cell_id")
     labels = segments.join(cells, "cell").groupBy("row", "col").agg(F.min("cell_id").alias("label"))
     centre = lambda c: F.col(c) * F.lit(pixel_um) + pixel_um / 2
     spots = mask.join(labels, ["row", "col"], "left").select("spot_id", centre("col").alias("x"), centre("row").alias("y"), F.coalesce("label", F.lit(-1).cast("long")).alias("label"))

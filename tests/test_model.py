@@ -74,10 +74,12 @@ def test_bins(spark):
 
 
 def test_core_halo(spark):
-    pts = spark.createDataFrame([(0, 1.0, 1.0), (1, 5.0, 5.0), (2, 10.0, 10.0), (3, 4.5, 9.0), (4, 30.0, 0.0)], "id long, x double, y double")
+    pts = spark.createDataFrame([(0, 1.0, 1.0, 1), (1, 5.0, 5.0, 1), (2, 10.0, 10.0, 1), (3, 4.5, 9.0, 1), (4, 10.5, 0.0, 0), (5, 5.0, 2.0, 0)], "id long, x double, y double, tissue int")
     rows = graph.core_halo(pts, [0, 5, 10], [0, 5, 10], 1.0).collect()
-    core = {r.id: (r.col, r.row) for r in rows if r.is_core}
-    assert core == {0: (0, 0), 1: (1, 1), 2: (1, 1), 3: (0, 1)} and len([r for r in rows if r.id == 1]) == 4
+    assert {r.id: (r.col, r.row) for r in rows if r.is_core} == {0: (0, 0), 1: (1, 1), 2: (1, 1), 3: (0, 1)}
+    assert len([r for r in rows if r.id == 1]) == 4 and {(r.col, r.row) for r in rows if r.id == 4} == {(1, 0)} and {(r.col, r.row) for r in rows if r.id == 5} == {(0, 0), (1, 0)}
+    with pytest.raises(Exception, match="outside"):
+        graph.core_halo(pts.drop("tissue"), [0, 5, 10], [0, 5, 10], 1.0).collect()
 
 
 @pytest.mark.parametrize("spots,counts,word", [
