@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from seepage.jobs.evaluation import GENES, GROUPS, MORE, Tables, _gene_moments, corr
 from seepage.jobs.spatial import r
-from seepage.operators import metrics, selection
+from seepage.operators import clustering, metrics, selection
+from seepage.sources.adapter import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -165,3 +166,54 @@ def o97_route_change(spark, sf_dir):
     t = Tables(spark, sf_dir)
     both = t.get("pb_raw").withColumn("method", F.lit("raw")).unionByName(t.get("pb_fixed").withColumn("method", F.lit("fixed")))
     return metrics.route_change(both, 0, 1, "raw", "fixed").select("source", "target", *(r(c).alias(c) for c in ("raw_p", "fixed_p", "retained", "change")))
+
+
+NORMS = """, fl AS (SELECT cell_id, coalesce(sum(n), 0) library FROM cells LEFT JOIN fixed USING (cell_id) GROUP BY 1), fnorm AS (SELECT gene_id, cell_id, ln(1 + n / greatest(library, 1) * 1e4) v FROM fixed JOIN fl USING (cell_id)),
+truth AS (SELECT gene_id, cell_id, n / 2 n FROM cell_expr), tl AS (SELECT cell_id, coalesce(sum(n), 0) library FROM cells LEFT JOIN truth USING (cell_id) GROUP BY 1), tnorm AS (SELECT gene_id, cell_id, ln(1 + n / greatest(library, 1) * 1e4) v FROM truth JOIN tl USING (cell_id)),
+er AS (SELECT sqrt(sum((coalesce(a.v, 0) - coalesce(b.v, 0)) ** 2) / ((SELECT count(*) FROM cells) * 20)) e FROM norm a FULL JOIN tnorm b USING (gene_id, cell_id)), ef AS (SELECT sqrt(sum((coalesce(a.v, 0) - coalesce(b.v, 0)) ** 2) / ((SELECT count(*) FROM cells) * 20)) e FROM fnorm a FULL JOIN tnorm b USING (gene_id, cell_id))"""
+
+
+@query("o80_rmse_log", f"{NORMS} SELECT round(ef.e, 6) fixed, round(er.e, 6) raw FROM er, ef")
+def o80_rmse_log(spark, sf_dir):
+    """O-80: against half the counts, which have nearly the same profiles."""
+    t = Tables(spark, sf_dir)
+    truth = t.get("cell_expr").withColumn("n", F.col("n") / 2)
+    return metrics.rmse_change(t.get("cell_expr"), t.fixed(), truth, t.get("cells"), t.get("cells").count() * GENES).select(r("fixed").alias("fixed"), r("raw").alias("raw"))
+
+
+@query("o84_mean_between", f""", m AS (SELECT a.grp a, b.grp b, sum(a.mean * b.mean) sxy FROM pb_raw a JOIN pb_raw b USING (gene_id) WHERE a.grp < b.grp GROUP BY 1, 2), o AS (SELECT grp, sum(mean) s, sum(mean * mean) q FROM pb_raw GROUP BY 1),
+k AS (SELECT m.a, m.b, sxy, x.s sx, x.q sxx, y.s sy, y.q syy FROM m JOIN o x ON x.grp = a JOIN o y ON y.grp = b) SELECT round(avg({corr('20')}), 6) mean_r, count({corr('20')}) pairs FROM k""")
+def o84_mean_between(spark, sf_dir):
+    return metrics.mean_between(metrics.group_correlations(Tables(spark, sf_dir).get("pb_raw"), GENES)).select(r("mean_r").alias("mean_r"), "pairs")
+
+
+@query("o60_class_shares", ", k AS (SELECT cell_id, arg_max(gene_id, (n, -gene_id)) kind, max(n) m, (SELECT avg(n) FROM cell_expr) mid FROM cell_expr GROUP BY 1) SELECT CASE WHEN m >= mid THEN 'sure' ELSE 'unsure' END method, kind call, count(*) n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY CASE WHEN m >= mid THEN 'sure' ELSE 'unsure' END), 6) percent FROM k GROUP BY 1, 2, m >= mid")
+def o60_class_shares(spark, sf_dir):
+    expr = Tables(spark, sf_dir).get("cell_expr")
+    first = selection.first_types(expr, "cell_id", "gene_id", "n").join(expr.groupBy("cell_id").agg(F.max("n").alias("m")), "cell_id")
+    calls = first.crossJoin(F.broadcast(expr.agg(F.avg("n").alias("mid")))).select(F.when(F.col("m") >= F.col("mid"), "sure").otherwise("unsure").alias("method"), F.col("first_type").alias("call"))
+    return metrics.class_shares(calls, "method", "call").select("method", "call", "n", r("percent").alias("percent"))
+
+
+@query("o91_silhouette", "")
+def o91_silhouette(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("v"))
+    return clustering.silhouette(vectors, "label").select(r("score", 4).alias("score"), "n")
+
+
+ORACLE_SQL["o91_silhouette"] = """WITH e AS (SELECT row_number() OVER () k, label, CAST(embedding AS DOUBLE[]) v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT a.k, a.label own, b.label other, sum(list_distance(a.v, b.v) ** 2) total, count(*) n FROM e a JOIN e b ON a.k <> b.k GROUP BY 1, 2, 3),
+s AS (SELECT k, max(CASE WHEN own = other THEN total / n END) a, min(CASE WHEN own <> other THEN total / n END) b FROM d GROUP BY 1)
+SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) score, count(*) n FROM s WHERE b IS NOT NULL"""
+
+
+def o91_cluster_ari(spark, sf_dir):
+    """O-91: k-means on principal components of log-normalised counts against the cells' groups. Its steps have no SQL; a test holds it on parted data."""
+    t = Tables(spark, sf_dir)
+    genes = metrics.variable_genes(t.get("norm"), t.get("cells").count(), 200)
+    parts = clustering.principal_components(clustering.cell_vectors(t.get("norm"), genes), "cell_id", 10)
+    found = clustering.clusters(parts, "cell_id", GROUPS).join(t.groups(), "cell_id")
+    return metrics.adjusted_rand(found, "cluster", "grp").select(r("ari").alias("ari"))
+
+
+QUERIES["o91_cluster_ari"] = o91_cluster_ari

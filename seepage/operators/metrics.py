@@ -97,6 +97,13 @@ def rmse(pred: DataFrame, truth: DataFrame, elements: int, a_col: str = "n", b_c
     return both.agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))) / elements).alias("rmse"))
 
 
+def rmse_change(raw: DataFrame, fixed: DataFrame, truth: DataFrame, cells: DataFrame, elements: int) -> DataFrame:
+    """O-80: one row (raw, fixed, reduction): RMSE of log1p counts per ten thousand against the truth's, and its reduction in percent."""
+    want = normalised(cells, truth)
+    one = lambda df, name: rmse(normalised(cells, df), want, elements, "v", "v").withColumnRenamed("rmse", name)
+    return one(raw, "raw").crossJoin(one(fixed, "fixed")).withColumn("reduction", 100 * (1 - ratio(F.col("fixed"), F.col("raw"))))
+
+
 def average_ranks(values: DataFrame, by: list[str], column: str) -> DataFrame:
     """Adds rank_: the mean rank of ties inside each group."""
     w = Window.partitionBy(*by).orderBy(column)
@@ -104,8 +111,13 @@ def average_ranks(values: DataFrame, by: list[str], column: str) -> DataFrame:
     return values.withColumn("rank_", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
 
 
-def concordance(profiles: DataFrame, reference: DataFrame, method: str = "pearson") -> DataFrame:
-    """O-85, O-92: (grp, r, shared) over shared genes. Inputs: (grp, gene_id, mean)."""
+def concordance(profiles: DataFrame, reference: DataFrame, method: str = "pearson", genes: DataFrame | None = None, least: int = 0) -> DataFrame:
+    """O-85, O-86, O-92: (grp, r, shared) over shared genes. Inputs: (grp, gene_id, mean). genes (gene_id) masks the genes; fewer than least shared
+    genes over all groups raise ValueError."""
+    if genes is not None:
+        profiles = profiles.join(genes.select("gene_id"), "gene_id", "left_semi")
+    if least and profiles.select("gene_id").distinct().join(reference.select("gene_id").distinct(), "gene_id").count() < least:
+        raise ValueError(f"fewer than {least} genes are shared with the reference")
     both = profiles.select("grp", "gene_id", F.col("mean").alias("x")).join(reference.select("grp", "gene_id", F.col("mean").alias("y")), ["grp", "gene_id"])
     if method == "spearman":
         both = average_ranks(both, ["grp"], "x").withColumn("x", F.col("rank_")).drop("rank_")
@@ -126,6 +138,11 @@ def group_correlations(profiles: DataFrame, n_genes: int) -> DataFrame:
     return joined.select("a", "b", pearson(F.lit(float(n_genes)), *(F.col(m) for m in MOMENTS)).alias("r"))
 
 
+def mean_between(correlations: DataFrame) -> DataFrame:
+    """O-84: one row (mean_r, pairs): the mean of the defined correlations between groups."""
+    return correlations.agg(F.avg("r").alias("mean_r"), F.count("r").alias("pairs"))
+
+
 def gene_improvement(raw: DataFrame, fixed: DataFrame, reference: DataFrame, n_groups: int) -> DataFrame:
     """O-86: (gene_id, r_raw, r_fixed, improvement): correlation with the reference over groups."""
 
@@ -236,6 +253,21 @@ def reference_profiles(values: DataFrame, symbols: DataFrame, groups: DataFrame,
     return full.select("grp", "gene_name", (F.coalesce("total", F.lit(0.0)) / F.col("members") / F.col("copies")).alias("mean"))
 
 
+def panel_summary(scores: DataFrame, panels: DataFrame) -> DataFrame:
+    """O-59: (panel, n, mean and median of retention and removal) of scores (gene_id, retention, removal) by panels (gene_id, panel)."""
+    joined = panels.join(scores, "gene_id")
+    means = joined.groupBy("panel").agg(F.count("*").alias("n"), F.avg("retention").alias("retention_mean"), F.avg("removal").alias("removal_mean"))
+    for c in ("retention", "removal"):
+        means = means.join(quantiles(joined, ["panel"], c, {f"{c}_median": 0.5}), "panel", "left")
+    return means
+
+
+def class_shares(calls: DataFrame, method: str, call: str) -> DataFrame:
+    """O-60: (method, call, n, percent): how often each class was called by each method."""
+    n = calls.groupBy(method, call).agg(F.count("*").alias("n"))
+    return n.withColumn("percent", 100 * F.col("n") / F.sum("n").over(Window.partitionBy(method)))
+
+
 def top_genes(expr: DataFrame, n: int) -> DataFrame:
     """O-63: (gene_id, total) of the n genes of largest total; ties: smaller id. A top-k, not a cap."""
     return expr.groupBy("gene_id").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gene_id").limit(n)

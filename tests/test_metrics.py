@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seepage.operators import clustering as C
 from seepage.operators import metrics as M
 from seepage.operators import selection as S
 
@@ -92,3 +93,34 @@ def test_shared_shares(spark):
     for bad, word in ((df.limit(1), "one row"), (df.withColumn("pct_singlet", F.lit(1.0)), "match"), (df.withColumn("n_cells", F.col("n_singlet")), "same")):
         with pytest.raises(ValueError, match=word):
             S.checked_shares(bad, ["a", "b"])
+
+
+def test_clusters_and_silhouette(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "abc"[i % 3], (rng.standard_normal(6) * 0.3 + 4 * np.eye(6)[i % 3]).tolist()) for i in range(90)]
+    df = spark.createDataFrame([*rows, (900, None, [0.0] * 6)], "cell_id long, grp string, v array<double>")
+    parts = C.principal_components(df.where("grp is not null"), "cell_id", 2)
+    found = C.clusters(parts, "cell_id", 3).join(df.select("cell_id", "grp"), "cell_id")
+    assert M.adjusted_rand(found, "cluster", "grp").first().ari == pytest.approx(1)
+    got = C.silhouette(df, "grp").first()
+    x, y = np.array([v for _, _, v in rows]), [g for _, g, _ in rows]
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    s = []
+    for i in range(90):
+        mean = lambda g: np.mean([d[i, j] for j in range(90) if y[j] == g and j != i])
+        a, b = mean(y[i]), min(mean(g) for g in "abc" if g != y[i])
+        s.append((b - a) / max(a, b))
+    assert got.n == 90 and got.score == pytest.approx(np.mean(s))
+    values = spark.createDataFrame([(0, 1, 2.0), (5, 1, 3.0), (5, 2, 1.0)], "gene_id long, cell_id long, v double")
+    assert sorted((r.cell_id, r.v) for r in C.cell_vectors(values, spark.createDataFrame([(5,), (0,)], "gene_id long")).collect()) == [(1, [2.0, 3.0]), (2, [0.0, 1.0])]
+
+
+def test_panels_and_least_genes(spark):
+    scores = spark.createDataFrame([(0, 0.5, 0.2), (1, 1.0, 0.4), (2, 0.0, None)], "gene_id long, retention double, removal double")
+    panels = spark.createDataFrame([(0, "p"), (1, "p"), (2, "p")], "gene_id long, panel string")
+    row = M.panel_summary(scores, panels).first()
+    assert (row.n, row.retention_median, row.retention_mean) == (3, 0.5, 0.5) and row.removal_median == pytest.approx(0.3)
+    ref = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, 4.0)], "grp string, gene_id long, mean double")
+    with pytest.raises(ValueError, match="10"):
+        M.concordance(ref, ref, least=10)
+    assert M.concordance(ref, ref, genes=ref.where("gene_id < 2")).first().shared == 2
