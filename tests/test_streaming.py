@@ -10,3 +10,6 @@ def test_running_totals(spark, tmp_path):
         totals = counts.running_cells(counts.read_counts(spark, f"{tmp_path}/in"), spots)
         counts.write_latest(totals, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert {(r.cell_id, r.library, r.genes) for r in counts.latest(spark, f"{tmp_path}/out").collect()} == {(7, 5.0, 2), (8, 5.0, 1)}
+    counts.compact(spark, f"{tmp_path}/out")
+    assert len(list((tmp_path / "out").glob("epoch=*"))) == 1
+    assert {(r.cell_id, r.library, r.genes) for r in counts.latest(spark, f"{tmp_path}/out").collect()} == {(7, 5.0, 2), (8, 5.0, 1)}
