@@ -16,31 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seepage.storage import new_path, stage
+
 #: Texts are handed to numpy in slices of about this many characters, so that a
 #: task's memory does not depend on the size of an Arrow batch.
 SLICE_CHARS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. In local mode, where all share the disk, one is made up if none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(f"file:///tmp/shared-{uuid.uuid4().hex}")
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write a table to the shared folder and read it back: survives lost executors, ends lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Write a table to the shared folder and read it back: survives lost executors, ends lineage.
+materialize = stage
 
 
 def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:

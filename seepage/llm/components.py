@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seepage.llm.common import materialize
+from seepage.storage import remove
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,7 +17,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """Undirected edges (a, b) of ids of any orderable type -> (node, root), root the smallest id of the component.
 
     Nodes without an edge to another node are absent. Null ends, loops and repeated edges are ignored.
-    Steps shuffle edges by node with a map-side minimum; each is written to the shared folder."""
+    Steps shuffle edges by node with a map-side minimum; each is written to the shared folder, and the one before it removed."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     e = materialize(e, "components")
     mark = _mark(e)
@@ -26,7 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "components")
+        before, e = e, materialize(small, "components")
+        remove(before)
         last, mark = mark, _mark(e)
         if mark == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seepage.llm.common import bound_batches, frugal, materialize, new_path, table
+from seepage.llm.common import bound_batches, frugal, materialize, table
+from seepage.storage import new_path
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
