@@ -49,7 +49,7 @@ SHORT_SLOTS = 32
 SIMILARITY = 0.8
 #: Rounds in which a class meets one centre.
 ROUNDS = 2
-BLOCK = 512
+BLOCK = 1024
 #: Word counts hashed to so many bins bound the words that two texts have in common.
 BINS = 128
 MOST = 65_535
@@ -302,10 +302,17 @@ def _candidates(rows: pa.Table):
         steps = (held[:, :, None] > np.arange(LEVELS)).reshape(b - a, -1)
         steps = steps[:, steps.any(axis=0)].astype(np.float32)
         over = np.maximum(held - LEVELS, 0).sum(axis=1)
-        both = steps @ steps.T + np.minimum(over[:, None], over[None, :])
-        length = n[a:b]
-        i, j = np.nonzero(np.triu((both >= SIMILARITY * np.maximum(length[:, None], length[None, :])) | ((length[:, None] >= MOST) & (length[None, :] >= MOST)), 1))
-        return i + a, j + a
+        length, own = n[a:b], comp[a:b]
+        out = []
+        for k in range(0, b - a, 256):  # some rows of the product at a time
+            rows_ = slice(k, k + 256)
+            both = steps[rows_] @ steps.T + np.minimum(over[rows_, None], over[None, :])
+            near = both >= SIMILARITY * np.maximum(length[rows_, None], length[None, :])
+            near |= (length[rows_, None] >= MOST) & (length[None, :] >= MOST)
+            near &= own[rows_, None] != own[None, :]
+            i, j = np.nonzero(np.triu(near, k + 1))
+            out.append((i + a + k, j + a))
+        return tuple(np.concatenate(c) for c in zip(*out))
 
     pairs_of = lru_cache(maxsize=64)(lambda m: np.triu_indices(m, 1))
     cuts = [*np.flatnonzero(run_starts(rows)).tolist(), len(n)]
@@ -396,7 +403,7 @@ def _blocks(mixed: DataFrame) -> DataFrame:
     sized = sized.withColumn("block", F.when(F.col("inside"), F.col("outer") + at("inner")).otherwise(at("outer")))
     partners = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
     wide = sized.withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1)))
-    return wide.select("code", "node", "n", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    return wide.select(*mixed.columns, "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,8 +424,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         members = members.withColumn("comp", F.col("node")) if not rank else materialize(_mixed(members, comps), "minhash-mixed", "zstd")
         near = materialize(verify(materialize(_star(members, rank), "minhash-star"), texts), "minhash-near")
         comps = _joined(comps, near)
-    wide = _blocks(_mixed(members, comps)).withColumn("key", key_of("node")).hint("shuffle_hash").join(sketches.select("key", "bins"), "key")
-    wide = wide.select("code", "node", "n", "comp", "block", "bi", "bj", "bins")
+    # Bins come to a bucket's members once, before the members go to the pairs of blocks.
+    mixed = _mixed(members, comps).withColumn("key", key_of("node")).hint("shuffle_hash").join(sketches.select("key", "bins"), "key").drop("key")
+    wide = _blocks(mixed)
     used = wide.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(frugal(_cross_rows), wide.schema)
     used = materialize(used, "minhash-wide", "zstd").withColumn("key", key_of("node")).hint("shuffle_hash").join(texts, "key").drop("key")
     near = used.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(frugal(_cross_pairs), "a binary, b binary")
