@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import bound_batches, bucketed, fold, frugal, materialize, runs, table
+from seepage.llm.common import bound_batches, bucketed, fold, frugal, materialize, parts, runs, table
 
 CHUNK_BYTES = 4_000_000
 SUFFIX = 3
@@ -394,7 +394,8 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     fresh = chunks(docs, held, id_col, text_col)
-    made = bucketed(fresh, "maxent-chunks", "chunk", max(1, min(TABLE_BUCKETS, fresh.rdd.getNumPartitions())))
+    # With fewer buckets than the session's shuffles have parts, Spark would move the chunks after all.
+    made = bucketed(fresh, "maxent-chunks", "chunk", max(parts(spark), min(TABLE_BUCKETS, fresh.rdd.getNumPartitions())))
     listed = made.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts").where("counts > 0")
     counts = materialize(listed.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "maxent-counts", "zstd")
     spare = (F.lit(NAMED) + F.pmod(F.crc32("word"), F.lit(PARTS - NAMED))).cast("int")

@@ -116,3 +116,13 @@ def test_rare_words_come_by_the_join(spark, monkeypatch):
 
 def test_word_hash_has_64_bits():
     assert M.word_hash(b"hxcmqurip") != M.word_hash(b"oxexryexh")
+
+
+def test_chunks_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(M, "FREQUENT", 1)
+    df = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
+    plan = M.score(df, fold("doc_id", 7) == 2)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(chunk" in line]
+    assert len(moved) <= 2 and "Bucketed: true" in plan, plan  # found, by chunk; the chunks' table is read by its buckets
+    scan = plan[: plan.index("Bucketed: true")].split("\n")[-5:]
+    assert not any("Exchange" in line for line in scan), scan
