@@ -38,8 +38,8 @@ PASS_CHARS = 1_000_000
 LEAF = 32
 POSTINGS = 2_000_000
 MAXIMA = 16_000_000
-#: Nodes that are bounded together.
-STEP = 4096
+#: Nodes of highest bound that are looked at together first; four times as many next, and so on.
+STEP = 8
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 
@@ -185,9 +185,14 @@ class Tree:
             if not leaf.all():
                 below = np.concatenate([self.children[k] for k in nodes[~leaf]])
                 bound = self.bounds(below, terms, w)
-                order = np.argsort(bound, kind="stable")  # the best are taken from the stack first
-                for a in range(0, len(order), STEP):
-                    stack.append((below[order[a : a + STEP]], bound[order[a : a + STEP]]))
+                order = np.argsort(-bound, kind="stable")
+                # The few best are taken from the stack first, so that the rest meets a higher least.
+                cuts, step = [0], STEP
+                while cuts[-1] < len(order):
+                    cuts.append(min(cuts[-1] + step, len(order)))
+                    step *= 4
+                for a, b in zip(cuts[-2::-1], cuts[:0:-1]):
+                    stack.append((below[order[a:b]], bound[order[a:b]]))
 
 
 def _vector_batches(number: dict[str, int]):
