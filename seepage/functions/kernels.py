@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +15,13 @@ KERNELS: dict[str, Callable[[Column, Column], Column]] = {
     "inverse": lambda d, scale: 1 / (d + 1e-6),
 }
 
+#: The same on arrays, for matrix products; a kernel without an entry is only used by rows.
+ARRAY_KERNELS: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
+    "exponential": lambda d, scale: np.exp(-d / scale),
+    "gaussian": lambda d, scale: np.exp(-(d * d) / (2 * scale * scale)),
+    "inverse": lambda d, scale: 1 / (d + 1e-6),
+}
+
 #: Penalties f(rate, p50 and p90 of the gene's positive rates).
 PENALTIES: dict[str, Callable[[Column, Column, Column], Column]] = {
     "linear_p90": lambda s, p50, p90: 1 / (1 + s / p90),

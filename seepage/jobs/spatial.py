@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seepage.functions.kernels import KERNELS, PENALTIES
 from seepage.model import LeakageModel
-from seepage.operators import aggregate, fit, geometry, graph, validate
+from seepage.operators import aggregate, fit, geometry, graph, tiling, validate
 from seepage.operators.ordering import placed
 from seepage.sources import cellbin, sinks
 from seepage.sources.adapter import dataset
@@ -385,3 +385,30 @@ def o141_bin_sweep(spark, sf_dir):
     table = empty.groupBy("bin_size", "bin_id").agg(F.count("*").alias("area")).groupBy("bin_size").agg(F.count("*").alias("n_bins"), r(F.avg("area")).alias("area_mean"))
     totals = empty.join(stages.data.counts, "spot_id").groupBy("bin_size").agg(F.sum("n").alias("total"))
     return table.join(totals, "bin_size")
+
+
+def _model(**more) -> LeakageModel:
+    return LeakageModel(bin_size=BIN, max_radius=RADIUS, lambda_grid=SCALES, n_lambda_genes=N_LAMBDA, r2_threshold=THRESHOLD, **more)
+
+
+@query("o44_block_fit", "SELECT gene_id, CAST(rk AS BIGINT) rk, round(alpha, 6) alpha, round(r2, 6) r2 FROM fit")
+def o44_block_fit(spark, sf_dir):
+    """O-44 by matrix products: the fit of every gene from sums over tiles and blocks of genes."""
+    model = _model(backend="blocks")
+    model.fit_transform(dataset(spark, sf_dir), check=False)
+    return model.fit_.select("gene_id", F.col("rank").cast("long").alias("rk"), r("alpha").alias("alpha"), r("r2").alias("r2"))
+
+
+@query("o48_block_corrected", "SELECT gene_id, cell_id, n_raw, round(n_corrected, 4) n_corrected FROM corr")
+def o48_block_corrected(spark, sf_dir):
+    """O-48 by matrix products."""
+    return _model(backend="blocks").fit_transform(dataset(spark, sf_dir), check=False).select("gene_id", "cell_id", "n_raw", r("n_corrected", 4).alias("n_corrected"))
+
+
+@query("o37_tiled_correction", "SELECT gene_id, cell_id, n_raw, round(n_corrected, 4) n_corrected FROM corr")
+def o37_tiled_correction(spark, sf_dir):
+    """O-37, O-118: the correction made in 3 x 3 tiles with a halo of the radius, and stitched by core."""
+    model = _model()
+    model.fit_transform(dataset(spark, sf_dir), check=False)
+    tiles = model.correct_tiles(*_tiles(model.cells_.select(F.col("cx").alias("x"), F.col("cy").alias("y"))))
+    return tiling.stitched(tiles).select("gene_id", "cell_id", "n_raw", r("n_corrected", 4).alias("n_corrected"))

@@ -37,11 +37,12 @@ def residual(yy: Column, alpha: Column, yn: Column, nn: Column) -> Column:
     return F.greatest(yy - 2 * alpha * yn + alpha * alpha * nn, F.lit(0.0))
 
 
-def scale_search(pred: DataFrame, bin_expr: DataFrame, bin_table: DataFrame, genes: DataFrame, scales: list[float]) -> DataFrame:
-    """O-46: (pos, scale, rss) for each scale over the given genes."""
+def scale_search(pred: DataFrame | None, bin_expr: DataFrame, bin_table: DataFrame, genes: DataFrame, scales: list[float], known: DataFrame | None = None) -> DataFrame:
+    """O-46: (pos, scale, rss) for each scale over the given genes. known: the moments, where pred was not made."""
+    known = moments(pred, bin_expr, len(scales)) if known is None else known
     seen = bin_expr.join(genes.select("gene_id"), "gene_id", "left_semi").join(bin_table.select("bin_id", "area"), "bin_id")
     yy = seen.groupBy("gene_id").agg(F.sum(F.col("area") * F.col("y") * F.col("y")).alias("yy"))
-    sums = genes.select("gene_id").join(moments(pred, bin_expr, len(scales)), "gene_id", "left").join(yy, "gene_id", "left").fillna(0.0)
+    sums = genes.select("gene_id").join(known, "gene_id", "left").join(yy, "gene_id", "left").fillna(0.0)
     entry = lambda i, x: F.struct(F.lit(i).alias("pos"), F.lit(float(x)).alias("scale"), residual(F.col("yy"), alpha_of(F.col(f"yn_{i}"), F.col(f"nn_{i}")), F.col(f"yn_{i}"), F.col(f"nn_{i}")).alias("rss"))
     each = sums.select(F.explode(F.array(*(entry(i, x) for i, x in enumerate(scales)))).alias("e")).select("e.*")
     return each.groupBy("pos", "scale").agg(F.sum("rss").alias("rss"))
@@ -69,15 +70,16 @@ def best_scale(search: DataFrame) -> DataFrame:
     return search.agg(F.min(F.struct("rss", "pos", "scale")).alias("b")).select("b.scale", "b.rss")
 
 
-def gene_fit(pred: DataFrame, bin_expr: DataFrame, bin_table: DataFrame, ranks: DataFrame, n_high: int | None = None) -> DataFrame:
-    """O-47: (gene_id, rank, alpha, r2) of the n_high highest-ranked genes; pred holds the chosen scale as n_0.
+def gene_fit(pred: DataFrame | None, bin_expr: DataFrame, bin_table: DataFrame, ranks: DataFrame, n_high: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """O-47: (gene_id, rank, alpha, r2) of the n_high highest-ranked genes; pred holds the chosen scale as n_0, or known its moments.
 
     The total sum of squares is summed about the mean, which doesn't cancel. Genes without background get alpha 0, r2 1."""
+    known = moments(pred, bin_expr, 1) if known is None else known
     chosen = ranks if n_high is None else ranks.where(F.col("rank") <= n_high)
     total = bin_table.agg(F.sum("area").cast("double").alias("big"))
     seen = bin_expr.join(bin_table.select("bin_id", "area"), "bin_id")
     first = seen.groupBy("gene_id").agg(F.sum(F.col("area") * F.col("y")).alias("wy"), F.sum(F.col("area") * F.col("y") * F.col("y")).alias("yy"), F.sum("area").alias("wa"))
-    sums = chosen.select("gene_id", "rank").join(first, "gene_id", "left").join(moments(pred, bin_expr, 1), "gene_id", "left").fillna(0).crossJoin(F.broadcast(total))
+    sums = chosen.select("gene_id", "rank").join(first, "gene_id", "left").join(known, "gene_id", "left").fillna(0).crossJoin(F.broadcast(total))
     mean = sums.withColumn("mean", F.col("wy") / F.col("big"))
     about = seen.join(mean.select("gene_id", "mean"), "gene_id").groupBy("gene_id").agg(F.sum(F.col("area") * (F.col("y") - F.col("mean")) * (F.col("y") - F.col("mean"))).alias("about"))
     full = mean.join(about, "gene_id", "left").fillna(0.0, ["about"])
@@ -88,16 +90,26 @@ def gene_fit(pred: DataFrame, bin_expr: DataFrame, bin_table: DataFrame, ranks:
     return full.select("gene_id", "rank", "alpha", r2.alias("r2"))
 
 
-def corrected(cell_expr_rates: DataFrame, edges_cc: DataFrame, fit: DataFrame, scale: float, threshold: float = 0.01, metric: str = "exponential", mode: str | None = "quadratic_p90", percentiles: DataFrame | None = None) -> DataFrame:
+def inflow(edges_cc: DataFrame, rates: DataFrame, scale: float, metric: str = "exponential", keys: list[str] = ()) -> DataFrame:
+    """O-48: (keys, gene_id, cell_id, inflow): the kernel-weighted sum of the rates of a cell's neighbours. keys: further columns of the edges that results are kept apart by."""
+    given = rates.select("gene_id", F.col("cell_id").alias("src"), "s")
+    weighted = kernel(metric)(F.col("d"), F.lit(float(scale))) * F.col("s")
+    return edges_cc.join(given, "src").groupBy(*keys, "gene_id", F.col("dst").alias("cell_id")).agg(F.sum(weighted).alias("inflow"))
+
+
+def passing(rates: DataFrame, fit: DataFrame, threshold: float) -> DataFrame:
+    """The rates of the genes whose fit reaches the threshold."""
+    return rates.join(fit.where(F.col("r2") >= threshold).select("gene_id"), "gene_id", "left_semi")
+
+
+def corrected(cell_expr_rates: DataFrame, edges_cc: DataFrame | None, fit: DataFrame, scale: float, threshold: float = 0.01, metric: str = "exponential", mode: str | None = "quadratic_p90", percentiles: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """O-48: (gene_id, cell_id, n_raw, n_corrected) of every stored row; genes that miss the threshold stay as they are.
 
-    percentiles: (gene_id, p50, p90), needed with a penalty mode, which weighs by the target cell's own rate."""
-    w = kernel(metric)
+    percentiles: (gene_id, p50, p90), needed with a penalty mode, which weighs by the target cell's own rate. known: the inflow, where it was made without edges."""
     good = fit.where(F.col("r2") >= threshold).select("gene_id", "alpha")
     rates = cell_expr_rates
-    passing = rates.join(good.select("gene_id"), "gene_id", "left_semi").select("gene_id", F.col("cell_id").alias("src"), "s")
-    inflow = edges_cc.join(passing, "src").groupBy("gene_id", F.col("dst").alias("cell_id")).agg(F.sum(w(F.col("d"), F.lit(float(scale))) * F.col("s")).alias("inflow"))
-    out = rates.join(good, "gene_id", "left").join(inflow, ["gene_id", "cell_id"], "left").fillna(0.0, ["inflow"])
+    known = inflow(edges_cc, passing(rates, fit, threshold), scale, metric) if known is None else known
+    out = rates.join(good, "gene_id", "left").join(known, ["gene_id", "cell_id"], "left").fillna(0.0, ["inflow"])
     ambient = F.col("alpha") * F.col("area") * F.col("inflow")
     if mode is not None:
         out = out.join(percentiles, "gene_id", "left")

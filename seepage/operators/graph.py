@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def tile_join(a: DataFrame, b: DataFrame, radius: float, a_xy: tuple[str, str], b_xy: tuple[str, str]) -> DataFrame:
-    """O-31: all pairs of rows at a distance d <= radius, once each. Column names of a and b must differ.
+def tile_join(a: DataFrame, b: DataFrame, radius: float, a_xy: tuple[str, str], b_xy: tuple[str, str], keys: list[str] = ()) -> DataFrame:
+    """O-31: all pairs of rows at a distance d <= radius, once each. Column names of a and b must differ but for keys, which both have and which pairs agree in.
 
     Tiles have the radius as side; b goes to its 3 x 3 tiles, so each pair meets in a's tile only. Dense tiles are
     left to adaptive skew joins."""
@@ -18,7 +18,7 @@ def tile_join(a: DataFrame, b: DataFrame, radius: float, a_xy: tuple[str, str],
     near = F.array(*(F.struct((tile(b_xy[0]) + i).alias("tx"), (tile(b_xy[1]) + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     right = b.withColumn("tile", F.explode(near)).select(*b.columns, "tile.tx", "tile.ty")
     dx, dy = F.col(a_xy[0]) - F.col(b_xy[0]), F.col(a_xy[1]) - F.col(b_xy[1])
-    pairs = left.join(right, ["tx", "ty"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radius * radius)
+    pairs = left.join(right, [*keys, "tx", "ty"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radius * radius)
     return pairs.withColumn("d", F.sqrt("d2")).drop("tx", "ty", "d2")
 
 
