@@ -207,13 +207,54 @@ s AS (SELECT k, max(CASE WHEN own = other THEN total / n END) a, min(CASE WHEN o
 SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) score, count(*) n FROM s WHERE b IS NOT NULL"""
 
 
+@query("o91_silhouette_euclidean", "")
+def o91_silhouette_euclidean(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("v"))
+    return clustering.euclidean_silhouette(vectors, "label").select(r("score", 4).alias("score"), "n")
+
+
+ORACLE_SQL["o91_silhouette_euclidean"] = ORACLE_SQL["o91_silhouette"].replace("list_distance(a.v, b.v) ** 2", "list_distance(a.v, b.v)")
+
+
+@query("o91_svd_lengths", "SELECT cell_id, round(sum(v * v), 3) squares FROM norm GROUP BY 1")
+def o91_svd_lengths(spark, sf_dir):
+    """O-91: over as many components as there are genes, a cell's vector keeps its length."""
+    parts, _ = clustering.truncated_svd(Tables(spark, sf_dir).get("norm"), "cell_id", "gene_id", "v", GENES)
+    return parts.select("cell_id", r(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 3).alias("squares"))
+
+
+@query("o91_svd_products", "SELECT a.cell_id a, b.cell_id b, round(sum(a.v * b.v), 3) product FROM norm a JOIN norm b USING (gene_id) WHERE b.cell_id = a.cell_id + 1 GROUP BY 1, 2")
+def o91_svd_products(spark, sf_dir):
+    """O-91: and neighbouring cells' vectors keep their inner products."""
+    parts, _ = clustering.truncated_svd(Tables(spark, sf_dir).get("norm"), "cell_id", "gene_id", "v", GENES)
+    other = parts.select((F.col("cell_id") - 1).alias("cell_id"), F.col("v").alias("w"))
+    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return parts.join(other, "cell_id").select(F.col("cell_id").alias("a"), (F.col("cell_id") + 1).alias("b"), r(dot, 3).alias("product"))
+
+
 def o91_cluster_ari(spark, sf_dir):
-    """O-91: k-means on principal components of log-normalised counts against the cells' groups. Its steps have no SQL; a test holds it on parted data."""
+    """O-91: k-means on the truncated singular vectors of all genes' log-normalised counts against the cells' groups. Its steps have no SQL; tests hold them against numpy."""
     t = Tables(spark, sf_dir)
-    genes = metrics.variable_genes(t.get("norm"), t.get("cells").count(), 200)
-    parts = clustering.principal_components(clustering.cell_vectors(t.get("norm"), genes), "cell_id", 10)
+    parts, _ = clustering.truncated_svd(t.get("norm"), "cell_id", "gene_id", "v", 10)
     found = clustering.clusters(parts, "cell_id", GROUPS).join(t.groups(), "cell_id")
     return metrics.adjusted_rand(found, "cluster", "grp").select(r("ari").alias("ari"))
 
 
 QUERIES["o91_cluster_ari"] = o91_cluster_ari
+
+
+#: Moments of the tricube-weighed points about each gene's own mean, and the quadratic's value there by Cramer's rule.
+TREND = """, c AS (SELECT count(*)::DOUBLE c FROM cells), s AS (SELECT gene_id, sum(n) s, sum(n * n) q FROM cell_expr GROUP BY 1), g AS (SELECT gene_id, s / c m, greatest((q - s * (s / c)) / (c - 1), 0) va FROM s, c),
+p AS (SELECT gene_id, m, va, log10(m) x, log10(va) y FROM g WHERE m > 0 AND va > 0), k AS (SELECT greatest(least(count(*), 3), floor(0.3::DOUBLE * count(*) + 1e-9)) q FROM p),
+nb AS (SELECT a.gene_id, b.y, b.x - a.x d, row_number() OVER (PARTITION BY a.gene_id ORDER BY abs(b.x - a.x), b.x) i FROM p a CROSS JOIN p b), h AS (SELECT gene_id, max(abs(d)) h FROM nb, k WHERE i <= q GROUP BY 1),
+w AS (SELECT gene_id, y, d / h u, power(1 - power(abs(d) / h, 3), 3) w FROM nb JOIN h USING (gene_id), k WHERE i <= q),
+z AS (SELECT gene_id, sum(w) s0, sum(w * u) s1, sum(w * u ** 2) s2, sum(w * u ** 3) s3, sum(w * u ** 4) s4, sum(w * y) t0, sum(w * y * u) t1, sum(w * y * u ** 2) t2 FROM w GROUP BY 1),
+f AS (SELECT gene_id, power(10, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)) / 2) sd FROM z),
+e AS (SELECT gene_id, m, va, (sum(power(least((n - m) / sd, sqrt(c)), 2)) + (c - count(*)) * power(m / sd, 2)) / (c - 1) nv FROM cell_expr JOIN p USING (gene_id) JOIN f USING (gene_id), c GROUP BY gene_id, m, va, sd, c)"""
+
+
+@query("o69_stabilised_variance", f"{TREND} SELECT gene_id, round(m, 4) mean, round(va, 4) variance, round(nv, 4) norm_variance FROM e ORDER BY nv DESC, gene_id LIMIT 12")
+def o69_stabilised_variance(spark, sf_dir):
+    """O-69: the 12 genes of largest variance about the trend."""
+    t = Tables(spark, sf_dir)
+    return selection.stabilised_variance(t.get("cell_expr"), t.get("cells").count(), 12).select("gene_id", *(r(c, 4).alias(c) for c in ("mean", "variance", "norm_variance")))

@@ -1,13 +1,22 @@
-"""Principal components, clusters and how well labels part vectors."""
+"""Truncated singular vectors, principal components, clusters and how well labels part vectors."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seepage.storage import remove, stage
+
+#: Vectors of a block that meets every other block.
+BLOCK = 4096
+#: Rows of a block that are compared with the other block at a time.
+SLAB = 256
+
 
 def cell_vectors(values: DataFrame, genes: DataFrame) -> DataFrame:
     """(cell_id, v array<double>): a cell's values over the given genes (gene_id), in their order, zeros included. Take few genes: those of largest variance."""
@@ -23,6 +32,88 @@ def principal_components(vectors: DataFrame, key: str, k: int) -> DataFrame:
     return model.transform(ready).select(key, vector_to_array("parts").alias("v"))
 
 
+def _gauss(key: Column, i: int, seed: int) -> Column:
+    """A normal number from a digest of key, i and seed."""
+    u = lambda salt: (F.pmod(F.xxhash64(key, F.lit(i), F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.ln(u(0))) * F.cos(2 * F.pi() * u(1))
+
+
+def _product(values: DataFrame, vectors: DataFrame, over: str, out: str, width: int) -> DataFrame:
+    """(out, v): for each out the sum over `over` of value times vector; vectors (over, v). Sums are made before the shuffle."""
+    sums = [F.sum(F.col("value_") * F.get("v", F.lit(i))).alias(f"s{i}") for i in range(width)]
+    return values.join(vectors, over).groupBy(out).agg(*sums).select(out, F.array(*(f"s{i}" for i in range(width))).alias("v"))
+
+
+def _gram(vectors: DataFrame, width: int) -> np.ndarray:
+    """Sum of v v^T: width x width numbers from each task, added up by entry."""
+
+    def run(batches):
+        total = np.zeros((width, width))
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy().reshape(-1, width)
+            total += x.T @ x
+        yield pa.record_batch({"i": pa.array(np.arange(width * width)), "x": pa.array(total.ravel())})
+
+    out = np.zeros(width * width)
+    for r in vectors.select("v").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        out[r.i] = r.x
+    return out.reshape(width, width)
+
+
+def _times(vectors: DataFrame, key: str, m: np.ndarray) -> DataFrame:
+    """(key, v m); m is small."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1) @ m
+                ends = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=[key, "v"])
+
+    return vectors.select(key, "v").mapInArrow(run, f"`{key}` {vectors.schema[key].dataType.simpleString()}, v array<double>")
+
+
+def _whitener(gram: np.ndarray) -> np.ndarray:
+    """m with m^T gram m = 1 on the directions that hold anything; the others become 0."""
+    size, turn = np.linalg.eigh(gram)
+    scale = np.where(size > max(size.max(), 0) * 1e-12, 1 / np.sqrt(np.maximum(size, 1e-300)), 0.0)
+    return turn * scale
+
+
+def truncated_svd(values: DataFrame, key: str, feature: str, value: str, k: int, extra: int = 10, rounds: int = 2, seed: int = 42) -> tuple[DataFrame, list[float]]:
+    """O-91: ((key, v), singular values): each key's first k components of the whole sparse table (key, feature, value), not centred, by a randomised range finder.
+
+    Features draw k + extra normal numbers each; the table times these, turned back and forth `rounds` times and made orthonormal each time, spans the
+    range of the largest components. Tables of k + extra numbers for each key or feature are staged; only matrices of (k + extra)^2 numbers reach the driver. Keys without rows have no
+    vector; fewer components than k come with zeros. Signs are free, as of any singular vectors."""
+    width = k + extra
+    entries = stage(values.select(F.col(key).alias("k_"), F.col(feature).alias("f_"), F.col(value).cast("double").alias("value_")).where("value_ <> 0 and k_ is not null and f_ is not null"), "svd-entries")
+    start = entries.select("f_").distinct().select("f_", F.array(*(_gauss(F.col("f_"), i, seed) for i in range(width))).alias("v"))
+    made = [stage(start, "svd-features")]
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        made.append(stage(df, name))
+        return made[-1]
+
+    def orthonormal(df: DataFrame, by: str) -> DataFrame:
+        df = held(df, "svd-turned")
+        return _times(df, by, _whitener(_gram(df, width)))
+
+    basis = orthonormal(_product(entries, made[0], "f_", "k_", width), "k_")
+    for _ in range(rounds):
+        turned = orthonormal(_product(entries, basis, "k_", "f_", width), "f_")
+        basis = orthonormal(_product(entries, turned, "f_", "k_", width), "k_")
+    basis = held(orthonormal(basis, "k_"), "svd-basis")  # once more, for what rounding left of the first time
+    small = _gram(held(_product(entries, basis, "k_", "f_", width), "svd-small"), width)
+    size, turn = np.linalg.eigh(small)
+    order = np.argsort(-size)[:k]
+    sigma = np.sqrt(np.maximum(size[order], 0.0))
+    out = stage(_times(basis, "k_", turn[:, order] * sigma).withColumnRenamed("k_", key), "svd")
+    for df in [entries, *made]:
+        remove(df)
+    return out, sigma.tolist()
+
+
 def clusters(vectors: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """O-91: (key, cluster) by k-means."""
     ready = vectors.select(key, array_to_vector("v").alias("features"))
@@ -30,24 +121,82 @@ def clusters(vectors: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return model.transform(ready).select(key, "cluster")
 
 
+def _labelled(vectors: DataFrame, label: str) -> DataFrame:
+    """(own, v, row) of the vectors with a known label."""
+    known = vectors.where(F.col(label).isNotNull() & F.col("v").isNotNull() & ~F.col(label).cast("string").isin("", "Unknown", "nan", "None"))
+    return known.select(F.col(label).alias("own"), F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("row", F.monotonically_increasing_id())
+
+
 def silhouette(vectors: DataFrame, label: str) -> DataFrame:
     """O-91: one row (score, n): mean silhouette of labelled vectors v under squared Euclidean distance; a vector alone in its label counts 0.
 
     The mean squared distance of a vector to a label's vectors follows from the label's mean vector and mean squared length, so that no pairs of vectors are made.
-    Labels are few; rows with a null label or vector are left out."""
-    known = vectors.where(F.col(label).isNotNull() & F.col("v").isNotNull()).select(F.col(label).alias("own"), F.transform("v", lambda x: x.cast("double")).alias("v"))
-    known = known.withColumn("q", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).withColumn("row", F.monotonically_increasing_id())
+    Labels are few; rows with a null label or vector, and unknown labels, are left out."""
+    known = _labelled(vectors, label).withColumn("q", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     dims = known.select("own", F.posexplode("v").alias("d", "x")).groupBy("own", "d").agg(F.avg("x").alias("m"))
     means = dims.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("d", "m"))).alias("s"))  # as long as a vector
     sizes = known.groupBy("own").agg(F.count("*").alias("n"), F.avg("q").alias("mq"))
     centres = means.join(sizes, "own").select(F.col("own").alias("other"), "n", "mq", F.transform("s", lambda e: e["m"]).alias("m"))
     met = known.crossJoin(F.broadcast(centres))  # every vector with each of the few labels
     dot = F.aggregate(F.zip_with("v", "m", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    met = met.withColumn("far", F.greatest(F.col("q") + F.col("mq") - 2 * dot, F.lit(0.0)))
+    met = met.withColumn("total", F.greatest(F.col("q") + F.col("mq") - 2 * dot, F.lit(0.0)) * F.col("n"))
+    return _score(met)
+
+
+def _score(met: DataFrame) -> DataFrame:
+    """One row (score, n) of rows (row, own, other, n, total): the total distance of each vector to the n vectors of each label."""
+    own = F.col("own") == F.col("other")
     each = met.groupBy("row").agg(
-        F.max(F.when(F.col("own") == F.col("other"), F.col("far") * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"),
-        F.max(F.when(F.col("own") == F.col("other"), F.col("n"))).alias("n"),
-        F.min(F.when(F.col("own") != F.col("other"), F.col("far"))).alias("b"),
+        F.max(F.when(own, F.col("total") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"),
+        F.max(F.when(own, F.col("n"))).alias("n"),
+        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
     )
     s = F.when((F.col("n") > 1) & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.when(F.greatest("a", "b") > 0, F.greatest("a", "b"))).otherwise(0.0)
     return each.where("b is not null").agg(F.avg(s).alias("score"), F.count("*").alias("n"))
+
+
+def _distance_sums(rows: pa.Table) -> pa.Table:
+    """Of the vectors of a pair of blocks: (row, other, total), the sum of distances of each vector of one block to those of each label of the other block.
+
+    A block that meets itself gives each vector's sums once. Squares are summed from differences by dimension, so that near vectors lose no digits."""
+    block = rows.column("block").to_numpy()
+    row, of = rows.column("row").to_numpy(), rows.column("label").to_numpy()
+    v = rows.column("v").combine_chunks()
+    v = v.flatten().to_numpy().reshape(len(row), -1)
+    low = block == block.min()
+    sides = [(low, low)] if low.all() else [(low, ~low), (~low, low)]
+    out = {"row": [], "label": [], "total": []}
+    for one, two in sides:
+        labels, place = np.unique(of[two], return_inverse=True)
+        member = np.zeros((len(place), len(labels)))
+        member[np.arange(len(place)), place] = 1.0
+        x, y, names = v[one], v[two], row[one]
+        for a in range(0, len(x), SLAB):
+            part = x[a : a + SLAB]
+            d2 = np.zeros((len(part), len(y)))
+            for d in range(v.shape[1]):
+                gap = part[:, d, None] - y[None, :, d]
+                d2 += gap * gap
+            total = np.sqrt(d2) @ member
+            out["row"].append(np.repeat(names[a : a + SLAB], len(labels)))
+            out["label"].append(np.tile(labels, len(part)))
+            out["total"].append(total.ravel())
+    return pa.table({"row": pa.array(np.concatenate(out["row"]), pa.int64()), "label": pa.array(np.concatenate(out["label"]), pa.int32()), "total": pa.array(np.concatenate(out["total"]))})
+
+
+def euclidean_silhouette(vectors: DataFrame, label: str) -> DataFrame:
+    """O-91: one row (score, n): mean silhouette of labelled vectors v (of one length) under Euclidean distance; a vector alone in its label counts 0.
+
+    True distances don't follow from means, so that every vector meets every other: vectors are dealt to blocks of about BLOCK, each pair of blocks is one task's group, and what leaves it is a
+    sum for each vector and label. Labels are few; rows with a null label or vector, and unknown labels, are left out."""
+    known = stage(_labelled(vectors, label), "silhouette")
+    sizes = known.groupBy("own").agg(F.count("*").alias("n"))
+    names = stage(sizes.withColumn("label", (F.row_number().over(Window.orderBy("own")) - 1).cast("int")), "silhouette-labels")  # a row for each label
+    blocks = max(1, -(-known.count() // BLOCK))
+    dealt = known.join(F.broadcast(names.select("own", "label")), "own").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = dealt.select("row", "label", "v", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    sums = pairs.groupBy("bi", "bj").applyInArrow(_distance_sums, "row long, label int, total double")
+    sums = sums.groupBy("row", "label").agg(F.sum("total").alias("total"))
+    met = sums.join(F.broadcast(names.select("label", F.col("own").alias("other"), "n")), "label").join(known.select("row", "own"), "row")
+    return _score(met)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seepage.functions.scalar import ratio
 from seepage.operators.metrics import MOMENTS, first_of_highest, moment_sums, paired, pearson
 from seepage.operators.ordering import placed
+from seepage.storage import stage
 
 
 def top_improved(improvement: DataFrame, n: int = 10) -> DataFrame:
@@ -51,6 +56,77 @@ def highly_variable(values: DataFrame, n_cells: int, n: int, bins: int = 20) ->
     return binned.select("gene_id", F.when(F.col("d").isNotNull(), z).alias("dispersion")).where("dispersion is not null").orderBy(F.desc("dispersion"), "gene_id").limit(n)
 
 
+#: Genes whose means and variances every task of the local regression gets: 16 bytes each.
+TREND_GENES = 200_000
+
+
+def _local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float) -> np.ndarray:
+    """Values at `at` of quadratic fits to the nearest share span of the points (x, y), x sorted, weighed by the tricube of their distance."""
+    q = max(min(len(x), 3), int(np.floor(span * len(x) + 1e-9)))
+    out = np.empty(len(at))
+    for i, x0 in enumerate(at):
+        # The q nearest points are a run of x: its start is where the next point is not nearer than its first.
+        lo, hi = 0, len(x) - q
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if x0 - x[mid] > x[mid + q] - x0:
+                lo = mid + 1
+            else:
+                hi = mid
+        d = x[lo : lo + q] - x0
+        h = np.abs(d).max()
+        if h <= 0:
+            out[i] = y[lo : lo + q].mean()
+            continue
+        # Ties with the farthest weigh nothing, so that it does not matter which of them are in.
+        w = (1 - (np.abs(d) / h) ** 3).clip(0) ** 3
+        u, v = d / h, y[lo : lo + q]
+        s = [(w * u**k).sum() for k in range(5)]
+        t = [(w * v * u**k).sum() for k in range(3)]
+        m = np.array([s[0:3], s[1:4], s[2:5]])
+        if abs(np.linalg.det(m)) > 1e-12 * s[0] ** 3:
+            out[i] = np.linalg.solve(m, t)[0]
+        else:
+            out[i] = np.linalg.lstsq(m, np.array(t), rcond=1e-9)[0][0]
+    return out
+
+
+def variance_trend(stats: DataFrame, span: float = 0.3) -> DataFrame:
+    """(gene_id, mean, variance) -> (gene_id, mean, variance, expected): the standard deviation that genes of that mean have, by a local quadratic regression of log10 variance on log10 mean.
+
+    Genes without variance take no part and get null. A row for each gene: at most TREND_GENES of them, or it raises."""
+    known = stage(stats.where("mean > 0 and variance > 0"), "trend")
+    n = known.count()
+    if n > TREND_GENES:
+        raise ValueError(f"a trend over {n} genes; at most {TREND_GENES}")
+    rows = known.select(F.log10("mean").alias("x"), F.log10("variance").alias("y")).orderBy("x", "y").collect()
+    x, y = (np.array([r[k] for r in rows]) for k in ("x", "y"))
+
+    @F.pandas_udf("double")
+    def expected(at: pd.Series) -> pd.Series:
+        return pd.Series(10 ** (_local_quadratic(x, y, at.to_numpy(), span) / 2))
+
+    fitted = known.select("gene_id", expected(F.log10("mean")).alias("expected"))
+    return stats.join(fitted, "gene_id", "left")
+
+
+def stabilised_variance(counts: DataFrame, n_cells: int, n: int | None, span: float = 0.3) -> DataFrame:
+    """O-69: (gene_id, mean, variance, norm_variance) of the n genes of largest variance after standardising counts by the trend of variance on mean (all genes, if n is None).
+
+    counts (gene_id, cell_id, n), zeros not stored. Standardised values are clipped above the square root of the number of cells. Genes without variance have 0. Ties: smaller id."""
+    sums = counts.groupBy("gene_id").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    mean = F.col("s") / n_cells
+    stats = stage(sums.select("gene_id", mean.alias("mean"), F.greatest((F.col("q") - F.col("s") * mean) / (n_cells - 1), F.lit(0.0)).alias("variance")), "gene-stats")
+    trend = stage(variance_trend(stats, span), "trend")
+    z = F.least((F.col("n") - F.col("mean")) / F.col("expected"), F.lit(math.sqrt(n_cells)))
+    held = counts.join(trend.where("expected > 0").select("gene_id", "mean", "expected"), "gene_id")
+    held = held.groupBy("gene_id").agg(F.sum(z * z).alias("zz"), F.count("*").alias("stored"))
+    zero = F.col("mean") / F.col("expected")
+    value = (F.col("zz") + (n_cells - F.col("stored")) * zero * zero) / (n_cells - 1)
+    out = trend.join(held, "gene_id", "left").select("gene_id", "mean", "variance", F.coalesce(value, F.lit(0.0)).alias("norm_variance"))
+    return out if n is None else out.orderBy(F.desc("norm_variance"), "gene_id").limit(n)
+
+
 def first_types(weights: DataFrame, key: str, kind: str, value: str) -> DataFrame:
     """O-99: (key, first_type, score_delta): the kind of largest value (ties: smaller) and its lead over the least."""
     best = weights.groupBy(key).agg(first_of_highest(kind, value).alias("first_type"), F.max(value).alias("most"), F.min(value).alias("least"))
