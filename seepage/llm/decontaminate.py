@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from seepage.llm.common import bound_batches, decided, frugal, slices, table
+from seepage.llm.common import bound_batches, decided, frugal, materialize, slices, table
 
 STRIDE = 32
 SHINGLE = 5
@@ -65,8 +66,29 @@ def parts_of(text: str) -> tuple[list[str], int]:
     return words, head if 0 < head < len(words) else (len(words) + 1) // 2
 
 
+def segments_of(words: list[str]) -> list[list[str]]:
+    """The runs of about STRIDE words that an item is cut into."""
+    n = math.ceil(len(words) / STRIDE)
+    size = math.ceil(len(words) / n) if n else 1
+    return [words[i : i + size] for i in range(0, len(words), size)]
+
+
+@dataclass
+class Statistics:
+    """Of the segments of all items, however they are dealt to indexes: their number and mean length, and the document frequency of (some) words."""
+
+    segments: int
+    mean: float
+    df: dict[str, int]
+
+
+def statistics(items: list[tuple[int, str]]) -> Statistics:
+    segments = [s for _, text in items for s in segments_of(words_of(text or ""))]
+    return Statistics(len(segments), sum(map(len, segments)) / max(len(segments), 1), Counter(w for s in segments for w in set(s)))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], of_all: Statistics | None = None):
         self.ids, self.words, self.heads = [], [], []
         self.vocabulary: dict[str, int] = {}
         segments: list[list[int]] = []
@@ -76,22 +98,21 @@ class Index:
             if not words:
                 continue
             codes = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            n = math.ceil(len(codes) / STRIDE)
-            size = math.ceil(len(codes) / n)
-            for i in range(0, len(codes), size):
-                segments.append(codes[i : i + size])
+            for own in segments_of(codes):
+                segments.append(own)
                 self.item_of.append(len(self.ids))
             self.ids.append(item_id)
             self.words.append(np.array(codes, np.int64))
             self.heads.append(head)
         self.segments = len(segments)
         self.blocks = math.ceil(self.segments / BLOCK)
-        df = Counter(t for s in segments for t in set(s))
-        mean = sum(map(len, segments)) / max(self.segments, 1)
+        of_all = of_all or statistics(items)
+        df = {code: of_all.df[w] for w, code in self.vocabulary.items()}
+        mean, every = of_all.mean, of_all.segments
         rows = []
         for k, s in enumerate(segments):
             norm = K1 * (1 - B + B * len(s) / mean)
-            impact = {t: math.log(1 + (self.segments - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(s).items()}
+            impact = {t: math.log(1 + (every - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(s).items()}
             own = sum(impact.values())
             rows += [(t, k, v / own) for t, v in impact.items()]
         rows.sort()
@@ -241,14 +262,33 @@ def matcher(index: Index):
     return run
 
 
+def _counted(batches):
+    """(word, n) rows of a batch's segments: document frequencies, and under an empty word, which no text has, the number of segments; total: their words."""
+    for batch in batches:
+        own = statistics([(0, t) for t in batch.column("text").to_pylist()])
+        words = [*own.df, ""]
+        yield pa.RecordBatch.from_pydict({"word": words, "n": pa.array([*own.df.values(), own.segments], pa.int64()), "total": pa.array([0] * len(own.df) + [round(own.mean * own.segments)], pa.int64())})
+
+
 def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Indexes of at most about SHARD items each, as broadcast variables: each goes to an executor once."""
+    """Indexes of at most about SHARD items each, as broadcast variables: each goes to an executor once.
+
+    Their statistics are those of all items, so that neither scores nor what is retrieved depend on how items are dealt."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     n = max(1, math.ceil(rows.count() / SHARD))
+    counts = None
+    if n > 1:
+        counts = rows.select("text").mapInArrow(frugal(_counted), "word string, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        counts = materialize(counts, "decontamination-words")
+        whole = counts.where("word = ''").first()
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         own = sorted(((r["id"], r["text"]) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1]))
-        yield items.sparkSession.sparkContext.broadcast(Index(own))
+        of_all = None
+        if counts is not None:
+            held = items.sparkSession.createDataFrame([(w,) for w in {w for _, t in own for w in words_of(t)}], "word string")  # the words of one index
+            of_all = Statistics(whole["n"], whole["total"] / max(whole["n"], 1), dict(counts.join(held, "word").select("word", "n").toLocalIterator()))
+        yield items.sparkSession.sparkContext.broadcast(Index(own, of_all))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

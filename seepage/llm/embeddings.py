@@ -9,7 +9,7 @@ component), never its pairs. With cosine 0.98 a pair is missed with probability
 
 Vectors that are null, zero, or hold null or non-finite components, and vectors with a null label
 or a null id, link with nothing. Vectors of other lengths are never compared. Rows that repeat an id
-are vectors of their own with that id. Ids may be whole numbers or texts, labels of any type that has a text form. Extra columns are dropped.
+are vectors of their own with that id, each with its own links and component. Ids may be whole numbers or texts, labels of any type that has a text form. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -102,9 +102,8 @@ def _compare_sorted(threshold: float):
 
         def work(table_: pa.Table):
             table_ = table_.combine_chunks()
-            kind = table_.schema.field("rep").type
             cuts = [0, *(np.flatnonzero(_changes(table_)) + 1).tolist(), table_.num_rows]
-            rep = np.array(table_.column("rep").to_pylist(), dtype=np.int64 if pa.types.is_integer(kind) else object)
+            rep = table_.column("rep").to_numpy()
             n, block, t, bi, bj = (table_.column(c).to_numpy() for c in ("n", "block", "t", "bi", "bj"))
             v, sigs = table_.column("v").combine_chunks(), table_.column("sigs").combine_chunks()
             flat, at = v.flatten().to_numpy(), v.offsets.to_numpy() - v.offsets[0].as_py()
@@ -114,7 +113,7 @@ def _compare_sorted(threshold: float):
                 if b - a > 1:
                     found.append(compare(rep[a:b], n[a:b], block[a:b], flat[at[a] : at[b]].reshape(b - a, -1), sigs[a:b], int(t[a]), bi[a] != bj[a], threshold))
             out = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), (), ()))]
-            return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], kind), pa.array(out[2], pa.int64())], names=["a", "b", "links"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "links"])
 
         for batch in batches:
             both = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -139,9 +138,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & ~bad & ~zero, F.lit(False))
     rows = rows.withColumn("key", F.when(usable, F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("v", lambda c: (c + F.lit(0.0)).cast("string")), ",")), 256)))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = materialize(classes, "vector-classes")
-    kind = classes.schema["rep"].dataType.simpleString()
-    hashed = classes.select("rep", "n", F.col("label").cast("string").alias("label"), "v").mapInArrow(frugal(_hash), f"rep {kind}, n long, label string, v array<double>, sigs array<int>")
+    # A class has a number of its own: several classes may share their smallest id.
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    hashed = classes.select(F.col("node").alias("rep"), "n", F.col("label").cast("string").alias("label"), "v").mapInArrow(frugal(_hash), "rep long, n long, label string, v array<double>, sigs array<int>")
     buckets = hashed.select("rep", "n", "v", "sigs", "label", F.posexplode("sigs").alias("t", "sig"))
     buckets = buckets.withColumn("bucket", F.concat_ws("|", F.size("v").cast("string"), F.col("t").cast("string"), F.col("sig").cast("string"), "label")).drop("label", "sig")
     bucket = ["bucket", "t"]
@@ -150,18 +149,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = placed.select("*", other).select("rep", "n", "v", "sigs", *bucket, "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     runs = pairs.repartition(*KEYS).sortWithinPartitions(*KEYS)
-    found = runs.mapInArrow(frugal(_compare_sorted(threshold)), f"a {kind}, b {kind}, links long")
+    found = runs.mapInArrow(frugal(_compare_sorted(threshold)), "a long, b long, links long")
     found = materialize(found, "vector-links")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select("a", "b")).withColumnRenamed("node", "rep")
-    classes = classes.select("key", "rep", "n").join(links, "rep", "left").join(roots, "rep", "left")
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    roots = connected_components(found.select("a", "b"))
+    placed = materialize(classes.select("node", "rep").join(roots, "node").join(links, "node", "left"), "vector-roots")
+    heads = placed.groupBy("root").agg(F.min("rep").alias("head"))
+    placed = placed.join(heads, "root").select("node", "links", "head")
+    classes = classes.select("key", "node", "rep", "n").join(placed, "node", "left")
     return (
         rows.select("id", "key")
         .join(classes, "key", "left")
         .select(
             F.col("id").alias(id_col),
             (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"),
-            F.coalesce("root", "rep", "id").alias("component_id"),
+            F.coalesce("head", "rep", "id").alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
     )

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from seepage.llm import decontaminate as D
 
@@ -126,3 +127,17 @@ def test_empty(spark):
     its = spark.createDataFrame(items, "item_id long, text string")
     assert D.matches(ds, its.limit(0)).count() == 0 and D.reject(ds, its.limit(0)).count() == 5
     assert D.matches(ds.limit(0), its).count() == 0
+
+
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    docs, items = corpus()
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, D.matches(d, i).collect()), key=str)
+    monkeypatch.setattr(D, "SHARD", 6)
+    assert len(list(D.shards(i))) > 5
+    parts = sorted(map(tuple, D.matches(d, i).collect()), key=str)
+    key = lambda r: (str(r[0]), str(r[1]))
+    for a, b in zip(sorted(parts, key=key), sorted(whole, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-12)  # sums in another order
+    assert len(whole) > 30
+    assert {r.doc_id for r in D.reject(d, i).collect()} == {k for k, _ in docs} - {r[0] for r in whole}

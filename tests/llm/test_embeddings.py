@@ -77,6 +77,14 @@ def test_nulls_repeats_and_empty(spark):
     assert E.near_vectors(df.limit(0)).count() == 0
 
 
+def test_one_id_of_several_vectors(spark):
+    """Each row has the links and the component of its own vector."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0, 0.0], 1), (1, [0.0, 0.0, 0.0, 1.0], 1), (2, [1.0, 0.01, 0.0, 0.0], 1), (0, [0.0, 0.01, 0.0, 1.0], 1), (3, [0.0, 1.0, 0.01, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(tuple(r) for r in E.near_vectors(df).collect())
+    assert got == [(0, 1, 0, True), (1, 0, 1, True), (1, 1, 0, False), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 120), (120, 110), (110, 100), (7, 7), (None, 3), (5, None)] + [(200, x) for x in range(201, 260)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
