@@ -5,7 +5,8 @@ order, and the largest impact of each block of BLOCK segments. Every window of 2
 every text, STRIDE apart, is a query, so each place where a segment may stand lies whole in a window. A query is a block-max WAND walk:
 cursors on the lists of its words, sorted by segment; the pivot is the first segment where the words' largest impacts add up to
 the threshold; if the largest impacts in its block don't, the cursors skip the block (or go on to the next cursor's segment), else they move up to the pivot,
-which is scored exactly once all stand there. The walks of many windows take their steps together, in numpy. A segment is retrieved at
+which is scored exactly once all stand there. Windows whose words' largest impacts reach the threshold in none of RANGES ranges of segments
+(blocks of blocks) don't set out. The walks of many windows take their steps together, in numpy. A segment is retrieved at
 THRESHOLD of the score that it gives itself. Retrieved items
 are verified on the whole text: the shares of an item's words that lie in shared runs of
 SHINGLE words must reach OVERLAP over all and PART in question and answer each.
@@ -41,6 +42,8 @@ PART = 0.5
 #: Most items in one index, which goes to every task.
 SHARD = 20_000
 MEMO_WORDS = 100_000
+#: Ranges of segments whose largest impacts are added up for a window before it walks.
+RANGES = 64
 #: Windows whose walks take their steps together.
 WALKS = 2_000
 K1, B = 1.2, 0.75
@@ -132,6 +135,9 @@ class Index:
         self.begin = self.end - count
         self.most = np.zeros(len(self.vocabulary) + 1)
         np.maximum.at(self.most, term, self.value[:-1])
+        #: By word: its largest impact in each of RANGES ranges of segments.
+        self.ranges = np.zeros((len(self.vocabulary) + 1, RANGES), np.float32)
+        np.maximum.at(self.ranges, (term, seg * RANGES // max(self.segments, 1)), self.value[:-1].astype(np.float32))
         self.shingles = [self._shingles(w) for w in self.words]
 
     @staticmethod
@@ -150,8 +156,15 @@ class Index:
         words = (windows[live] < len(self.vocabulary)).sum(axis=1)
         order = np.argsort(words, kind="stable")
         live, words = live[order], words[order]
-        out = []
-        for a in range(0, len(live), WALKS):  # of about as many words each
+        out, keep = [], np.zeros(len(live), bool)
+        for a in range(0, len(live), 512):  # of about as many words each
+            some = np.sort(windows[live[a : a + 512]], axis=1)[:, : words[a : a + 512].max()]
+            total = self.ranges[some[:, 0]]
+            for column in some.T[1:]:
+                total += self.ranges[column]
+            keep[a : a + 512] = total.max(axis=1) >= THRESHOLD - 1e-4  # more than the single precision rounds off
+        live, words = live[keep], words[keep]
+        for a in range(0, len(live), WALKS):
             part = live[a : a + WALKS]
             out.append(self._walk(np.sort(windows[part], axis=1)[:, : words[a : a + WALKS].max()], part))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
@@ -159,10 +172,13 @@ class Index:
     def _walk(self, w: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Block-max WAND of all windows at once, a step of each at a time."""
         least, past = THRESHOLD - 1e-9, max(self.segments, 1)
-        most, end, at = self.most[w], self.end[w], self.begin[w]
-        now = np.where(at < end, self.seg[at], past)  # the segment under each cursor; past: the list is at its end
+        w = w.astype(np.int32)
+        most, end, at = self.most[w], self.end[w].astype(np.int32), self.begin[w].astype(np.int32)
+        now = np.where(at < end, self.seg[at], past).astype(np.int32)  # the segment under each cursor; past: the list is at its end
         found = []
+        steps = 0
         while len(w):
+            steps += 1
             order = np.argsort(now, axis=1)
             sorted_now = np.take_along_axis(now, order, axis=1)
             reach = np.cumsum(np.where(sorted_now < past, np.take_along_axis(most, order, axis=1), 0.0), axis=1) >= least
@@ -178,7 +194,7 @@ class Index:
             top = self.near_top[at[row, col]]
             other = np.flatnonzero(now[row, col] // BLOCK < block[row])
             if len(other):
-                key = w[row[other], col[other]] * self.blocks + block[row[other]]
+                key = w[row[other], col[other]].astype(np.int64) * self.blocks + block[row[other]]
                 i = np.searchsorted(self.block_key[:-1], key)
                 top[other] = np.where(self.block_key[i] == key, self.block_top[i], 0.0)
             bound = np.bincount(row, weights=top, minlength=len(w)) >= least
@@ -190,9 +206,21 @@ class Index:
             after = np.where(under, past, now).min(axis=1)  # the first segment of a cursor beyond the pivot
             target = np.where(scored, pivot + 1, np.where(bound, pivot, np.minimum((block + 1) * BLOCK, after)))
             row, col = np.nonzero(now < target[:, None])
-            i = np.searchsorted(self.key, w[row, col] * self.segments + target[row])
+            # Most lists go on by one place; only the others are searched.
+            i, stop, goal = at[row, col] + 1, end[row, col], target[row]
+            far = np.flatnonzero((i < stop) & (self.seg[i] < goal))
+            if len(far):
+                i[far] = np.searchsorted(self.key, w[row[far], col[far]].astype(np.int64) * self.segments + goal[far])
             at[row, col] = i
-            now[row, col] = np.where(i < end[row, col], self.seg[i], past)
+            now[row, col] = np.where(i < stop, self.seg[i], past)
+            # Columns of lists that are all at their ends go.
+            if steps % 8 == 0:
+                used = (now < past).sum(axis=1).max(initial=0)
+                if not used:
+                    break
+                if used < now.shape[1]:
+                    order = np.argsort(now, axis=1)[:, :used]
+                    w, most, end, at, now = (np.take_along_axis(x, order, axis=1) for x in (w, most, end, at, now))
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
     def overlaps(self, codes: np.ndarray, item: int, made: dict | None = None) -> tuple[float, float, float]:
