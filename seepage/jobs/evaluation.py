@@ -173,6 +173,18 @@ def o87_contamination(spark, sf_dir):
     return metrics.contamination(t.get("pb_fixed"), t.get("reference"), GROUPS).select("gene_id", "target", r("score").alias("score"))
 
 
+def _scores(name: str) -> str:
+    return f"(SELECT gene_id, CASE WHEN own > 0 THEN (total - own) / 4 / own END score FROM (SELECT gene_id, sum(mean) total, sum(CASE WHEN grp = target THEN mean ELSE 0 END) own FROM {name} JOIN target USING (gene_id) GROUP BY 1))"
+
+
+@query("o87_contamination_summary", f"""{TARGET}, b AS (SELECT f.score, r.score raw, r.score - f.score less FROM {_scores('pb_fixed')} f LEFT JOIN {_scores('pb_raw')} r USING (gene_id))
+SELECT round(avg(score), 6) mean_score, round(median(score), 6) median_score, count(score) n_genes, round(avg(less), 6) mean_reduction, round(median(less), 6) median_reduction, round(avg(less) FILTER (WHERE raw > 1), 6) mean_reduction_high, count(*) FILTER (WHERE raw > 1) n_high FROM b""")
+def o87_contamination_summary(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    one = metrics.contamination_summary(t.get("pb_fixed"), t.get("reference"), GROUPS, t.get("pb_raw"))
+    return one.select(*(r(c).alias(c) for c in ("mean_score", "median_score", "mean_reduction", "median_reduction", "mean_reduction_high")), "n_genes", "n_high")
+
+
 @query("o88_specificity", f"{TARGET} SELECT gene_id, target, round(peak / total, 6) specificity, round(peak, 6) peak, peak / total >= 0.21 AND peak >= 1 marker FROM target")
 def o88_specificity(spark, sf_dir):
     s = metrics.specificity(Tables(spark, sf_dir).get("reference"), 0.21)

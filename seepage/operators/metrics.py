@@ -167,6 +167,17 @@ def contamination(profiles: DataFrame, reference: DataFrame, n_groups: int) -> D
     return sums.select("gene_id", "target", score.alias("score"))
 
 
+def contamination_summary(profiles: DataFrame, reference: DataFrame, n_groups: int, raw: DataFrame) -> DataFrame:
+    """O-87: one row: mean, median and number of the defined scores, the mean and median reduction against raw over the genes with a raw score, and both mean reduction and number for genes whose raw score is above 1."""
+    own = contamination(profiles, reference, n_groups).select("gene_id", "score")
+    before = contamination(raw, reference, n_groups).where("score is not null").select("gene_id", F.col("score").alias("raw"))
+    both = own.join(before, "gene_id", "left").withColumn("less", F.col("raw") - F.col("score"))
+    high = F.col("raw") > 1
+    sums = both.agg(F.avg("score").alias("mean_score"), F.count("score").alias("n_genes"), F.avg("less").alias("mean_reduction"), F.avg(F.when(high, F.col("less"))).alias("mean_reduction_high"), F.count_if(high).alias("n_high"))
+    middle = quantiles(both, [], "score", {"median_score": 0.5}).join(quantiles(both, [], "less", {"median_reduction": 0.5}), F.lit(True), "full")
+    return sums.join(middle, F.lit(True), "left")
+
+
 def specificity(reference: DataFrame, threshold: float = 0.15, least: float = 1.0) -> DataFrame:
     """O-88: (gene_id, target, specificity, peak, marker): largest share of a gene's total, and whether it is a marker."""
     g = reference.groupBy("gene_id").agg(F.max("mean").alias("peak"), F.sum("mean").alias("total"), first_of_highest("grp", "mean").alias("target"))

@@ -124,3 +124,13 @@ def test_panels_and_least_genes(spark):
     with pytest.raises(ValueError, match="10"):
         M.concordance(ref, ref, least=10)
     assert M.concordance(ref, ref, genes=ref.where("gene_id < 2")).first().shared == 2
+
+
+def test_contamination_summary(spark):
+    reference = spark.createDataFrame([("a", g, 5.0) for g in range(4)] + [("b", g, 1.0) for g in range(4)], "grp string, gene_id int, mean double")
+    raw = spark.createDataFrame([("a", 0, 2.0), ("b", 0, 4.0), ("a", 1, 4.0), ("b", 1, 2.0), ("a", 2, 0.0), ("b", 2, 3.0), ("a", 3, 1.0), ("b", 3, 0.5)], "grp string, gene_id int, mean double")
+    fixed = spark.createDataFrame([("a", 0, 2.0), ("b", 0, 1.0), ("a", 1, 4.0), ("b", 1, 1.0), ("a", 2, 1.0), ("b", 2, 3.0), ("a", 3, 0.0), ("b", 3, 0.5)], "grp string, gene_id int, mean double")
+    one = M.contamination_summary(fixed, reference, 2, raw).first()
+    # Scores 0.5, 0.25, 3 and none; raw 2, 0.5, none and 0.5.
+    assert (one.mean_score, one.median_score, one.n_genes) == (1.25, 0.5, 3)
+    assert (one.mean_reduction, one.median_reduction, one.mean_reduction_high, one.n_high) == (0.875, 0.875, 1.5, 1)
