@@ -1,7 +1,7 @@
 """Expression text loaders: tab- or comma-separated lines with a header, '#' comments and blank lines anywhere, gzip by suffix.
 
 Rows with too few fields are dropped and counted in the data set's report; fields that are no numbers raise.
-Order ("first" and "last" row of a spot) is that of the files' names, then of the place in the file. A gzip file is one split."""
+Order ("first" and "last" row of a spot) is that of the files' names, then of the place in the file. Block gzip files are split, other gzip files are one split each."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seepage.operators.ordering import numbered, placed
 from seepage.schema import SpatialDataset
+from seepage.sources import blockgzip
 from seepage.storage import stage
 
 EMPTY = ("0", "-1")
@@ -30,8 +31,12 @@ def empty_labels(labels) -> list[str]:
 
 def scan_lines(spark: SparkSession, path: str, columns: dict[str, str], sep: str | None = None) -> tuple[DataFrame, DataFrame]:
     """O-01..O-03: (row_id and the named columns as text, one row with n_short). columns: output name -> header name."""
-    row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    lines = spark.read.text(path).select("value", row.alias("row_id")).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    if blockgzip.is_block_gzip(spark, path):
+        read = blockgzip.read_lines(spark, path).select("value", F.struct("file", "block", "row").alias("row_id"))
+    else:
+        row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        read = spark.read.text(path).select("value", row.alias("row_id"))
+    lines = read.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
     head = lines.first()
     if head is None:
         raise ValueError(f"{path} has no header")
@@ -55,7 +60,7 @@ def scale(coordinate: str, pitch_um: float | None) -> Column:
 
 
 def load_gem(spark: SparkSession, path: str, gene_col: str = "geneID", x_col: str = "x", y_col: str = "y", count_col: str = "MIDCounts", cell_label_col: str = "cell", labels_empty=None, sep: str | None = None, pitch_um: float | None = None, x_range=None, y_range=None) -> SpatialDataset:
-    """O-01, O-13: labelled expression lines. Equal (gene, x, y) add up; a spot's label is its first that is not empty;
+    """O-01: labelled expression lines. Equal (gene, x, y) add up; a spot's label is its first that is not empty;
     genes and spots are numbered as first met, cells from 0 in order of their labels; other negative labels mean no cell."""
     text, report = scan_lines(spark, path, {"gene": gene_col, "x": x_col, "y": y_col, "n": count_col, "label": cell_label_col}, sep)
     rows = text.select("row_id", "gene", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("n").cast("double").alias("n"), F.when(~F.col("label").isin(empty_labels(labels_empty)), F.col("label").cast("long")).alias("label"))
@@ -95,6 +100,20 @@ def load_gem_pair(spark: SparkSession, gem_path: str, label_path: str, gene_col:
     return SpatialDataset(spot_table, counts, genes.select("gene_id", F.col("gene").alias("gene_name")), cells.select("cell_id", F.col("label").alias("original_id")), report)
 
 
+def load_window(spark: SparkSession, gem_path: str, label_path: str, x_range=None, y_range=None, gene_col: str = "geneID", x_col: str = "x", y_col: str = "y", count_col: str = "MIDCounts", cell_label_col: str = "cell", labels_empty=None, sep: str | None = None) -> SpatialDataset:
+    """O-13: expression lines and a label map inside a window, both ends included. Genes are numbered in order of their names, spots of x, then y;
+    a spot's label is the original number of its cell, and cells holds all that the map's window names, in order."""
+    inside = lambda df: df.where(F.col("x").between(*x_range) if x_range else F.lit(True)).where(F.col("y").between(*y_range) if y_range else F.lit(True))
+    text, report = scan_lines(spark, gem_path, {"gene": gene_col, "x": x_col, "y": y_col, "n": count_col}, sep)
+    rows = stage(inside(text.select("gene", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("n").cast("double").alias("n"))), "gem-rows")
+    labels = stage(inside(load_label_map(spark, label_path, x_col, y_col, cell_label_col, labels_empty, sep)).withColumn("label", F.col("label").cast("long")), "gem-labels")
+    genes, spots = placed(rows.select("gene").distinct(), ["gene"], "gene_id"), placed(rows.select("x", "y").distinct(), ["x", "y"], "spot_id")
+    labelled = spots.join(labels, ["x", "y"], "left").select("spot_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce("label", F.lit(-1).cast("long")).alias("label"))
+    counts = rows.join(genes, "gene").join(spots, ["x", "y"]).groupBy("gene_id", "spot_id").agg(F.sum("n").alias("n"))
+    cells = labels.select("label").distinct().select(F.col("label").alias("cell_id"), F.col("label").cast("string").alias("original_id"))
+    return SpatialDataset(labelled, counts, genes.select("gene_id", F.col("gene").alias("gene_name")), cells, report)
+
+
 def load_feature_slices(pixels: DataFrame, slices: DataFrame, features: DataFrame, segments: DataFrame, pixel_um: float = 2.0) -> SpatialDataset:
     """O-06, on tables: pixels (row, col) of the tissue mask, slices (gene_key, row, col, data), features (gene_key, name),
     segments (row, col, cell). x comes from the column, y from the row, at pixel centres; entries off the mask drop out."""

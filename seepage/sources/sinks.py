@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seepage.operators.geometry import area, block_order, circle
 from seepage.operators.metrics import merge_incremental
 from seepage.operators.ordering import placed, quantiles
+from seepage.sources.publish import readable, replace_folder
 from seepage.storage import stage
 
 
@@ -69,13 +70,18 @@ def save_official_input(expr: DataFrame, genes: DataFrame, spots: DataFrame, pat
 
 
 def save_metrics(metrics: DataFrame, path: str, key: str) -> None:
-    """O-113: a table of metrics as JSON lines; rows of a key that is there already are replaced, others stay."""
+    """O-113: a table of metrics as JSON lines; rows of a key that is there already are replaced, others stay. A writer that dies loses no old row: load_metrics finds them."""
     spark = metrics.sparkSession
     fresh = stage(metrics, "metrics")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        fresh = stage(merge_incremental(spark.read.schema(fresh.schema).json(path), fresh, key), "metrics")
-    fresh.write.mode("overwrite").json(path)
+    old = readable(spark, path)
+    if old:
+        fresh = stage(merge_incremental(spark.read.schema(fresh.schema).json(old), fresh, key), "metrics")
+    replace_folder(fresh, path, "json")
+
+
+def load_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that save_metrics put last."""
+    return spark.read.json(readable(spark, path) or path)
 
 
 def save_matrix_market(expr: DataFrame, n_rows: int, n_cols: int, path: str) -> None:
