@@ -80,3 +80,14 @@ def grid_of(bin_id: Column) -> Column:
     at = lambda i: F.regexp_extract(bin_id, pattern, i).cast("double") * 2
     bad = F.raise_error(F.concat(F.lit("unexpected bin id: "), F.coalesce(bin_id, F.lit("null"))))
     return F.when(bin_id.rlike(pattern), F.struct(at(1).alias("x"), at(2).alias("y"))).otherwise(bad)
+
+
+#: Fixed value: the form of a bin id, with its places along x and y.
+BIN_ID = r"^s_002um_(\d+)_(\d+)-[^_]*$"
+
+
+def grid_place(bin_id: Column) -> Column:
+    """O-17: struct (x, y) of the grid place that a bin id names; any other text raises, null gives null."""
+    whole = lambda i: F.regexp_extract(bin_id, BIN_ID, i).cast("long")
+    bad = F.raise_error(F.concat(F.lit("a bin id of another form: "), bin_id))
+    return F.when(bin_id.rlike(BIN_ID), F.struct(whole(1).alias("x"), whole(2).alias("y"))).when(bin_id.isNotNull(), bad)
