@@ -8,8 +8,9 @@ sum of a text's distinct words gives the score. Training and scoring read words
 The character model counts words of letters alone; those of more than four letters only if seen
 three times, since rarer ones are often misspelt or hidden themselves.
 
-Learning reads a bounded sample of labelled rows (MAX_TRAIN, chosen by a hash of the
-id); of repeated and near-repeated training texts (the components of minhash.groups) one of each label counts. Labels that are null are
+Learning reads all labelled rows whose crc32(id as text) mod 5 is not 0. Equal training texts count once a label; of toxic ones that are near copies (the
+components of minhash.groups) one counts. Toxic texts are decoded for their features first; a feature that could not get
+a weight since clean texts hold it too often as a plain word is let go, and the rest are counted over all training texts. Labels that are null are
 skipped; of several labels for an id the largest holds. Null and empty texts have no
 words and get the prior. Texts of any length are read whole. Null and repeated
 ids pass through scoring. With no usable labels, every score is the prior 0.05. Extra columns
@@ -30,15 +31,17 @@ from pyspark.sql import functions as F
 from seepage.llm import minhash
 from seepage.llm.common import decided, fold, frugal, materialize, slices, table
 
-#: Most labelled rows that fitting reads.
-MAX_TRAIN = 20_000
 #: Lengths of the word beginnings that are features, beside whole words.
 STEMS = (4, 5, 6, 7, 8)
 PRIOR = 0.05
 #: Tokens whose reading a task keeps between slices of text.
-MEMO_TOKENS = 150_000
+MEMO_TOKENS = 400_000
 #: Least weight of a feature of the lexicon: the log of how much likelier the label makes it.
 LEAST_WEIGHT = 2.5
+#: Least toxic texts that hold a feature, and how many times its share of toxic texts has to exceed that of all.
+LEAST_TOXIC, LEAST_RATIO = 3, 4
+#: Parts of a unit of evidence that the logistic curve tells apart.
+CELLS = 1_000
 
 #: What a symbol may stand for.
 LEET = {
@@ -148,11 +151,11 @@ def single(token: str) -> bool:
     return len(core) == 1 and (core.isalnum() or core in LEET)
 
 
-def spaced_runs(tokens: list[str], kinds: dict[str, bool] | None = None) -> list[str]:
-    """Runs of three or more single characters with nothing but separators between them, joined by one space. kinds: single() of tokens, where known."""
+def spaced_runs(tokens: list[str], kinds: set[str] | None = None) -> list[str]:
+    """Runs of three or more single characters with nothing but separators between them, joined by one space. kinds: the tokens that are single(), where known."""
     if kinds is None:
-        kinds = {t: single(t) for t in set(tokens)}
-    at = [i for i, t in enumerate(tokens) if kinds.get(t)]
+        kinds = {t for t in set(tokens) if single(t)}
+    at = [i for i, t in enumerate(tokens) if t in kinds]
     runs, start = [], 0
     for k in range(1, len(at) + 1):
         if k < len(at) and not any(tokens[i].strip(APART) for i in range(at[k - 1] + 1, at[k])):
@@ -233,14 +236,13 @@ class ToxicityModel:
     slope: float = 0.0
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, 5) != 0))
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, toxic, text) of all rows that labels may be learned from."""
+    learned = fold(id_col, 5) != 0
+    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & learned)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    n = known.count()
-    share = int(min(1.0, limit / max(n, 1)) * 1_000_000)
-    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(known), "id").select("id", "toxic", "text")  # known has about limit rows
+    texts = docs.where(learned).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    return texts.join(known.hint("merge"), "id").select("id", "toxic", "text")  # labels may be too many to broadcast
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -250,10 +252,23 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("root", "toxic").agg(F.min_by("text", F.struct("id", "key")).alias("text")).select("toxic", "text")
 
 
-def _feature_counts(chars: CharModel | None):
+def _training(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, toxic, text) -> (toxic, text) of toxic and of clean rows, without toxic near copies and clean copies."""
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "toxic-rows", "zstd")
+    toxic = materialize(_distinct(rows.where("toxic <> 0").select("id", "toxic", "text")), "toxic-train", "zstd")
+    clean = rows.where("toxic = 0")
+    keys = clean.select("row", minhash.text_key().alias("key"))
+    repeated = keys.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = materialize(keys.join(repeated, "key").where("row <> first").select("row"), "toxic-copies")
+    return toxic, clean.join(copies, "row", "left_anti").select("toxic", "text")
+
+
+def _counted(items):
+    """A task's (feature, nt, nc): in how many toxic and clean rows a feature occurs. items() gives a function from a batch to the features of each row, once a task."""
+
     def run(batches):
         counts: dict[str, list[int]] = {}
-        restorer = Restorer(chars) if chars else None
+        of = items()
 
         def flush():
             keys = list(counts)
@@ -262,11 +277,7 @@ def _feature_counts(chars: CharModel | None):
             return out
 
         for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                if restorer:
-                    found = {f for w in restore(text, restorer) for f in features(w)}
-                else:
-                    found = {w for w in (t.strip(EDGES) for t in set(text.lower().split())) if w.isalpha()}
+            for toxic, found in zip(batch.column("toxic").to_pylist(), of(batch)):
                 for f in found:
                     counts.setdefault(f, [0, 0])[1 if toxic else 0] += 1
                 if len(counts) > 400_000:
@@ -276,6 +287,35 @@ def _feature_counts(chars: CharModel | None):
     return run
 
 
+def _plain_words():
+    return lambda batch: ({w for w in (t.strip(EDGES) for t in set(text.lower().split())) if w.isalpha()} for text in batch.column("text").to_pylist())
+
+
+def _restored_features(chars: CharModel):
+    def items():
+        restorer = Restorer(chars)
+        return lambda batch: ({f for w in restore(text, restorer) for f in features(w)} for text in batch.column("text").to_pylist())
+
+    return items
+
+
+def _kept_features(kept: set[str]):
+    return lambda: lambda batch: ({f for w in words for f in features(w) if f in kept} for words in batch.column("words").to_pylist())
+
+
+def _counts(rows: DataFrame, items) -> DataFrame:
+    counts = rows.mapInArrow(frugal(_counted(items)), "feature string, nt long, nc long")
+    return counts.groupBy("feature").agg(F.sum("nt").alias("nt"), F.sum("nc").alias("nc"))
+
+
+def _beginnings(words: DataFrame) -> DataFrame:
+    """(feature, nt, nc) of plain words -> (feature, least): clean texts that hold a feature, at least."""
+    w = F.col("feature")
+    found = F.array(F.concat(w, F.lit("$")), *(F.when(F.length(w) >= n, F.substring(w, 1, n)) for n in STEMS))
+    found = words.where("nc > 0").select("nc", F.explode(found).alias("feature")).where("feature is not null")
+    return found.groupBy("feature").agg(F.max("nc").alias("least"))
+
+
 def _tail(k: int, n: int, p: float) -> float:
     """log of P(at least k of n) under chance p."""
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, min(n, k + 60) + 1)]
@@ -283,52 +323,73 @@ def _tail(k: int, n: int, p: float) -> float:
     return top + math.log(sum(math.exp(x - top) for x in logs))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TRAIN) -> ToxicityModel:
-    rows = _sample(docs, labels, id_col, text_col, limit)
-    rows = materialize(_distinct(materialize(rows, "toxic-sample")), "toxic-train")
-    nt, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    schema = "feature string, nt long, nc long"
-    sums = [F.sum("nt").alias("nt"), F.sum("nc").alias("nc")]
-    words = rows.mapInArrow(frugal(_feature_counts(None)), schema).groupBy("feature").agg(*sums)
-    words = words.select(F.concat(F.lit("^^"), "feature", F.lit("$")).alias("w"), (F.col("nt") + F.col("nc")).alias("n")).where("n >= 3 or length(w) <= 7")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    toxic, clean = _training(_labelled(docs, labels, id_col, text_col))
+    rows = toxic.unionByName(clean)
+    nt, n = rows.agg(F.coalesce(F.sum((F.col("toxic") != 0).cast("int")), F.lit(0)), F.count("*")).first()
+    plain = materialize(_counts(rows, _plain_words), "toxic-words", "zstd")
+    words = plain.select(F.concat(F.lit("^^"), "feature", F.lit("$")).alias("w"), (F.col("nt") + F.col("nc")).alias("n")).where("n >= 3 or length(w) <= 7")
     three = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("t"))
     # As many rows as the training texts have letter trigrams, which the alphabets bound.
     chars = CharModel.of_trigrams([(r.t, r.n) for r in three.groupBy("t").agg(F.sum("n").alias("n")).orderBy("t").collect()])
     if not nt or nt == n:
         return ToxicityModel({}, PRIOR, chars)
     share = nt / n
-    counts = rows.mapInArrow(frugal(_feature_counts(chars)), schema).groupBy("feature").agg(*sums).where("nt >= 3")
-    tested = [(r.feature, r.nt, r.nc) for r in counts.where(F.col("nt") > 4 * share * (F.col("nt") + F.col("nc"))).toLocalIterator()]
-    level = math.log(0.05 / max(len(tested), 1))
-    weights = {}
-    for f, a, b in tested:
+    possible = _counts(toxic, _restored_features(chars)).where(F.col("nt") >= LEAST_TOXIC).join(_beginnings(plain), "feature", "left")
+    possible = possible.select("feature", "nt", F.coalesce("least", F.lit(0)).alias("least")).where(F.col("nt") > LEAST_RATIO * share * (F.col("nt") + F.col("least")))
+    possible = materialize(possible, "toxic-features", "zstd")
+    level = math.log(0.05 / max(possible.count(), 1))
+
+    def weight(a: int, b: int) -> float | None:
+        """Of a feature of a toxic and b clean texts; None if it does not tell enough, which no larger b would change."""
         w = math.log((a + 0.5) / (nt + 1)) - math.log((b + 0.5) / (n - nt + 1))
-        if w > LEAST_WEIGHT and _tail(a, a + b, share) < level:
-            weights[f] = round(w, 6)
+        return round(w, 6) if a > LEAST_RATIO * share * (a + b) and w > LEAST_WEIGHT and _tail(a, a + b, share) < level else None
+
+    # Exact: plain words are among the restored ones, so that no feature let go here would pass once all texts are counted.
+    telling = F.udf(lambda a, b: weight(a, b) is not None, "boolean")
+    kept = {r.feature for r in possible.where(telling("nt", "least")).select("feature").toLocalIterator()}
+    read = materialize(rows.mapInArrow(frugal(_word_batches(kept, chars)), "toxic int, words array<string>"), "toxic-read")
+    found = ((r.feature, weight(r.nt, r.nc)) for r in _counts(read, _kept_features(kept)).toLocalIterator())
+    weights = {f: w for f, w in found if w is not None}
     model = ToxicityModel(weights, share, chars)
     if weights:
-        # A row for each text of the bounded sample: its evidence and its label.
-        seen = rows.mapInArrow(_evidence_batches(model), "toxic int, x double").toArrow()
-        model.intercept, model.slope = _logistic(seen.column("x").to_numpy(), seen.column("toxic").to_numpy())
+        # All training rows, by label and evidence: a row for each CELLS-th of its range, with the mean inside it.
+        seen = read.mapInArrow(_evidence_batches(weights), "toxic int, x long").groupBy("toxic", F.floor(F.col("x") * CELLS / 1_000_000).alias("cell"))
+        seen = seen.agg(F.count("*").alias("n"), F.sum("x").alias("x")).orderBy("cell", "toxic").toArrow()
+        rows_in = seen.column("n").to_numpy().astype(float)
+        model.intercept, model.slope = _logistic(seen.column("x").to_numpy() / 1e6 / rows_in, (seen.column("toxic").to_numpy() != 0).astype(float), rows_in)
     return model
 
 
-def _evidence_batches(model: ToxicityModel):
+def _word_batches(kept: set[str], chars: CharModel):
+    """The restored words of each text that have a feature of kept."""
+
+    def run(batches):
+        of = weighed(dict.fromkeys(kept, 1.0), chars)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([sorted(found) for found in of(batch.column("text").to_pylist())], pa.list_(pa.string()))], names=["toxic", "words"])
+
+    return run
+
+
+def _evidence_batches(weights: dict[str, float]):
+    """The evidence of restored words, in millionths."""
+
     def run(batches):
-        of = evidence(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(of(batch.column("text").to_pylist()), pa.float64())], names=["toxic", "x"])
+            x = [round(1e6 * math.fsum(heaviest(words, weights).values())) for words in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.int64())], names=["toxic", "x"])
 
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
-    """Intercept and non-negative slope of a logistic curve, by damped Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
+    """Intercept and non-negative slope of a logistic curve, by damped Newton steps; n: how many rows each stands for."""
     a, b = -2.0, 0.5
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        g = np.array([(p - y).sum() + ridge * a, ((p - y) * x).sum() + ridge * b])
-        v = p * (1 - p)
+        g = np.array([(n * (p - y)).sum() + ridge * a, (n * (p - y) * x).sum() + ridge * b])
+        v = n * p * (1 - p)
         h = np.array([[v.sum() + ridge, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + ridge]])
         move = np.linalg.solve(h, g)
         move *= min(1.0, 1.0 / max(np.abs(move).max(), 1e-9))
@@ -336,21 +397,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return float(a), float(b)
 
 
-def evidence(model: ToxicityModel):
-    """A function from texts to the sum of their distinct words' weights; a word counts by its heaviest feature."""
-    weights = model.weights
-    restorer = Restorer(model.chars)
+def heaviest(words: list[str], weights: dict[str, float]) -> dict[str, float]:
+    """The words that have a weight; a word counts by its heaviest feature."""
+    found = {w: max((weights[f] for f in features(w) if f in weights), default=0.0) for w in words}
+    return {w: x for w, x in found.items() if x}
+
+
+def weighed(weights: dict[str, float], chars: CharModel):
+    """A function from texts to the distinct restored words of each that have a weight."""
+    restorer = Restorer(chars)
     memo: dict[str, dict] = {}
     hot: set[str] = set()
-    kinds: dict[str, bool] = {}
+    kinds: set[str] = set()
     # A word's features begin as it does: one with another beginning than any feature has no weight.
     heads = {f.removesuffix("$")[: STEMS[0]] for f in weights}
 
+    begun = {DOUBLED.sub(r"\1", h) for h in heads}
+
+    def may(core: str) -> bool:
+        """Readings of letters alone differ in doubled letters only: without them, they begin as the letters do."""
+        if not core.isalpha():
+            return True
+        bare = DOUBLED.sub(r"\1", core)
+        return any(bare[:n] in begun for n in range(1, STEMS[0] + 1))
+
     def of(words: list[str]) -> dict[str, float]:
-        found = {w: max((weights[f] for f in features(w) if f in weights), default=0.0) for w in words if w[: STEMS[0]] in heads}
-        return {w: x for w, x in found.items() if x}
+        return heaviest([w for w in words if w[: STEMS[0]] in heads], weights)
 
-    def run(texts: list) -> list[float]:
+    def run(texts: list) -> list[dict[str, float]]:
         out = []
         for start, end in slices(texts):
             tokens = [(t or "").lower().split() for t in texts[start:end]]
@@ -359,21 +433,27 @@ def evidence(model: ToxicityModel):
                 hot.clear()
                 kinds.clear()
             for t in set().union(*tokens).difference(memo):
-                memo[t] = of(restorer.token(t)) or _NOTHING
+                memo[t] = (may(t.strip(SOLID)) and of(restorer.token(t))) or _NOTHING
                 if memo[t]:
                     hot.add(t)
                 if single(t):
-                    kinds[t] = True
+                    kinds.add(t)
             for ts in tokens:
                 found = of([w for r in spaced_runs(ts, kinds) for w in restorer.run(r)])
                 for t in hot.intersection(ts):
                     found.update(memo[t])
-                out.append(sum(found.values()))
+                out.append(found)
         return out
 
     return run
 
 
+def evidence(model: ToxicityModel):
+    """A function from texts to the sum of their distinct words' weights."""
+    of = weighed(model.weights, model.chars)
+    return lambda texts: [math.fsum(found.values()) for found in of(texts)]
+
+
 _NOTHING: dict[str, float] = {}
 
 

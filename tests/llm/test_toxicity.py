@@ -145,3 +145,59 @@ def test_fit_does_not_depend_on_partitions(spark):
     a, b = T.fit(df.coalesce(1), ls), T.fit(df.repartition(7), ls)
     assert a.weights == b.weights and a.chars.three == b.chars.three
     assert abs(a.slope - b.slope) < 1e-9
+
+
+def test_fit_learns_from_every_labelled_row(spark):
+    """40,000 rows: a word that only a few labelled rows hold is learned, and counts are those of all rows."""
+    n, rare = 40_000, {i * 997 + 3 for i in range(40)}
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', concat('w', id), 'garden', 'matter', CASE WHEN id % 997 = 3 AND id < 39000 THEN 'zlorbnak' END) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "int(id % 997 = 3 AND id < 39000) AS toxic")
+    learned = docs.where(T.fold("doc_id", 5) != 0)
+    model = T.fit(docs, labels)
+    toxic = learned.where("text like '%zlorbnak%'").count()
+    assert model.prior == toxic / learned.count() and toxic <= len(rare)
+    # Each letter trigram of the word that every text holds is counted once a text.
+    assert model.chars.three["gar"] == learned.count()
+    assert "zlorbnak$" in model.weights and T.scorer(model)(["z1orbnak", "garden"])[0] > 0.5
+
+
+def test_features_let_go_would_have_failed(spark):
+    """Against counting every feature of every text."""
+    docs, labels = corpus(700)
+    docs = [(i, t.replace("idiot", "1d!ot") if i % 2 else t) for i, t in docs]
+    model = T.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = {r.doc_id for r in spark.createDataFrame(docs, "doc_id long, text string").where(T.fold("doc_id", 5) == 0).collect()}
+    rows = [(t, x[2]) for (i, t), x in zip(docs, labels) if i not in held]
+    restorer = T.Restorer(model.chars)
+    counts = {}
+    for text, toxic in rows:
+        for f in {f for w in T.restore(text, restorer) for f in T.features(w)}:
+            counts.setdefault(f, [0, 0])[toxic] += 1
+    n, nt = len(rows), sum(x for _, x in rows)
+    plain = [{w for w in (t.strip(T.EDGES) for t in text.split()) if w.isalpha()} for text, toxic in rows if not toxic]
+    holders = {}
+    for words in plain:
+        for w in words:
+            holders[w] = holders.get(w, 0) + 1
+    least = {}
+    for w, k in holders.items():
+        for f in T.features(w):
+            least[f] = max(least.get(f, 0), k)
+    tests = sum(a >= 3 and a > 4 * nt / n * (a + least.get(f, 0)) for f, (_, a) in counts.items())
+    expected = {}
+    for f, (b, a) in counts.items():
+        w = T.math.log((a + 0.5) / (nt + 1)) - T.math.log((b + 0.5) / (n - nt + 1))
+        if a >= 3 and a > 4 * nt / n * (a + b) and w > T.LEAST_WEIGHT and T._tail(a, a + b, nt / n) < T.math.log(0.05 / tests):
+            expected[f] = round(w, 6)
+    assert model.weights == expected and expected
+
+
+def test_words_passed_over_have_no_weight():
+    """Tokens whose letters begin otherwise than any feature are not decoded: the same evidence as with decoding."""
+    rng = random.Random(4)
+    chars = T.CharModel.of([(w, 30) for w in ("idiot", "moron", "loose", "sheet", "letter")])
+    model = T.ToxicityModel({"idio": 3.0, "looser$": 2.0, "shee": 3.5, "mo$": 2.75}, 0.1, chars)
+    restorer = T.Restorer(chars)
+    texts = ["".join(rng.choices(("l", "o", "oo", "s", "e", "ee", "r", "h", "i", "d", "t", "mo", ",", "!"), k=rng.randint(2, 7))) for _ in range(3_000)]
+    expected = [sum(T.heaviest(T.restore(t, restorer), model.weights).values()) for t in texts]
+    assert T.evidence(model)([*texts, "idiiot", "sheeet", "moo"])[:-3] == expected and any(expected)
