@@ -35,6 +35,8 @@ END = "\r\n\r\n"
 FILE_RECORDS = 4_000
 #: Splits whose entries go to every task; more are joined.
 BROADCAST_SPLITS = 200_000
+#: Numbers that digests are hashed to; those of repeated payloads go to every task.
+NUMBERS = 1 << 20
 _FIELD = re.compile(r"^([!-9;-~]+):[ \t]*(.*)$")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -52,9 +54,16 @@ def plan_records(rows: DataFrame, id_col: str, payload_col: str, min_bytes: int
     uri = F.col(uri_col) if uri_col else F.lit(None)
     full = rows.select(F.col(id_col).cast("long").alias("id"), uri.cast("string").alias("uri"), payload.alias("payload"))
     full = full.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload").cast("binary"))})
-    first = full.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
-    joined = full.join(first.hint("merge"), ["digest", "bytes"], "left")
-    return joined.select("id", "uri", "payload", "bytes", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    first = full.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    repeated = materialize(first.where("n > 1").select("digest", "bytes", "first"), "warc-repeated")
+    # Payloads that are surely alone stay where they are; only those that share a number with a repeated one move to the join.
+    number = F.pmod(F.xxhash64("digest"), F.lit(NUMBERS)).alias("number")
+    numbered, shared = full.withColumn("number", number), F.broadcast(repeated.select(number).distinct())
+    alone = numbered.join(shared, "number", "left_anti").withColumn("refers_to", F.lit(None).cast("long"))
+    joined = numbered.join(shared, "number", "left_semi").join(repeated.hint("merge"), ["digest", "bytes"], "left")
+    joined = joined.withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")))
+    columns = ["id", "uri", "payload", "bytes", "digest", "refers_to"]
+    return alone.select(columns).unionByName(joined.select(columns))
 
 
 def record_text(date: str, r: str = "response") -> Column:

@@ -95,3 +95,24 @@ def test_mandatory_fields(spark, tmp_path):
     fields = {r.fields["warc-record-id"]: r.fields for r in W.read(spark, f"{tmp_path}/e").collect()}
     assert all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(f) for f in fields.values())
     assert fields["<urn:page:1>"]["warc-target-uri"] == "http://a" and "warc-target-uri" not in fields["<urn:page:3>"]
+
+
+def test_only_repeated_payloads_are_moved(spark, tmp_path, monkeypatch):
+    """Payloads that occur once reach no shuffle; numbers that digests share by chance do no harm."""
+    rows = [(i, f"<p>{i}</p>" if i % 50 else "<p>copy</p>") for i in range(300)] + [(None, "<p>copy</p>"), (0, "<p>copy</p>"), (900, None), (901, "")]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    for numbers in (1 << 20, 3):
+        monkeypatch.setattr(W, "NUMBERS", numbers)
+        found = W.plan_records(df, "page_id", "html")
+        got = sorted(((r.id, r.payload, r.refers_to) for r in found.collect()), key=str)
+        first = {}
+        for i, h in rows:
+            first[h or ""] = min(x for x, y in rows if (y or "") == (h or "") and x is not None)
+        assert got == sorted(((i, h or "", first[h or ""] if i != first[h or ""] else None) for i, h in rows), key=str)
+    monkeypatch.setattr(W, "NUMBERS", 1 << 20)
+    df.write.parquet(str(tmp_path / "pages"))
+    found = W.plan_records(spark.read.parquet(str(tmp_path / "pages")), "page_id", "html")
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    alone = plan.split("SortMergeJoin")[0]
+    assert "LeftAnti" in alone and alone.count("Exchange hashpartitioning(") == alone.count("Exchange hashpartitioning(number")
