@@ -5,7 +5,8 @@ thresholds (the first free, the rest by positive steps). x holds the mean of has
 features (the word and its shape), and indicators of repetition, line reuse and token length.
 Expected grade and the probability of at least a cut grade follow from the fitted cumulative links.
 
-Fitting reads a bounded sample of rated rows (MAX_TRAIN, chosen by a hash of the id); null
+Fitting reads all rated rows. They are dealt by a hash of the id to parts of about PART_ROWS; each part is fitted by a
+task, and the model is the mean of the parts' weights and thresholds, by their rows (up to PART_ROWS ratings are one part); null
 ratings are skipped, and of several ratings for an id the largest holds. The query fits on ratings whose crc32(id as text) mod 5
 is not 0 and marks the others as held out, so that its accuracy can be measured. Null and empty texts have no
 features. Texts of any length are read whole. With fewer than two grades to learn from, every text gets the
@@ -20,14 +21,15 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import decided, fold, frugal, slices, table
+from seepage.llm.common import decided, fold, frugal, materialize, slices, table
 
-#: Most rated rows that fitting reads.
-MAX_TRAIN = 8_000
+#: Ratings that one task fits together.
+PART_ROWS = 8_000
 BUCKETS = 1 << 14
 #: Distinct tokens kept hashed in a task between slices of text.
 MEMO_TOKENS = 100_000
@@ -95,7 +97,7 @@ class Featurizer:
 
 
 def _sparse_batches(batches):
-    """(grade, buckets, values) of each rated text."""
+    """(part, grade, buckets, values) of each rated text."""
     f = Featurizer()
     for batch in batches:
         out = []
@@ -113,7 +115,7 @@ def _sparse_batches(batches):
             at = np.flatnonzero(whole)
             out.append((grade, at.tolist(), whole[at].tolist()))
         kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["grade", "at", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("part"), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["part", "grade", "at", "x"])
 
 
 def fit_sparse(rows: np.ndarray, at: np.ndarray, x: np.ndarray, level: np.ndarray, levels: int, steps: int = 150, rate: float = 0.15, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -150,24 +152,38 @@ def fit_sparse(rows: np.ndarray, at: np.ndarray, x: np.ndarray, level: np.ndarra
     return params[:BUCKETS], np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", limit: int = MAX_TRAIN) -> OrdinalModel | None:
+def _part_fitter(grades: list[int]):
+    """The fit of one part: a row for each weight and threshold, times the part's rows."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        # In order of what they hold, so that a part's sums are always the same.
+        order = sorted(range(len(g)), key=lambda i: (g["grade"].iat[i], g["at"].iat[i].tobytes(), g["x"].iat[i].tobytes()))
+        g = g.iloc[order]
+        at, x = np.concatenate(g["at"].tolist()).astype(np.int64), np.concatenate(g["x"].tolist()).astype(float)
+        rows = np.repeat(np.arange(len(g)), g["at"].map(len).to_numpy())
+        level = np.searchsorted(np.array(grades), g["grade"].to_numpy())
+        params = np.concatenate(fit_sparse(rows, at, x, level, len(grades)))
+        return pd.DataFrame({"place": np.arange(len(params)), "value": params * len(g), "n": len(g)})
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", part_rows: int = PART_ROWS) -> OrdinalModel | None:
     known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(grade_col).cast("int").alias("grade"))
-    n = known.count()
-    known = known.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(min(1.0, limit / max(n, 1)) * 1_000_000))
+    n_parts = max(1, -(-known.count() // part_rows))
+    known = known.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n_parts)).cast("int"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    rated = texts.join(F.broadcast(known), "id").select("grade", "text")  # known has about limit rows
-    sample = rated.mapInArrow(_sparse_batches, "grade int, at array<int>, x array<float>").toArrow()
-    if not sample.num_rows:
+    rated = texts.join(known.hint("merge"), "id").select("part", "grade", "text")  # ratings may be too many to broadcast
+    rated = materialize(rated.mapInArrow(frugal(_sparse_batches), "part int, grade int, at array<int>, x array<float>"), "quality-rated", "zstd")
+    grades = sorted(r.grade for r in rated.select("grade").distinct().collect())
+    if not grades:
         return None
-    grade = sample.column("grade").to_numpy()
-    grades = sorted(set(grade.tolist()))
     if len(grades) < 2:
         return OrdinalModel(grades, np.zeros(BUCKETS), np.zeros(0))
-    at, x = sample.column("at").combine_chunks(), sample.column("x").combine_chunks()
-    rows = np.repeat(np.arange(len(grade)), np.diff(at.offsets.to_numpy()))
-    level = np.searchsorted(np.array(grades), grade)
-    weights, thresholds = fit_sparse(rows, at.values.to_numpy(), x.values.to_numpy().astype(float), level, len(grades))
-    return OrdinalModel(grades, weights, thresholds)
+    fitted = rated.groupBy("part").applyInPandas(_part_fitter(grades), "place int, value double, n long")
+    # As many rows as the model has weights and thresholds.
+    mean = fitted.groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).orderBy("place").toArrow().column("value").to_numpy()
+    return OrdinalModel(grades, mean[:BUCKETS], mean[BUCKETS:])
 
 
 def latent(model: OrdinalModel):

@@ -101,3 +101,23 @@ def test_fit_reaches_the_least_loss():
             moved[k] += d
             assert loss(moved, theta) >= best - 1e-5
     assert loss(w, theta + [0.05, 0]) >= best - 1e-5 and loss(w, theta - [0, 0.05]) >= best - 1e-5
+
+
+def test_every_rated_row_is_learned_from(spark):
+    """12,000 ratings in two parts: each of 40 words that only one row holds gets a weight."""
+    rng = np.random.default_rng(6)
+    rows, marks, taken = [], [], {Q.bucket("good"), Q.bucket("bad%%%"), Q.bucket("word")}
+    for k in range(4_000):
+        if len(marks) < 40 and Q.bucket(f"mark{k}") not in taken:
+            marks.append(f"mark{k}")
+            taken.add(Q.bucket(f"mark{k}"))
+    for i in range(12_000):
+        level = int(rng.integers(0, 2))
+        rows.append((i, " ".join([*(["word"] * 3), "good" if level else "bad%%%", *([marks[i // 300]] if i % 300 == 7 else [])]), level))
+    df = spark.createDataFrame(rows, "doc_id long, text string, level int")
+    model = Q.fit(df.select("doc_id", "text"), df.selectExpr("doc_id", "level AS quality"))
+    assert all(model.weights[Q.bucket(m)] != 0 for m in marks)
+    right = [(r.p_tail >= 0.5) == bool(level) for r, (_, _, level) in zip(Q.grade(df, model).orderBy("doc_id").collect(), rows)]
+    assert np.mean(right) > 0.99
+    again = Q.fit(df.repartition(5).select("doc_id", "text"), df.selectExpr("doc_id", "level AS quality"))
+    assert np.allclose(again.weights, model.weights, atol=1e-9) and np.allclose(again.thresholds, model.thresholds, atol=1e-9)
