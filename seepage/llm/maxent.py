@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,8 @@ BATCH = 8192
 RATE = 0.1
 #: Added to the squared gradients, so that rare features move little.
 DAMP = 0.1
+#: Logits of at most this size need no shift before they are exponentiated.
+SAFE = 60.0
 #: The commonest words, at most so many, reach the chunks as a table of their own and not by the join.
 FREQUENT = 200_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -78,6 +81,15 @@ def word_hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
+def word_numbers(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hash (signed), ending and bucket_part of many words."""
+    crc, blake = zlib.crc32, hashlib.blake2b
+    hashes = np.frombuffer(b"".join([blake(w, digest_size=8).digest() for w in words]), "<i8")
+    endings = np.fromiter([crc(w[-SUFFIX:]) for w in words], np.uint32, len(words)) % ENDINGS
+    spare = np.fromiter([crc(w) for w in words], np.uint32, len(words)) % (PARTS - NAMED) + NAMED
+    return hashes, endings.astype(np.int16), spare.astype(np.int16)
+
+
 def _chunk_batches(batches):
     for batch in batches:
         texts = batch.column("text")
@@ -93,13 +105,11 @@ def _chunk_batches(batches):
             tokens = [t.split() for t in lowered]
             del lowered
             sizes = np.array([len(t) for t in tokens], np.int64)
-            codes = np.fromiter((c for t in tokens for c in map(words.__getitem__, t)), np.int32, int(sizes.sum()))
+            codes = np.fromiter(map(words.__getitem__, chain.from_iterable(tokens)), np.int32, int(sizes.sum()))
             del tokens
             trained = np.repeat(~held[start:end], sizes)
             counts = np.bincount(codes[trained], minlength=len(words)).astype(np.int32)
-            hashes = np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
-            endings = np.fromiter(map(ending, words), np.int16, len(words))
-            spare = np.fromiter(map(bucket_part, words), np.int16, len(words))
+            hashes, endings, spare = word_numbers(words)
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
             columns = [
                 pa.array([int.from_bytes(digest.digest(), "little") >> 1], pa.int64()),
@@ -240,12 +250,29 @@ def empty_weights() -> list[np.ndarray]:
 def logits(weights: np.ndarray, x: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """bias: the bias row of each token, counted from the first."""
     first = len(weights) - (1 if weights.shape[1] == CLASSES + 1 else CLASSES)
-    out = weights[first + bias]
+    out = weights.take(first + bias, axis=0)
     for k in range(x.shape[1]):
-        out += weights[x[:, k]]
+        out += weights.take(x[:, k], axis=0)
     return out
 
 
+def exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In place: (exponentials of each row, their sums); rows are shifted where a logit is out of range."""
+    if len(z) and (z.max() > SAFE or z.min() < -SAFE):
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
+
+
+def chosen(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of log_softmax, the places y alone; z is used up."""
+    own = np.arange(len(y))
+    if len(z) and (z.max() > SAFE or z.min() < -SAFE):
+        z -= z.max(axis=1, keepdims=True)
+    at = z[own, y]
+    return at - np.log(exps(z)[1])
+
+
 def log_softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -254,14 +281,12 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
 
 def step(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, x: np.ndarray, y: np.ndarray, bias: np.ndarray) -> None:
     """One sparse AdaGrad step on a minibatch, in place."""
-    g = logits(weights, x, bias)
-    g -= g.max(axis=1, keepdims=True)
-    np.exp(g, out=g)
-    g /= g.sum(axis=1, keepdims=True)
+    g, total = exps(logits(weights, x, bias))
+    g /= total[:, None]
     g[np.arange(len(y)), y] -= 1
 
     def move(rows, total, n):
-        squares[rows] += (total * total).mean(axis=1)
+        squares[rows] += np.einsum("ij,ij->i", total, total) / total.shape[1]
         weights[rows] -= RATE * total / np.sqrt(squares[rows] + DAMP)[:, None]
         uses[rows] += n
 
@@ -269,7 +294,7 @@ def step(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, x: np.ndarr
         order = np.argsort(x[:, k].astype(np.uint16), kind="stable")  # 16 bits sort by radix
         rows = x[order, k]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        move(rows[first], np.add.reduceat(g[order], first, axis=0), np.diff(np.concatenate((first, [len(order)]))))
+        move(rows[first], np.add.reduceat(g.take(order, axis=0), first, axis=0), np.diff(np.concatenate((first, [len(order)]))))
     n = np.bincount(bias)
     rows = np.flatnonzero(n)
     total = (bias[None, :] == rows[:, None]).astype(np.float32) @ g
@@ -363,10 +388,10 @@ def _score_batches(weights: list[np.ndarray], classes: Classes, totals: np.ndarr
                 inside[shared] = np.log10((c[shared] + 1) / totals[y[shared], z[shared]])
                 for a in range(0, len(y), BATCH):
                     b = min(a + BATCH, len(y))
-                    inside[a:b] += log_softmax(logits(weights[0], x[a:b], np.zeros(b - a, np.int64)))[np.arange(b - a), y[a:b]] / np.log(10)
+                    inside[a:b] += chosen(logits(weights[0], x[a:b], np.zeros(b - a, np.int64)), y[a:b]) / np.log(10)
                     own = np.flatnonzero(word[a:b]) + a
                     if len(own):
-                        inside[own] += log_softmax(logits(weights[1], u[own], y[own]))[np.arange(len(own)), z[own]] / np.log(10)
+                        inside[own] += chosen(logits(weights[1], u[own], y[own]), z[own]) / np.log(10)
                 first = at - sizes
                 size = (sizes + 1).astype(np.int64)
                 base = np.add.reduceat(np.log10(c + 1.0), first) - size * np.log10(n + 1.0 * (v + 1))

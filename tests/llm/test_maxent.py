@@ -126,3 +126,21 @@ def test_chunks_stay_where_they_are(spark, monkeypatch):
     assert len(moved) <= 2 and "Bucketed: true" in plan, plan  # found, by chunk; the chunks' table is read by its buckets
     scan = plan[: plan.index("Bucketed: true")].split("\n")[-5:]
     assert not any("Exchange" in line for line in scan), scan
+
+
+def test_plain_forms_equal_the_fast_ones():
+    """Softmax of chosen places, in and out of the range that needs no shift; numbers of words in one go."""
+    rng = np.random.default_rng(5)
+    for size in (1.0, 30.0, 500.0):
+        z = (rng.normal(size=(400, 17)) * size).astype(np.float32)
+        y = rng.integers(0, 17, 400)
+        plain = M.log_softmax(z.astype(float))
+        assert np.allclose(M.chosen(z.copy(), y), plain[np.arange(400), y], rtol=1e-5, atol=1e-5)
+        g, total = M.exps(z.copy())
+        assert np.allclose(g / total[:, None], np.exp(plain), atol=1e-5)
+    assert len(M.chosen(np.zeros((0, 17), np.float32), np.zeros(0, int))) == 0
+    words = [b"", b"a", b"ab", b"abc", "été".encode(), *(b"w%d" % i for i in range(500))]
+    hashes, endings, spare = M.word_numbers(words)
+    assert hashes.view(np.uint64).tolist() == [M.word_hash(w) for w in words]
+    assert endings.tolist() == [M.ending(w) for w in words] and spare.tolist() == [M.bucket_part(w) for w in words]
+    assert [len(x) for x in M.word_numbers([])] == [0, 0, 0]
