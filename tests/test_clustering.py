@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -77,6 +79,62 @@ def test_euclidean_silhouette(spark, monkeypatch, block):
     assert got.n == len(label) and got.score == pytest.approx(brute_silhouette(v, label), rel=1e-12)
 
 
+def euclidean_of(spark, v, label):
+    return clustering.euclidean_silhouette(spark.createDataFrame(list(zip([x.tolist() for x in np.asarray(v)], label)), "v array<double>, kind string"), "kind").first()
+
+
+def test_euclidean_silhouette_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BLOCK", 1)
+    v, label = np.random.default_rng(5).standard_normal((9, 3)), list("aabbabcbc")
+    got = euclidean_of(spark, v, label)
+    assert got.n == 9 and got.score == pytest.approx(brute_silhouette(v, label), rel=1e-12)
+
+
+@pytest.mark.parametrize("slab", [3, 512])
+def test_euclidean_silhouette_of_copies_and_near_vectors(spark, monkeypatch, slab):
+    monkeypatch.setattr(clustering, "SLAB", slab)
+    rng = np.random.default_rng(6)
+    near = 1e5 + rng.standard_normal((8, 5)) * np.array([1e-4] * 4 + [1e-9] * 4)[:, None]  # products of vectors lose all digits of such distances
+    v = np.concatenate([near, near[[0, 0, 3]], rng.standard_normal((6, 5)), [[0.0] * 5, [-0.0] * 5, [0.0] * 5, [1e9] * 5, [1e9] * 5]])
+    label = [*"abababab", *"aab", *"ccabcc", *"ccacd"]
+    got = euclidean_of(spark, v, label)
+    assert got.n == len(label) and got.score == pytest.approx(brute_silhouette(v, label), rel=1e-11)
+
+
+def test_euclidean_silhouette_outruns_a_loop_over_dimensions(spark):
+    rng = np.random.default_rng(7)
+    v, label = rng.standard_normal((20_000, 64)), rng.integers(0, 3, 20_000)
+    label[:2] = 3
+    start, d2 = time.perf_counter(), np.zeros((256, 4096))
+    for d in range(64):
+        gap = v[:256, d, None] - v[None, :4096, d]
+        d2 += gap * gap
+    plain = (time.perf_counter() - start) / d2.size
+    df = spark.createDataFrame([(x.tolist(), int(k)) for x, k in zip(v, label)], "v array<double>, kind int").cache()
+    df.count()
+    start = time.perf_counter()
+    got = clustering.euclidean_silhouette(df, "kind").first()
+    assert time.perf_counter() - start < plain * len(v) ** 2 / 8  # a loop takes twice as long in four tasks
+    square, member, score = (v * v).sum(axis=1), np.eye(4)[label], 0.0
+    n = member.sum(axis=0)
+    for i in range(0, len(v), 1000):
+        own = label[i : i + 1000]
+        total = np.sqrt(np.maximum(square[i : i + 1000, None] - 2 * v[i : i + 1000] @ v.T + square, 0))
+        total[np.arange(len(own)), np.arange(i, i + len(own))] = 0
+        total = total @ member
+        a = total[np.arange(len(own)), own] / (n[own] - 1)
+        b = np.where(np.eye(4)[own] > 0, np.inf, total / n).min(axis=1)
+        score += ((b - a) / np.maximum(a, b)).sum()
+    df.unpersist()
+    assert got.n == len(v) and got.score == pytest.approx(score / len(v), rel=1e-9)
+
+
+def test_euclidean_silhouette_of_vectors_of_two_lengths(spark):
+    df = spark.createDataFrame([([1.0, 2.0], "a"), ([2.0], "b"), ([3.0], "b")], "v array<double>, kind string")
+    with pytest.raises(ValueError, match="1 and of 2"):
+        clustering.euclidean_silhouette(df, "kind")
+
+
 def test_silhouette_of_nothing_and_of_one_label(spark):
     df = spark.createDataFrame([([1.0, 2.0], "a"), ([2.0, 2.0], "a")], "v array<double>, kind string")
     for f in (clustering.euclidean_silhouette, clustering.silhouette):
